@@ -99,10 +99,14 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, per_owner: int, bits: i
 
 
 def _groups(suspects: DataFrame):
-    """Suspect rows with a row key, and the groups of equal texts among them (compared whole, as grouping keys)."""
-    suspects = table(suspects.withColumn("rid", F.monotonically_increasing_id()), "suspect-rows")
+    """Suspect rows with a row key and digest, and the groups of equal texts among them, by digest.
+
+    Texts are compared whole, as grouping keys; the written groups carry the digest alone, so a large group of copies meets
+    its one row in a join that Spark can split.
+    """
+    suspects = table(suspects.withColumn("rid", F.monotonically_increasing_id()).withColumn("sha", F.sha2("body", 256)), "suspect-rows")
     best = F.max(F.struct(F.col("id"), F.col("rid")))
-    return suspects, suspects.groupBy("fp", "body").agg(best.alias("best"), F.count("*").alias("size"))
+    return suspects, table(suspects.groupBy("body").agg(best.alias("best"), F.count("*").alias("size"), F.first("sha").alias("sha")).drop("body"), "copies")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, per_owner: int = 250_000, bits: int = 23, normalise=None) -> DataFrame:
@@ -114,15 +118,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     marked = _marked(docs.select(id_col, text_col), id_col, text_col, per_owner, bits, normalise).drop("row")
     single = marked.where("not suspect").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.sha2("body", 256).alias("text_sha256"))
-    suspects, groups = _groups(marked.where("suspect").select("id", "fp", "body"))
-    groups = groups.withColumn("sha", F.sha2("body", 256))
-    several = suspects.join(groups, ["fp", "body"]).select("id", F.col("best.id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("best.rid") == F.col("rid")).alias("kept"), F.col("sha").alias("text_sha256"))
+    suspects, groups = _groups(marked.where("suspect").select("id", "body"))
+    several = suspects.select("id", "rid", "sha").join(groups, "sha").select("id", F.col("best.id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("best.rid") == F.col("rid")).alias("kept"), F.col("sha").alias("text_sha256"))
     return single.union(several).withColumnRenamed("id", id_col)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, per_owner: int = 250_000, bits: int = 23, normalise=None) -> DataFrame:
     """docs, all columns, without the rows that exact_dedup would not keep."""
     marked = _marked(docs, id_col, text_col, per_owner, bits, normalise)
-    suspects, groups = _groups(marked.where("suspect").select("row", "id", "fp", "body"))
+    suspects, groups = _groups(marked.where("suspect").select("row", "id", "body"))
     best = groups.select(F.col("best.rid").alias("rid"))
     return marked.where("not suspect").select("row.*").union(suspects.join(best, "rid", "left_semi").select("row.*"))
