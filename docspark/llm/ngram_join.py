@@ -48,7 +48,7 @@ def shingle_sets(texts: list[str | None], n: int, words: WordHashes) -> tuple[np
 
     A text with fewer than n words is one shingle as a whole, one without words none. A-Z are lower-cased, nothing else.
     """
-    if len(words) > 300_000:
+    if len(words) > 120_000:
         words.clear()
     lists = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
     counts = np.array([len(x) for x in lists], np.int64)
@@ -180,7 +180,7 @@ def _signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 yield rows(1, sig[more], ids[more], leader[more])
 
         waiting = 0
-        for part in slices(batches, 1, 4 << 20):
+        for part in slices(batches, 1, 1 << 20):
             ids = np.asarray(part.column(0).cast(pa.int64()), np.int64)
             sh, bounds = shingle_sets(part.column(1).to_pylist(), n, words)
             sizes = np.diff(bounds)
@@ -203,7 +203,7 @@ def _signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             take = signing[own]
             held.append((sig[take], ids[own[take]]))
             waiting += int(take.sum())
-            if waiting > 1_000_000:
+            if waiting > 300_000:
                 yield from flush()
                 waiting = 0
         if held:
