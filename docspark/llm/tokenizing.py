@@ -43,7 +43,7 @@ class Encoder:
     seen lately go to the library's model; other texts go to the library whole, with offsets. The memory is bounded.
     """
 
-    def __init__(self, path: str, chunk: int = 1 << 15, overlap: int = 256, remember: int = 150_000):
+    def __init__(self, path: str, chunk: int = 1 << 15, overlap: int = 256, remember: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.chunk, self.overlap, self.remember = Tokenizer.from_file(path), chunk, overlap, remember
