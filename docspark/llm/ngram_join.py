@@ -294,7 +294,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = member.join(comp_of("m"), F.col("m") == F.col("v_m"), "left").select("key", "m", F.coalesce("c_m", "m").alias("cm"))
     heads = heads.join(comp_of("h"), F.col("head") == F.col("v_h"), "left").select("key", F.coalesce("c_h", "head").alias("ch"))
     apart = table(member.join(heads, "key").where("cm <> ch").select("key", F.col("m").alias("f"), F.col("cm").alias("cf")), "apart")
-    rest = apart.join(member, "key").where("cf <> cm").select(F.least("f", "m").alias("a"), F.greatest("f", "m").alias("b")).distinct()
+    # the sizes and sketches decide inside the join which of these pairs can hold at all
+    about = lambda side: one.select(F.col("id").alias(f"i_{side}"), F.col("size").alias(f"n_{side}"), *[F.col(f"s{i}").alias(f"s{i}_{side}") for i in range(SKETCH_WORDS)])
+    others = member.join(apart.select("key").distinct(), "key", "left_semi").join(about("m"), F.col("m") == F.col("i_m"))
+    small, large = F.least("n_f", "n_m"), F.greatest("n_f", "n_m")
+    differ = sum((F.bit_count(F.col(f"s{i}_f").bitwiseXOR(F.col(f"s{i}_m"))) for i in range(SKETCH_WORDS)), F.lit(0))
+    likely = (F.col("l.key") == F.col("r.key")) & (F.col("cf") != F.col("cm")) & (den * small >= num * large) & ((den + num) * differ <= (den - num) * (small + large))
+    rest = apart.join(about("f"), F.col("f") == F.col("i_f")).alias("l").join(others.alias("r"), likely).select(F.least("f", "m").alias("a"), F.greatest("f", "m").alias("b")).distinct()
     if apart.limit(1).count():
         tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         second = table(_verified(rest.join(tried, ["a", "b"], "left_anti"), known_ids, one, words, num, den, bits), "links")
