@@ -246,6 +246,41 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles array<long>")
 
 
+def _bitmaps(docs: DataFrame, n: int) -> DataFrame:
+    """(id, bits): a parity sketch like sketches(), of at least four cells an element, so it is a sixteenth of the set's size."""
+
+    def run(batches):
+        words = WordHashes()
+        for part in slices(batches, 1):
+            sh, bounds = shingle_sets(part.column(1).to_pylist(), n, words)
+            h, out = mix(sh + np.uint64(5)), []
+            for i, j in zip(bounds[:-1], bounds[1:]):
+                cells = max(256, 1 << int(4 * (j - i)).bit_length())
+                odd = np.bincount((h[i:j] & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+                out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["id", "bits"])
+
+    return docs.mapInArrow(run, "id long, bits binary")
+
+
+def _close(num: int, den: int):
+    """Keeps pairs whose bitmaps do not rule them out; the longer bitmap is folded to the shorter one's cells first."""
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for size_a, size_b, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 6))):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                while len(x) > len(y):
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                while len(y) > len(x):
+                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                keep.append((den + num) * int(np.bitwise_count(x ^ y).sum()) <= (den - num) * (size_a + size_b))
+            yield b.select(["a", "b", "size_a", "size_b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, n: int, num: int, den: int, bits: int) -> DataFrame:
     """Of the pairs (a, b) those with den * intersection >= num * union, whole sets compared."""
     of = lambda side: info.select(*[F.col(c).alias(f"{c}_{side}") for c in ("id", "size", "same", "s0", "s1", "s2", "s3")])
@@ -256,11 +291,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, n: int, num: i
     known = known.where((den * small >= num * large) & (small > 0) & ((den + num) * apart <= (den - num) * (small + large)))
     equal = (F.col("size_a") == F.col("size_b")) & (F.col("same_a") == F.col("same_b"))
     known = table(known.select("a", "b", "size_a", "size_b", equal.alias("equal")), "pairs")
-    open_pairs = known.where("not equal")
-    ends = open_pairs.select(F.col("a").alias("key")).union(open_pairs.select(F.col("b").alias("key"))).distinct()
-    words = table(bitmap_filter(ends, bits), "pair-ends")
-    wanted = may_contain(docs, "id", words, "wanted", bits).where("wanted").select("id", "text")
-    sets = table(_sets(wanted, n).dropDuplicates(["id"]), "sets")
+    open_pairs = known.where("not equal").drop("equal")
+
+    def ends_of(pairs):
+        ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+        words = table(bitmap_filter(ends, bits), "pair-ends")
+        return may_contain(docs, "id", words, "wanted", bits).where("wanted").select("id", "text")
+
+    maps = _bitmaps(ends_of(open_pairs), n).dropDuplicates(["id"])
+    close = open_pairs.join(maps.select(F.col("id").alias("a"), F.col("bits").alias("bits_a")), "a").join(maps.select(F.col("id").alias("b"), F.col("bits").alias("bits_b")), "b")
+    close = close.select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(_close(num, den), "a long, b long, size_a long, size_b long")
+    open_pairs = table(close, "close-pairs")
+    sets = _sets(ends_of(open_pairs), n).dropDuplicates(["id"])
     left = open_pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "size_a", "size_b", "x")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
