@@ -180,7 +180,7 @@ def _edits(s, d):
     return replace.plan_replacement(m, r, "THE$1", ["doc_id", "line_no"])
 
 
-@query(f"""WITH {LINE_MATCHES} SELECT doc_id, count(*) AS n_edits, CAST(sum(len(g) - 1) AS BIGINT) AS n_matches, CAST(sum(strlen(replace(text, 'the', 'THE$1'))) AS BIGINT) AS n_bytes, CASE WHEN count(*) > 6 THEN 'TooManyEdits' END AS blocker FROM r3 WHERE len(g) > 1 GROUP BY 1""")
+@query(f"""WITH {LINE_MATCHES} SELECT doc_id, count(*) AS n_edits, CAST(sum(len(g) - 1) AS BIGINT) AS n_matches, CAST(sum(strlen(replace(text, 'the', 'THE$1'))) AS BIGINT) AS n_bytes, CASE WHEN bool_or(length(replace(text, 'the', 'THE$1')) > 10000) THEN 'SelectedMatchesBlocked' WHEN count(*) > 6 THEN 'TooManyEdits' END AS blocker FROM r3 WHERE len(g) > 1 GROUP BY 1""")
 def d4_plan_document_replacement(s, d):
     return replace.plan_document_replacement(_edits(s, d), max_edits=6)
 
