@@ -24,6 +24,7 @@ from docspark.llm.common import bitmap_filter, components, may_contain, slices,
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SKETCH_WORDS = 4
+WIDE_FROM = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -149,8 +150,33 @@ def sketches(sh: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(-1, cells), axis=1).view(np.int64)
 
 
-COLUMNS = ["kind", "key", "id", "leader", "size", "same", "s0", "s1", "s2", "s3"]
-SCHEMA = "kind int, key long, id long, leader long, size long, same long, s0 long, s1 long, s2 long, s3 long"
+def wide_sketches(sh: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    """Such parities of long sets, in 0.7 to 1.4 cells an element (a power of two); null for sets that 256 cells can tell apart."""
+    h, words, ends = mix(sh + np.uint64(5)), [], [0]
+    for i, j in zip(bounds[:-1], bounds[1:]):
+        if j - i >= WIDE_FROM:
+            cells = 1 << int(0.7 * (j - i)).bit_length()
+            odd = np.bincount((h[i:j] & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+            words.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+            ends.append(ends[-1] + len(words[-1]))
+        else:
+            ends.append(ends[-1])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(words) if words else np.zeros(0, np.int64)), mask=pa.array(np.diff(bounds) < WIDE_FROM))
+
+
+def wide_apart(x: str, y: str):
+    """In how many cells two wide sketches differ, the longer one folded; 0 where one is null. Sizes within a ratio of 2."""
+    differ = lambda a, b: f"aggregate(zip_with({a}, {b}, (p, q) -> bit_count(p ^ q)), 0, (n, v) -> n + v)"
+    fold = lambda a: f"zip_with(slice({a}, 1, cast(size({a}) / 2 as int)), slice({a}, cast(size({a}) / 2 as int) + 1, cast(size({a}) / 2 as int)), (p, q) -> p ^ q)"
+    return F.expr(
+        f"case when {x} is null or {y} is null then 0 when size({x}) = size({y}) then {differ(x, y)} "
+        f"when size({x}) = 2 * size({y}) then {differ(fold(x), y)} when 2 * size({x}) = size({y}) then {differ(x, fold(y))} else 0 end"
+    )
+
+
+COLUMNS = ["kind", "key", "id", "leader", "size", "same", "s0", "s1", "s2", "s3", "wide"]
+SCHEMA = "kind int, key long, id long, leader long, size long, same long, s0 long, s1 long, s2 long, s3 long, wide array<long>"
+WIDE = pa.list_(pa.int64())
 
 
 def _signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -162,7 +188,7 @@ def _signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         def rows(kind, key, ident, leader, info=None):
             m = len(key)
             fill = lambda: pa.nulls(m, pa.int64())
-            more = [pa.array(x) for x in info] if info else [fill() for _ in range(6)]
+            more = [x if isinstance(x, pa.Array) else pa.array(x) for x in info] if info else [*(fill() for _ in range(6)), pa.nulls(m, WIDE)]
             return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(key.view(np.int64)), pa.array(ident), pa.array(leader) if leader is not None else fill(), *more], names=COLUMNS)
 
         held: list = []
@@ -188,7 +214,7 @@ def _signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             if (sizes > 0).any():
                 sums[sizes > 0] = np.add.reduceat(mix(sh + np.uint64(9)), bounds[:-1][sizes > 0])
             sk = sketches(sh, bounds)
-            yield rows(2, mix(ids.view(np.uint64)), ids, None, [sizes, sums.view(np.int64), *(np.ascontiguousarray(sk[:, i]) for i in range(4))])
+            yield rows(2, mix(ids.view(np.uint64)), ids, None, [sizes, sums.view(np.int64), *(np.ascontiguousarray(sk[:, i]) for i in range(4)), wide_sketches(sh, bounds)])
             # of equal sets only the smallest id signs; the others follow it
             order = np.lexsort((ids, sums, sizes))
             z, q = sizes[order], sums[order]
@@ -231,7 +257,7 @@ def _stars(batches):
         more = ~first & (leader != ids)
         if more.any():
             m = int(more.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(key[more]), pa.array(ids[more]), pa.array(leader[more]), *[pa.nulls(m, pa.int64())] * 6], names=COLUMNS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(key[more]), pa.array(ids[more]), pa.array(leader[more]), *[pa.nulls(m, pa.int64())] * 6, pa.nulls(m, WIDE)], names=COLUMNS)
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -283,12 +309,12 @@ def _close(num: int, den: int):
 
 def _verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, n: int, num: int, den: int, bits: int) -> DataFrame:
     """Of the pairs (a, b) those with den * intersection >= num * union, whole sets compared."""
-    of = lambda side: info.select(*[F.col(c).alias(f"{c}_{side}") for c in ("id", "size", "same", "s0", "s1", "s2", "s3")])
+    of = lambda side: info.select(*[F.col(c).alias(f"{c}_{side}") for c in ("id", "size", "same", "s0", "s1", "s2", "s3", "wide")])
     known = pairs.join(of("a"), F.col("a") == F.col("id_a")).join(of("b"), F.col("b") == F.col("id_b"))
     small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
     # |A ^ B| <= (|A|+|B|) (den-num)/(den+num) for pairs that hold; the sketches differ in no more bits than the sets in elements
     apart = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(SKETCH_WORDS)), F.lit(0))
-    known = known.where((den * small >= num * large) & (small > 0) & ((den + num) * apart <= (den - num) * (small + large)))
+    known = known.where((den * small >= num * large) & (small > 0) & ((den + num) * apart <= (den - num) * (small + large)) & ((den + num) * wide_apart("wide_a", "wide_b") <= (den - num) * (small + large)))
     equal = (F.col("size_a") == F.col("size_b")) & (F.col("same_a") == F.col("same_b"))
     known = table(known.select("a", "b", "size_a", "size_b", equal.alias("equal")), "pairs")
     open_pairs = known.where("not equal").drop("equal")
@@ -324,7 +350,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = _signed(known_ids, words, num, den)
     found = signed.repartition("key").sortWithinPartitions("kind", "key", "id").mapInArrow(_stars, SCHEMA)
     found = table(found, "stars")
-    info = found.where("kind = 2").select("id", "size", "same", "s0", "s1", "s2", "s3")
+    info = found.where("kind = 2").select("id", "size", "same", "s0", "s1", "s2", "s3", "wide")
     stars = found.where("kind = 1").select("key", F.col("id").alias("b"), F.col("leader").alias("a"))
     one = info.dropDuplicates(["id"])
     first = table(_verified(stars.select("a", "b").distinct(), known_ids, one, words, num, den, bits), "links")
@@ -337,11 +363,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = heads.join(comp_of("h"), F.col("head") == F.col("v_h"), "left").select("key", F.coalesce("c_h", "head").alias("ch"))
     apart = table(member.join(heads, "key").where("cm <> ch").select("key", F.col("m").alias("f"), F.col("cm").alias("cf")), "apart")
     # the sizes and sketches decide inside the join which of these pairs can hold at all
-    about = lambda side: one.select(F.col("id").alias(f"i_{side}"), F.col("size").alias(f"n_{side}"), *[F.col(f"s{i}").alias(f"s{i}_{side}") for i in range(SKETCH_WORDS)])
+    about = lambda side: one.select(F.col("id").alias(f"i_{side}"), F.col("size").alias(f"n_{side}"), F.col("wide").alias(f"w_{side}"), *[F.col(f"s{i}").alias(f"s{i}_{side}") for i in range(SKETCH_WORDS)])
     others = member.join(apart.select("key").distinct(), "key", "left_semi").join(about("m"), F.col("m") == F.col("i_m"))
     small, large = F.least("n_f", "n_m"), F.greatest("n_f", "n_m")
     differ = sum((F.bit_count(F.col(f"s{i}_f").bitwiseXOR(F.col(f"s{i}_m"))) for i in range(SKETCH_WORDS)), F.lit(0))
-    likely = (F.col("l.key") == F.col("r.key")) & (F.col("cf") != F.col("cm")) & (den * small >= num * large) & ((den + num) * differ <= (den - num) * (small + large))
+    likely = (F.col("l.key") == F.col("r.key")) & (F.col("cf") != F.col("cm")) & (den * small >= num * large) & ((den + num) * differ <= (den - num) * (small + large)) & ((den + num) * wide_apart("w_f", "w_m") <= (den - num) * (small + large))
     rest = apart.join(about("f"), F.col("f") == F.col("i_f")).alias("l").join(others.alias("r"), likely).select(F.least("f", "m").alias("a"), F.greatest("f", "m").alias("b")).distinct()
     if apart.limit(1).count():
         tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -124,3 +124,25 @@ def test_exact_dedup_equals_brute_force(spark):
 def test_exact_dedup_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.keep_one(empty).count() == 0
+
+
+@pytest.mark.parametrize("n,threshold", [(4, (85, 100)), (5, (80, 100))])
+def test_long_documents_that_share_passages(spark, n, threshold):
+    """Sets on both sides of the wide sketches' bounds (512, and powers of two at 0.7 of the size), near copies of every grade among them."""
+    rng = random.Random(8)
+    passages = [words(rng, 60) for _ in range(3)]
+    texts = []
+    for size in (400, 520, 730, 740, 1460, 1470, 3000):
+        base = words(rng, size).split()
+        for changed in (0, 2, 4, 6, 8, 12):
+            t = base[:]
+            for _ in range(changed * size // 400):
+                t[rng.randrange(len(t))] = "x" + str(rng.randrange(10**6))
+            texts.append(" ".join([*t, *rng.sample(passages, 2)]))
+        texts.append(" ".join([*base[: size * 9 // 10], *passages]))
+    rng.shuffle(texts)
+    rows = [(i, t, "", 0) for i, t in enumerate(texts)]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5), words=n, threshold=threshold).collect()
+    expected = brute_components(rows, n, *threshold)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected
+    assert 1 < len({c for _, c in expected.values()}) < len(rows)
