@@ -2,8 +2,10 @@
 
 Sets fall into size bands. Two sets of a band pair that reach the threshold differ in at most k elements, so if the domain
 is cut into more than k parts, some part holds the same elements of both. The hash of a set's elements in one part is a
-signature; similar sets share one. Parts that are empty in both sets carry no information: s spare parts make up for up to s
-of them, and the rare sets with more also sign their empty parts. Nothing is lost, whatever the data.
+signature; similar sets share one. Parts with one element or none say little, and one passage that many documents share
+would bring all of them together: s spare parts make up for up to s such light parts, which then go unsigned. Only sets
+with more than s light parts sign their single elements too, and only those with more than s empty parts also the empty
+ones. Of two similar sets at least s+1 parts are equal, so they share a signature of the same kind. Nothing is lost.
 
 Of the sets that share a signature only pairs with the signature's leader are verified at first (a star). If all of them
 hold, or their ends are connected by others, the group is done; only members that are left apart from the leader's
@@ -94,7 +96,7 @@ def bands(num: int, den: int, largest: int) -> list[tuple[int, int]]:
 def parts_of(high: int, num: int, den: int) -> tuple[int, int, int]:
     """For the pairs of a band with largest size high and the band below: largest difference k, spare parts s, number of parts."""
     k = floor(2 * high * (den - num) / (den + num) + 1e-9)
-    s = 1 + (k + 20) // 33
+    s = 1 + 2 * k // 5
     return k, s, k + 1 + s
 
 
@@ -109,10 +111,14 @@ def signatures(sh: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tuple[
     owner = np.repeat(np.arange(len(sizes)), sizes)
     top = bands(num, den, int(highs[-1]) + 1)
     params = np.array([parts_of(h, num, den) for _, h in top], np.int64)
+    # a set and one of the band above are smaller together, differ in less and so leave more spare parts
+    below = np.array([0] + [floor((a + b) * (den - num) / (den + num) + 1e-9) for (_, a), (_, b) in zip(top, top[1:])], np.int64)
     sigs, owners = [], []
     for step in (0, 1):
         b = band + step
-        k, s, parts = params[np.minimum(b, len(params) - 1)].T
+        at_band = np.minimum(b, len(params) - 1)
+        k, s, parts = params[at_band].T
+        spare = parts - 1 - below[at_band] if step else s
         live = (sizes > 0) & ((k > 0) | (step == 0))
         whole = live & (k == 0)
         parts = np.where(whole, 1, parts)
@@ -131,10 +137,13 @@ def signatures(sh: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tuple[
         at = cells[first]
         own = np.repeat(np.arange(len(sizes)), np.where(live, parts, 0))[at]
         inner = (at - offset[own]).astype(np.uint64)
-        sigs.append(mix(mix(total + inner) + salt[own]))
-        owners.append(own)
         filled = np.bincount(own, minlength=len(sizes))
-        for i in np.flatnonzero(live & ~whole & (parts - filled > s)):
+        single = np.diff(np.append(first, len(cells))) == 1
+        light = parts - filled + np.bincount(own[single], minlength=len(sizes))
+        signed = ~single | (whole | (light > spare))[own]
+        sigs.append(mix(mix(total[signed] + inner[signed]) + salt[own[signed]]))
+        owners.append(own[signed])
+        for i in np.flatnonzero(live & ~whole & (parts - filled > spare)):
             empty = np.setdiff1d(np.arange(parts[i]), (at - offset[i])[own == i]).astype(np.uint64)
             sigs.append(mix(mix(empty + np.uint64(0x5851F42D4C957F2D)) + salt[i]))
             owners.append(np.full(len(empty), i))
