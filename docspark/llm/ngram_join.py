@@ -357,7 +357,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known_ids = base.where("id is not null")
     signed = _signed(known_ids, words, num, den)
-    found = signed.repartition("key").sortWithinPartitions("kind", "key", "id").mapInArrow(_stars, SCHEMA)
+    found = signed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_stars, SCHEMA)
     found = table(found, "stars")
     info = found.where("kind = 2").select("id", "size", "same", "s0", "s1", "s2", "s3", "wide")
     stars = found.where("kind = 1").select("key", F.col("id").alias("b"), F.col("leader").alias("a"))
