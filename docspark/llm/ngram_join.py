@@ -15,7 +15,7 @@ hopeless pairs before any set is fetched.
 
 from __future__ import annotations
 
-from math import floor
+from math import exp, floor
 
 import numpy as np
 import pyarrow as pa
@@ -96,7 +96,11 @@ def bands(num: int, den: int, largest: int) -> list[tuple[int, int]]:
 def parts_of(high: int, num: int, den: int) -> tuple[int, int, int]:
     """For the pairs of a band with largest size high and the band below: largest difference k, spare parts s, number of parts."""
     k = floor(2 * high * (den - num) / (den + num) + 1e-9)
-    s = 1 + 2 * k // 5
+    s = 1 + (k + 20) // 33
+    if k >= 100:  # a passage is a small share of long sets only; in short ones more and smaller parts would bring more sets together
+        light = lambda s, mean: (k + 1 + s) * exp(-mean) * (1 + mean)
+        while s < k // 2 and light(s, high * num / den / (k + 1 + s)) > s:
+            s += 1 + k // 100
     return k, s, k + 1 + s
 
 
