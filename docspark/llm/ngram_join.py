@@ -8,8 +8,8 @@ with more than s light parts sign their single elements too, and only those with
 ones. Of two similar sets at least s+1 parts are equal, so they share a signature of the same kind. Nothing is lost.
 
 Of the sets that share a signature only pairs with the signature's leader are verified at first (a star). If all of them
-hold, or their ends are connected by others, the group is done; only members that are left apart from the leader's
-component are compared with the group's other members. A parity sketch, which can only underestimate the difference, drops
+hold, or their ends are connected by others, the group is done. Only members left apart from the leader's component are
+compared with the group's members of other components, each pair once: in the smallest of the groups that both are in. A parity sketch, which can only underestimate the difference, drops
 hopeless pairs before any set is fetched.
 """
 
@@ -27,6 +27,7 @@ from docspark.llm.common import bitmap_filter, components, may_contain, slices,
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SKETCH_WORDS = 4
 WIDE_FROM = 512
+FIRST_KEYS = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -349,6 +350,35 @@ def _verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, n: int, num: i
     return known.where("equal").select("a", "b").union(good)
 
 
+def _apart(member: DataFrame, heads: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, m, cm, off) of the groups (key) that are not one component; off tells the members outside their head's component cm."""
+    comp_of = lambda side: comp.select(F.col("v").alias(f"v_{side}"), F.col("component").alias(f"c_{side}"))
+    member = member.join(comp_of("m"), F.col("m") == F.col("v_m"), "left").select("key", "m", F.coalesce("c_m", "m").alias("cm"))
+    heads = heads.join(comp_of("h"), F.col("head") == F.col("v_h"), "left").select("key", F.coalesce("c_h", "head").alias("ch"))
+    known = member.join(heads, "key").select("key", "m", "cm", (F.col("cm") != F.col("ch")).alias("off"))
+    return known.join(known.where("off").select("key").distinct(), "key", "left_semi")
+
+
+def _cross(apart: DataFrame, one: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of members of one group and different components, one of them off; sizes and sketches decide inside the join which can hold.
+
+    Each row carries the FIRST_KEYS smallest of its groups. Where two rows have a common one, the smallest such is the smallest
+    group of both, and the pair is made only there; pairs without one are made in each common group and made distinct after.
+    """
+    firsts = apart.groupBy("m").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST_KEYS).alias("k"))
+    about = one.drop("same", "kind", "key", "leader").join(firsts, F.col("m") == F.col("id")).drop("m")
+    side = lambda x: about.select(*[F.col(c).alias(f"{c}_{x}") for c in about.columns])
+    left = apart.where("off").select("key", F.col("m").alias("f"), F.col("cm").alias("cf")).join(side("f"), F.col("f") == F.col("id_f"))
+    right = apart.join(side("m"), F.col("m") == F.col("id_m"))
+    small, large = F.least("size_f", "size_m"), F.greatest("size_f", "size_m")
+    differ = sum((F.bit_count(F.col(f"s{i}_f").bitwiseXOR(F.col(f"s{i}_m"))) for i in range(SKETCH_WORDS)), F.lit(0))
+    likely = (den * small >= num * large) & ((den + num) * differ <= (den - num) * (small + large)) & ((den + num) * wide_apart("wide_f", "wide_m") <= (den - num) * (small + large))
+    once = (F.col("cf") != F.col("cm")) & (~F.col("off") | (F.col("f") < F.col("m")))
+    here = F.coalesce(F.array_min(F.array_intersect("k_f", "k_m")), F.col("l.key")) == F.col("l.key")
+    pairs = left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & once & likely & here)
+    return pairs.select(F.least("f", "m").alias("a"), F.greatest("f", "m").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, threshold: tuple[int, int] = (80, 100), bits: int = 23) -> DataFrame:
     """One row for each row of docs: id_col, n_shingles, component_id (the smallest id reachable by links, itself included).
 
@@ -366,26 +396,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     info = found.where("kind = 2").select("id", "size", "same", "s0", "s1", "s2", "s3", "wide")
     stars = found.where("kind = 1").select("key", F.col("id").alias("b"), F.col("leader").alias("a"))
     one = info.dropDuplicates(["id"])
-    first = table(_verified(stars.select("a", "b").distinct(), known_ids, one, words, num, den, bits), "links")
-    comp = components(first)
-    comp_of = lambda side: comp.select(F.col("v").alias(f"v_{side}"), F.col("component").alias(f"c_{side}"))
-    # groups of one signature whose members are not all in the component of the group's smallest id
-    heads = stars.groupBy("key").agg(F.min("a").alias("head"))
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = table(_verified(tried, known_ids, one, words, num, den, bits), "links")
+    comp = components(links)
     member = stars.select("key", F.col("b").alias("m")).union(stars.select("key", F.col("a").alias("m"))).distinct()
-    member = member.join(comp_of("m"), F.col("m") == F.col("v_m"), "left").select("key", "m", F.coalesce("c_m", "m").alias("cm"))
-    heads = heads.join(comp_of("h"), F.col("head") == F.col("v_h"), "left").select("key", F.coalesce("c_h", "head").alias("ch"))
-    apart = table(member.join(heads, "key").where("cm <> ch").select("key", F.col("m").alias("f"), F.col("cm").alias("cf")), "apart")
-    # the sizes and sketches decide inside the join which of these pairs can hold at all
-    about = lambda side: one.select(F.col("id").alias(f"i_{side}"), F.col("size").alias(f"n_{side}"), F.col("wide").alias(f"w_{side}"), *[F.col(f"s{i}").alias(f"s{i}_{side}") for i in range(SKETCH_WORDS)])
-    others = member.join(apart.select("key").distinct(), "key", "left_semi").join(about("m"), F.col("m") == F.col("i_m"))
-    small, large = F.least("n_f", "n_m"), F.greatest("n_f", "n_m")
-    differ = sum((F.bit_count(F.col(f"s{i}_f").bitwiseXOR(F.col(f"s{i}_m"))) for i in range(SKETCH_WORDS)), F.lit(0))
-    likely = (F.col("l.key") == F.col("r.key")) & (F.col("cf") != F.col("cm")) & (den * small >= num * large) & ((den + num) * differ <= (den - num) * (small + large)) & ((den + num) * wide_apart("w_f", "w_m") <= (den - num) * (small + large))
-    rest = apart.join(about("f"), F.col("f") == F.col("i_f")).alias("l").join(others.alias("r"), likely).select(F.least("f", "m").alias("a"), F.greatest("f", "m").alias("b")).distinct()
+    heads = stars.groupBy("key").agg(F.min("a").alias("head"))
+    apart = table(_apart(member, heads, comp), "apart")
     if apart.limit(1).count():
-        tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        second = table(_verified(rest.join(tried, ["a", "b"], "left_anti"), known_ids, one, words, num, den, bits), "links")
-        comp = components(first.union(second))
+        rest = _cross(apart, one, num, den).join(tried, ["a", "b"], "left_anti")
+        comp = components(links.union(table(_verified(rest, known_ids, one, words, num, den, bits), "links")))
     rows = info.select("id", F.col("size").alias("n_shingles"))
     out = rows.join(comp, rows.id == comp.v, "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
     nameless = _sets(base.where("id is null"), words).select(F.col("id").alias(id_col), F.size("shingles").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
