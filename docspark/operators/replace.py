@@ -14,13 +14,17 @@ def interval_overlaps(ranges: DataFrame, keys: list[str]) -> DataFrame:
     return ranges.withColumn("overlaps", F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False)))
 
 
-def match_ownership(matches: DataFrame, runs: DataFrame, key: str = "doc_id") -> DataFrame:
+def match_ownership(matches: DataFrame, runs: DataFrame, key: str = "doc_id", bucket: int = 256) -> DataFrame:
     """Each match with the run that holds it and, if it cannot be edited, why: Unmapped, CrossObject or Ineligible in that order.
 
-    runs: key, run, run_start, run_stop, supported.
+    runs: key, run, run_start, run_stop, supported. The join is on stretches of `bucket` characters, so that in a long text
+    only runs near a match meet it.
     """
-    j = matches.join(runs, (matches[key] == runs[key]) & (matches.start < runs.run_stop) & (matches.stop > runs.run_start), "left").drop(runs[key])
-    g = j.groupBy(key, "start", "stop").agg(F.count("run").alias("n_runs"), F.min("run").alias("run"), F.coalesce(F.bool_and("supported"), F.lit(False)).alias("supported"))
+    stretch = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.greatest(F.col(a), F.col(b) - 1) / bucket)))
+    m = matches.select(key, "start", "stop").distinct().withColumn("at", stretch("start", "stop"))
+    r = runs.select(F.col(key).alias("run_key"), "run", "run_start", "run_stop", "supported").withColumn("run_at", stretch("run_start", "run_stop"))
+    j = m.join(r, (F.col(key) == F.col("run_key")) & (F.col("at") == F.col("run_at")) & (F.col("start") < F.col("run_stop")) & (F.col("stop") > F.col("run_start")), "left")
+    g = j.groupBy(key, "start", "stop").agg(F.count_distinct("run").alias("n_runs"), F.min("run").alias("run"), F.coalesce(F.bool_and("supported"), F.lit(False)).alias("supported"))
     reason = F.when(F.col("n_runs") == 0, "Unmapped").when(F.col("n_runs") > 1, "CrossObject").when(~F.col("supported"), "Ineligible")
     return g.withColumn("blocker", reason)
 
@@ -72,8 +76,30 @@ def affected_pages(edits: DataFrame, keys: list[str]) -> DataFrame:
 
 def validate_batch(edits: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
     """Edits whose path begins with another edit's path on the same page."""
-    other = edits.select(*keys, F.col(path).alias("outer_path")).distinct()
-    return edits.join(other, keys).where(F.size(path) > F.size("outer_path")).where(F.slice(F.col(path), F.lit(1), F.size("outer_path")) == F.col("outer_path")).select(*edits.columns).distinct()
+    whole = edits.select(*keys, F.col(path).alias("outer_path")).distinct()
+    inner = edits.where(F.size(path) > 1)
+    outer = inner.withColumn("outer_path", F.explode(F.transform(F.sequence(F.lit(1), F.size(path) - 1), lambda i: F.slice(path, F.lit(1), i))))
+    return outer.join(whole, [*keys, "outer_path"], "left_semi").select(*edits.columns).distinct()
+
+
+def apply_workspace_result(plan: DataFrame, overlays: DataFrame, page_patches: DataFrame, overlay_patches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(plan, overlays) after a replacement: patched pages point to their new source page, patched overlays take the new text.
+
+    page_patches: page_id, new_source_id, new_page_index. overlay_patches: doc_id, line_no, new_text, null deleting the overlay.
+    """
+    p = plan.join(page_patches, "page_id", "left")
+    p = p.select(*[F.coalesce(f"new_{c}", c).alias(c) if c in ("source_id", "page_index") else F.col(c) for c in plan.columns])
+    o = overlays.join(overlay_patches.withColumn("patched", F.lit(True)), ["doc_id", "line_no"], "left").where("patched is null or new_text is not null")
+    return p, o.select("doc_id", "line_no", F.coalesce("new_text", "text").alias("text"))
+
+
+def plan_workspace_replacement(plan: DataFrame, native: DataFrame, added: DataFrame) -> DataFrame:
+    """Matches of page text (source_id, page_index, start) and of added text (page_id, start) at every place of a plan, numbered
+    together for each page: workspace_id, page_id, scope, start, ordinal."""
+    n = plan.join(native, ["source_id", "page_index"]).select("workspace_id", "page_id", F.lit("page").alias("scope"), "start")
+    o = plan.select("workspace_id", "page_id").join(added, "page_id").select("workspace_id", "page_id", F.lit("overlay").alias("scope"), "start")
+    by = Window.partitionBy("workspace_id", "page_id").orderBy(F.desc("scope"), "start")
+    return n.unionByName(o).withColumn("ordinal", (F.row_number().over(by) - 1).cast("long"))
 
 
 def overlay_replacement(overlays: DataFrame, needle: str, replacement: str, text: str = "text") -> DataFrame:

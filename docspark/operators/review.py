@@ -63,14 +63,30 @@ def propagate_shared_fields(fields: DataFrame, accepted: DataFrame, doc: str, na
 
 
 def effective_names(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
-    """Dotted full names from (doc_id, node_id, parent_id, name), and whether one repeats in its document."""
+    """Dotted full names from (doc_id, node_id, parent_id, name), and whether one repeats in its document.
+
+    Each round puts the ancestor's name so far before one's own and goes on from that ancestor's ancestor, so that a depth of
+    n needs about log n joins.
+    """
     names = nodes.select("doc_id", "node_id", F.col("parent_id").alias("up"), F.col("name").alias("full_name"))
-    parents = nodes.select("doc_id", F.col("node_id").alias("up"), F.col("parent_id").alias("next"), F.col("name").alias("upper"))
-    for _ in range(max_depth):
-        names = names.join(parents, ["doc_id", "up"], "left").select("doc_id", "node_id", F.col("next").alias("up"), F.when(F.col("upper").isNull(), F.col("full_name")).otherwise(F.concat_ws(".", "upper", "full_name")).alias("full_name"))
+    for _ in range(max(1, (max_depth - 1).bit_length())):
+        above = names.select("doc_id", F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("full_name").alias("upper"))
+        names = names.join(above, ["doc_id", "up"], "left").select("doc_id", "node_id", F.col("next").alias("up"), F.concat_ws(".", "upper", "full_name").alias("full_name"))
     return names.drop("up").withColumn("repeats", F.count("*").over(Window.partitionBy("doc_id", "full_name")) > 1)
 
 
+def resolve_choices(fields: DataFrame) -> DataFrame:
+    """The options that requested rows of a choice field pick: fields (options, rows, multiple) with picked and reason.
+
+    Rows must rise strictly, lie in range, and be at most one unless the field takes several.
+    """
+    rising = F.array_sort(F.array_distinct("rows")) == F.col("rows")
+    inside = F.forall("rows", lambda i: (i >= 0) & (i < F.size("options")))
+    reason = F.when(~rising, "order").when(~inside, "range").when((F.size("rows") > 1) & ~F.col("multiple"), "several")
+    f = fields.withColumn("reason", reason)
+    return f.withColumn("picked", F.when(F.col("reason").isNull(), F.transform("rows", lambda i: F.get("options", i))))
+
+
 def field_removal_impact(fields: DataFrame, doc: str, name: str, page: str) -> DataFrame:
     """Widgets and pages that go with each field."""
     return fields.groupBy(doc, name).agg(F.count("*").alias("widgets"), F.array_join(F.array_sort(F.collect_set(page)), ",").alias("pages"))

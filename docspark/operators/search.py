@@ -51,10 +51,10 @@ def search_count(pages: DataFrame, query: str, opts: Options = Options(), text:
     return pages.withColumn("n_matches", F.regexp_count(F.col(text), F.lit(pattern(query, opts))).cast("long")).withColumn("has_text", F.length(collapse_whitespace(F.col(text))) > 0)
 
 
-def search_matches(pages: DataFrame, query: str, opts: Options = Options(), text: str = "text") -> DataFrame:
+def search_matches(pages: DataFrame, query: str, opts: Options = Options(), text: str = "text", edges: str = "") -> DataFrame:
     """One row per match that does not overlap an earlier one: the page's other columns, ordinal, start, stop (code points), matched."""
-    p = F.lit(f"({pattern(query, opts)})")
-    found, gaps = F.regexp_extract_all(F.col(text), p, F.lit(1)), F.split(F.col(text), pattern(query, opts), -1)
+    body = f"{edges}{pattern(query, opts)}{edges}"
+    found, gaps = F.regexp_extract_all(F.col(text), F.lit(f"({body})"), F.lit(1)), F.split(F.col(text), body, -1)
     keys = [c for c in pages.columns if c != text]
     rows = pages.select(*keys, found.alias("found"), gaps.alias("gaps")).where(F.size("found") > 0)
     starts = F.aggregate(
@@ -121,3 +121,8 @@ def match_rects(matches: DataFrame, keys: list[str], line_starts: DataFrame, cel
     left = F.greatest("start", "line_start") - F.col("line_start")
     width = F.least("stop", "line_stop") - F.greatest("start", "line_start")
     return j.select(*keys, "ordinal", "line", (left * cell_w).alias("x"), (F.col("line") * cell_h).alias("y"), (width * cell_w).alias("width"), F.lit(cell_h).alias("height"))
+
+
+def find_in_paragraph(paragraphs: DataFrame, query: str, opts: Options = Options(), text: str = "text") -> DataFrame:
+    """search_matches whose ends fall between grapheme clusters: a letter is not found without the marks that follow it."""
+    return search_matches(paragraphs, query, opts, text, edges=r"\b{g}")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docspark.functions import text as T
-from docspark.operators import assemble, history, outline, pages, redact, replace, review, search
+from docspark.operators import assemble, history, layout, outline, pages, recognised, redact, replace, review, search
 from docspark.plans import bindings as B
 from docspark.plans.bindings import LOG, OUTLINE, PAGES, PLAN, RUNS, read
 
@@ -50,13 +51,13 @@ def a5_select_pages(s, d):
 
 
 @query("""SELECT coalesce(a.doc_id, m.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'missing' WHEN m.doc_id IS NULL THEN 'unexpected' WHEN a.sha256 <> m.sha256 THEN 'digest' WHEN a.pages <> m.pages THEN 'pages' ELSE 'ok' END AS status
-    FROM (SELECT doc_id, sha256(text) AS sha256, length(text) - length(replace(text, chr(10), '')) AS pages FROM documents WHERE doc_id % 11 <> 3) a
-    FULL JOIN (SELECT doc_id, sha256(CASE WHEN doc_id % 13 = 5 THEN upper(text) ELSE text END) AS sha256, length(text) - length(replace(text, chr(10), '')) + CAST(doc_id % 17 = 2 AS INT) AS pages FROM documents WHERE doc_id % 7 <> 4) m USING (doc_id)""")
+    FROM (SELECT doc_id, sha256(text) AS sha256, length(text) - length(replace(text, chr(10), '')) AS pages FROM documents) a
+    FULL JOIN (SELECT doc_id, sha256(CASE WHEN doc_id % 13 = 5 THEN upper(text) ELSE text END) AS sha256, length(text) - length(replace(text, chr(10), '')) + CAST(doc_id % 17 = 2 AS INT) AS pages FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) m USING (doc_id)""")
 def a6_verify_manifest(s, d):
     docs = read(s, d, "documents")
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    actual = docs.where("doc_id % 11 <> 3").select("doc_id", F.sha2("text", 256).alias("sha256"), lines.alias("pages"))
-    manifest = docs.where("doc_id % 7 <> 4").select("doc_id", F.sha2(F.when(F.col("doc_id") % 13 == 5, F.upper("text")).otherwise(F.col("text")), 256).alias("sha256"), (lines + (F.col("doc_id") % 17 == 2).cast("int")).alias("pages"))
+    actual = docs.select("doc_id", F.sha2("text", 256).alias("sha256"), lines.alias("pages"))
+    manifest = docs.join(read(s, d, "labels"), "doc_id", "left_semi").select("doc_id", F.sha2(F.when(F.col("doc_id") % 13 == 5, F.upper("text")).otherwise(F.col("text")), 256).alias("sha256"), (lines + (F.col("doc_id") % 17 == 2).cast("int")).alias("pages"))
     return assemble.verify_manifest(actual, manifest)
 
 
@@ -143,10 +144,15 @@ def c4_search_limit(s, d):
     return search.search_limit(search.search_matches(B.pages(s, d), "the"), ["doc_id", "page_index"], 3).select("doc_id", "page_index", "ordinal", "start", "truncated")
 
 
-@query(f"WITH {PAGES}, {THE} SELECT doc_id, 'page' AS scope, start, doc_id || ':' || page_index || ':page:' || start AS match_id FROM matches WHERE page_index = 0 UNION ALL SELECT doc_id, 'overlay', start, doc_id || ':' || page_index || ':overlay:' || start FROM matches WHERE page_index = 1")
+def _the(name, src, keys):
+    """SQL of the matches of "the" in src.text."""
+    return f"{name} AS (SELECT {keys}, CAST(k - 1 AS BIGINT) AS ordinal, CAST(list_sum(list_transform(g[1:k], lambda x: length(x))) + 3 * (k - 1) AS BIGINT) AS start FROM (SELECT {keys}, generate_subscripts(g, 1) AS k, g FROM (SELECT {keys}, string_split(lower(text), 'the') AS g FROM {src}) WHERE len(g) > 1) WHERE k < len(g))"
+
+
+@query(f"WITH {PAGES}, {THE}, {_the('added', 'conversations', 'conv_id, turn')} SELECT doc_id, 'page' AS scope, start, doc_id || ':' || page_index || ':page:' || start AS match_id FROM matches UNION ALL SELECT conv_id, 'overlay', start, conv_id || ':' || turn || ':overlay:' || start FROM added")
 def c8_search_union(s, d):
-    m = search.search_matches(B.pages(s, d).where("page_index < 2"), "the")
-    return search.search_union(m.where("page_index = 0"), m.where("page_index = 1"), ["doc_id", "page_index"]).select("doc_id", "scope", "start", "match_id")
+    added = read(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("long").alias("page_index"), "text")
+    return search.search_union(search.search_matches(B.pages(s, d), "the"), search.search_matches(added, "the"), ["doc_id", "page_index"]).select("doc_id", "scope", "start", "match_id")
 
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))")
@@ -154,11 +160,11 @@ def c9_search_many(s, d):
     return search.search_many(read(s, d, "documents"), read(s, d, "benchmark"))
 
 
-@query(f"""WITH {PAGES}, {THE}, first AS (SELECT doc_id, start, n_chars // 2 AS cursor FROM matches JOIN documents USING (doc_id) WHERE page_index = 0)
-    SELECT doc_id, cursor, coalesce(min(start) FILTER (WHERE start >= cursor), min(start)) AS next_start, coalesce(max(start) FILTER (WHERE start < cursor), max(start)) AS prev_start FROM first GROUP BY ALL""")
+@query(f"""WITH {_the('found', 'documents', 'doc_id')}, placed AS (SELECT doc_id, start, n_chars // 2 AS cursor FROM found JOIN documents USING (doc_id))
+    SELECT doc_id, cursor, coalesce(min(start) FILTER (WHERE start >= cursor), min(start)) AS next_start, coalesce(max(start) FILTER (WHERE start < cursor), max(start)) AS prev_start FROM placed GROUP BY ALL""")
 def c10_next_prev_match(s, d):
-    m = search.search_matches(B.pages(s, d).where("page_index = 0"), "the")
-    return search.next_prev_match(m, read(s, d, "documents").select("doc_id", F.floor(F.col("n_chars") / 2).alias("cursor")))
+    docs = read(s, d, "documents")
+    return search.next_prev_match(search.search_matches(docs.select("doc_id", "text"), "the"), docs.select("doc_id", F.floor(F.col("n_chars") / 2).alias("cursor")))
 
 
 @query(f"""WITH {PAGES}, {THE} SELECT doc_id, page_index, start, CASE WHEN coalesce(toxic <> 1, true) THEN substr(text, CAST(start + 1 AS INT), 3) END AS matched FROM matches JOIN doc_pages USING (doc_id, page_index) LEFT JOIN labels USING (doc_id)""")
@@ -219,11 +225,11 @@ def d6_overlay_replacement(s, d):
     return replace.overlay_replacement(B.runs(s, d), " ", "").select("doc_id", "line_no", "text")
 
 
-WORDS = f"{RUNS}, words AS (SELECT doc_id, line_no, CAST(generate_subscripts(w, 1) - 1 AS BIGINT) AS k, unnest(w) AS text FROM (SELECT doc_id, line_no, string_split(text, ' ') AS w FROM runs WHERE line_no = 0))"
+WORDS = f"{RUNS}, words AS (SELECT doc_id, line_no, CAST(generate_subscripts(w, 1) - 1 AS BIGINT) AS k, unnest(w) AS text FROM (SELECT doc_id, line_no, string_split(text, ' ') AS w FROM runs))"
 
 
 def _words(s, d):
-    w = B.runs(s, d).where("line_no = 0").select("doc_id", "line_no", F.posexplode(F.split("text", " ")).alias("k", "text"))
+    w = B.runs(s, d).select("doc_id", "line_no", F.posexplode(F.split("text", " ")).alias("k", "text"))
     return w.withColumn("k", F.col("k").cast("long"))
 
 
@@ -239,19 +245,19 @@ def e8_ocr_review(s, d):
     return assemble.ocr_review(w)
 
 
-@query(f"""WITH {WORDS} SELECT doc_id, k, CASE WHEN length(trim(text)) = 0 THEN 'empty' WHEN (length(text) * 13) % 110 > 100 THEN 'confidence' WHEN k * 60 + 48 > 900 THEN 'outside' END AS reason FROM words""")
+@query(f"""WITH {WORDS} SELECT doc_id, line_no, k, CASE WHEN length(trim(text)) = 0 THEN 'empty' WHEN (length(text) * 13) % 110 > 100 THEN 'confidence' WHEN k * 60 + 48 > 900 THEN 'outside' END AS reason FROM words""")
 def e4_ocr_validate(s, d):
-    w = _words(s, d).select("doc_id", "k", "text", (F.length("text") * 13 % 110).alias("confidence"), (F.col("k") * 60).alias("x"), F.lit(0).alias("y"), F.lit(48).alias("width"), F.lit(10).alias("height"))
-    return assemble.ocr_validate(w, 900, 100).select("doc_id", "k", "reason")
+    w = _words(s, d).select("doc_id", "line_no", "k", "text", (F.length("text") * 13 % 110).alias("confidence"), (F.col("k") * 60).alias("x"), F.lit(0).alias("y"), F.lit(48).alias("width"), F.lit(10).alias("height"))
+    return assemble.ocr_validate(w, 900, 100).select("doc_id", "line_no", "k", "reason")
 
 
-@query(f"""WITH {WORDS}, a AS (SELECT doc_id, k, (k * 37) % 500 AS x, (k * 53) % 300 AS y FROM words WHERE k % 2 = 0), b AS (SELECT doc_id, (k * 41) % 500 AS x, (k * 29) % 300 AS y FROM words WHERE k % 2 = 1)
-    SELECT doc_id, k FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.doc_id = b.doc_id AND ((a.x + 10 BETWEEN b.x - 0.5 AND b.x + 15.5 AND a.y + 5 BETWEEN b.y - 0.5 AND b.y + 8.5) OR (b.x + 7.5 BETWEEN a.x - 0.5 AND a.x + 20.5 AND b.y + 4 BETWEEN a.y - 0.5 AND a.y + 10.5)))""")
+@query(f"""WITH {WORDS}, a AS (SELECT doc_id, line_no, k, (k * 37) % 500 AS x, (k * 53) % 300 AS y FROM words WHERE k % 2 = 0), b AS (SELECT doc_id, line_no, (k * 41) % 500 AS x, (k * 29) % 300 AS y FROM words WHERE k % 2 = 1)
+    SELECT doc_id, line_no, k FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.doc_id = b.doc_id AND a.line_no = b.line_no AND ((a.x + 10 BETWEEN b.x - 0.5 AND b.x + 15.5 AND a.y + 5 BETWEEN b.y - 0.5 AND b.y + 8.5) OR (b.x + 7.5 BETWEEN a.x - 0.5 AND a.x + 20.5 AND b.y + 4 BETWEEN a.y - 0.5 AND a.y + 10.5)))""")
 def e5_ocr_exclude_existing(s, d):
     w = _words(s, d)
-    a = w.where("k % 2 = 0").select("doc_id", "k", F.concat_ws("/", "doc_id", "k").alias("word_id"), (F.col("k") * 37 % 500).alias("x"), (F.col("k") * 53 % 300).alias("y"), F.lit(20).alias("width"), F.lit(10).alias("height"))
-    b = w.where("k % 2 = 1").select("doc_id", (F.col("k") * 41 % 500).alias("x"), (F.col("k") * 29 % 300).alias("y"), F.lit(15).alias("width"), F.lit(8).alias("height"))
-    return assemble.ocr_exclude_existing(a, b, ["doc_id"]).select("doc_id", "k")
+    a = w.where("k % 2 = 0").select("doc_id", "line_no", "k", F.concat_ws("/", "doc_id", "line_no", "k").alias("word_id"), (F.col("k") * 37 % 500).alias("x"), (F.col("k") * 53 % 300).alias("y"), F.lit(20).alias("width"), F.lit(10).alias("height"))
+    b = w.where("k % 2 = 1").select("doc_id", "line_no", (F.col("k") * 41 % 500).alias("x"), (F.col("k") * 29 % 300).alias("y"), F.lit(15).alias("width"), F.lit(8).alias("height"))
+    return assemble.ocr_exclude_existing(a, b, ["doc_id", "line_no"]).select("doc_id", "line_no", "k")
 
 
 @query(f"WITH {PLAN} SELECT source_id, page_index, count(*) AS occurrences, array_to_string(list_sort(list(workspace_id || '/' || pos)), ',') AS places FROM plan GROUP BY 1, 2")
@@ -485,10 +491,10 @@ def i9_field_removal_impact(s, d):
 
 
 @query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.lang, b.lang) AS lang, coalesce(a.source, b.source) AS source, concat_ws(',', CASE WHEN a.lang <> b.lang THEN 'lang' END, CASE WHEN a.source <> b.source THEN 'source' END) AS conflicts
-    FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang END AS lang, source FROM documents WHERE doc_id % 4 <> 1) a FULL JOIN (SELECT doc_id, 'en' AS lang, CASE WHEN doc_id % 5 = 0 THEN 'other' ELSE source END AS source FROM documents) b USING (doc_id)""")
+    FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang END AS lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) a FULL JOIN (SELECT doc_id, 'en' AS lang, CASE WHEN doc_id % 5 = 0 THEN 'other' ELSE source END AS source FROM documents) b USING (doc_id)""")
 def i11_metadata_merge(s, d):
     docs = read(s, d, "documents")
-    a = docs.where("doc_id % 4 <> 1").select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("lang"), "source")
+    a = docs.join(read(s, d, "labels"), "doc_id", "left_semi").select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("lang"), "source")
     b = docs.select("doc_id", F.lit("en").alias("lang"), F.when(F.col("doc_id") % 5 == 0, "other").otherwise(F.col("source")).alias("source"))
     return review.metadata_merge(a, b, "doc_id", ["lang", "source"])
 
@@ -505,18 +511,18 @@ def i13_metadata_of_composition(s, d):
     return review.metadata_of_composition(B.plan(s, d), read(s, d, "part").withColumnRenamed("p_partkey", "source_id"), ["p_name"])
 
 
-CHARS = f"{RUNS}, chars AS (SELECT doc_id, line_no AS page_index, CAST(i AS BIGINT) AS char_index, substr(text, i + 1, 1) AS text, i * 6 AS x FROM (SELECT *, CAST(unnest(range(0, length(text))) AS INT) AS i FROM runs WHERE line_no < 2))"
+CHARS = f"{RUNS}, chars AS (SELECT doc_id, line_no AS page_index, CAST(i AS BIGINT) AS char_index, substr(text, i + 1, 1) AS text, i * 6 AS x FROM (SELECT *, CAST(unnest(range(0, length(text))) AS INT) AS i FROM runs))"
 HIT = "hits AS (SELECT * FROM chars WHERE (x < 90 AND x + 6 > 50) OR (x < 300 AND x + 6 > 207))"
 
 
 def _chars(s, d):
-    r = B.runs(s, d).where("line_no < 2")
+    r = B.runs(s, d)
     c = r.select("doc_id", F.col("line_no").alias("page_index"), F.posexplode(F.split("text", "")).alias("char_index", "text")).where(F.length("text") > 0)
     return c.select("doc_id", "page_index", F.col("char_index").cast("long").alias("char_index"), "text", (F.col("char_index") * 6).alias("x"), F.lit(0).alias("y"), F.lit(6).alias("width"), F.lit(12).alias("height"))
 
 
 def _marks(s, d):
-    r = B.runs(s, d).where("line_no < 2").select("doc_id", F.col("line_no").alias("page_index"))
+    r = B.runs(s, d).select("doc_id", F.col("line_no").alias("page_index"))
     return r.select("*", F.explode(F.array(*[F.struct(F.lit(a).alias("mx"), F.lit(2).alias("my"), F.lit(w).alias("mw"), F.lit(5).alias("mh")) for a, w in ((50, 40), (207, 93))])).alias("m")).select("doc_id", "page_index", "m.*")
 
 
@@ -542,14 +548,14 @@ def j3_area_ranges(s, d):
     return redact.area_ranges(_chars(s, d), _marks(s, d))
 
 
-@query(f"WITH {CHARS}, {HIT} SELECT doc_id, line_no AS page_index, coalesce((SELECT string_agg(c.text, '' ORDER BY c.char_index) FROM chars c WHERE c.doc_id = r.doc_id AND c.page_index = r.line_no AND NOT ((c.x < 90 AND c.x + 6 > 50) OR (c.x < 300 AND c.x + 6 > 207))), '') AS text, (SELECT count(*) FROM hits h WHERE h.doc_id = r.doc_id AND h.page_index = r.line_no) AS removed FROM runs r WHERE line_no < 2")
+@query(f"WITH {CHARS}, {HIT} SELECT doc_id, line_no AS page_index, coalesce((SELECT string_agg(c.text, '' ORDER BY c.char_index) FROM chars c WHERE c.doc_id = r.doc_id AND c.page_index = r.line_no AND NOT ((c.x < 90 AND c.x + 6 > 50) OR (c.x < 300 AND c.x + 6 > 207))), '') AS text, (SELECT count(*) FROM hits h WHERE h.doc_id = r.doc_id AND h.page_index = r.line_no) AS removed FROM runs r")
 def j4_apply_redaction(s, d):
-    return redact.apply_redaction(B.runs(s, d).where("line_no < 2").withColumnRenamed("line_no", "page_index"), _ranges(s, d))
+    return redact.apply_redaction(B.runs(s, d).withColumnRenamed("line_no", "page_index"), _ranges(s, d))
 
 
-@query(f"WITH {RUNS} SELECT doc_id, line_no AS page_index, true AS exact FROM runs WHERE line_no < 2")
+@query(f"WITH {RUNS} SELECT doc_id, line_no AS page_index, true AS exact FROM runs")
 def j5_redaction_audit(s, d):
-    before = B.runs(s, d).where("line_no < 2").withColumnRenamed("line_no", "page_index")
+    before = B.runs(s, d).withColumnRenamed("line_no", "page_index")
     return redact.redaction_audit(before, redact.apply_redaction(before, _ranges(s, d)), _ranges(s, d))
 
 
@@ -610,3 +616,237 @@ def k10_block_dedup_report(s, d):
 @query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(min(value), 6) AS least, round(max(value), 6) AS largest, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 def k11_benchmark_summary(s, d):
     return history.benchmark_summary(read(s, d, "events"), ["event_type"], "value")
+
+
+PAGE_LINES = "page_lines AS (SELECT doc_id, line_no // 4 AS page_index, line_no % 4 AS line, text, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, line_no // 4 ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_start FROM runs)"
+RECTS = f"{PAGE_LINES}, rects AS (SELECT doc_id, page_index, ordinal, line, (greatest(start, line_start) - line_start) * 6.0::DOUBLE AS x, line * 12.0::DOUBLE AS y, (least(start + 3, line_start + length(l.text)) - greatest(start, line_start)) * 6.0::DOUBLE AS width, 12.0::DOUBLE AS height FROM matches m JOIN page_lines l USING (doc_id, page_index) WHERE start < line_start + length(l.text) AND start + 3 > line_start)"
+
+
+def _page_lines(s, d):
+    r = B.runs(s, d).select("doc_id", F.floor(F.col("line_no") / 4).alias("page_index"), (F.col("line_no") % 4).alias("line"), "text")
+    by = Window.partitionBy("doc_id", "page_index").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("line_start", F.coalesce(F.sum(F.length("text") + 1).over(by), F.lit(0)).cast("long"))
+    return r.withColumn("line_stop", F.col("line_start") + F.length("text"))
+
+
+def _rects(s, d):
+    return search.match_rects(search.search_matches(B.pages(s, d), "the"), ["doc_id", "page_index"], _page_lines(s, d).drop("text"))
+
+
+@query(f"WITH {PAGES}, {THE}, {RECTS} SELECT * FROM rects")
+def c5_match_rects(s, d):
+    return _rects(s, d)
+
+
+@query(f"""WITH {CHARS}, sel AS (SELECT * FROM chars WHERE text NOT IN ('a', 'e', 'i')), g AS (SELECT *, char_index - row_number() OVER (PARTITION BY doc_id, page_index ORDER BY char_index) AS k, coalesce(x - lag(x) OVER (PARTITION BY doc_id, page_index ORDER BY char_index) - 6 > 12, true) AS new FROM sel),
+    i AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id, page_index ORDER BY char_index) AS island FROM g WHERE text <> chr(13)) SELECT doc_id, page_index, min(x) AS x, 0 AS y, max(x) + 6 - min(x) AS width, 12 AS height FROM i GROUP BY doc_id, page_index, island""")
+def c6_highlight_rects(s, d):
+    return layout.highlight_rects(_chars(s, d).where(~F.col("text").isin("a", "e", "i")))
+
+
+@query(f"WITH {PAGES}, {THE}, {RECTS} SELECT doc_id, page_index, ordinal, greatest(x, 60.0) AS x, greatest(y, 6.0) AS y, least(x + width, 360.0) - greatest(x, 60.0) AS width, least(y + height, 40.0) - greatest(y, 6.0) AS height FROM rects WHERE x < 360 AND x + width > 60 AND y < 40 AND y + height > 6")
+def c7_search_visible(s, d):
+    return layout.search_visible(_rects(s, d), ["doc_id", "page_index"], (60.0, 6.0, 300.0, 34.0))
+
+
+@query(f"WITH {RUNS}, {_the('found', 'runs', 'doc_id, line_no')} SELECT doc_id, line_no, ordinal, start, start + 3 AS stop FROM found")
+def c11_find_in_paragraph(s, d):
+    return search.find_in_paragraph(B.runs(s, d), "the").drop("matched")
+
+
+@query(f"""WITH {RUNS}, {RUN_STARTS}, {_the('found', 'documents', 'doc_id')}, m AS (SELECT doc_id, start, start + 9 AS stop FROM found),
+    j AS (SELECT m.doc_id, start, stop, count(line_no) AS n_runs, min(line_no) AS run, coalesce(bool_and(line_no % 3 <> 0), false) AS supported FROM m LEFT JOIN run_spans r ON m.doc_id = r.doc_id AND start < run_start + length(text) AND stop > run_start GROUP BY ALL)
+    SELECT *, CASE WHEN n_runs = 0 THEN 'Unmapped' WHEN n_runs > 1 THEN 'CrossObject' WHEN NOT supported THEN 'Ineligible' END AS blocker FROM j""")
+def d1_match_ownership(s, d):
+    m = search.search_matches(read(s, d, "documents").select("doc_id", "text"), "the").select("doc_id", "start", (F.col("start") + 9).alias("stop"))
+    by = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    r = B.runs(s, d).withColumn("run_start", F.coalesce(F.sum(F.length("text") + 1).over(by), F.lit(0)).cast("long"))
+    r = r.select("doc_id", F.col("line_no").alias("run"), "run_start", (F.col("run_start") + F.length("text")).alias("run_stop"), (F.col("line_no") % 3 != 0).alias("supported"))
+    return replace.match_ownership(m, r)
+
+
+@query(f"""WITH {PLAN}, part_names AS (SELECT p_partkey, p_name AS text FROM part), {_the('native', 'benchmark', 'item_id')}, {_the('added', 'part_names', 'p_partkey')},
+    u AS (SELECT workspace_id, page_id, 'page' AS scope, start FROM plan JOIN native ON source_id % 50 = item_id UNION ALL SELECT workspace_id, page_id, 'overlay', start FROM plan JOIN added ON source_id = p_partkey)
+    SELECT *, row_number() OVER (PARTITION BY workspace_id, page_id ORDER BY scope DESC, start) - 1 AS ordinal FROM u""")
+def d5_plan_workspace_replacement(s, d):
+    p = B.plan(s, d)
+    native = search.search_matches(read(s, d, "benchmark").select("item_id", "text"), "the").select("item_id", "start")
+    sources = p.select("source_id", "page_index").distinct()
+    native = sources.join(native, F.col("source_id") % 50 == F.col("item_id")).select("source_id", "page_index", "start")
+    added = search.search_matches(read(s, d, "part").select("p_partkey", F.col("p_name").alias("text")), "the").select(F.col("p_partkey").alias("source_id"), "start")
+    return replace.plan_workspace_replacement(p, native, p.join(added, "source_id").select("page_id", "start"))
+
+
+@query(f"WITH {RUNS} SELECT doc_id, line_no FROM runs a WHERE EXISTS (SELECT 1 FROM runs b WHERE a.doc_id = b.doc_id AND b.line_no <> a.line_no AND (b.line_no = a.line_no // 10 OR b.line_no = a.line_no // 100 OR b.line_no = a.line_no // 1000 OR b.line_no = a.line_no // 10000) AND starts_with(CAST(a.line_no AS VARCHAR), CAST(b.line_no AS VARCHAR)))")
+def d7_validate_batch(s, d):
+    e = B.runs(s, d).select("doc_id", "line_no", F.split(F.col("line_no").cast("string"), "").alias("path"))
+    return replace.validate_batch(e, ["doc_id"]).select("doc_id", "line_no")
+
+
+def _patched(s, d):
+    p, o = B.plan(s, d), B.runs(s, d)
+    pages_ = p.where("pos % 2 = 1").select("page_id", (F.col("source_id") + 1).alias("new_source_id"), F.lit(0).cast("long").alias("new_page_index"))
+    texts = o.where(F.length("text") % 3 == 0).select("doc_id", "line_no", F.when(F.length("text") % 2 == 0, F.concat("text", F.lit("!"))).alias("new_text"))
+    return replace.apply_workspace_result(p, o, pages_, texts)
+
+
+@query(f"WITH {PLAN} SELECT workspace_id, pos, page_id, CASE WHEN pos % 2 = 1 THEN source_id + 1 ELSE source_id END AS source_id, CASE WHEN pos % 2 = 1 THEN 0 ELSE page_index END AS page_index, rotation FROM plan")
+def d11_apply_workspace_result(s, d):
+    return _patched(s, d)[0]
+
+
+@query(f"WITH {RUNS} SELECT doc_id, line_no, CASE WHEN length(text) % 3 = 0 THEN text || '!' ELSE text END AS text FROM runs WHERE length(text) % 3 <> 0 OR length(text) % 2 = 0")
+def d11_overlays(s, d):
+    return _patched(s, d)[1]
+
+
+@query(f"""WITH {CHARS} SELECT doc_id, page_index, regexp_replace(regexp_replace(t, '^[\\s\\x{{FFFF}}]+|[\\s\\x{{FFFF}}]+$', '', 'g'), '\\s*\\x{{FFFF}}[\\s\\x{{FFFF}}]*', chr(10), 'g') AS text
+    FROM (SELECT doc_id, page_index, string_agg(CASE WHEN regexp_full_match(text, '\\s*') OR x % 420 < 300 THEN text ELSE chr(65535) END, '' ORDER BY char_index) AS t FROM chars GROUP BY 1, 2)""")
+def e1_page_text(s, d):
+    return recognised.page_text(_chars(s, d).withColumn("x", F.col("x") % 420), 300, 800)
+
+
+@query("""SELECT c_custkey AS doc_id, '[Form fields]' || chr(10) || 'Name: ' || c_name || chr(10) || 'c_nationkey: ' || c_nationkey || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || 'Unnamed field: ' || c_mktsegment ELSE '' END AS text, 1 AS skipped_fields FROM customer""")
+def e2_form_values_text(s, d):
+    field = lambda pos, label, name, kind, value, checked: F.struct(F.lit(pos).alias("pos"), F.lit(label).cast("string").alias("label"), F.lit(name).alias("name"), F.lit(kind).alias("kind"), value.cast("string").alias("value"), checked.alias("checked"))
+    f = F.array(
+        field(0, "Name", "c_name", "text", F.col("c_name"), F.lit(None).cast("boolean")), field(1, " ", "c_nationkey", "choice", F.col("c_nationkey"), F.lit(None).cast("boolean")),
+        field(2, None, "", "radio", F.col("c_mktsegment"), F.col("c_custkey") % 2 == 0), field(3, "Pin", "pin", "password", F.col("c_custkey"), F.lit(None).cast("boolean")),
+    )
+    return recognised.form_values_text(read(s, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.inline(f)))
+
+
+def _ocr(s, d):
+    return B.pages(s, d).select("doc_id", "page_index", F.transform(F.split("text", "\n"), lambda x: F.split(x, " ")).alias("lines"))
+
+
+@query(f"WITH {WORDS} SELECT doc_id, line_no // 4 AS page_index, line_no % 4 AS line, k AS word, text FROM words")
+def e3_ocr_flatten(s, d):
+    return recognised.ocr_flatten(_ocr(s, d))
+
+
+@query(f"WITH {PAGES} SELECT doc_id, page_index, CASE WHEN page_index % 2 = 0 THEN 'page ' || page_index || chr(10) ELSE '' END || text AS text FROM doc_pages")
+def e6_ocr_reading_text(s, d):
+    native = B.pages(s, d).where("page_index % 2 = 0").select("doc_id", "page_index", F.concat(F.lit("page "), F.col("page_index").cast("string")).alias("text"))
+    return recognised.ocr_reading_text(recognised.ocr_flatten(_ocr(s, d)), native)
+
+
+FONTS = {"latin": [(9, 10), (13, 13), (32, 126), (160, 255)], "extended": [(9, 13), (32, 591)], "greek": [(32, 64), (880, 1023)]}
+
+
+@query(f"""WITH p AS (SELECT DISTINCT doc_id, unicode(c) AS p FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents WHERE text IS NOT NULL) WHERE c <> ''), f AS (SELECT unnest(['latin', 'extended', 'greek']) AS font),
+    m AS (SELECT doc_id, font, p FROM p, f WHERE NOT CASE font WHEN 'latin' THEN p BETWEEN 9 AND 10 OR p = 13 OR p BETWEEN 32 AND 126 OR p BETWEEN 160 AND 255 WHEN 'extended' THEN p BETWEEN 9 AND 13 OR p BETWEEN 32 AND 591 ELSE p BETWEEN 32 AND 64 OR p BETWEEN 880 AND 1023 END)
+    SELECT doc_id, font, count(p) AS n_missing, coalesce(string_agg(p, ',' ORDER BY p), '') AS missing FROM (SELECT doc_id, font FROM documents, f WHERE text IS NOT NULL) LEFT JOIN m USING (doc_id, font) GROUP BY 1, 2""")
+def e10_font_coverage(s, d):
+    return recognised.font_coverage(read(s, d, "documents").where("text is not null"), FONTS)
+
+
+WORD_RUNS = f"""{WORDS}, wide AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY doc_id, line_no) - 1 AS n, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, line_no ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM words),
+    wr AS (SELECT doc_id, line_no // 4 AS page_index, 800.0::DOUBLE - 12 * (line_no % 4) AS baseline, k AS run, text, (off * 6 + CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 3000 - n * 3 ELSE 6000 - n * 6 END)::DOUBLE AS x, (length(text) * 6)::DOUBLE AS width, CASE WHEN line_no % 7 = 0 THEN 12.0 ELSE 8.0 END::DOUBLE AS size FROM wide)"""
+ROWS = f"""{WORD_RUNS}, lone AS (SELECT *, regexp_matches(text, '{layout.BARE}') AS bare FROM wr WHERE trim(text) <> ''),
+    marked AS (SELECT *, x - lag(x + width) OVER w AS gap, coalesce(lag(bare) OVER w, false) AS after_bare FROM lone WINDOW w AS (PARTITION BY doc_id, page_index, baseline ORDER BY x, run)),
+    numbered AS (SELECT *, sum(CAST(gap IS NULL OR gap > size OR gap < -0.25 * size OR bare OR after_bare AS INT)) OVER (PARTITION BY doc_id, page_index, baseline ORDER BY x, run) AS row FROM marked),
+    rws AS (SELECT doc_id, page_index, baseline, CAST(row AS BIGINT) AS row, min(x) AS "left", max(x + width) AS "right", max(size) AS size, arg_min(text, run) AS first_text, count(*) AS n_runs FROM numbered GROUP BY ALL)"""
+
+
+def _word_runs(s, d):
+    line = Window.partitionBy("doc_id", "line_no")
+    w = _words(s, d).withColumn("n", F.sum(F.length("text") + 1).over(line) - 1).withColumn("off", F.coalesce(F.sum(F.length("text") + 1).over(line.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    shift = F.when(F.col("doc_id") % 3 == 0, 0).when(F.col("doc_id") % 3 == 1, 3000 - F.col("n") * 3).otherwise(6000 - F.col("n") * 6)
+    return w.select("doc_id", F.floor(F.col("line_no") / 4).alias("page_index"), (800.0 - 12 * (F.col("line_no") % 4)).alias("baseline"), F.col("k").alias("run"), "text", (F.col("off") * 6 + shift).cast("double").alias("x"), (F.length("text") * 6).cast("double").alias("width"), F.when(F.col("line_no") % 7 == 0, 12.0).otherwise(8.0).alias("size"))
+
+
+def _rows(s, d):
+    return layout.assemble_rows(_word_runs(s, d))
+
+
+@query(f"WITH {WORD_RUNS} SELECT doc_id, page_index, count(*) AS n_runs, count(*) >= 2 AND bool_and(regexp_full_match(text, '[\\x{{20}}-\\x{{7E}}\\x{{A0}}-\\x{{24F}}\\x{{2010}}-\\x{{2027}}]*')) AS simple FROM wr GROUP BY 1, 2")
+def b12_simple_forward_text(s, d):
+    r = _word_runs(s, d)
+    return layout.simple_forward_text(r.withColumn("run", F.struct(-F.col("baseline"), "run")))
+
+
+@query(f"""WITH {WORDS} SELECT doc_id, page_index, k, CASE WHEN count(*) OVER (PARTITION BY doc_id, page_index, text) > 1 THEN 'duplicate_id' WHEN length(text) = 0 THEN 'size' WHEN cx - rx < -0.01 OR cx + rx > 600.01 OR cy - ry < -0.01 OR cy + ry > 200.01 THEN 'outside' END AS reason FROM (
+    SELECT doc_id, line_no AS page_index, k, text, k * 9 + length(text) * 3 AS cx, 16.0 AS cy, CASE WHEN k % 2 = 1 THEN 6 ELSE length(text) * 3 END AS rx, CASE WHEN k % 2 = 1 THEN length(text) * 3 ELSE 6 END AS ry FROM words)""")
+def b11_validate_overlays(s, d):
+    o = _words(s, d).select("doc_id", F.col("line_no").alias("page_index"), "k", F.col("text").alias("overlay_id"), (F.col("k") * 9).alias("x"), F.lit(10).alias("y"), (F.length("text") * 6).alias("width"), F.lit(12).alias("height"), (F.col("k") % 2 * 90).alias("angle"))
+    sizes = B.runs(s, d).select("doc_id", F.col("line_no").alias("page_index"), F.lit(600.0).alias("page_w"), F.lit(200.0).alias("page_h"))
+    return layout.validate_overlays(o, sizes).select("doc_id", "page_index", "k", "reason")
+
+
+@query("SELECT p_partkey AS page_id, l AS x, t AS y, cw AS width, ch AS height FROM (SELECT *, 600 - l - r AS cw, 800 - t - t AS ch FROM (SELECT p_partkey, p_size * 9 AS l, p_size * 3 AS r, p_size * 4 AS t FROM part)) WHERE cw >= 1 AND ch >= 1")
+def b8_crop_from_margins(s, d):
+    m = [F.col("p_size") * k for k in (9, 4, 3, 4)]
+    p = read(s, d, "part").select(F.col("p_partkey").alias("page_id"), T.crop_from_margins(*m, F.lit(600), F.lit(800)).alias("c"))
+    return p.where("c is not null").select("page_id", "c.*")
+
+
+@query(f"WITH {ROWS} SELECT * FROM rws")
+def f1_assemble_rows(s, d):
+    return _rows(s, d)
+
+
+@query()
+def f2_segment_paragraphs(s, d):
+    return layout.segment_paragraphs(_rows(s, d))
+
+
+@query()
+def f3_paragraph_of(s, d):
+    r = _rows(s, d)
+    return layout.paragraph_of(r.where("n_runs = 1").select("doc_id", "page_index", "baseline", "row"), layout.segment_paragraphs(r))
+
+
+@query(f"""WITH {WORDS}, b AS (SELECT doc_id, line_no AS page_index, k AS box, k % 3 AS block, (k * 37) % 500 AS x, (k * 53) % 300 AS y FROM words)
+    SELECT DISTINCT a.doc_id, a.page_index, a.box, o.block AS other FROM b a JOIN b o ON a.doc_id = o.doc_id AND a.page_index = o.page_index AND a.block <> o.block AND a.x < o.x + 20 AND o.x < a.x + 20 AND a.y < o.y + 10 AND o.y < a.y + 10""")
+def f4_neighbour_conflicts(s, d):
+    b = _words(s, d).select("doc_id", F.col("line_no").alias("page_index"), F.col("k").alias("box"), (F.col("k") % 3).alias("block"), (F.col("k") * 37 % 500).alias("x"), (F.col("k") * 53 % 300).alias("y"), F.lit(20).alias("width"), F.lit(10).alias("height"))
+    return layout.neighbour_conflicts(b)
+
+
+@query(f"""WITH {ROWS}, g AS (SELECT doc_id, page_index, count(*) AS n_rows, max("left") - min("left") <= t AS l, max(("left" + "right") / 2) - min(("left" + "right") / 2) <= t AS c, max("right") - min("right") <= t AS r, max("right" - "left") - min("right" - "left") > 4 * t AS w
+        FROM (SELECT *, least(greatest(max(size) OVER (PARTITION BY doc_id, page_index) * 0.08::DOUBLE, 0.1), 1.5) AS t FROM rws) GROUP BY doc_id, page_index, t)
+    SELECT doc_id, page_index, n_rows, CASE WHEN n_rows > 1 AND w AND CAST(l AS INT) + CAST(c AS INT) + CAST(r AS INT) = 1 THEN CASE WHEN l THEN 'left' WHEN c THEN 'center' ELSE 'right' END END AS alignment FROM g""")
+def f5_infer_alignment(s, d):
+    return layout.infer_alignment(_rows(s, d), ["doc_id", "page_index"])
+
+
+@query(f"""WITH {ROWS}, l AS (SELECT doc_id, page_index, baseline, max(size) AS size FROM rws GROUP BY ALL), g AS (SELECT *, lag(baseline) OVER (PARTITION BY doc_id, page_index ORDER BY baseline DESC) - baseline AS gap FROM l)
+    SELECT doc_id, page_index, CASE WHEN max(gap) - min(gap) <= 0.02 * max(size) AND avg(gap) / max(size) BETWEEN 0.6 AND 3 THEN avg(gap) / max(size) END AS spacing FROM g GROUP BY 1, 2""")
+def f6_infer_line_spacing(s, d):
+    return layout.infer_line_spacing(_rows(s, d), ["doc_id", "page_index"])
+
+
+@query("SELECT p_partkey AS page_id, CASE WHEN p_partkey % 2 = 1 THEN h ELSE w END * u AS shown_w, CASE WHEN p_partkey % 2 = 1 THEN w ELSE h END * u AS shown_h, round(CASE WHEN p_partkey % 2 = 1 THEN h ELSE w END * u * 25.4::DOUBLE / 72, 6) AS mm_w, round(CASE WHEN p_partkey % 2 = 1 THEN w ELSE h END * u * 25.4::DOUBLE / 72, 6) AS mm_h FROM (SELECT p_partkey, p_size * 10 AS w, p_size * 15 AS h, 1 + p_partkey % 3 AS u FROM part)")
+def f7_page_geometry_report(s, d):
+    p = read(s, d, "part").select(F.col("p_partkey").alias("page_id"), (F.col("p_size") * 10).alias("width"), (F.col("p_size") * 15).alias("height"), (F.col("p_partkey") % 4 * 90).alias("rotation"), (1 + F.col("p_partkey") % 3).alias("user_unit"))
+    return layout.page_geometry_report(p).select("page_id", "shown_w", "shown_h", F.round("mm_w", 6).alias("mm_w"), F.round("mm_h", 6).alias("mm_h"))
+
+
+@query(f"WITH {PLAN}, u AS (SELECT {G}, CASE WHEN pos < 2 THEN 0 ELSE 2 END AS k FROM plan UNION ALL SELECT workspace_id, pos, page_id || '-new', source_id, page_index, rotation, 1 FROM plan WHERE pos = 0) SELECT {G.replace(' pos,', ' row_number() OVER (PARTITION BY workspace_id ORDER BY k, pos) - 1 AS pos,')} FROM u")
+def g3_insert_pages(s, d):
+    p = B.plan(s, d)
+    return pages.insert_pages(p, p.where("pos = 0").withColumn("page_id", F.concat("page_id", F.lit("-new"))), _at(s, d, 2))
+
+
+@query("SELECT c_custkey, name, CASE WHEN name = 'c_mktsegment' THEN 'n' || c_nationkey ELSE value END AS value FROM (SELECT c_custkey, c_nationkey, 'c_name' AS name, c_name AS value FROM customer UNION ALL SELECT c_custkey, c_nationkey, 'c_mktsegment', c_mktsegment FROM customer)")
+def i7_propagate_shared_fields(s, d):
+    c = read(s, d, "customer")
+    f = review.form_inventory(c, "c_custkey", ["c_name", "c_mktsegment"])
+    accepted = c.select("c_custkey", F.lit("c_mktsegment").alias("name"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("value"))
+    return review.propagate_shared_fields(f, accepted, "c_custkey").select("c_custkey", "name", "value")
+
+
+@query("""WITH n AS (SELECT c_nationkey AS doc_id, 'c' || c_custkey AS node_id, NULL AS parent_id, c_mktsegment AS name FROM customer UNION ALL SELECT c_nationkey, 'o' || o_orderkey, 'c' || c_custkey, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT doc_id, node_id, full_name, count(*) OVER (PARTITION BY doc_id, full_name) > 1 AS repeats FROM (SELECT a.doc_id, a.node_id, CASE WHEN b.name IS NULL THEN a.name ELSE b.name || '.' || a.name END AS full_name FROM n a LEFT JOIN n b ON a.doc_id = b.doc_id AND a.parent_id = b.node_id)""")
+def i8_effective_names(s, d):
+    c, o = read(s, d, "customer"), read(s, d, "orders")
+    top = c.select(F.col("c_nationkey").alias("doc_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.col("c_mktsegment").alias("name"))
+    under = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("doc_id"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("parent_id"), F.col("o_orderstatus").alias("name"))
+    return review.effective_names(top.unionByName(under), 4)
+
+
+@query("""SELECT p_partkey, CASE WHEN a >= b THEN 'order' WHEN b >= 3 THEN 'range' WHEN p_partkey % 2 = 0 THEN 'several' END AS reason, CASE WHEN a < b AND b < 3 AND p_partkey % 2 = 1 THEN [p_brand, p_type, p_name][a + 1] || '|' || [p_brand, p_type, p_name][b + 1] END AS picked FROM (SELECT *, p_size % 3 AS a, (p_size // 3) % 4 AS b FROM part)""")
+def i10_resolve_choices(s, d):
+    f = read(s, d, "part").select("p_partkey", F.array("p_brand", "p_type", "p_name").alias("options"), F.array((F.col("p_size") % 3).cast("int"), (F.floor(F.col("p_size") / 3) % 4).cast("int")).alias("rows"), (F.col("p_partkey") % 2 == 1).alias("multiple"))
+    return review.resolve_choices(f).select("p_partkey", "reason", F.array_join("picked", "|").alias("picked"))
