@@ -124,5 +124,5 @@ def match_rects(matches: DataFrame, keys: list[str], line_starts: DataFrame, cel
 
 
 def find_in_paragraph(paragraphs: DataFrame, query: str, opts: Options = Options(), text: str = "text") -> DataFrame:
-    """search_matches whose ends fall between grapheme clusters: a letter is not found without the marks that follow it."""
-    return search_matches(paragraphs, query, opts, text, edges=r"\b{g}")
+    """search_matches whose ends do not cut a letter from its marks or a joined sequence; Hangul parts and flags are not looked at."""
+    return search_matches(paragraphs, query, opts, text, edges=r"(?![\p{M}\x{200D}])(?<!\x{200D})")

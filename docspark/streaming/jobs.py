@@ -33,3 +33,23 @@ def replay_history_stream(log: DataFrame, limit: int = 100) -> DataFrame:
     return log.groupBy("session_id").applyInPandasWithState(
         run, "session_id long, present long, n_past long, n_future long", "past array<long>, present long, future array<long>", "update", GroupStateTimeout.NoTimeout
     )
+
+
+def reading_history_stream(visits: DataFrame, limit: int = 100, near: float = 0.5) -> DataFrame:
+    """The reading history of each session after every micro-batch: session_id, page, y (the latest place) and n_back.
+
+    visits: session_id, ts, event_id, page, zoom, y. A visit to the place before it (same page and zoom, y less than `near`
+    away) adds nothing; the state holds the last `limit` places. Order within a batch is by ts and event_id.
+    """
+
+    def run(key, frames, state):
+        places = list(zip(*state.get)) if state.exists else []
+        for r in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples(index=False):
+            if not (places and places[-1][0] == r.page and places[-1][1] == r.zoom and abs(places[-1][2] - r.y) < near):
+                places = [*places, (r.page, float(r.zoom), float(r.y))][-limit:]
+        state.update(tuple(list(c) for c in zip(*places)))
+        yield pd.DataFrame({"session_id": [key[0]], "page": [places[-1][0]], "y": [places[-1][2]], "n_back": [len(places)]})
+
+    return visits.groupBy("session_id").applyInPandasWithState(
+        run, "session_id long, page string, y double, n_back long", "pages array<string>, zooms array<double>, ys array<double>", "update", GroupStateTimeout.NoTimeout
+    )
