@@ -81,15 +81,27 @@ def features(hashes: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> np.
     return np.stack([row(back(hashes, 1, BEGIN_HASH), 1), row(c1 * np.uint64(1009) + c2, 2), row(back(hashes, 2, BEGIN_HASH), 3), row(back(hashes, 3, BEGIN_HASH), 4)], 1)
 
 
-def log_probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _sums(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
     z = weights[rows[:, 0]]
     for k in range(1, FEATURES):
         z += weights[rows[:, k]]
     z += bias
     z -= z.max(1, keepdims=True)
+    return z
+
+
+def log_probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = _sums(weights, bias, rows)
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
+def probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    p = _sums(weights, bias, rows)
+    np.exp(p, out=p)
+    p /= p.sum(1, keepdims=True)
+    return p
+
+
 def _blocks(matrices: list[np.ndarray]):
     """The matrices' rows in blocks, as a record batch (block, data); blocks of zeros are left out."""
     blocks = [np.concatenate([m[at : at + BLOCK] for m in matrices]) for at in range(0, ROWS, BLOCK)]
@@ -138,12 +150,12 @@ def _count_words(batches):
     yield from out()
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, folds: int = 7, held: int = 2, frequent: int = 1 << 16, sample: int = 3000, rounds: int = 4, rate: float = 0.4) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, folds: int = 7, held: int = 2, frequent: int = 1 << 16, rounds: int = 4, rate: float = 0.4) -> DataFrame:
     """One row for each row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are [^\\x20\\x09-\\x0D]+ of the whole text with A-Z lower-cased, and one end token; a null text has the end token
-    alone. All rows outside the held-out fold train: counts, class information and the start of the weights come from all of
-    them; the gradient updates use the `sample` of them with the smallest hashes of the id. A null id is a training row.
+    alone. All rows outside the held-out fold train: counts, class information, the start of the weights and every round of
+    gradient updates come from all of them. A null id is a training row.
     base_score adds log10((c+1)/(N+V+1)); score is the model's log10 probability, unknown words of a class sharing one count.
     """
     sc = docs.sparkSession.sparkContext
@@ -173,12 +185,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 seen += np.bincount(rows[:, k] * CLASSES + cls, minlength=len(seen)).astype(np.float32)
         yield _blocks([seen.reshape(ROWS, CLASSES)])
 
-    seen = _summed(train.mapInArrow(observe, "block int, data binary"), 1)[0]
+    # one message for each core and round, whatever the number of files: they have the size of the weights
+    lesson = train.coalesce(max(1, sc.defaultParallelism))
+    seen = _summed(lesson.mapInArrow(observe, "block int, data binary"), 1)[0]
     weights = 0.45 * (np.log((seen + 40 * np.exp(bias)) / (seen.sum(1, keepdims=True) + 40)) - bias)
     weights = weights.astype(np.float32)
-    chosen = base.where("not held_out").select("id").where("id is not null").dropDuplicates(["id"]).orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample)
-    lesson = table(base.where("not held_out").join(F.broadcast(chosen), "id").select("text").repartition(4), "lesson")
-    wanted = _summed(lesson.mapInArrow(observe, "block int, data binary"), 1)[0]
     for _ in range(rounds if tokens else 0):
         shared = sc.broadcast(weights)
 
@@ -190,7 +201,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 cls = vocabulary.classes[numbers]
                 rows = features(vocabulary.hashes[numbers], cls, lengths)
                 for at in range(0, len(rows), TILE):
-                    p = np.exp(log_probabilities(shared.value, bias, rows[at : at + TILE]))
+                    p = probabilities(shared.value, bias, rows[at : at + TILE])
                     for k in range(FEATURES):
                         r = rows[at : at + TILE, k]
                         order = np.argsort(r, kind="stable")
@@ -199,8 +210,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield _blocks([np.minimum(given, 60_000).astype(np.float16)])  # halves keep enough of a step and compress well
 
         given = _summed(lesson.mapInArrow(gradient, "block int, data binary"), 1)[0]
-        # the gradient of the log likelihood is wanted - given; each weight's step is scaled by the mass the model gives it
-        weights = weights + np.clip(rate * (wanted - given) / (given + 3), -0.5, 0.5)
+        # the gradient of the log likelihood is seen - given; each weight's step is scaled by the mass the model gives it
+        weights = weights + np.clip(rate * (seen - given) / (given + 3), -0.5, 0.5)
     model = sc.broadcast(weights)
     within = np.log10(per_class[0] + per_class[1] + 1)
 

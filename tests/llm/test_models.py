@@ -96,6 +96,53 @@ def test_lm_softmax_sums_to_one():
     assert np.allclose(np.exp(lm.log_probabilities(w, w[0], rows)).sum(1), 1, atol=1e-4)
 
 
+def brute_scores(rows, rounds=4, rate=0.4):
+    """The language model in one process: every training text in every round."""
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    c = Counter(x for i, t, *_ in rows if not held(i) for x in (*t.encode().lower().split(), b"\n"))
+    hashes = lm.Vocabulary()
+    by_count = sorted(c, key=lambda w: (-c[w], int(hashes.hashes[hashes[w]].astype(np.int64))))
+    alone = {int(hashes.hashes[hashes[w]]): k for k, w in enumerate(by_count[: lm.ENDINGS - 1])}
+    vocabulary, per_class = lm.Vocabulary(alone=alone), np.zeros((2, lm.CLASSES))
+    for w, n in c.items():
+        per_class[:, vocabulary.classes[vocabulary[w]]] += (n, 1)
+    bias = np.log((per_class[0] + 1) / (per_class[0] + 1).sum()).astype(np.float32)
+
+    def of(texts):
+        numbers, lengths = vocabulary.numbers(texts)
+        cls = vocabulary.classes[numbers]
+        return numbers, cls, lm.features(vocabulary.hashes[numbers], cls, lengths), lengths
+
+    _, cls, at, _ = of([t for i, t, *_ in rows if not held(i)])
+    seen = np.zeros((lm.ROWS, lm.CLASSES))
+    for k in range(lm.FEATURES):
+        np.add.at(seen, (at[:, k], cls), 1)
+    weights = 0.45 * (np.log((seen + 40 * np.exp(bias)) / (seen.sum(1, keepdims=True) + 40)) - bias)
+    for _ in range(rounds):
+        given = np.zeros((lm.ROWS, lm.CLASSES))
+        for lo in range(0, len(at), 1 << 14):
+            p = np.exp(lm.log_probabilities(weights.astype(np.float32), bias, at[lo : lo + (1 << 14)]))
+            for k in range(lm.FEATURES):
+                np.add.at(given, at[lo : lo + (1 << 14), k], p)
+        weights = weights + np.clip(rate * (seen - given) / (given + 3), -0.5, 0.5)
+    numbers, cls, at, lengths = of([t for _, t, *_ in rows])
+    words = {n: w for w, n in vocabulary.items()}
+    logs = np.array([math.log10(c[words[n]] + 1) for n in numbers]) - np.log10(per_class[0] + per_class[1] + 1)[cls]
+    for lo in range(0, len(at), 1 << 14):
+        mine = cls[lo : lo + (1 << 14)]
+        logs[lo : lo + (1 << 14)] += lm.log_probabilities(weights.astype(np.float32), bias, at[lo : lo + (1 << 14)])[np.arange(len(mine)), mine] / np.log(10)
+    return dict(zip([i for i, *_ in rows], np.add.reduceat(logs, np.cumsum(lengths) - lengths)))
+
+
+def test_lm_learns_from_every_training_text(spark):
+    words = [f"w{k}" for k in range(90)]
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(words[(int(k) * (1 + i % 5)) % 90] for k in rng.integers(0, 90, 5)), "en", "s") for i in range(4500)]
+    want = brute_scores(rows)
+    for r in lm.score_texts(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-3)
+
+
 def brute_vectors(rows, cosine):
     good = {}
     for k, (i, x, lab) in enumerate(rows):
