@@ -9,6 +9,7 @@ number of frequent ones is broadcast, the others meet their counts in a join.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm.common import fold_of, slices, table
 
-ROWS, CLASSES, ENDINGS, FEATURES = 1 << 13, 128, 64, 4
+ROWS, CLASSES, ENDINGS, FEATURES = 1 << 14, 128, 64, 4
 BLOCK, TILE = 256, 4096
 END = b"\n"
 BEGIN_HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -109,17 +110,18 @@ def _blocks(matrices: list[np.ndarray]):
     return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([zlib.compress(blocks[k].astype(np.float32).tobytes(), 1) for k in some], pa.binary())], names=["block", "data"])
 
 
-def _summed(parts: DataFrame, matrices: int) -> list[np.ndarray]:
-    """Sums of the tasks' matrices, in two levels so that no task gets the blocks of all tasks; the result has a fixed size."""
+def _summed(parts: DataFrame, matrices: int, tasks: int) -> list[np.ndarray]:
+    """Sums of the tasks' matrices, of many tasks in two levels so that no task gets the blocks of all; the result has a fixed size."""
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(matrices * BLOCK * CLASSES, np.float32)
+        total = np.zeros(matrices * BLOCK * CLASSES)
         for x in group.data:
             total += np.frombuffer(zlib.decompress(x), np.float32)
-        return pd.DataFrame({"block": group.block[:1], "data": [zlib.compress(total.tobytes(), 1)]})
+        return pd.DataFrame({"block": group.block[:1], "data": [zlib.compress(total.astype(np.float32).tobytes(), 1)]})
 
-    some = parts.withColumn("part", F.spark_partition_id() % 64).groupBy("block", "part").applyInPandas(add, "block int, data binary")
-    got = some.groupBy("block").applyInPandas(add, "block int, data binary").collect()
+    if tasks > 16:
+        parts = parts.withColumn("part", F.spark_partition_id() % math.isqrt(tasks)).groupBy("block", "part").applyInPandas(add, "block int, data binary")
+    got = parts.groupBy("block").applyInPandas(add, "block int, data binary").collect()
     out = [np.zeros((ROWS, CLASSES), np.float32) for _ in range(matrices)]
     for r in got:
         data = np.frombuffer(zlib.decompress(r.data), np.float32).reshape(matrices, BLOCK, CLASSES)
@@ -176,18 +178,19 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     setup = sc.broadcast((alone, counts))
 
     def observe(batches):
-        vocabulary, seen = Vocabulary(alone=setup.value[0]), np.zeros(ROWS * CLASSES, np.float32)
+        vocabulary, seen = Vocabulary(alone=setup.value[0]), np.zeros(ROWS * CLASSES)
         for part in slices(batches, 0):
             numbers, lengths = vocabulary.numbers(part.column(0).to_pylist())
             cls = vocabulary.classes[numbers]
             rows = features(vocabulary.hashes[numbers], cls, lengths)
             for k in range(FEATURES):
-                seen += np.bincount(rows[:, k] * CLASSES + cls, minlength=len(seen)).astype(np.float32)
+                seen += np.bincount(rows[:, k] * CLASSES + cls, minlength=len(seen))
         yield _blocks([seen.reshape(ROWS, CLASSES)])
 
     # one message for each core and round, whatever the number of files: they have the size of the weights
-    lesson = train.coalesce(max(1, sc.defaultParallelism))
-    seen = _summed(lesson.mapInArrow(observe, "block int, data binary"), 1)[0]
+    cores = max(1, sc.defaultParallelism)
+    lesson = train.coalesce(cores)
+    seen = _summed(lesson.mapInArrow(observe, "block int, data binary"), 1, cores)[0]
     weights = 0.45 * (np.log((seen + 40 * np.exp(bias)) / (seen.sum(1, keepdims=True) + 40)) - bias)
     weights = weights.astype(np.float32)
     for _ in range(rounds if tokens else 0):
@@ -195,7 +198,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         def gradient(batches, shared=shared):
             vocabulary = Vocabulary(alone=setup.value[0])
-            given = np.zeros((ROWS, CLASSES), np.float32)
+            given = np.zeros((ROWS, CLASSES))
             for part in slices(batches, 0):
                 numbers, lengths = vocabulary.numbers(part.column(0).to_pylist())
                 cls = vocabulary.classes[numbers]
@@ -207,9 +210,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         order = np.argsort(r, kind="stable")
                         first = np.flatnonzero(np.append(True, np.diff(r[order]) > 0))
                         given[r[order][first]] += np.add.reduceat(p[order], first)
-            yield _blocks([np.minimum(given, 60_000).astype(np.float16)])  # halves keep enough of a step and compress well
+            yield _blocks([given])
 
-        given = _summed(lesson.mapInArrow(gradient, "block int, data binary"), 1)[0]
+        given = _summed(lesson.mapInArrow(gradient, "block int, data binary"), 1, cores)[0]
         # the gradient of the log likelihood is seen - given; each weight's step is scaled by the mass the model gives it
         weights = weights + np.clip(rate * (seen - given) / (given + 3), -0.5, 0.5)
     model = sc.broadcast(weights)

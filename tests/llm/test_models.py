@@ -123,7 +123,7 @@ def brute_scores(rows, rounds=4, rate=0.4):
         for lo in range(0, len(at), 1 << 14):
             p = np.exp(lm.log_probabilities(weights.astype(np.float32), bias, at[lo : lo + (1 << 14)]))
             for k in range(lm.FEATURES):
-                np.add.at(given, at[lo : lo + (1 << 14), k], p)
+                given += np.stack([np.bincount(at[lo : lo + (1 << 14), k], p[:, j], lm.ROWS) for j in range(lm.CLASSES)], 1)
         weights = weights + np.clip(rate * (seen - given) / (given + 3), -0.5, 0.5)
     numbers, cls, at, lengths = of([t for _, t, *_ in rows])
     words = {n: w for w, n in vocabulary.items()}
@@ -143,6 +143,14 @@ def test_lm_learns_from_every_training_text(spark):
         assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-3)
 
 
+def test_lm_expects_what_it_saw_of_a_word_said_very_often(spark):
+    assert lm.ROWS == 1 << 14
+    rows = [(i, "said " * n + f"w{i}", "en", "s") for i, n in enumerate([90_000, 3, 0, 50, 1, 7])]
+    want = brute_scores(rows)
+    for r in lm.score_texts(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect():
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-3)
+
+
 def brute_vectors(rows, cosine):
     good = {}
     for k, (i, x, lab) in enumerate(rows):
