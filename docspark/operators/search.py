@@ -85,18 +85,22 @@ def search_union(native: DataFrame, added: DataFrame, id_cols: list[str]) -> Dat
 
 
 def search_many(docs: DataFrame, queries: DataFrame, anchor: int = 4, text: str = "text") -> DataFrame:
-    """(doc_id, item_id) where the document contains the query's text: equi-join on the first words, then an exact test.
+    """(doc_id, item_id) where the document contains the query's text, whatever stands round it: equi-join on inner words, then an exact test.
 
-    Texts of fewer than anchor words are compared with each document that holds their first word.
+    The query's first and last word may be parts of the document's words; those between are whole ones, for the query itself
+    has blanks on both sides of them. Texts without inner words are compared with every document.
     """
-    words = lambda c: F.split(F.trim(F.lower(c)), "[ \n\t]+")
-    q = queries.select("item_id", F.col("text").alias("needle")).withColumn("w", words(F.col("needle"))).withColumn("k", F.least(F.lit(anchor), F.size("w")))
-    q = q.select("item_id", "needle", F.xxhash64(F.array_join(F.slice("w", 1, F.col("k")), " "), "k").alias("h"))
+    words = lambda c: F.split(F.lower(c), "[ \n\t]+")
+    q = queries.select("item_id", F.col("text").alias("needle")).withColumn("w", words(F.col("needle"))).withColumn("k", F.least(F.lit(anchor), F.size("w") - 2))
+    long = q.where("k > 0").select("item_id", "needle", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("k")), " "), "k").alias("h"))
+    short = q.where("k <= 0").select("item_id", "needle")
     d = docs.select("doc_id", F.col(text).alias("body")).withColumn("w", words(F.col("body")))
     gram = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - k + 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " "), F.lit(k)))
     grams = F.array_distinct(F.flatten(F.array(*[gram(k) for k in range(1, anchor + 1)])))
-    hits = d.select("doc_id", F.explode(grams).alias("h")).join(q.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
-    return hits.join(q.select("item_id", "needle"), "item_id").join(d.select("doc_id", "body"), "doc_id").where(F.contains(F.lower("body"), F.lower("needle"))).select("doc_id", "item_id")
+    hits = d.select("doc_id", F.explode(grams).alias("h")).join(long.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
+    holds = F.contains(F.lower("body"), F.lower("needle"))
+    found = hits.join(long.select("item_id", "needle"), "item_id").join(d.select("doc_id", "body"), "doc_id").where(holds).select("doc_id", "item_id")
+    return found.unionByName(d.select("doc_id", "body").join(short, holds).select("doc_id", "item_id"))
 
 
 def next_prev_match(matches: DataFrame, cursors: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -27,6 +27,16 @@ def test_search(spark, text, query, case, whole, want):
     assert [[r.start, r.stop] for r in sorted(got, key=lambda r: r.start)] == want
 
 
+def test_search_many_whatever_stands_round_the_passage(spark):
+    needle = "One two three four five six"
+    bodies = [f'said "{needle}" and', f"({needle},", f"x —{needle}s", f"\r{needle}", f"\u00a0{needle}.", "one two  three four five six", "none", None]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    needles = [needle, "two three", "ive", "two three four", "\none", " two three ", "a b c", ""]
+    q = spark.createDataFrame(list(enumerate(needles)), "item_id long, text string")
+    want = sorted((i, j) for i, b in enumerate(bodies) for j, n in enumerate(needles) if b is not None and n.lower() in b.lower())
+    assert sorted(map(tuple, search.search_many(docs, q).collect())) == want
+
+
 def test_replacement_takes_text_literally(spark):
     runs = spark.createDataFrame([(1, 0, "before cat CAT cat after")], "doc_id long, line_no long, text string")
     m = search.search_matches(runs, "cat").selectExpr("*", "true AS selected")
