@@ -7,27 +7,28 @@ rows; scoring broadcasts the weights (a few tens of kB) and reads every byte of
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
+from itertools import islice
+
 import numpy as np
 from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import append_columns, fold_of, unused
+from docspark.llm.common import append_columns, fold_of, table, unused
 
 CHUNK, WIDTH, STEP, EMBED, FILTERS, HIDDEN = 512, 8, 2, 8, 24, 16
 ADVANCE = CHUNK - WIDTH
 PLACES = (CHUNK - WIDTH) // STEP + 1
 
 
-def chunks_of(text: str | None, most: int | None = None) -> np.ndarray:
-    """The text's bytes as rows of CHUNK bytes that overlap by WIDTH, zero-padded; most picks so many evenly over the text."""
+def chunks_of(text: str | None) -> np.ndarray:
+    """The text's bytes as rows of CHUNK bytes that overlap by WIDTH, zero-padded."""
     raw = (text or "").encode("utf-8", "replace")
     n = max(1, -(-(len(raw) - WIDTH) // ADVANCE))
     flat = np.frombuffer(raw.ljust((n - 1) * ADVANCE + CHUNK, b"\0"), np.uint8)
-    rows = as_strided(flat, (n, CHUNK), (ADVANCE, 1))
-    if most and n > most:
-        rows = rows[np.linspace(0, n - 1, most).round().astype(int)]
-    return rows
+    return as_strided(flat, (n, CHUNK), (ADVANCE, 1))
 
 
 def _patches(net: dict, chunks: np.ndarray) -> np.ndarray:
@@ -59,7 +60,7 @@ def head(net: dict, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, 1 / (1 + np.exp(-np.clip(h @ net["w2"] + net["b2"], -30, 30)))
 
 
-def fit_network(docs: list[np.ndarray], y: np.ndarray, epochs: int = 14, batch: int = 32, rate: float = 0.004, seed: int = 7) -> dict:
+def fit_network(docs: list[np.ndarray], y: np.ndarray, epochs: int = 14, batch: int = 32, rate: float = 0.004, seed: int = 7, tile: int = 512) -> dict:
     """Adam on the log loss; the pooling passes gradients to each filter's best place only."""
     rng = np.random.default_rng(seed)
     net = {
@@ -92,12 +93,15 @@ def fit_network(docs: list[np.ndarray], y: np.ndarray, epochs: int = 14, batch:
                 hit = best == v[owner, k * FILTERS : (k + 1) * FILTERS]
                 dm += dv[owner, k * FILTERS : (k + 1) * FILTERS] * hit / np.maximum(1, np.add.reduceat(hit, starts)[owner])
             dm = dm * (best > 0)
-            at_bytes = np.take_along_axis(chunks[:, None, :], (where * STEP)[:, :, None] + np.arange(WIDTH), 2)
-            patch = net["embed"][at_bytes].reshape(len(chunks), FILTERS, WIDTH * EMBED)
-            g |= {"filters": np.einsum("cfk,cf->kf", patch, dm), "bias": dm.sum(0)}
-            back = (dm[:, :, None] * net["filters"].T[None]).reshape(-1, EMBED)
-            flat = at_bytes.reshape(-1)
-            g["embed"] = np.stack([np.bincount(flat, back[:, j], 256) for j in range(EMBED)], 1)
+            g |= {"filters": np.zeros_like(net["filters"]), "bias": dm.sum(0), "embed": np.zeros_like(net["embed"])}
+            for lo in range(0, len(chunks), tile):
+                some, mine_dm = chunks[lo : lo + tile], dm[lo : lo + tile]
+                at_bytes = np.take_along_axis(some[:, None, :], (where[lo : lo + tile] * STEP)[:, :, None] + np.arange(WIDTH), 2)
+                patch = net["embed"][at_bytes].reshape(len(some), FILTERS, WIDTH * EMBED)
+                g["filters"] += np.einsum("cfk,cf->kf", patch, mine_dm)
+                back = (mine_dm[:, :, None] * net["filters"].T[None]).reshape(-1, EMBED)
+                flat = at_bytes.reshape(-1)
+                g["embed"] += np.stack([np.bincount(flat, back[:, j], 256) for j in range(EMBED)], 1)
             t += 1
             for k in net:
                 m1[k] = 0.9 * m1[k] + 0.1 * g[k]
@@ -106,11 +110,10 @@ def fit_network(docs: list[np.ndarray], y: np.ndarray, epochs: int = 14, batch:
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, folds: int = 5, held: int = 0, sample: int = 2500, windows: int = 12) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, folds: int = 5, held: int = 0, sample: int = 2500) -> dict:
     """The network, learned from at most `sample` labelled rows (the smallest by hash of the id) outside the held-out fold.
 
-    Of a long sampled text, `windows` chunks spread evenly over it are used; so at most sample x windows x 512 bytes reach
-    the driver. Rows with a null id, a null label or a label other than 0 and 1 teach nothing; several labels of one
+    Every chunk of a sampled text teaches; the driver keeps the chunks in a file, not in memory. Rows with a null id, a null label or a label other than 0 and 1 teach nothing; several labels of one
     document count as the smallest. Without any labelled row the scores are constant.
     """
     chosen = (
@@ -124,12 +127,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         import pyarrow as pa
 
         for b in batches:
-            rows = [chunks_of(t, windows).tobytes() for t in b.column(1).to_pylist()]
+            rows = [chunks_of(t).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows, pa.binary())], names=["id", "y", "chunks"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = sorted(joined.mapInArrow(cut, f"id {kind}, y int, chunks binary").limit(2 * sample).collect())
-    return fit_network([np.frombuffer(r.chunks, np.uint8).reshape(-1, CHUNK) for r in got], np.array([r.y for r in got], np.float32))
+    lesson, places, at = table(joined.mapInArrow(cut, f"id {kind}, y int, chunks binary"), "lesson"), [], 0
+    with tempfile.TemporaryFile() as file:
+        for r in islice(lesson.toLocalIterator(), 2 * sample):
+            file.write(r.chunks)
+            places.append((r.id, r.y, hashlib.sha256(r.chunks).digest(), at, len(r.chunks)))
+            at += len(r.chunks)
+        file.flush()
+        docs = [np.memmap(file, np.uint8, "r", at, (size // CHUNK, CHUNK)) for *_, at, size in sorted(places)]
+        return fit_network(docs, np.array([p[1] for p in sorted(places)], np.float32))
 
 
 def _scorer(net: dict, threshold: float):

@@ -204,3 +204,25 @@ def test_cover_tree_covers():
         mine = tree.points[tree.begin[k] : tree.end[k]]
         assert np.linalg.norm(mine - tree.points[tree.center[k]], axis=1).max() <= tree.radius[k] + 1e-7
         assert not kids or sorted(i for c in kids for i in range(tree.begin[c], tree.end[c])) == list(range(tree.begin[k], tree.end[k]))
+
+
+def test_quality_learns_from_every_chunk(spark, monkeypatch):
+    from docspark.llm import quality
+
+    text = "".join(f"passage {k} of a long text. " for k in range(2000))
+    rows = [(i, text if i == 1 else f"short {i}", "en", "s") for i in range(8)]
+    seen = {}
+    monkeypatch.setattr(quality, "fit_network", lambda docs, y: seen.update(docs=[np.array(d) for d in docs], y=y))
+    quality.fit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, 1) for i in range(8)], "doc_id long, quality int"), held=-1)
+    want = [quality.chunks_of(t) for _, t, *_ in rows]
+    assert len(want[1]) > 100 and len(seen["docs"]) == 8
+    assert all(np.array_equal(a, b) for a, b in zip(seen["docs"], want))
+
+
+def test_quality_gradient_does_not_depend_on_tiles():
+    from docspark.llm import quality
+
+    docs = [quality.chunks_of(f"text {i} " * (40 * (i + 1))) for i in range(40)]
+    y = np.arange(40, dtype=np.float32) % 2
+    one, other = (quality.fit_network(docs, y, epochs=1, tile=t) for t in (3, 4096))
+    assert all(np.allclose(one[k], other[k], atol=1e-3) for k in one)
