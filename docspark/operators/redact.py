@@ -44,7 +44,14 @@ def apply_redaction(pages: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def redaction_audit(before: DataFrame, after: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Per page: whether exactly the ranges' characters went."""
-    want = ranges.groupBy(*PAGE).agg(F.sum(F.col("stop") - F.col("start")).alias("want"))
-    j = before.select(*PAGE, F.length("text").alias("n0")).join(after.select(*PAGE, F.length("text").alias("n1")), PAGE).join(want, PAGE, "left")
-    return j.select(*PAGE, (F.col("n0") - F.col("n1") == F.coalesce("want", F.lit(0))).alias("exact"))
+    """Per page: whether after has, by value, what is left of before without the ranges' characters; a page that only one has is not exact."""
+    spans = ranges.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    kept = F.aggregate(
+        F.coalesce("spans", F.array().cast("array<struct<start: bigint, stop: bigint>>")),
+        F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("bigint").alias("at")),
+        lambda acc, m: F.struct(F.array_append(acc["parts"], F.substring("text", (acc["at"] + 1).cast("int"), F.greatest(m["start"] - acc["at"], F.lit(0)).cast("int"))).alias("parts"), F.greatest(acc["at"], m["stop"]).alias("at")),
+        lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring("text", (acc["at"] + 1).cast("int"), F.length("text"))),
+    )
+    want = before.join(spans, PAGE, "left").select(*PAGE, kept.alias("want"), F.lit(True).alias("was"))
+    j = want.join(after.select(*PAGE, "text", F.lit(True).alias("still")), PAGE, "full_outer")
+    return j.select(*PAGE, (F.col("was").isNotNull() & F.col("still").isNotNull() & F.col("want").eqNullSafe(F.col("text"))).alias("exact"))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from docspark.operators import history, pages, replace, search
+from docspark.operators import history, pages, redact, replace, search
 from docspark.streaming import jobs
 
 
@@ -45,6 +45,17 @@ def test_replacement_takes_text_literally(spark):
     assert replace.plan_replacement(one, runs, "dog", ["doc_id", "line_no"]).first().new_text == "before cat dog cat after"
 
 
+def test_redaction_audit_compares_by_value(spark):
+    page = "doc_id long, page_index long, text string"
+    before = spark.createDataFrame([(1, k, "a secret 𝒳 here") for k in range(6)] + [(1, 6, None)], page)
+    ranges = spark.createDataFrame([(1, k, 2, 8) for k in range(6)] + [(1, 0, 4, 6)], "doc_id long, page_index long, start long, stop long")
+    texts = {0: "a  𝒳 here", 1: "a secr𝒳 re", 2: "a  𝒳 hers", 3: "a secret 𝒳 here", 5: "a  𝒳 here", 6: None, 7: "new"}
+    got = redact.redaction_audit(before, spark.createDataFrame([(1, k, t) for k, t in texts.items()], page), ranges)
+    assert sorted((r.page_index, r.exact) for r in got.collect()) == [(0, True), (1, False), (2, False), (3, False), (4, False), (5, True), (6, True), (7, False)]
+    after = redact.apply_redaction(before, ranges.where("stop = 8"))
+    assert all(r.exact for r in redact.redaction_audit(before, after, ranges).collect())
+
+
 def plan(spark, n=5):
     return spark.createDataFrame([(1, i, "abcde"[i], 7, i, 0) for i in range(n)], "workspace_id long, pos long, page_id string, source_id long, page_index long, rotation int")
 
