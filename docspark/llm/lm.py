@@ -1,14 +1,18 @@
 """Language-model scores from a hashed maximum-entropy model with class-factored softmax.
 
-P(word | context) = P(class | context) * P(word | class). The classes are the most frequent words, each alone, and the other
-words by a hash of their ending. The class softmax adds up rows of a weight table that hashed n-gram and skip features of the
-context point to. Its weights start at the pointwise information of all training text and are then moved by distributed
-gradient updates. P(word | class) comes from the counts of all training words. Words never leave Spark as a whole: a bounded
-number of frequent ones is broadcast, the others meet their counts in a join.
+Words are the leaves of a tree of nested classes with at most WIDTH branches a node, deeper the rarer they are: P(word | context) is the
+product of one small softmax for each node on the word's path. The scores of a node's branches add up rows of one weight
+table, which hashes of (n-gram or skip feature of the context, node) point to; so the words of a class are told apart by
+softmax as well. Words that are not frequent share leaves by their ending and have their share of it by their count.
+
+Training is distributed: tasks sum up what their documents show and what the model expects of them, and each weight follows
+that gradient. Words never leave Spark as a whole: a bounded number of frequent ones is broadcast, the others meet their
+counts in a join.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 
@@ -20,87 +24,153 @@ from pyspark.sql import functions as F
 
 from docspark.llm.common import fold_of, slices, table
 
-ROWS, CLASSES, ENDINGS, FEATURES = 1 << 14, 128, 64, 4
-BLOCK, TILE = 256, 4096
-END = b"\n"
-BEGIN_HASH = np.uint64(0x9E3779B97F4A7C15)
-
-
-class Vocabulary(dict):
-    """Numbers words as they come; by number: hash, class, log10(count+1) of frequent words (negative: not one of them)."""
-
-    def __init__(self, frequent: dict[int, int] | None = None, alone: dict[int, int] | None = None):
-        self.frequent, self.alone, self.size = frequent or {}, alone or {}, 0
-        self.grow(1 << 16)
-
-    def grow(self, size: int) -> None:
-        old = (self.hashes, self.classes, self.logs) if self.size else None
-        self.hashes, self.classes, self.logs = np.zeros(size, np.uint64), np.zeros(size, np.int64), np.full(size, -1.0)
-        for new, was in zip((self.hashes, self.classes, self.logs), old or ()):
-            new[: self.size] = was
-        self.size = size
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh32_intdigest, xxh64_intdigest
-
-        self[word] = i = len(self)
-        if i >= self.size:
-            self.grow(2 * self.size)
-        self.hashes[i] = h = xxh64_intdigest(word)
-        self.classes[i] = self.alone.get(h, ENDINGS + xxh32_intdigest(word[-3:]) % (CLASSES - ENDINGS))
-        if (n := self.frequent.get(h)) is not None:
-            self.logs[i] = np.log10(n + 1)
-        return i
-
-    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers of all texts, each closed by the end token, and the texts' lengths in tokens."""
-        if len(self) > 250_000:
-            self.clear()
-            self.size = 0
-            self.grow(1 << 16)
-        lists = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-        counts = np.array([len(x) + 1 for x in lists], np.int64)
-        return np.fromiter((self[w] for x in lists for w in (*x, END)), np.int64, int(counts.sum())), counts
-
-
-def features(hashes: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Rows of the weight table for each token [tokens, FEATURES]: word before, two classes before, and words two and three back."""
+WIDTH, ENDINGS = 16, 64
+#: Rows of the weight table for each feature: the word before, the two words before, the word two back.
+REGIONS = (1 << 16, 1 << 17, 1 << 16)
+ROWS = sum(REGIONS)
+BLOCK, TILE = 4096, 1 << 13
+BEGIN_HASH, END_HASH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD80)
+MIX = np.uint64(0xBF58476D1CE4E5B9)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * MIX
+    return x ^ (x >> np.uint64(29))
+
+
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+LETTERS = mix(LOWER.astype(np.uint64) + BEGIN_HASH)
+_POWERS = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 to base**(n-1), at least, modulo 2**64."""
+    if len(_POWERS.get(base, ())) < n:
+        steps = np.full(1 << (n - 1).bit_length(), base & (2**64 - 1), np.uint64)
+        steps[0] = 1
+        _POWERS[base] = np.cumprod(steps)
+    return _POWERS[base]
+
+
+def tokens_of(texts: list[str | None], piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' tokens, each text closed by the end token: word hashes and tokens per text.
+
+    The low bits of a word's hash (modulo ENDINGS) come from its last three bytes; the others are a polynomial in its bytes (A-Z lower-cased)
+    modulo 2**64, read off prefix sums over the whole buffer. A long buffer is cut at white space into pieces, so that only the hashes grow with it.
+    """
+    parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    buffer = np.frombuffer(b"\n" + b"\n".join(parts) + b"\n", np.uint8)
+    space = SPACE[buffer]
+    edges = np.diff(space.view(np.int8))
+    starts, ends = np.flatnonzero(edges == -1) + 1, np.flatnonzero(edges == 1) + 1
+    hashes, lo = np.zeros(len(starts), np.uint64), 0
+    odd, inverse = int(MIX) | 1, pow(int(MIX) | 1, -1, 2**64)
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + piece, "right")))
+        a, z = int(starts[lo]), int(ends[hi - 1])
+        sums = np.zeros(z - a + 1, np.uint64)
+        np.cumsum(LETTERS[buffer[a:z]] * powers(odd, z - a)[: z - a], out=sums[1:])
+        hashes[lo:hi] = mix((sums[ends[lo:hi] - a] - sums[starts[lo:hi] - a]) * powers(inverse, z - a)[starts[lo:hi] - a])
+        lo = hi
+    last = np.zeros(len(starts), np.uint64)
+    for k in (1, 2, 3):
+        last = last * np.uint64(256) + np.where(ends - k >= starts, LOWER[buffer[ends - k]], 0).astype(np.uint64)
+    closing = np.cumsum([len(p) + 1 for p in parts])
+    words = np.diff(np.searchsorted(starts, closing, "right"), prepend=0)
+    at = np.ones(len(starts) + len(texts), bool)
+    at[np.cumsum(words + 1) - 1] = False
+    out, low = np.full(len(at), END_HASH), np.uint64(ENDINGS - 1)
+    out[at] = (hashes & ~low) | ((mix(last) >> np.uint64(20)) & low)
+    return out, words + 1
+
+
+class Tree:
+    """Nested classes over leaves of given mass, a Huffman code of WIDTH digits: node and branch of each leaf by level (-1 below the leaf), log share of each branch."""
+
+    def __init__(self, mass: np.ndarray):
+        size = len(mass)
+        heap = [(m, k) for k, m in enumerate(mass.tolist())] + [(0.0, -1)] * (-(size - 1) % (WIDTH - 1))
+        heapq.heapify(heap)
+        inner: list[list[int]] = []  # the children of node k, which is number size + k in the heap
+        while len(heap) > 1:
+            least = [heapq.heappop(heap) for _ in range(WIDTH)]
+            heapq.heappush(heap, (sum(m for m, _ in least), size + len(inner)))
+            inner.append([c for _, c in least if c >= 0])
+        self.nodes, self.branches, count = [], [], len(inner)
+        level = [(count - 1, [])] if count else []
+        while level:
+            node, branch, deeper = np.full(size, -1, np.int32), np.zeros(size, np.int32), []
+            for k, path in level:
+                for b, c in enumerate(inner[k]):
+                    if c < size:
+                        for (n, was), up in zip([*path, (k, b)], [*zip(self.nodes, self.branches), (node, branch)]):
+                            up[0][c], up[1][c] = n, was
+                    else:
+                        deeper.append((c - size, [*path, (k, b)]))
+            self.nodes.append(node)
+            self.branches.append(branch)
+            level = deeper
+        shares = np.zeros((count, WIDTH))
+        for node, branch in zip(self.nodes, self.branches):
+            on = node >= 0
+            np.add.at(shares, (node[on], branch[on]), mass[on])
+        with np.errstate(divide="ignore"):
+            self.bias = np.maximum(np.log(shares / shares.sum(1, keepdims=True)), -1e4).astype(np.float32)
+
+    def steps(self, leaves: np.ndarray):
+        """For each level: which of the tokens have a node there, the nodes and the branches they take."""
+        for node, branch in zip(self.nodes, self.branches):
+            mine = node[leaves]
+            on = np.flatnonzero(mine >= 0)
+            if len(on):
+                yield on, mine[on], branch[leaves[on]]
+
+
+class Leaves:
+    """Finds the leaf and log10(count+1) of words by hash: frequent words have one each, the others share those of their ending."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.leaf, self.logs = np.append(hashes[order], np.uint64(0)), order, np.log10(counts + 1.0)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.hashes[:-1], hashes)
+        known = (self.hashes[at] == hashes) & (at < len(self.leaf))
+        leaf = (hashes & np.uint64(ENDINGS - 1)).astype(np.int64) + len(self.leaf)
+        leaf[known] = self.leaf[at[known]]
+        return leaf, known
+
+
+def contexts(hashes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Hashes of each token's features, in the order of REGIONS; before a text's first word stands BEGIN_HASH."""
     starts = np.repeat(np.cumsum(counts) - counts, counts)
     at = np.arange(len(hashes))
 
-    def back(values, k, begin):
-        out = np.full(len(values), begin, values.dtype)
+    def back(k):
+        out = np.full(len(hashes), BEGIN_HASH, np.uint64)
         ok = at - k >= starts
-        out[ok] = values[at[ok] - k]
+        out[ok] = hashes[at[ok] - k]
         return out
 
-    def row(x, salt):
-        x = (x ^ np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
-        return ((x ^ (x >> np.uint64(29))) % np.uint64(ROWS)).astype(np.int64)
-
-    c1, c2 = (back(classes, k, CLASSES).astype(np.uint64) for k in (1, 2))
-    return np.stack([row(back(hashes, 1, BEGIN_HASH), 1), row(c1 * np.uint64(1009) + c2, 2), row(back(hashes, 2, BEGIN_HASH), 3), row(back(hashes, 3, BEGIN_HASH), 4)], 1)
-
-
-def _sums(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]]
-    for k in range(1, FEATURES):
-        z += weights[rows[:, k]]
-    z += bias
-    z -= z.max(1, keepdims=True)
-    return z
+    one, two = back(1), back(2)
+    return [one, (one * MIX) ^ two, two]
 
 
-def log_probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = _sums(weights, bias, rows)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def rows_of(feature: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
+    """Rows of the weight table for feature number k at the nodes."""
+    x = (feature + node.astype(np.uint64) * BEGIN_HASH) * MIX
+    return ((x ^ (x >> np.uint64(32))) & np.uint64(REGIONS[k] - 1)).astype(np.int64) + sum(REGIONS[:k])
 
 
-def probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    p = _sums(weights, bias, rows)
-    np.exp(p, out=p)
-    p /= p.sum(1, keepdims=True)
-    return p
+def exponentials(weights: np.ndarray, bias: np.ndarray, nodes: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the scores of the nodes' branches, and their sums. Weights stay within 8, so float32 holds them."""
+    z, more = (np.empty((len(nodes), WIDTH), np.float32) for _ in range(2))
+    np.take(bias, nodes, axis=0, out=z, mode="clip")
+    for r in rows:
+        z += np.take(weights, r, axis=0, out=more, mode="clip")
+    np.exp(z, out=z)
+    return z, z @ np.ones(WIDTH, np.float32)
 
 
 def _blocks(matrices: list[np.ndarray]):
@@ -114,127 +184,132 @@ def _summed(parts: DataFrame, matrices: int, tasks: int) -> list[np.ndarray]:
     """Sums of the tasks' matrices, of many tasks in two levels so that no task gets the blocks of all; the result has a fixed size."""
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(matrices * BLOCK * CLASSES)
+        total = np.zeros(matrices * BLOCK * WIDTH)
         for x in group.data:
             total += np.frombuffer(zlib.decompress(x), np.float32)
         return pd.DataFrame({"block": group.block[:1], "data": [zlib.compress(total.astype(np.float32).tobytes(), 1)]})
 
     if tasks > 16:
         parts = parts.withColumn("part", F.spark_partition_id() % math.isqrt(tasks)).groupBy("block", "part").applyInPandas(add, "block int, data binary")
-    got = parts.groupBy("block").applyInPandas(add, "block int, data binary").collect()
-    out = [np.zeros((ROWS, CLASSES), np.float32) for _ in range(matrices)]
-    for r in got:
-        data = np.frombuffer(zlib.decompress(r.data), np.float32).reshape(matrices, BLOCK, CLASSES)
-        for m in range(matrices):
-            out[m][r.block * BLOCK : (r.block + 1) * BLOCK] = data[m]
+    out = [np.zeros((ROWS, WIDTH), np.float32) for _ in range(matrices)]
+    for r in parts.groupBy("block").applyInPandas(add, "block int, data binary").collect():
+        for m, data in enumerate(np.frombuffer(zlib.decompress(r.data), np.float32).reshape(matrices, BLOCK, WIDTH)):
+            out[m][r.block * BLOCK : (r.block + 1) * BLOCK] = data
     return out
 
 
 def _count_words(batches):
-    """(word hash, ending class, count), added up in the task as far as memory is bounded."""
-    vocabulary, total = Vocabulary(), np.zeros(1 << 16, np.int64)
+    """(word hash, count), added up over some million tokens at a time."""
+    held, waiting = [], 0
 
     def out():
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 50_000):
-            some = at[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(vocabulary.hashes[some].view(np.int64)), pa.array(vocabulary.classes[some].astype(np.int32)), pa.array(total[some])], names=["word", "ending", "n"])
+        words, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
 
     for part in slices(batches, 0):
-        if len(vocabulary) > 250_000:
-            yield from out()
-            total[:] = 0
-        numbers, _ = vocabulary.numbers(part.column(0).to_pylist())
-        if len(total) < vocabulary.size:
-            total = np.append(total, np.zeros(vocabulary.size - len(total), np.int64))
-        got = np.bincount(numbers)
-        total[: len(got)] += got
-    yield from out()
-
-
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, folds: int = 7, held: int = 2, frequent: int = 1 << 16, rounds: int = 4, rate: float = 0.4) -> DataFrame:
+        words, _ = tokens_of(part.column(0).to_pylist())
+        held.append(words)
+        waiting += len(words)
+        if waiting > 1 << 22:
+            yield out()
+            held, waiting = [], 0
+    if held:
+        yield out()
+
+
+def _frequent(words: DataFrame, most: int) -> pd.DataFrame:
+    """The words (word, n) said oftener than some number of times, chosen so that they are at most `most`."""
+    grade = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(F.log2("n") * 64))
+    graded = words.withColumn("grade", grade.cast("long"))
+    found, above = 0, 0
+    for r in graded.groupBy("grade").count().orderBy(F.desc("grade")).collect():  # some thousand grades at most
+        found += r["count"]
+        if found > most:
+            above = r.grade
+            break
+    return graded.where(F.col("grade") > above).select("word", "n").toPandas().sort_values(["n", "word"], ascending=[False, True])
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, folds: int = 7, held: int = 2, frequent: int = 1 << 16, rounds: int = 3, rate: float = 0.5, calm: float = 3.0) -> DataFrame:
     """One row for each row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are [^\\x20\\x09-\\x0D]+ of the whole text with A-Z lower-cased, and one end token; a null text has the end token
-    alone. All rows outside the held-out fold train: counts, class information, the start of the weights and every round of
-    gradient updates come from all of them. A null id is a training row.
-    base_score adds log10((c+1)/(N+V+1)); score is the model's log10 probability, unknown words of a class sharing one count.
+    alone. All rows outside the held-out fold train, a null id among them, and repeated rows as often as they occur: counts
+    come from all of them, and each takes part in the gradient of one of the rounds, which share them out by a hash of the id
+    and text. base_score adds log10((c+1)/(N+V+1)); score is the model's log10 probability, words of a leaf having their
+    counts' share of it, and all unknown ones of an ending one count.
     """
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
+    sc = spark.sparkContext
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(fold_of(id_col, folds) == held, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    train = base.where("not held_out").select("text")
-    words = table(train.mapInArrow(_count_words, "word long, ending int, n long").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n")), "words")
-    top = words.orderBy(F.desc("n"), "word").limit(frequent).toPandas()
-    alone = {int(w) & (2**64 - 1): k for k, w in enumerate(top.word[: ENDINGS - 1])}
-    counts = {int(w) & (2**64 - 1): int(n) for w, n in zip(top.word, top.n)}
-    per_class = np.zeros((2, CLASSES))
-    for r in words.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        per_class[:, r.ending] += (r.n, r.v)
-    for k, (ending, n) in enumerate(zip(top.ending[: ENDINGS - 1], top.n)):
-        per_class[:, ending] -= (n, 1)
-        per_class[:, k] = (n, 1)
-    tokens, kinds = int(per_class[0].sum()), int(per_class[1].sum())
-    bias = np.log((per_class[0] + 1) / (per_class[0] + 1).sum()).astype(np.float32)
-    setup = sc.broadcast((alone, counts))
-
-    def observe(batches):
-        vocabulary, seen = Vocabulary(alone=setup.value[0]), np.zeros(ROWS * CLASSES)
-        for part in slices(batches, 0):
-            numbers, lengths = vocabulary.numbers(part.column(0).to_pylist())
-            cls = vocabulary.classes[numbers]
-            rows = features(vocabulary.hashes[numbers], cls, lengths)
-            for k in range(FEATURES):
-                seen += np.bincount(rows[:, k] * CLASSES + cls, minlength=len(seen))
-        yield _blocks([seen.reshape(ROWS, CLASSES)])
-
-    # one message for each core and round, whatever the number of files: they have the size of the weights
-    cores = max(1, sc.defaultParallelism)
-    lesson = train.coalesce(cores)
-    seen = _summed(lesson.mapInArrow(observe, "block int, data binary"), 1, cores)[0]
-    weights = 0.45 * (np.log((seen + 40 * np.exp(bias)) / (seen.sum(1, keepdims=True) + 40)) - bias)
-    weights = weights.astype(np.float32)
-    for _ in range(rounds if tokens else 0):
+    train = base.where("not held_out")
+    words = table(train.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    top = _frequent(words, frequent)
+    sums = np.zeros((2, ENDINGS))
+    for r in words.groupBy(F.col("word").bitwiseAND(ENDINGS - 1).alias("ending")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        sums[:, r.ending] += (r.n, r.v)
+    tokens, kinds = int(sums[0].sum()), int(sums[1].sum())
+    np.subtract.at(sums, (slice(None), top.word.to_numpy(np.int64) & (ENDINGS - 1)), np.stack([top.n.to_numpy(float), np.ones(len(top))]))
+    rest = sums.sum(0) + 1
+    tree = Tree(np.append(top.n.to_numpy(float), rest))
+    setup = sc.broadcast((Leaves(top.word.to_numpy(np.int64).view(np.uint64), top.n.to_numpy(float)), tree))
+    # a message has the size of the weights: one for some 32 input partitions of a round, for each core at least
+    tasks = max(sc.defaultParallelism, train.rdd.getNumPartitions() // 32)
+    weights = np.zeros((ROWS, WIDTH), np.float32)
+    for k in range(rounds if tokens else 0):
         shared = sc.broadcast(weights)
 
         def gradient(batches, shared=shared):
-            vocabulary = Vocabulary(alone=setup.value[0])
-            given = np.zeros((ROWS, CLASSES))
+            (known, tree), w = setup.value, shared.value
+            seen, given, branch = np.zeros(ROWS * WIDTH, np.float32), np.zeros(ROWS * WIDTH, np.float32), np.arange(WIDTH)
+            total, waiting = [np.zeros(ROWS * WIDTH), np.zeros(ROWS * WIDTH)], 0
             for part in slices(batches, 0):
-                numbers, lengths = vocabulary.numbers(part.column(0).to_pylist())
-                cls = vocabulary.classes[numbers]
-                rows = features(vocabulary.hashes[numbers], cls, lengths)
-                for at in range(0, len(rows), TILE):
-                    p = probabilities(shared.value, bias, rows[at : at + TILE])
-                    for k in range(FEATURES):
-                        r = rows[at : at + TILE, k]
-                        order = np.argsort(r, kind="stable")
-                        first = np.flatnonzero(np.append(True, np.diff(r[order]) > 0))
-                        given[r[order][first]] += np.add.reduceat(p[order], first)
-            yield _blocks([given])
-
-        given = _summed(lesson.mapInArrow(gradient, "block int, data binary"), 1, cores)[0]
-        # the gradient of the log likelihood is seen - given; each weight's step is scaled by the mass the model gives it
-        weights = weights + np.clip(rate * (seen - given) / (given + 3), -0.5, 0.5)
+                hashes, lengths = tokens_of(part.column(0).to_pylist())
+                leaves, features = known.find(hashes)[0], contexts(hashes, lengths)
+                for at in range(0, len(leaves), TILE):
+                    for on, node, taken in tree.steps(leaves[at : at + TILE]):
+                        rows = [rows_of(f[at : at + TILE][on], node, i) for i, f in enumerate(features)]
+                        p, s = exponentials(w, tree.bias, node, rows)
+                        p *= (1 / s)[:, None]
+                        for r in rows:
+                            r *= WIDTH
+                            np.add.at(given, (r[:, None] + branch).ravel(), p.ravel())
+                            np.add.at(seen, r + taken, np.float32(1))
+                    waiting += TILE
+                    if waiting > 1 << 23:  # below that float32 counts exactly
+                        for t, x in zip(total, (seen, given)):
+                            t += x
+                            x[:] = 0
+                        waiting = 0
+            yield _blocks([(t + x).reshape(ROWS, WIDTH) for t, x in zip(total, (seen, given))])
+
+        turn = F.pmod(F.xxhash64(F.lit(29), F.col("id").cast("string"), F.col("text")), F.lit(rounds)) == k
+        seen, given = _summed(train.where(turn).select("text").coalesce(tasks).mapInArrow(gradient, "block int, data binary"), 2, tasks)
+        # the gradient of the log likelihood, seen - given, divided by the logarithmic mean of the two
+        weights = np.clip(weights + rate * np.log((seen + calm) / (given + calm)), -8, 8)
     model = sc.broadcast(weights)
-    within = np.log10(per_class[0] + per_class[1] + 1)
+    within = np.append(np.zeros(len(top)), np.log10(rest))
 
     def score(batches):
-        vocabulary = Vocabulary(setup.value[1], setup.value[0])
+        (known, tree), w = setup.value, model.value
         for part in slices(batches, 2):
-            numbers, lengths = vocabulary.numbers(part.column(2).to_pylist())
-            cls, logs, hashes = vocabulary.classes[numbers], vocabulary.logs[numbers], vocabulary.hashes[numbers]
-            rows = features(hashes, cls, lengths)
-            gain = -within[cls]
-            for at in range(0, len(rows), TILE):
-                c = cls[at : at + TILE]
-                gain[at : at + TILE] += log_probabilities(model.value, bias, rows[at : at + TILE])[np.arange(len(c)), c] / np.log(10)
+            hashes, lengths = tokens_of(part.column(2).to_pylist())
+            leaves, common = known.find(hashes)
+            features, gain = contexts(hashes, lengths), np.zeros(len(leaves))
+            for at in range(0, len(leaves), TILE):
+                for on, node, taken in tree.steps(leaves[at : at + TILE]):
+                    p, s = exponentials(w, tree.bias, node, [rows_of(f[at : at + TILE][on], node, i) for i, f in enumerate(features)])
+                    gain[at + on] += np.log10(p[np.arange(len(p)), taken] / s)
+            gain -= within[leaves]
             starts = np.cumsum(lengths) - lengths
-            rare = logs < 0
+            rare = ~common
+            logs = np.zeros(len(leaves))
+            logs[common] = known.logs[leaves[common]]
             bounds = np.append(0, np.cumsum(np.add.reduceat(rare.astype(np.int64), starts))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0), part.column(1), pa.array(lengths), pa.array(np.add.reduceat((~rare).astype(np.int64), starts)),
-                    pa.array(np.add.reduceat(np.where(rare, 0, logs), starts)), pa.array(np.add.reduceat(gain, starts)),
+                    part.column(0), part.column(1), pa.array(lengths), pa.array(np.add.reduceat(common.astype(np.int64), starts)),
+                    pa.array(np.add.reduceat(logs, starts)), pa.array(np.add.reduceat(gain, starts)),
                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(hashes[rare].view(np.int64))),
                 ],
                 names=["id", "held_out", "n_tokens", "known", "logs", "gain", "rare"],
@@ -246,8 +321,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # each document's rare words with their counts, added up per document
     others = scored.select("rid", F.explode("rare").alias("word")).join(words.select("word", "n"), "word")
     others = others.groupBy("rid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("more_logs"))
-    all_logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
+    more_logs = F.coalesce("more_logs", F.lit(0.0))
     return scored.drop("rare").join(others, "rid", "left").select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (all_logs - F.col("n_tokens") * float(np.log10(tokens + kinds + 1))).alias("base_score"), (all_logs + F.col("gain")).alias("score"),
+        (F.col("logs") + more_logs - F.col("n_tokens") * float(np.log10(tokens + kinds + 1))).alias("base_score"), (F.col("gain") + more_logs).alias("score"),
     )

@@ -89,66 +89,96 @@ def test_lm_base_scores(spark, frequent):
     assert lm.score_texts(docs.limit(0)).count() == 0
 
 
-def test_lm_softmax_sums_to_one():
-    rng = np.random.default_rng(0)
-    w = rng.normal(size=(lm.ROWS, lm.CLASSES)).astype(np.float32)
-    rows = rng.integers(0, lm.ROWS, (50, lm.FEATURES))
-    assert np.allclose(np.exp(lm.log_probabilities(w, w[0], rows)).sum(1), 1, atol=1e-4)
-
-
-def brute_scores(rows, rounds=4, rate=0.4):
-    """The language model in one process: every training text in every round."""
+def test_lm_tokens():
+    texts = [None, "", " \t", "Ab ab AB\tx y é É \x85 z", "a" * 5000 + " b", " q ", "ab\x0bc\x0c"]
+    hashes, counts = lm.tokens_of(texts)
+    want = [[*(t or "").encode().lower().split(), None] for t in texts]
+    assert counts.tolist() == [len(w) for w in want]
+    found = {}
+    for w, h in zip([x for ws in want for x in ws], hashes.tolist()):
+        assert found.setdefault(w, h) == h
+    assert len(set(found.values())) == len(found)
+    assert np.array_equal(hashes, lm.tokens_of(texts, piece=7)[0])
+
+
+@pytest.mark.parametrize("leaves", [1, 2, 16, 17, 900])
+def test_lm_tree_is_a_code(leaves):
+    mass = np.random.default_rng(leaves).zipf(1.5, leaves).astype(float)
+    tree, whole = lm.Tree(mass), np.zeros(leaves)
+    for on, node, branch in tree.steps(np.arange(leaves)):
+        whole[on] += tree.bias[node, branch]
+    assert np.allclose(np.exp(whole), mass / mass.sum(), rtol=1e-4)
+
+
+def brute_scores(rows, frequent, rounds_of, rounds=3, rate=0.5, calm=3.0):
+    """The language model word by word in Python: {id: score}. rounds_of gives each training row's round."""
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    c = Counter(x for i, t, *_ in rows if not held(i) for x in (*t.encode().lower().split(), b"\n"))
-    hashes = lm.Vocabulary()
-    by_count = sorted(c, key=lambda w: (-c[w], int(hashes.hashes[hashes[w]].astype(np.int64))))
-    alone = {int(hashes.hashes[hashes[w]]): k for k, w in enumerate(by_count[: lm.ENDINGS - 1])}
-    vocabulary, per_class = lm.Vocabulary(alone=alone), np.zeros((2, lm.CLASSES))
-    for w, n in c.items():
-        per_class[:, vocabulary.classes[vocabulary[w]]] += (n, 1)
-    bias = np.log((per_class[0] + 1) / (per_class[0] + 1).sum()).astype(np.float32)
-
-    def of(texts):
-        numbers, lengths = vocabulary.numbers(texts)
-        cls = vocabulary.classes[numbers]
-        return numbers, cls, lm.features(vocabulary.hashes[numbers], cls, lengths), lengths
-
-    _, cls, at, _ = of([t for i, t, *_ in rows if not held(i)])
-    seen = np.zeros((lm.ROWS, lm.CLASSES))
-    for k in range(lm.FEATURES):
-        np.add.at(seen, (at[:, k], cls), 1)
-    weights = 0.45 * (np.log((seen + 40 * np.exp(bias)) / (seen.sum(1, keepdims=True) + 40)) - bias)
-    for _ in range(rounds):
-        given = np.zeros((lm.ROWS, lm.CLASSES))
-        for lo in range(0, len(at), 1 << 14):
-            p = np.exp(lm.log_probabilities(weights.astype(np.float32), bias, at[lo : lo + (1 << 14)]))
-            for k in range(lm.FEATURES):
-                given += np.stack([np.bincount(at[lo : lo + (1 << 14), k], p[:, j], lm.ROWS) for j in range(lm.CLASSES)], 1)
-        weights = weights + np.clip(rate * (seen - given) / (given + 3), -0.5, 0.5)
-    numbers, cls, at, lengths = of([t for _, t, *_ in rows])
-    words = {n: w for w, n in vocabulary.items()}
-    logs = np.array([math.log10(c[words[n]] + 1) for n in numbers]) - np.log10(per_class[0] + per_class[1] + 1)[cls]
-    for lo in range(0, len(at), 1 << 14):
-        mine = cls[lo : lo + (1 << 14)]
-        logs[lo : lo + (1 << 14)] += lm.log_probabilities(weights.astype(np.float32), bias, at[lo : lo + (1 << 14)])[np.arange(len(mine)), mine] / np.log(10)
-    return dict(zip([i for i, *_ in rows], np.add.reduceat(logs, np.cumsum(lengths) - lengths)))
-
-
-def test_lm_learns_from_every_training_text(spark):
-    words = [f"w{k}" for k in range(90)]
+    tokens = lambda t: [*(t or "").encode().lower().split(), b"\n"]
+    c = Counter(x for i, t, *_ in rows if not held(i) for x in tokens(t))
+    h = {x: int(lm.tokens_of([x.decode()])[0][0]) if x != b"\n" else int(lm.END_HASH) for i, t, *_ in rows for x in tokens(t)}
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    top, by_n = [], sorted(set(c.values()), reverse=True)
+    for n in by_n:
+        more = [x for x in c if c[x] == n]
+        if len(top) + len(more) > frequent:
+            break
+        top += sorted(more, key=lambda x: signed(h[x]))
+    leaf = {x: top.index(x) if x in top else len(top) + h[x] % lm.ENDINGS for x in h}
+    rest = np.ones(lm.ENDINGS)
+    for x, n in c.items():
+        if x not in top:
+            rest[h[x] % lm.ENDINGS] += n + 1
+    tree = lm.Tree(np.append([float(c[x]) for x in top], rest))
+    w: dict = {}
+
+    def steps(text):
+        mine = tokens(text)
+        for k, x in enumerate(mine):
+            one, two = (h[mine[k - d]] if k >= d else int(lm.BEGIN_HASH) for d in (1, 2))
+            hashed = [one, (one * int(lm.MIX)) % 2**64 ^ two, two]
+            for _, node, branch in tree.steps(np.array([leaf[x]])):
+                at = [int(lm.rows_of(np.array([f], np.uint64), node, i)[0]) for i, f in enumerate(hashed)]
+                z = tree.bias[node[0]].astype(float) + sum(w.get(r, np.zeros(lm.WIDTH)) for r in at)
+                p = np.exp(z)
+                yield at, p / p.sum(), branch[0]
+
+    for turn in range(rounds):
+        seen, given = {}, {}
+        for (i, t, *_), mine in zip(rows, rounds_of):
+            if mine == turn and not held(i):
+                for at, p, b in steps(t):
+                    for r in at:
+                        seen.setdefault(r, np.zeros(lm.WIDTH))[b] += 1
+                        given[r] = given.get(r, 0) + p
+        for r in seen:
+            w[r] = np.clip(w.get(r, 0) + rate * np.log((seen[r] + calm) / (given[r] + calm)), -8, 8)
+    return {
+        i: sum(math.log10(p[b]) for _, p, b in steps(t)) + sum(math.log10((c[x] + 1) / rest[h[x] % lm.ENDINGS]) if x not in top else 0 for x in tokens(t))
+        for i, t, *_ in rows
+    }
+
+
+@pytest.mark.parametrize("frequent", [20, 1 << 16])
+def test_lm_scores_equal_brute_force(spark, frequent):
+    from pyspark.sql import functions as F
+
+    words = [f"w{k}" for k in range(50)]
     rng = np.random.default_rng(3)
-    rows = [(i, " ".join(words[(int(k) * (1 + i % 5)) % 90] for k in rng.integers(0, 90, 5)), "en", "s") for i in range(4500)]
-    want = brute_scores(rows)
-    for r in lm.score_texts(spark.createDataFrame(rows, SCHEMA)).collect():
-        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-3)
-
-
-def test_lm_expects_what_it_saw_of_a_word_said_very_often(spark):
-    assert lm.ROWS == 1 << 14
-    rows = [(i, "said " * n + f"w{i}", "en", "s") for i, n in enumerate([90_000, 3, 0, 50, 1, 7])]
-    want = brute_scores(rows)
-    for r in lm.score_texts(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect():
-        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-3)
+    rows = [(i, " ".join(words[(int(k) * (1 + i % 5)) % 50] for k in rng.integers(0, 50, int(rng.integers(1, 9)))), "en", "s") for i in range(60)]
+    rows += [(100, "said " * 400, "", ""), (None, None, "", ""), (101, "", "", ""), (102, "W1 unknown" + "x" * 300, "", "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    turns = [r.t for r in docs.select(F.pmod(F.xxhash64(F.lit(29), F.col("doc_id").cast("string"), F.col("text")), F.lit(3)).alias("t")).collect()]
+    want = brute_scores(rows, frequent, turns)
+    got = lm.score_texts(docs.repartition(3), frequent=frequent).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-4)
+
+
+def test_lm_repeated_rows(spark):
+    rows = [(1, "a b c", "", ""), (1, "a b c", "", ""), (1, "d e", "", ""), (3, "a b", "", "")]
+    got = lm.score_texts(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.n_tokens for r in got) == [3, 3, 4, 4] and len({r.score for r in got if r.n_tokens == 4}) == 1
 
 
 def brute_vectors(rows, cosine):
