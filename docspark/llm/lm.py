@@ -285,6 +285,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         turn = F.pmod(F.xxhash64(F.lit(29), F.col("id").cast("string"), F.col("text")), F.lit(rounds)) == k
         seen, given = _summed(train.where(turn).select("text").coalesce(tasks).mapInArrow(gradient, "block int, data binary"), 2, tasks)
+        shared.destroy()
         # the gradient of the log likelihood, seen - given, divided by the logarithmic mean of the two
         weights = np.clip(weights + rate * np.log((seen + calm) / (given + calm)), -8, 8)
     model = sc.broadcast(weights)
@@ -318,6 +319,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     scored = base.mapInArrow(score, f"id {kind}, held_out boolean, n_tokens long, known long, logs double, gain double, rare array<long>")
     scored = table(scored.withColumn("rid", F.monotonically_increasing_id()), "scored")
+    model.destroy()
+    setup.destroy()
     # each document's rare words with their counts, added up per document
     others = scored.select("rid", F.explode("rare").alias("word")).join(words.select("word", "n"), "word")
     others = others.groupBy("rid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("more_logs"))
