@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,11 +17,17 @@ _own_dir: tempfile.TemporaryDirectory | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only in local mode where that is unset.
+
+    On a cluster without the setting this raises, for executors' own folders are not seen by each other. Tables stay there as long
+    as DataFrames built on them may be read; the application's folder can be swept when it has ended.
+    """
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not re.fullmatch(r"local(\[[0-9*,]+\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.TemporaryDirectory(prefix="docspark-")
     return f"file://{_own_dir.name}"
@@ -29,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 def table(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/docspark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/docspark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -98,20 +105,41 @@ def may_contain(df: DataFrame, key: str, words: DataFrame, flag: str, bits: int
     return joined.withColumn(flag, F.coalesce(F.expr(f"(shiftright(_mask, cast(pmod(xxhash64({key}), 64) as int)) & 1) = 1"), F.lit(False))).drop("_word", "_mask")
 
 
+def hot_values(df: DataFrame, on: str) -> DataFrame:
+    """The values of the column that have more than an eighth of a shuffle partition's share of the rows.
+
+    They are at most eight times as many as there are shuffle partitions, whatever the size of df, so they may be broadcast.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = df.count()
+    return table(df.where(F.col(on).isNotNull()).groupBy(on).count().where(F.col("count") * (8 * parts) > n).select(on), "hot")
+
+
+def lookup(df: DataFrame, right: DataFrame, on: str, hot: DataFrame | None = None) -> DataFrame:
+    """df left-joined with right, whose values of `on` are unique. Hot values of df meet their row of right in a broadcast join, so
+    that no task gets all rows of one value; the others are shuffled. df should be a table, for it is read twice.
+    """
+    hot = hot_values(df, on) if hot is None else hot
+    few = F.broadcast(hot.join(right, on))
+    often = df.join(F.broadcast(hot), on, "left_semi").join(few, on, "left")
+    return df.join(F.broadcast(hot), on, "left_anti").join(right, on, "left").unionByName(often)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the edges (a, b): rows (v, component), component being the smallest vertex reached.
 
     Each round takes the smallest label of the neighbours and then the label's own label, so a path of n vertices needs
-    about log n rounds. Every round is a shuffle of labels with partial aggregation; nothing comes to the driver but a count.
+    about log n rounds. Every round is a shuffle of labels with partial aggregation; vertices with very many edges and labels of
+    very many vertices are looked up by broadcast. Nothing comes to the driver but counts.
     """
     both = table(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = table(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("component")), "labels")
+    hubs = hot_values(both, "b")
     for _ in range(rounds):
-        near = both.join(labels, both.b == labels.v).groupBy("a").agg(F.min("component").alias("m"))
-        near = labels.join(near, labels.v == near.a).select("v", F.col("component").alias("old"), F.least("component", "m").alias("l"))
-        up = labels.select(F.col("v").alias("uv"), F.col("component").alias("ul"))
-        moved = near.join(up, F.col("l") == F.col("uv"), "left").select("v", "old", F.coalesce(F.least("l", "ul"), "l").alias("component"))
-        moved = table(moved, "labels")
+        near = lookup(both, labels.withColumnRenamed("v", "b"), "b", hubs).groupBy("a").agg(F.min("component").alias("m"))
+        near = table(labels.join(near, labels.v == near.a).select("v", F.col("component").alias("old"), F.least("component", "m").alias("l")), "near")
+        up = labels.select(F.col("v").alias("l"), F.col("component").alias("ul"))
+        moved = table(lookup(near, up, "l").select("v", "old", F.coalesce(F.least("l", "ul"), "l").alias("component")), "labels")
         changed = moved.where("component < old").limit(1).count()
         labels = moved.select("v", "component")
         if not changed:

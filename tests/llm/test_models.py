@@ -205,18 +205,18 @@ def brute_vectors(rows, cosine):
     return sorted((rows[k][0], n[k], min(least[find(k)])) for k in range(len(rows)))
 
 
-@pytest.mark.parametrize("block", [16, 1024])
-def test_vectors_equal_brute_force(spark, block):
+@pytest.mark.parametrize("how", [{"block": 4, "fan": 3, "share": 10}, {"block": 16, "fan": 8, "share": 1000}, {}])
+def test_vectors_equal_brute_force(spark, how):
     rng = np.random.default_rng(8)
     rows = []
     for k in range(12):
         center = rng.normal(size=12)
         for _ in range(int(rng.integers(1, 40))):
-            rows.append((len(rows), [float(v) for v in center + rng.normal(size=12) * rng.choice([0.02, 0.1, 0.2])], int(k % 3)))
+            rows.append((len(rows), [float(v) for v in center + rng.normal(size=12) * rng.choice([0.002, 0.02, 0.1, 0.2])], int(k % 3)))
     rows += [(len(rows) + k, rows[5][1], rows[5][2]) for k in range(7)]
     rows += [(1000, None, 1), (1001, [0.0] * 12, 1), (1002, [float("nan")] * 12, 1), (1003, rows[0][1], None), (1004, [], 1), (1005, [1.0, None], 1), (1006, [float("inf")] * 12, 1), (1007, [1e-300] * 12, 1), (1008, [2.0] * 12, 1), (1009, [1.0] * 5, 1)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<double>, label int, weight string").repartition(3)
-    got = cover_tree.near_vectors(df, block=block).collect()
+    got = cover_tree.near_vectors(df, **how).collect()
     # 1007's norm is too small for the plain formula of the brute force
     want = [r for r in brute_vectors([r for r in rows if r[0] != 1007], 0.98) if r[0] != 1008]
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got if r.vec_id not in (1007, 1008)) == want
@@ -233,7 +233,7 @@ def test_cover_tree_covers():
     for k, kids in enumerate(tree.children):
         mine = tree.points[tree.begin[k] : tree.end[k]]
         assert np.linalg.norm(mine - tree.points[tree.center[k]], axis=1).max() <= tree.radius[k] + 1e-7
-        assert not kids or sorted(i for c in kids for i in range(tree.begin[c], tree.end[c])) == list(range(tree.begin[k], tree.end[k]))
+        assert not len(kids) or sorted(i for c in kids for i in range(tree.begin[c], tree.end[c])) == list(range(tree.begin[k], tree.end[k]))
 
 
 def test_quality_learns_from_every_chunk(spark, monkeypatch):
