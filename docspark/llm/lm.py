@@ -253,8 +253,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = sums.sum(0) + 1
     tree = Tree(np.append(top.n.to_numpy(float), rest))
     setup = sc.broadcast((Leaves(top.word.to_numpy(np.int64).view(np.uint64), top.n.to_numpy(float)), tree))
-    # a message has the size of the weights: one for some 32 input partitions of a round, for each core at least
-    tasks = max(sc.defaultParallelism, train.rdd.getNumPartitions() // 32)
+    # a message has the size of the weights, so one stands for three input partitions; but each core has one
+    tasks = max(sc.defaultParallelism, train.rdd.getNumPartitions() // 3)
     weights = np.zeros((ROWS, WIDTH), np.float32)
     for k in range(rounds if tokens else 0):
         shared = sc.broadcast(weights)
