@@ -1,15 +1,16 @@
 """Secrets found by one deterministic automaton for all rules.
 
-The rules' regular expressions become one nondeterministic automaton over bytes; subset construction and minimisation turn it
-into a transition array. Texts are scanned once, all rules together: a buffer of many texts is cut into lanes that numpy steps
-through side by side, and a lane whose true entry state differs from the assumed one is run again until it agrees. The
-automaton says which texts match which rules; only there are the exact spans taken, rule by rule.
+The rules' regular expressions become one nondeterministic automaton over bytes; reversed, by subset construction and
+minimisation, it turns into a transition array that is run once over the texts from their ends: its state at a byte tells which
+rules match from there on. A buffer of many texts is cut into lanes that numpy steps through side by side, and a lane whose true
+entry state differs from the assumed one is run again until it agrees. From the leftmost start that no earlier match covers, the
+forward automaton goes on to the first accepting byte, and the closing run of the rule's last class gives the end; lengths are
+counted on those runs.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 import re._constants as op
 import re._parser as sre
 
@@ -41,7 +42,7 @@ class Nfa:
     def __init__(self):
         self.free: list[list[int]] = []
         self.steps: list[list[tuple[frozenset, int]]] = []
-        self.chain: list[int] = []  # the places of the last unbounded repeat, by count
+        self.tail: frozenset | None = None  # the class of the last unbounded repeat
 
     def state(self) -> int:
         self.free.append([])
@@ -64,25 +65,24 @@ class Nfa:
                 at = end
             elif kind is op.MAX_REPEAT:
                 low, high, tree_ = arg
-                chain = [at]
                 for _ in range(low):
                     at = self.add(tree_, at, fold)
-                    chain.append(at)
+                end = self.state()
                 if high == op.MAXREPEAT:
-                    loop = self.state()
-                    self.free[at].append(loop)
-                    self.free[self.add(tree_, loop, fold)].append(loop)
-                    at = loop
-                    self.chain = [*chain[1:], loop]
+                    self.free[at].append(end)
+                    again = self.add(tree_, end, fold)
+                    self.free[again].append(end)
+                    self.tail = self.steps[end][0][0] if len(tree_) == 1 and self.steps[end] else None
                 else:
-                    end = self.state()
                     for _ in range(high - low):
                         self.free[at].append(end)
                         at = self.add(tree_, at, fold)
                     self.free[at].append(end)
-                    at = end
+                at = end
             else:
                 raise ValueError(f"{kind} is not used in rules")
+            if kind not in (op.MAX_REPEAT, op.SUBPATTERN):
+                self.tail = None
         return at
 
     def byte(self, at: int, chars: set[int], fold: bool) -> int:
@@ -92,6 +92,26 @@ class Nfa:
         self.steps[at].append((frozenset(chars), end))
         return end
 
+    def reversed(self) -> Nfa:
+        other = Nfa()
+        other.free, other.steps = [[] for _ in self.free], [[] for _ in self.steps]
+        for s in range(len(self.free)):
+            for n in self.free[s]:
+                other.free[n].append(s)
+            for chars, n in self.steps[s]:
+                other.steps[n].append((chars, s))
+        return other
+
+    def closed(self, states) -> frozenset:
+        todo = list(states)
+        seen = set(todo)
+        while todo:
+            for n in self.free[todo.pop()]:
+                if n not in seen:
+                    seen.add(n)
+                    todo.append(n)
+        return frozenset(seen)
+
 
 def members(items) -> set[int]:
     out: set[int] = set()
@@ -100,67 +120,39 @@ def members(items) -> set[int]:
     return out
 
 
-def least(pattern: str, group: int, length: int) -> str:
-    """The pattern with its measured group (0: the whole, ending in a repeated class) not shorter than length."""
-    if group:
-        return re.sub(r"\+\)$", f"{{{length},}})", pattern)
-    if not pattern.endswith("+"):
-        return pattern
-    fixed = sre.parse(pattern[: pattern.rindex("[")]).getwidth()[0]
-    return f"{pattern[:-1]}{{{max(1, length - fixed)},}}"
-
+def deterministic(nfa: Nfa, starts: list[frozenset], accept: dict[int, int], search: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(transitions[state, class], class of each byte, accepted rules of each state as bits); the first states are the starts.
 
-def automaton(rules, counted=("hex",)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(transitions[state, class], class of each byte, accepted rules of each state as bits); state 0 is the start.
-
-    A state stands for the set of places in the rules that the bytes so far can have led to, a match being searched from
-    every byte on; bit r is set where a match of rule r ends. Only for the kinds in `counted` is the least length part of the
-    automaton: the others begin with something rare, and leaving their lengths to the spans keeps the states few.
+    A state stands for the set of places in the rules that the bytes so far can have led to; with search the (only) start is
+    added again at every byte.
     """
-    nfa = Nfa()
-    root = nfa.state()
-    accept, chains = {}, []
-    for r, (kind, pattern, fold, group, length) in enumerate(rules):
-        first = nfa.state()
-        nfa.free[root].append(first)
-        nfa.chain = []
-        end = nfa.add(sre.parse(least(pattern, group, length) if kind in counted else pattern), first, fold)
-        accept[end] = 1 << r
-        if nfa.chain and nfa.chain[-1] == end:
-            chains.append(nfa.chain)
-
-    def closed(states) -> frozenset:
-        todo = list(states)
-        seen = set(todo)
-        while todo:
-            for n in nfa.free[todo.pop()]:
-                if n not in seen:
-                    seen.add(n)
-                    todo.append(n)
-        for chain in chains:  # of the places in a rule's closing run only the furthest matters: it accepts whatever the others do
-            got = [s for s in chain if s in seen]
-            seen.difference_update(got[:-1])
-        return frozenset(seen)
-
     sets = {s for steps in nfa.steps for s, _ in steps}
     kinds: dict[tuple, int] = {}
     classes = np.array([kinds.setdefault(tuple(b in s for s in sets), len(kinds)) for b in range(256)], np.int32)
     example = [int(np.flatnonzero(classes == c)[0]) for c in range(len(kinds))]
-    begin = closed([root])
-    number, todo, table = {begin: 0}, [begin], []
+    number, table = {}, []
+    for s in starts:
+        number.setdefault(s, len(number))
+    todo, again = list(number), starts[0] if search else frozenset()
     while todo:
         here = todo.pop(0)
         row = []
         for c in example:
-            nxt = closed(begin | {n for s in here for chars, n in nfa.steps[s] if c in chars})
+            nxt = nfa.closed(again | {n for s in here for chars, n in nfa.steps[s] if c in chars})
             if nxt not in number:
                 number[nxt] = len(number)
                 todo.append(nxt)
             row.append(number[nxt])
         table.append(row)
-    steps = np.array(table, np.int32)
-    bits = np.array([sum(accept.get(s, 0) for s in states) for states in number], np.int32)
-    # minimisation: refine the classes of equal acceptance until equal classes go to equal classes
+    bits = np.zeros(len(number), np.int32)
+    for states, k in number.items():
+        for s in states:
+            bits[k] |= accept.get(s, 0)
+    return np.array(table, np.int32), classes, bits
+
+
+def minimised(steps: np.ndarray, classes: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same automaton with as few states as can be: classes of equal acceptance are refined until equal ones go to equal ones."""
     block = np.unique(bits, return_inverse=True)[1]
     while True:
         finer = np.unique(np.column_stack([block, block[steps]]), axis=0, return_inverse=True)[1].reshape(-1)
@@ -173,6 +165,62 @@ def automaton(rules, counted=("hex",)) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return block[steps[one]].astype(np.int32), classes, bits[one]
 
 
+class Machine:
+    """All rules: the reversed automaton that finds starts, and the forward one that goes from a start to the first accepting byte."""
+
+    def __init__(self, rules):
+        nfa, accept, starts, firsts, self.tails = Nfa(), {}, [], {}, []
+        for r, (_, pattern, fold, _, _) in enumerate(rules):
+            first = nfa.state()
+            nfa.tail = None
+            end = nfa.add(sre.parse(pattern), first, fold)
+            accept[end] = 1 << r
+            firsts[first] = 1 << r
+            starts.append(first)
+            self.tails.append(nfa.tail)
+        back = nfa.reversed()
+        self.back = minimised(*deterministic(back, [back.closed(accept)], firsts, True))
+        steps, classes, bits = deterministic(nfa, [nfa.closed([s]) for s in starts], accept, False)
+        self.steps, self.classes, self.bits = steps.tolist(), classes.tolist(), bits.tolist()
+        dead = next((k for k, row in enumerate(steps.tolist()) if not bits[k] and all(n == k for n in row)), -1)
+        for k, row in enumerate(self.steps):  # a match is over at its first accepting byte but for the run of its last class
+            for c, n in enumerate(row):
+                tail = self.tails[bits[k].item().bit_length() - 1] if bits[k] else None
+                if bits[k] and (n != dead) != (tail is not None and int(np.flatnonzero(classes == c)[0]) in tail):
+                    raise ValueError("a rule must end in a fixed text or in one repeated class")
+        self.one_run = [tail is not None and all(self.bits[self.steps[r][self.classes[b]]] >> r & 1 for b in tail) for r, tail in enumerate(self.tails)]
+        self.rules = rules
+
+    def spans(self, buffer: bytes) -> list[tuple[int, int, int]]:
+        """(start, rule, end) in bytes of each rule's leftmost matches that do not overlap, those too short left out."""
+        data = np.frombuffer(buffer, np.uint8)
+        got = self.back[2][scan(np.ascontiguousarray(data[::-1]), *self.back[:2])][::-1]
+        hit, found = int(np.bitwise_or.reduce(got)), []
+        for r, (_, _, _, group, length) in enumerate(self.rules):
+            if not hit >> r & 1:
+                continue
+            starts = np.flatnonzero(got >> r & 1)
+            stops = np.flatnonzero(~np.isin(data, list(self.tails[r]))) if self.tails[r] else None
+            if self.one_run[r]:  # every byte of the run is a start, and the run is the match
+                starts = starts[np.append(True, np.diff(starts) > 1)]
+                ends = stops[np.searchsorted(stops, starts)]
+                long = ends - starts >= length
+                found += [(s, r, e) for s, e in zip(starts[long].tolist(), ends[long].tolist())]
+                continue
+            done = 0
+            for start in starts.tolist():
+                if start < done:
+                    continue
+                state, at = r, start
+                while not self.bits[state] >> r & 1:
+                    state = self.steps[state][self.classes[buffer[at]]]
+                    at += 1
+                done = int(stops[np.searchsorted(stops, at)]) if stops is not None else at
+                if done - (at - 1 if group else start) >= length:
+                    found.append((start, r, done))
+        return sorted(found)
+
+
 def scan(buffer: np.ndarray, steps: np.ndarray, classes: np.ndarray, lane: int = LANE) -> np.ndarray:
     """The automaton's state after each byte of the buffer."""
     n = len(buffer)
@@ -204,44 +252,34 @@ def scan(buffer: np.ndarray, steps: np.ndarray, classes: np.ndarray, lane: int =
     return (out.T.reshape(-1)[:n]) // width
 
 
-def rules_hit(texts: list[str | None], machine) -> np.ndarray:
-    """For each text the rules that match in it, as bits. Texts are parted by a byte that no rule matches."""
-    steps, classes, bits = machine
+def spans_of(texts: list[str | None], machine: Machine) -> list[list[tuple[int, int, int]]]:
+    """For each text its (start, rule, end) in code points. Texts are parted by a byte that no rule matches."""
     parts = [(t or "").encode("utf-8", "replace") for t in texts]
-    buffer = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)
-    got = bits[scan(buffer, steps, classes)]
-    starts = np.cumsum([0] + [len(p) + 1 for p in parts[:-1]])
-    return np.bitwise_or.reduceat(got, starts)
-
-
-def spans_of(text: str, rules, patterns, hit: int) -> list[tuple[int, int, int]]:
-    """(start, rule, end) of the rules that hit: leftmost matches that do not overlap, those too short left out."""
-    found = []
-    for r, (_, _, _, group, length) in enumerate(rules):
-        if hit >> r & 1:
-            found += [(m.start(), r, m.end()) for m in patterns[r].finditer(text) if m.end(group) - m.start(group) >= length]
-    return sorted(found)
-
-
-def compiled(rules):
-    return [re.compile(p, re.ASCII | (re.IGNORECASE if fold else 0)) for _, p, fold, _, _ in rules]
+    buffer = b"\0".join(parts) + b"\0"
+    found, out = machine.spans(buffer), [[] for _ in texts]
+    if found:
+        points = np.append(0, np.cumsum((np.frombuffer(buffer, np.uint8) & 0xC0) != 0x80))
+        begins = np.cumsum([0] + [len(p) + 1 for p in parts[:-1]])
+        owner = np.searchsorted(begins, [s for s, _, _ in found], "right") - 1
+        for (s, r, e), k in zip(found, owner.tolist()):
+            out[k].append((int(points[s] - points[begins[k]]), r, int(points[e] - points[begins[k]])))
+    return out
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, more=MORE) -> DataFrame:
     """One row for each row of docs: id_col, n_assign, n_access, n_hex, base_sha256, spans.
 
     spans lists kind:start:end by start (code points, end exclusive), the base rules' and those of `more`; base_sha256 is the
-    SHA-256 of the base rules' spans alone, joined in the same way. Null and empty texts have none.
+    SHA-256 of the base rules' spans alone, joined in the same way. Null and empty texts have none. Ids are not looked at, so
+    repeated rows give repeated results. Each rule must end in a fixed text or in one repeated class, the measured group (if
+    any) being that class's run.
     """
     rules = [*BASE, *more]
-    machine = docs.sparkSession.sparkContext.broadcast(automaton(rules))
+    machine = docs.sparkSession.sparkContext.broadcast(Machine(rules))
 
     def run(texts):
-        patterns = compiled(rules)
-        hits = rules_hit(texts, machine.value)
         n, digests, spans = [[], [], []], [], []
-        for t, h in zip(texts, hits.tolist()):
-            found = spans_of(t, rules, patterns, h) if h else []
+        for found in spans_of(texts, machine.value):
             text = lambda x: f"{rules[x[1]][0]}:{x[0]}:{x[2]}"
             base = [x for x in found if x[1] < len(BASE)]
             for r in range(3):

@@ -20,26 +20,45 @@ SECRET_TEXTS = [
 ]
 
 
+def plain_spans(t):
+    """The rules written out anew: (start, place in the list of kinds, end)."""
+    run = lambda p, low, flags=0: [(m.start(), m.end()) for m in re.finditer(p, t or "", re.A | flags) if len(m[m.lastindex or 0]) >= low]
+    found = {
+        "assign": run(r"(?:pass(?:word|wd)|secret|token|api_?key)[\"']?[ ]*[=:][ ]*[\"']?([a-z0-9+/_.=-]+)", 12, re.I),
+        "access": run("AKIA[0-9A-Z]+", 18),
+        "hex": run("[a-f0-9]+", 16),
+        "private_key": run("-----BEGIN ((RSA|EC|DSA|OPENSSH|PGP) )?PRIVATE KEY", 0),
+        "git_token": run("gh[oprsu]_[0-9a-zA-Z]+", 40),
+        "chat_token": run("xox[abprs]-[-a-zA-Z0-9]+", 20),
+        "web_token": run(r"eyJ[\w-]+\.eyJ[\w-]+\.[\w-]+", 30),
+    }
+    return sorted((s, k, e, f"{kind}:{s}:{e}") for k, (kind, spans) in enumerate(found.items()) for s, e in spans)
+
+
 def test_secrets_equal_plain_regexes(spark):
     texts = SECRET_TEXTS + ["x" * k + "password=abcdefghijkl " + "q" * (1000 - k) for k in range(0, 1000, 90)]
+    rng = np.random.default_rng(2)
+    pieces = ["token", "secret", "=", ":", " ", "'", '"', "api_key", "apikey", "AKIA", "AKIAABCDEFGHIJKLMN", "abcdefghijkl", "0123456789abcdef", "Z", "\0", "é", "eyJab", ".", "passwd", "PASSWORD", "ghp_", "-----BEGIN ", "PRIVATE KEY", "\U0001d4b3"]
+    texts += ["".join(rng.choice(pieces, int(rng.integers(1, 60)))) for _ in range(400)]
     docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], SCHEMA)
     got = {r.doc_id: r for r in secrets.secrets(docs).collect()}
-    rules = [*secrets.BASE, *secrets.MORE]
     for i, t in enumerate(texts):
-        found = []
-        for k, (kind, p, fold, g, n) in enumerate(rules):
-            found += [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(p, t or "", re.A | (re.I if fold else 0)) if len(m.group(g)) >= n]
-        found.sort()
-        base = ",".join(x[2] for x in found if x[1] < 3)
-        assert got[i].spans == ",".join(x[2] for x in found)
+        found = plain_spans(t)
+        base = ",".join(x[3] for x in found if x[1] < 3)
+        assert got[i].spans == ",".join(x[3] for x in found), t
         assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(x[1] == k for x in found) for k in range(3))
     assert got[12].spans and got[10].spans and got[11].spans and got[13].spans
     assert secrets.secrets(docs.limit(0)).count() == 0
 
 
+def test_secret_rules_with_an_open_end_are_refused():
+    with pytest.raises(ValueError):
+        secrets.Machine([("odd", "ab(?:cd)?", False, 0, 1)])
+
+
 def test_lanes_agree_with_one_lane():
-    machine = secrets.automaton([*secrets.BASE, *secrets.MORE])
+    machine = secrets.Machine([*secrets.BASE, *secrets.MORE]).back
     text = np.frombuffer("\0".join((t or "") for t in SECRET_TEXTS).encode() * 3, np.uint8)
     whole = secrets.scan(text, *machine[:2], lane=len(text))
     for lane in (7, 64, 1024):
