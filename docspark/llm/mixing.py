@@ -32,7 +32,7 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFram
     by = one.orderBy(F.col("source_size") / F.col("weight"), "k")
     earlier = by.rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("left", share * F.sum("source_size").over(one) - most * F.coalesce(F.sum("source_size").over(earlier), F.lit(0)))
-    per = per.withColumn("rate", F.col("left") / F.sum("weight").over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    per = per.withColumn("rate", F.col("left") / (F.sum("weight").over(one) - F.coalesce(F.sum("weight").over(earlier), F.lit(0.0))))
     per = per.withColumn("open", F.when(F.col("rate") * F.col("weight") <= most * F.col("source_size"), F.col("rate")))
     first = F.first("open", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     stopped = F.min(F.when(F.col("open").isNotNull(), F.struct(F.col("source_size") / F.col("weight"), F.col("k")))).over(one)
@@ -55,14 +55,14 @@ def position(share: Column, start: Column, end: Column) -> Column:
     return 2 * area / (start + F.sqrt(start * start + 2 * (end - start) * area))
 
 
-def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+def _taken(docs: DataFrame, id_col: str, size: Column, source_col: str, seed: int) -> DataFrame:
     """row, id, size, source_size, target, start (words of the source before this row), weight schedule.
 
     The running sum has two levels: sums of about sqrt(rows) random buckets of each source, then inside each bucket; so no
     task gets a whole source.
     """
     source = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
-    base = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), source.alias("skey"), word_count(F.col(text_col)).alias("size"))
+    base = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), source.alias("skey"), size.alias("size"))
     buckets = max(1, round(docs.count() ** 0.5))
     base = base.withColumn("u", F.xxhash64(F.lit(seed), F.col("id").cast("string"), "skey", "size"))
     base = base.withColumn("bucket", F.pmod(F.shiftright("u", 20), F.lit(buckets)))
@@ -84,29 +84,32 @@ def _pass(n: int) -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, seed: int = 17) -> DataFrame:
-    """One row for each row of docs: id_col, size, source_size, target, taken, position, position2.
+    """One row for each row of docs, range-sorted by position: id_col, size, source_size, target, taken, position, position2.
 
     Size is the number of words. A source's words, in a fixed random order of its documents, are taken from the front: twice
     over if the target asks for it, the document at the end of a pass in part, so the words taken meet the target. position
     and position2 are the training times (0 to 1) of the first and second copy, null if not taken. Null and empty texts have
     size 0 and take nothing; a null id is an id like any other; fully repeated rows may swap their results.
     """
-    rows = _taken(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, seed)
+    sized = table(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sized")
+    rows = _taken(sized, "id", F.col("size"), "source", seed)
     first, second = _pass(0), _pass(1)
     at = lambda done: F.least(F.lit(1.0), position(F.try_divide(done + F.col("start") + F.col("size") / 2, F.col("target")), F.col("w0"), F.col("w1")))
-    return rows.select(
+    mixed = rows.select(
         F.col("id").alias(id_col), "size", "source_size", "target", (first + second).alias("taken"),
         F.when(first > 0, at(F.lit(0))).alias("position"), F.when(second > 0, at(F.col("source_size"))).alias("position2"),
     )
+    order = F.col("position").asc_nulls_last(), F.col(id_col)
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, seed: int = 17, length_col: str | None = None) -> DataFrame:
-    """The mix itself: a row of docs for each copy taken, all columns, range-sorted by training position.
+    """The mix itself: a row of docs for each copy taken, all columns, range-sorted by training position; documents without words leave it.
 
     A copy taken in part keeps so many words from its front and, if length_col names the column of the text's length, has it
     set anew; the others are unchanged.
     """
-    rows = _taken(docs, id_col, text_col, source_col, seed)
+    rows = _taken(docs, id_col, word_count(F.col(text_col)), source_col, seed)
     copy = lambda n: F.struct(_pass(n).alias("words"), (n * F.col("source_size") + F.col("start") + F.col("size") / 2).alias("at"))
     rows = rows.withColumn("copy", F.explode(F.array(copy(0), copy(1)))).where("copy.words > 0")
     rows = rows.withColumn("position", position(F.try_divide(F.col("copy.at"), F.col("target")), F.col("w0"), F.col("w1")))
