@@ -6,8 +6,6 @@ fixed size, which is broadcast. Scoring adds up the matrix rows of a text's n-gr
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,7 +14,6 @@ from pyspark.sql import functions as F
 from docspark.llm.common import append_columns, fold_of, slices
 
 BUCKETS, ORDERS = 1 << 15, (1, 2, 3)
-LETTER = re.compile(r"[^\W\d_]")
 MIX = np.uint32(0x9E3779B1)
 
 
@@ -42,22 +39,29 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return b[order], o[order]
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, folds: int = 3, held: int = 1, most: int = 500, smooth: float = 0.5) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, folds: int = 3, held: int = 1, group: int = 256, smooth: float = 0.5) -> tuple[list[str], np.ndarray]:
     """(languages, log-probability matrix [BUCKETS + 1, languages]; the last row holds the priors).
 
-    Learns from all rows outside the held-out fold with a text and a language. More than `most` languages are refused, for
-    the matrix goes to every worker. Without any training row there are no languages and all predictions are und.
+    Learns from all rows outside the held-out fold with a text and a language; repeated rows count as often as they occur. The
+    counts of `group` languages at a time are added up in each task. Without any training row there are no languages and all
+    predictions are und.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where("text is not null and lang is not null").where(F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % folds != held, F.lit(True))).select("text", "lang")
-    counted = rows.groupBy("lang").count().limit(most + 1).collect()
-    if len(counted) > most:
-        raise ValueError(f"more than {most} languages")
-    langs = sorted(r.lang for r in counted)
-    if not langs:
-        return [], np.zeros((BUCKETS + 1, 0), np.float32)
-    number = {x: k for k, x in enumerate(langs)}
-    width = len(langs)
+    counted = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    langs, parts = sorted(counted), [np.zeros((BUCKETS, 0), np.float32)]
+    for at in range(0, len(langs), group):
+        some = langs[at : at + group]
+        mine = rows if len(langs) <= group else rows.where(F.col("lang").between(some[0], some[-1]))
+        cells = _counted(mine, some) + smooth
+        parts.append(np.log(cells / cells.sum(0)).astype(np.float32))
+    prior = np.array([counted[x] for x in langs], float)
+    return langs, np.vstack([np.hstack(parts), np.log(prior / max(1, prior.sum()))]).astype(np.float32)
+
+
+def _counted(rows: DataFrame, langs: list[str]) -> np.ndarray:
+    """Counts of hashed n-grams by bucket and language."""
+    number, width = {x: k for k, x in enumerate(langs)}, len(langs)
 
     def count(batches):
         total = np.zeros(BUCKETS * width, np.int64)
@@ -71,34 +75,45 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     got = rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     cells = np.zeros(BUCKETS * width)
     cells[got.cell.to_numpy(int)] = got.n.to_numpy()
-    cells = cells.reshape(BUCKETS, width) + smooth
-    prior = np.array([next(r["count"] for r in counted if r.lang == x) for x in langs], float)
-    return langs, np.vstack([np.log(cells / cells.sum(0)), np.log(prior / prior.sum())]).astype(np.float32)
+    return cells.reshape(BUCKETS, width)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", *, folds: int = 3, held: int = 1, sharp: float = 30.0) -> DataFrame:
-    """One row for each row of docs: id_col, held_out, lang_pred, score.
-
-    score is the posterior of the predicted language with the evidence of at most `sharp` n-grams' worth, so that long texts do
-    not all score 1. A null text or one without a letter is und with score 0; equal scores go to the first language.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _posterior(model: tuple[list[str], np.ndarray], sharp: float):
+    """Of each text the best language, its whole log score, its log score with bounded evidence, and the log sum of the latter over all languages."""
 
     def run(texts):
-        langs, matrix = shared.value
-        if not langs:
-            return ["und"] * len(texts), [0.0] * len(texts)
+        langs, matrix = model.value
         b, o = grams(texts)
         sums, counts = np.zeros((len(texts), len(langs))), np.bincount(o, minlength=len(texts))
         if len(b):
             first = np.flatnonzero(np.append(True, o[1:] != o[:-1]))
             sums[o[first]] = np.add.reduceat(matrix[b], first, axis=0, dtype=np.float64)
-        post = sums * np.minimum(1, sharp / np.maximum(1, counts))[:, None] + matrix[-1]
-        best = (sums + matrix[-1]).argmax(1)
-        p = np.exp(post - post.max(1, keepdims=True))
-        p = p[np.arange(len(texts)), best] / p.sum(1)
-        known = [bool(t and LETTER.search(t)) for t in texts]
-        return [langs[k] if ok else "und" for k, ok in zip(best.tolist(), known)], [float(x) if ok else 0.0 for x, ok in zip(p, known)]
-
-    base = docs.select(F.col(id_col), F.coalesce(fold_of(id_col, folds) == held, F.lit(False)).alias("held_out"), F.col(text_col).alias("text__"))
-    return append_columns(base, "text__", run, "lang_pred string, score double").drop("text__")
+        soft, whole = sums * np.minimum(1, sharp / np.maximum(1, counts))[:, None] + matrix[-1], sums + matrix[-1]
+        best, top, row = whole.argmax(1), soft.max(1), np.arange(len(texts))
+        return [langs[k] for k in best.tolist()], whole[row, best], soft[row, best], top + np.log(np.exp(soft - top[:, None]).sum(1))
+
+    return run
+
+
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", *, folds: int = 3, held: int = 1, sharp: float = 30.0, group: int = 256) -> DataFrame:
+    """One row for each row of docs: id_col, held_out, lang_pred, score.
+
+    score is the posterior of the predicted language with the evidence of at most `sharp` n-grams' worth, so that long texts do
+    not all score 1. A null text or one without a letter (Unicode category L) is und with score 0; equal scores go to the first
+    language. Repeated rows and ids give repeated results. The matrix is broadcast for `group` languages at a time.
+    """
+    langs, matrix = model
+    sc = docs.sparkSession.sparkContext
+    known = F.coalesce(F.col("text__").rlike(r"\p{L}"), F.lit(False))
+    scored = docs.select(F.col(id_col).alias("id__"), F.coalesce(fold_of(id_col, folds) == held, F.lit(False)).alias("held_out"), F.col(text_col).alias("text__"))
+    each = []
+    for k, at in enumerate(range(0, len(langs), group)):
+        part = sc.broadcast((langs[at : at + group], np.ascontiguousarray(matrix[:, at : at + group])))
+        scored = append_columns(scored, "text__", _posterior(part, sharp), f"lang{k} string, whole{k} double, soft{k} double, all{k} double")
+        each.append(F.struct(F.col(f"whole{k}").alias("whole"), F.lit(-k).alias("order"), F.col(f"lang{k}").alias("lang"), F.col(f"soft{k}").alias("soft")))
+    id_ = F.col("id__").alias(id_col)
+    if not each:
+        return scored.select(id_, "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    best = F.array_max(F.array(*each))
+    share = 1 / sum((F.exp(F.col(f"all{k}") - best["soft"]) for k in range(len(each))), F.lit(0.0))
+    return scored.select(id_, "held_out", F.when(known, best["lang"]).otherwise("und").alias("lang_pred"), F.when(known, F.least(share, F.lit(1.0))).otherwise(0.0).alias("score"))
