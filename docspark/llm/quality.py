@@ -7,9 +7,8 @@ rows; scoring broadcasts the weights (a few tens of kB) and reads every byte of
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
-from itertools import islice
+from collections import Counter
 
 import numpy as np
 from numpy.lib.stride_tricks import as_strided
@@ -131,11 +130,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows, pa.binary())], names=["id", "y", "chunks"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    lesson, places, at = table(joined.mapInArrow(cut, f"id {kind}, y int, chunks binary"), "lesson"), [], 0
+    lesson, places, at = table(joined.mapInArrow(cut, f"id {kind}, y int, chunks binary").withColumn("digest", F.sha2("chunks", 256)), "lesson"), [], 0
+    # of repeated ids there may be more rows than ids
+    left = Counter((r.id, r.digest) for r in lesson.orderBy(F.xxhash64("id"), "id", "digest").select("id", "digest").limit(sample).collect())
     with tempfile.TemporaryFile() as file:
-        for r in islice(lesson.toLocalIterator(), 2 * sample):
+        for r in lesson.toLocalIterator():
+            if not left[r.id, r.digest]:
+                continue
+            left[r.id, r.digest] -= 1
             file.write(r.chunks)
-            places.append((r.id, r.y, hashlib.sha256(r.chunks).digest(), at, len(r.chunks)))
+            places.append((r.id, r.y, r.digest, at, len(r.chunks)))
             at += len(r.chunks)
         file.flush()
         docs = [np.memmap(file, np.uint8, "r", at, (size // CHUNK, CHUNK)) for *_, at, size in sorted(places)]
