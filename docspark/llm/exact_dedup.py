@@ -65,7 +65,9 @@ def duplicate_fingerprints(fps: DataFrame, owners: int) -> DataFrame:
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    sent = table(fps.select("fp").mapInArrow(send, "part int, owner int, n int, m long, gaps binary, twice binary"), "fingerprints")
+    # as many senders as owners at most, so that a message stays worth its header however many partitions there are
+    senders = max(owners, fps.sparkSession.sparkContext.defaultParallelism)
+    sent = table(fps.select("fp").coalesce(senders).mapInArrow(send, "part int, owner int, n int, m long, gaps binary, twice binary"), "fingerprints")
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         lists = [golomb_decode(g, n, m) for g, n, m in zip(group.gaps, group.n, group.m)]
@@ -88,14 +90,21 @@ def duplicate_fingerprints(fps: DataFrame, owners: int) -> DataFrame:
     return sent.join(answers, ["part", "owner"]).select("owner", "n", "m", "gaps", "bitmap").mapInArrow(expand, "key long").distinct()
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str, per_owner: int, bits: int, normalise):
+def _marked(docs: DataFrame, id_col: str, text_col: str, per_owner: int, bitmap: int, normalise):
+    """docs as row, id, body, fp, suspect: false only where no other row has the fingerprint.
+
+    Suspects are told by a bitmap of eight bits or more a duplicated fingerprint; beyond `bitmap` of these, by a join on them.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     text = normalise(text) if normalise else text
     keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text.alias("body"))
     keyed = keyed.withColumn("fp", F.expr(f"xxhash64(body) & {(1 << FINGERPRINT_BITS) - 1}L"))
-    owners = max(8, -(-docs.count() // per_owner))
-    words = table(bitmap_filter(duplicate_fingerprints(keyed, owners), bits), "suspects")
-    return may_contain(keyed, "fp", words, "suspect", bits)
+    twice = table(duplicate_fingerprints(keyed, max(8, -(-docs.count() // per_owner))), "suspects")
+    n = twice.count()
+    if n > bitmap:
+        return keyed.join(twice.withColumnRenamed("key", "fp").withColumn("suspect", F.lit(True)), "fp", "left").withColumn("suspect", F.coalesce("suspect", F.lit(False)))
+    bits = max(20, (8 * n).bit_length())
+    return may_contain(keyed, "fp", table(bitmap_filter(twice, bits), "suspect-bits"), "suspect", bits)
 
 
 def _groups(suspects: DataFrame):
@@ -109,23 +118,23 @@ def _groups(suspects: DataFrame):
     return suspects, table(suspects.groupBy("body").agg(best.alias("best"), F.count("*").alias("size"), F.first("sha").alias("sha")).drop("body"), "copies")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, per_owner: int = 250_000, bits: int = 23, normalise=None) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, per_owner: int = 4_000_000, bitmap: int = 1 << 23, normalise=None) -> DataFrame:
     """One row for each row of docs: id_col, keep_id, group_size, kept, text_sha256.
 
     Of rows with equal (normalised) texts the one with the largest id is kept; a null text counts as empty, a null id is
     the smallest, and of fully repeated rows exactly one is kept. Other columns of docs are not looked at. An empty table
     gives an empty table. normalise: Column -> Column, none by default.
     """
-    marked = _marked(docs.select(id_col, text_col), id_col, text_col, per_owner, bits, normalise).drop("row")
+    marked = _marked(docs.select(id_col, text_col), id_col, text_col, per_owner, bitmap, normalise).drop("row")
     single = marked.where("not suspect").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.sha2("body", 256).alias("text_sha256"))
     suspects, groups = _groups(marked.where("suspect").select("id", "body"))
     several = suspects.select("id", "rid", "sha").join(groups, "sha").select("id", F.col("best.id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("best.rid") == F.col("rid")).alias("kept"), F.col("sha").alias("text_sha256"))
     return single.union(several).withColumnRenamed("id", id_col)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, per_owner: int = 250_000, bits: int = 23, normalise=None) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, per_owner: int = 4_000_000, bitmap: int = 1 << 23, normalise=None) -> DataFrame:
     """docs, all columns, without the rows that exact_dedup would not keep."""
-    marked = _marked(docs, id_col, text_col, per_owner, bits, normalise)
+    marked = _marked(docs, id_col, text_col, per_owner, bitmap, normalise)
     suspects, groups = _groups(marked.where("suspect").select("row", "id", "body"))
     best = groups.select(F.col("best.rid").alias("rid"))
     return marked.where("not suspect").select("row.*").union(suspects.join(best, "rid", "left_semi").select("row.*"))
