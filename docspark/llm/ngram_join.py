@@ -43,7 +43,9 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        self[word] = h = xxh64_intdigest(word)
+        h = xxh64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = h
         return h
 
 

@@ -65,10 +65,11 @@ class Encoder:
         if len(self.memory) > self.remember:
             self.memory = {}
         memory = self.memory
+        once: dict[str, bytes] = {}  # long words (base64, minified code) seldom come again and would fill the memory
         for w in {w for w in words if w not in memory}:
             got = [t.id for t in self.tokenizer.model.tokenize(w.encode("utf-8", "replace").decode("latin-1").translate(self.visible))]
-            memory[w] = pack(f"<{len(got)}I", *got)
-        return [memory[w] for w in words]
+            (memory if len(w) <= 64 else once)[w] = pack(f"<{len(got)}I", *got)
+        return [memory.get(w) or once[w] for w in words] if once else [memory[w] for w in words]
 
     def pieces(self, text: str) -> tuple[list[int], list[bytes]]:
         """The ends (in characters) of the text's words, as the pre-tokeniser cuts them, and each word's ids."""
