@@ -19,13 +19,25 @@ def export_text(pages: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def select_pages(pages: DataFrame, requests: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Pages that an expression such as 1,3-5 names (1-based), in document order, each once; requests: key, expr."""
-    part = F.explode(F.split("expr", ","))
-    r = requests.select(key, part.alias("part")).where(F.col("part").rlike(r"^\s*[0-9]+\s*(-\s*[0-9]+\s*)?$"))
-    lo = F.trim(F.split("part", "-")[0]).cast("int")
-    hi = F.coalesce(F.trim(F.try_element_at(F.split("part", "-"), F.lit(2))).cast("int"), lo)
-    r = r.where(lo <= hi).select(key, F.explode(F.sequence(lo, hi)).alias("page")).select(key, (F.col("page") - 1).cast("long").alias("page_index")).distinct()
-    return pages.join(r, [key, "page_index"])
+    """Pages that a request names, in document order, each once, and error: null, or why the request selects nothing (one row, without page).
+
+    requests: key, mode (all, current or range), current_page (page_index), expr (1-based, such as 1,3-5). Errors: no_pages,
+    current (no such page), syntax (a part is not a number or a range), bounds (a range is empty or leaves 1 to the page count).
+    """
+    counts = pages.groupBy(F.col(key).alias("n_key")).agg(F.count("*").alias("n"), F.collect_set("page_index").alias("there"))
+    r = requests.join(counts, F.col(key) == F.col("n_key"), "left").drop("n_key")
+    part = r"\s*[0-9]{1,9}\s*(-\s*[0-9]{1,9}\s*)?"
+    ends = F.transform(F.split("expr", ","), lambda p: F.struct(F.trim(F.split(p, "-")[0]).try_cast("int").alias("lo"), F.trim(F.element_at(F.split(p, "-"), -1)).try_cast("int").alias("hi")))
+    in_range = F.col("mode") == "range"
+    error = (
+        F.when(F.col("n").isNull(), "no_pages").when((F.col("mode") == "current") & ~F.coalesce(F.array_contains("there", F.col("current_page")), F.lit(False)), "current")
+        .when(in_range & ~F.coalesce(F.col("expr").rlike(f"^{part}(,{part})*$"), F.lit(False)), "syntax")
+        .when(in_range & F.exists(ends, lambda x: (x["lo"] < 1) | (x["hi"] < x["lo"]) | (x["hi"] > F.col("n"))), "bounds")
+    )
+    r = r.withColumn("error", error)
+    wanted = F.when(F.col("mode") == "all", F.array_sort("there")).when(F.col("mode") == "current", F.array("current_page")).otherwise(F.array_distinct(F.flatten(F.transform(ends, lambda x: F.sequence(x["lo"] - 1, x["hi"] - 1).cast("array<bigint>")))))
+    good = r.where("error is null").select(key, F.explode(wanted).alias("page_index"), "error")
+    return good.join(pages, [key, "page_index"]).unionByName(r.where("error is not null").select(key, "error"), allowMissingColumns=True)
 
 
 def verify_manifest(actual: DataFrame, manifest: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -101,13 +113,3 @@ def ocr_exclude_existing(words: DataFrame, native: DataFrame, page: list[str], c
 def ocr_targets(plan: DataFrame) -> DataFrame:
     """Distinct source pages with the numbers of their occurrences."""
     return plan.groupBy("source_id", "page_index").agg(F.count("*").alias("occurrences"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("/", "workspace_id", "pos"))), ",").alias("places"))
-
-
-def page_text(chars: DataFrame, keys: list[str], width: float, height: float) -> DataFrame:
-    """Page texts from characters (char_index, text, x, y): off-page ones are left out and leave a line feed between the words."""
-    visible = (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < width) & (F.col("y") < height)
-    by = Window.partitionBy(*keys).orderBy("char_index")
-    c = chars.withColumn("visible", visible)
-    c = c.withColumn("gap", F.coalesce(F.lag(~F.col("visible")).over(by), F.lit(False)))
-    piece = F.when(F.col("visible"), F.concat(F.when(F.col("gap"), "\n").otherwise(""), "text"))
-    return c.withColumn("piece", piece).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("char_index", "piece"))), lambda s: s["piece"]), "").alias("text"))

@@ -24,15 +24,30 @@ def fold(past: list, present, future: list, action: str, state, limit: int):
 
 
 def replay_history(log: DataFrame, limit: int = 100) -> DataFrame:
-    """(session_id, present, n_past, n_future) after the log (session_id, ts, event_id, action, state) in order."""
+    """(session_id, present, n_past, n_future) after the log (session_id, ts, event_id, action, state) in order.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        past, present, future = [], None, []
-        for r in group.sort_values(["ts", "event_id"]).itertuples(index=False):
-            past, present, future = fold(past, present, future, r.action, r.state, limit)
-        return pd.DataFrame({"session_id": group.session_id.iloc[:1], "present": [present], "n_past": [len(past)], "n_future": [len(future)]}).astype({"present": "Int64"})
+    A session's rows come sorted and in batches; only the state of the history goes from batch to batch.
+    """
+
+    def run(batches):
+        session, state = None, ([], None, [])
+        for pdf in batches:
+            done = []
+            for r in pdf.itertuples(index=False):
+                if r.session_id != session:
+                    if session is not None:
+                        done.append((session, state))
+                    session, state = r.session_id, ([], None, [])
+                state = fold(*state, r.action, r.state, limit)
+            yield rows(done)
+        if session is not None:
+            yield rows([(session, state)])
+
+    def rows(done):
+        return pd.DataFrame([(i, present, len(past), len(future)) for i, (past, present, future) in done], columns=["session_id", "present", "n_past", "n_future"]).astype({"session_id": "int64", "present": "Int64", "n_past": "int64", "n_future": "int64"})
 
-    return log.groupBy("session_id").applyInPandas(run, "session_id long, present long, n_past long, n_future long")
+    ordered = log.where("session_id is not null").repartition("session_id").sortWithinPartitions("session_id", "ts", "event_id").select("session_id", "action", "state")
+    return ordered.mapInPandas(run, "session_id long, present long, n_past long, n_future long")
 
 
 def bounded_history(states: DataFrame, limit: int = 100) -> DataFrame:
@@ -70,9 +85,10 @@ def job_progress(events: DataFrame) -> DataFrame:
 
 
 def latest_valid_generation(checkpoints: DataFrame, payloads: DataFrame) -> DataFrame:
-    """The newest generation of each store whose payloads (file, length) are all there with that length."""
-    j = checkpoints.join(payloads.select("file", F.col("length").alias("real")), "file", "left")
-    g = j.groupBy("store", "generation").agg(F.bool_and(F.coalesce(F.col("real") == F.col("length"), F.lit(False))).alias("ok"))
+    """The newest generation of each store whose payloads (file, length, checksum) are all there with that length and checksum."""
+    j = checkpoints.join(payloads.select("file", F.col("length").alias("real"), F.col("checksum").alias("real_sum")), "file", "left")
+    fits = (F.col("real") == F.col("length")) & (F.col("real_sum") == F.col("checksum"))
+    g = j.groupBy("store", "generation").agg(F.bool_and(F.coalesce(fits, F.lit(False))).alias("ok"))
     return g.where("ok").groupBy("store").agg(F.max("generation").alias("generation"))
 
 

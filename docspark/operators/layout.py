@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions.text import list_marker
@@ -26,33 +25,64 @@ def assemble_rows(runs: DataFrame) -> DataFrame:
     )
 
 
+def number_groups(rows: DataFrame, order: list[Column], facts: dict[str, Column], follows, name: str, keep: list[str]) -> DataFrame:
+    """The kept columns of rows and `name`, the number of each row's group in its page.
+
+    A page's rows are folded in order: a row goes on in the last group if follows(head, second, row) holds, these being the facts
+    of the group's first row, of its second one (null if there is none yet) and of the row. One page is one array.
+    """
+    item = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], F.struct(*[c.alias(n) for n, c in facts.items()]).alias("facts"), F.struct(*keep).alias("row"))
+    pages = rows.select(*PAGE, item.alias("item")).groupBy(*PAGE).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    none = F.lit(None).cast(pages.schema["items"].dataType.elementType["facts"].dataType)
+
+    def step(s, x):
+        on = F.coalesce(follows(s["head"], s["second"], x["facts"]), F.lit(False))
+        group = s["group"] + F.when(on, 0).otherwise(1)
+        return F.struct(group.alias("group"), F.when(on, s["head"]).otherwise(x["facts"]).alias("head"), F.when(on, F.coalesce(s["second"], x["facts"])).alias("second"), F.concat(s["out"], F.array(group)).alias("out"))
+
+    start = F.struct(F.lit(-1).cast("long").alias("group"), none.alias("head"), none.alias("second"), F.array().cast("array<bigint>").alias("out"))
+    numbers = F.aggregate("items", start, step, lambda s: s["out"])
+    each = pages.select(F.explode(F.arrays_zip(F.transform("items", lambda i: i["row"]).alias("row"), numbers.alias("number"))).alias("z"))
+    return each.select("z.row.*", F.col("z.number").alias(name))
+
+
 def segment_paragraphs(rows: DataFrame, eps: float = 0.01) -> DataFrame:
     """rows (of assemble_rows) with block: consecutive rows of one size, with a leading of 0.6 to 1.65 sizes, aligned left (with
     the block's second row, or a first line indented by at most two sizes), centred or right. A list item starts a new block."""
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["baseline", "left"], ascending=[False, True])
-        blocks: list[list] = []
-        numbers = []
-        for r in page.itertuples(index=False):
-            if blocks:
-                head, prev = blocks[-1][0], blocks[-1][-1]
-                margin = blocks[-1][1].left if len(blocks[-1]) > 1 else prev.left
-                leading, half = prev.baseline - r.baseline, prev.size / 2
-                indent = len(blocks[-1]) == 1 and 0 < prev.left - r.left <= 2 * prev.size
-                lined = abs(margin - r.left) <= half or indent or abs(head.left + head.right - r.left - r.right) / 2 <= half or abs(head.right - r.right) <= half
-                if lined and abs(prev.size - r.size) <= eps and prev.size * 0.6 <= leading + eps and leading <= prev.size * 1.65 and not (r.marker or prev.bare):
-                    blocks[-1].append(r)
-                    numbers.append(len(blocks) - 1)
-                    continue
-            blocks.append([r])
-            numbers.append(len(blocks) - 1)
-        return page.assign(block=numbers)[names]
-
+    above = {c: F.lag(c).over(Window.partitionBy(*PAGE).orderBy(F.desc("baseline"), "left", "row")) for c in ("baseline", "left", "size", "bare")}
+    pace = above["baseline"] - F.col("baseline")
+    paired = (F.abs(above["size"] - F.col("size")) <= eps) & (pace + eps >= 0.6 * above["size"]) & (pace <= 1.65 * above["size"]) & ~F.col("marker") & ~above["bare"]
+    outdent = above["left"] - F.col("left")
     marked = rows.withColumn("marker", F.coalesce(list_marker(F.col("first_text")), F.lit(False))).withColumn("bare", (F.col("n_runs") == 1) & F.col("first_text").rlike(BARE))
-    names = [*rows.columns, "block"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", block long"
-    return marked.groupBy(*PAGE).applyInPandas(run, schema)
+    marked = marked.withColumn("paired", paired).withColumn("outdented", (outdent > 0) & (outdent <= 2 * above["size"])).withColumn("slack", above["size"] / 2)
+    facts = {"x0": F.col("left"), "x1": F.col("right")} | {c: F.col(c) for c in ("paired", "outdented", "slack")}
+
+    def follows(head, second, row):
+        near = lambda a, b: F.abs(a - b) <= row["slack"]
+        left = near(F.coalesce(second["x0"], head["x0"]), row["x0"]) | (second.isNull() & row["outdented"])
+        return row["paired"] & (left | near((head["x0"] + head["x1"]) / 2, (row["x0"] + row["x1"]) / 2) | near(head["x1"], row["x1"]))
+
+    return number_groups(marked, [-F.col("baseline"), F.col("left"), F.col("row")], facts, follows, "block", rows.columns)
+
+
+def selectable_spans(chars: DataFrame, tol: float = 0.02) -> DataFrame:
+    """Spans of consecutive characters (page, char_index, text, x, y, width, height) whose boxes coincide: all four edges within tol
+    of those of the span's first character. Blank and empty ones stay alone. A row for each: start, stop, text and the joint box."""
+    shown = (F.col("width") > 0) & (F.col("height") > 0) & (F.length("text") > 0) & ~F.col("text").rlike(r"[\s\x{85}\p{Z}\x{FEFF}]")
+    facts = {"shown": F.coalesce(shown, F.lit(False)), "x0": F.col("x").cast("double"), "y0": F.col("y").cast("double"), "x1": (F.col("x") + F.col("width")).cast("double"), "y1": (F.col("y") + F.col("height")).cast("double")}
+
+    def follows(head, second, row):
+        close = F.lit(True)
+        for edge in ("x0", "y0", "x1", "y1"):
+            close = close & (F.abs(head[edge] - row[edge]) <= tol)
+        return head["shown"] & row["shown"] & close
+
+    c = number_groups(chars, [F.col("char_index")], facts, follows, "span", [*PAGE, "char_index", "text", "x", "y", "width", "height"])
+    joint = c.groupBy(*PAGE, "span").agg(
+        F.min("char_index").alias("start"), (F.max("char_index") + 1).alias("stop"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("char_index", "text"))), lambda t: t["text"]), "").alias("text"),
+        F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("width")).alias("x1"), F.max(F.col("y") + F.col("height")).alias("y1"),
+    )
+    return joint.select(*PAGE, "start", "stop", "text", "x", "y", (F.col("x1") - F.col("x")).alias("width"), (F.col("y1") - F.col("y")).alias("height"))
 
 
 def paragraph_of(anchors: DataFrame, blocks: DataFrame, most: int = 64) -> DataFrame:

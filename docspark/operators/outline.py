@@ -16,28 +16,38 @@ def validate_outline(o: DataFrame) -> DataFrame:
     return o.withColumn("reason", reason).where("reason is not null").select(DOC, "idx", "reason")
 
 
+def _last(value, before, max_level: int):
+    """For each level below max_level the running value of the last item of that level before the row."""
+    return [F.max(F.when(F.col("level") == k, value)).over(before) for k in range(max_level)]
+
+
 def outline_parents(o: DataFrame, max_level: int = 32) -> DataFrame:
-    """parent (idx of the last earlier item one level up), prev_sibling and next_sibling of each item of a valid outline.
+    """parent (idx of the last earlier item one level up), prev_sibling, next_sibling, first_child and last_child of each item of a valid outline.
 
-    One pass with a running map of the last idx of each level, instead of a window per level.
+    One running pass keeps the last idx of each level.
     """
-    by = Window.partitionBy(DOC).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    parent = F.lit(None).cast("long")
-    for k in range(max_level):
-        parent = F.when(F.col("level") == k + 1, F.max(F.when(F.col("level") == k, F.col("idx"))).over(by)).otherwise(parent)
-    o = o.withColumn("parent", parent)
+    last = _last(F.col("idx"), Window.partitionBy(DOC).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1), max_level)
+    o = o.withColumn("parent", F.try_element_at(F.array(*last), F.nullif(F.col("level"), F.lit(0)).cast("int")))
     kin = Window.partitionBy(DOC, "parent").orderBy("idx")
-    return o.withColumn("prev_sibling", F.lag("idx").over(kin)).withColumn("next_sibling", F.lead("idx").over(kin))
+    o = o.withColumn("prev_sibling", F.lag("idx").over(kin)).withColumn("next_sibling", F.lead("idx").over(kin))
+    kids = o.where("parent is not null").groupBy(DOC, F.col("parent").alias("idx")).agg(F.min("idx").alias("first_child"), F.max("idx").alias("last_child"))
+    return o.join(kids.withColumnsRenamed({DOC: "kid_doc", "idx": "kid_idx"}), (F.col(DOC) == F.col("kid_doc")) & (F.col("idx") == F.col("kid_idx")), "left").drop("kid_doc", "kid_idx")
+
+
+def _after(keys: list[str]):
+    """Later rows of the outline, nearest last: a running frame, so that a document is passed over once."""
+    return Window.partitionBy(*keys).orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _beyond(value, keys: list[str], max_level: int):
+    """The least value of the later rows whose level is not deeper than the row's own, null if there is none."""
+    nearest = F.array(*[F.min(F.when(F.col("level") <= k, value)).over(_after(keys)) for k in range(max_level)])
+    return F.try_element_at(nearest, (F.col("level") + 1).cast("int"))
 
 
 def branch_end(o: DataFrame, max_level: int = 32) -> DataFrame:
     """branch_end: the first later idx whose level is not deeper, or one past the document's last."""
-    by = Window.partitionBy(DOC).orderBy("idx").rowsBetween(1, Window.unboundedFollowing)
-    nearest = [F.min(F.when(F.col("level") <= k, F.col("idx"))).over(by) for k in range(max_level)]
-    end = F.lit(None).cast("long")
-    for k in reversed(range(max_level)):
-        end = F.when(F.col("level") == k, nearest[k]).otherwise(end)
-    return o.withColumn("branch_end", F.coalesce(end, F.max("idx").over(Window.partitionBy(DOC)) + 1))
+    return o.withColumn("branch_end", F.coalesce(_beyond(F.col("idx"), [DOC], max_level), F.max("idx").over(Window.partitionBy(DOC)) + 1))
 
 
 def remap_outline(o: DataFrame, page_map: DataFrame, max_level: int = 32) -> DataFrame:
@@ -45,20 +55,65 @@ def remap_outline(o: DataFrame, page_map: DataFrame, max_level: int = 32) -> Dat
 
     Items without a target stay as they are.
     """
-    j = branch_end(o, max_level).join(page_map, "target", "left")
-    lives = F.col("target").isNull() | F.col("new_target").isNotNull()
-    j = j.withColumn("lives", lives)
-    by = Window.partitionBy(DOC).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum(F.when(F.col("lives"), 1).otherwise(0)).over(by)
-    j = j.withColumn("upto", upto)
-    ends = j.select(DOC, (F.col("idx") + 1).alias("e"), F.col("upto").alias("upto_end"))
-    k = j.join(ends, (j[DOC] == ends[DOC]) & (j.branch_end == ends.e)).drop(ends[DOC])
-    return k.where("lives or upto_end > upto").select(DOC, "idx", "level", "item_id", F.col("new_target").alias("target"))
+    j = o.join(page_map, "target", "left")
+    j = j.withColumn("lives", F.col("target").isNull() | F.col("new_target").isNotNull())
+    j = j.withColumn("later", F.coalesce(F.sum(F.col("lives").cast("long")).over(_after([DOC])), F.lit(0)))
+    # living items from the end of the branch on: those after its end and the one there
+    at_end = _beyond(F.struct("idx", (F.col("later") + F.col("lives").cast("long")).alias("living")), [DOC], max_level)
+    j = j.withColumn("below", F.col("later") - F.coalesce(at_end["living"], F.lit(0)))
+    return j.where("lives or below > 0").select(DOC, "idx", "level", "item_id", F.col("new_target").alias("target"))
 
 
 def outline_counts(o: DataFrame, max_level: int = 32) -> DataFrame:
-    """Descendants of each item (all open)."""
-    return branch_end(o, max_level).select(DOC, "idx", (F.col("branch_end") - F.col("idx") - 1).alias("descendants"))
+    """descendants of each item that are shown when it is open: those without a closed item in between; negative for a closed item.
+
+    o has closed (boolean). Each item lies in the region of its nearest closed ancestor; in a region, an open item's descendants
+    are the rows up to the next one that is not deeper, and a closed item shows the region that it heads.
+    """
+    before = Window.partitionBy(DOC).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    last = _last(F.struct("idx", F.coalesce("closed", F.lit(False)).alias("closed")), before, max_level)
+    region = F.coalesce(*[F.when((F.col("level") > k) & last[k]["closed"], last[k]["idx"]) for k in reversed(range(max_level))], F.lit(-1).cast("long"))
+    r = o.withColumn("region", region).select(DOC, "idx", "level", F.coalesce("closed", F.lit(False)).alias("closed"), "region")
+    later = F.count("*").over(_after([DOC, "region"]))
+    r = r.withColumn("later", later)
+    beyond = _beyond(F.struct("idx", (F.col("later") + 1).alias("rows")), [DOC, "region"], max_level)
+    r = r.withColumn("open_count", F.col("later") - F.coalesce(beyond["rows"], F.lit(0)))
+    heads = r.where("region >= 0").groupBy(F.col(DOC).alias("head_doc"), F.col("region").alias("head")).agg(F.count("*").alias("inside"))
+    r = r.join(heads, (F.col(DOC) == F.col("head_doc")) & (F.col("idx") == F.col("head")), "left")
+    return r.select(DOC, "idx", F.when(F.col("closed"), -F.coalesce("inside", F.lit(0))).otherwise(F.col("open_count")).alias("descendants"))
+
+
+def edit_outline(o: DataFrame, edits: DataFrame, max_level: int = 32) -> DataFrame:
+    """Outlines after one edit each: doc_id, idx, level, item_id, title, target, numbered anew.
+
+    o: doc_id, idx, level, item_id, title, target. edits: doc_id, at (idx of the item), op, new_id, new_title, new_target. add puts
+    a child at the end of the item's branch (at the outline's end where at is null), retitle and retarget change the item, remove takes
+    its branch away, up and down swap its branch with that of the sibling before or after. Edits that cannot be done change
+    nothing: an item that is not there, a blank title, a child below the last level, no such sibling, several edits of a document.
+    """
+    e = edits.withColumn("edits", F.count("*").over(Window.partitionBy(DOC))).where("edits = 1").drop("edits").withColumnRenamed(DOC, "edit_doc")
+    whole = branch_end(outline_parents(o, max_level), max_level)
+    spans = whole.select(F.col(DOC).alias("at_doc"), F.col("idx").alias("at_idx"), F.col("level").alias("at_level"), F.col("branch_end").alias("at_end"), "prev_sibling", "next_sibling")
+    ends = whole.groupBy(F.col(DOC).alias("end_doc")).agg((F.max("idx") + 1).alias("doc_end"))
+    e = e.join(spans, (F.col("edit_doc") == F.col("at_doc")) & (F.col("at") == F.col("at_idx")), "left").join(ends, F.col("edit_doc") == F.col("end_doc"))
+    e = e.where("at_idx is not null or op = 'add' and at is null").where(f"op not in ('add', 'retitle') or length(trim(new_title)) > 0").where(f"op <> 'add' or coalesce(at_level, -1) + 1 < {max_level}")
+    # the branch [first, middle) goes behind [middle, last)
+    nxt = whole.select(F.col(DOC).alias("n_doc"), F.col("idx").alias("n_idx"), F.col("branch_end").alias("n_end"))
+    e = e.join(nxt, (F.col("edit_doc") == F.col("n_doc")) & (F.col("next_sibling") == F.col("n_idx")), "left").drop("n_doc", "n_idx", "at_doc", "end_doc")
+    e = e.withColumn("first", F.when(F.col("op") == "up", F.col("prev_sibling")).when((F.col("op") == "down") & F.col("n_end").isNotNull(), F.col("at")))
+    moves, up = F.col("first").isNotNull(), F.col("op") == "up"
+    e = e.withColumn("middle", F.when(moves & up, F.col("at")).when(moves, F.col("at_end"))).withColumn("last", F.when(moves & up, F.col("at_end")).when(moves, F.col("n_end")))
+    j = o.select(DOC, "idx", "level", "item_id", "title", "target").join(e, F.col(DOC) == F.col("edit_doc"), "left")
+    gone = (F.col("op") == "remove") & (F.col("idx") >= F.col("at")) & (F.col("idx") < F.col("at_end"))
+    key = F.when((F.col("idx") >= F.col("first")) & (F.col("idx") < F.col("middle")), F.col("idx") + F.col("last") - F.col("middle"))
+    key = key.when((F.col("idx") >= F.col("middle")) & (F.col("idx") < F.col("last")), F.col("idx") + F.col("first") - F.col("middle")).otherwise(F.col("idx"))
+    mine = F.col("idx") == F.col("at")
+    kept = j.where(~F.coalesce(gone, F.lit(False))).select(
+        DOC, key.alias("key"), F.lit(1).alias("place"), "level", "item_id", F.when(mine & (F.col("op") == "retitle"), F.trim("new_title")).otherwise(F.col("title")).alias("title"),
+        F.when(mine & (F.col("op") == "retarget"), F.col("new_target")).otherwise(F.col("target")).alias("target"),
+    )
+    added = e.where("op = 'add'").select(F.col("edit_doc").alias(DOC), F.coalesce("at_end", "doc_end").alias("key"), F.lit(0).alias("place"), (F.coalesce("at_level", F.lit(-1)) + 1).cast(o.schema["level"].dataType).alias("level"), F.col("new_id").alias("item_id"), F.trim("new_title").alias("title"), F.col("new_target").alias("target"))
+    return kept.unionByName(added).select(DOC, (F.row_number().over(Window.partitionBy(DOC).orderBy("key", "place")) - 1).cast("long").alias("idx"), "level", "item_id", "title", "target")
 
 
 def merge_outlines(outlines: DataFrame) -> DataFrame:

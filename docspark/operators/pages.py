@@ -68,9 +68,10 @@ def alias_sources(slots: DataFrame) -> DataFrame:
     return slots.withColumn("alias_slot", F.min("slot").over(Window.partitionBy(WS, "source_id")))
 
 
-def is_identity_plan(plan: DataFrame) -> DataFrame:
-    """Whether each workspace shows its pages in the original order, unrotated."""
-    return plan.groupBy(WS).agg(F.bool_and((F.col("page_index") == F.col("pos")) & (F.col("rotation") == 0)).alias("identity"))
+def is_identity_plan(plan: DataFrame, counts: DataFrame) -> DataFrame:
+    """Whether each workspace shows all its pages (counts: workspace_id, n) in the original order, unrotated."""
+    same = plan.groupBy(WS).agg(F.bool_and((F.col("page_index") == F.col("pos")) & (F.col("rotation") == 0)).alias("same"), F.count("*").alias("shown"))
+    return same.join(counts.select(WS, "n"), WS, "left").select(WS, F.coalesce(F.col("same") & (F.col("shown") == F.col("n")), F.lit(False)).alias("identity"))
 
 
 def split_every(plan: DataFrame, n: int) -> DataFrame:

@@ -18,6 +18,13 @@ def mark_glyphs(chars: DataFrame, marks: DataFrame, touching: bool = False) -> D
     return j.where(hit).select(*PAGE, "char_index", "text").distinct()
 
 
+def missed_marks(chars: DataFrame, marks: DataFrame) -> DataFrame:
+    """Marks (page, mark_id, mx, my, mw, mh) that meet no character; a page with such a mark is not to be redacted."""
+    within = (F.col("x") < F.col("mx") + F.col("mw")) & (F.col("x") + F.col("width") > F.col("mx")) & (F.col("y") < F.col("my") + F.col("mh")) & (F.col("y") + F.col("height") > F.col("my"))
+    met = chars.join(marks, PAGE).where(within).select(*PAGE, "mark_id").distinct()
+    return marks.join(met, [*PAGE, "mark_id"], "left_anti")
+
+
 def mark_ranges(hits: DataFrame) -> DataFrame:
     """Runs of neighbouring hit characters: page, start, stop."""
     by = Window.partitionBy(*PAGE).orderBy("char_index")

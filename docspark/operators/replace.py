@@ -10,7 +10,7 @@ def interval_overlaps(ranges: DataFrame, keys: list[str]) -> DataFrame:
     """ranges with overlaps: whether the interval meets another of its group."""
     by = Window.partitionBy(*keys).orderBy("start", "stop")
     before = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1)) > F.col("start")
-    after = F.min("start").over(by.rowsBetween(1, Window.unboundedFollowing)) < F.col("stop")
+    after = F.lead("start").over(by) < F.col("stop")  # the next one starts first of all that follow
     return ranges.withColumn("overlaps", F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False)))
 
 
@@ -58,10 +58,14 @@ def plan_document_replacement(edits: DataFrame, key: str = "doc_id", max_edits:
 
 
 def apply_edits(runs: DataFrame, edits: DataFrame, keys: list[str], doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """runs with the edits' new texts in documents where every edit's expected text is the current one; others stay as they are."""
-    j = runs.join(edits.select(*keys, "expected_text", "new_text", F.lit(True).alias("edited")), keys, "left")
-    fits = F.coalesce(F.bool_and(F.when(F.col("edited"), F.col("expected_text").eqNullSafe(F.col(text)))).over(Window.partitionBy(doc)), F.lit(True))
-    return j.withColumn("applied", fits & F.coalesce("edited", F.lit(False))).withColumn(text, F.when(F.col("applied"), F.col("new_text")).otherwise(F.col(text))).drop("expected_text", "new_text", "edited")
+    """runs with the edits' new texts and applied, all or nothing for each document: it stays as it is if an edit's expected text is
+    not the current one, if its run is missing or there twice, or if two edits aim at one run. Every run comes out once."""
+    e = edits.groupBy(*keys).agg(F.count("*").alias("edits"), F.min("expected_text").alias("expected_text"), F.min("new_text").alias("new_text"))
+    j = runs.withColumn("is_run", F.lit(True)).withColumn("same_key", F.count("*").over(Window.partitionBy(*keys))).join(e, keys, "full_outer")
+    good = F.coalesce(F.col("is_run"), F.lit(False)) & (F.col("edits") == 1) & (F.col("same_key") == 1) & F.col("expected_text").eqNullSafe(F.col(text))
+    fits = F.coalesce(F.bool_and(F.when(F.col("edits").isNotNull(), F.coalesce(good, F.lit(False)))).over(Window.partitionBy(doc)), F.lit(True))
+    j = j.withColumn("applied", fits & F.col("edits").isNotNull()).where("is_run")
+    return j.withColumn(text, F.when(F.col("applied"), F.col("new_text")).otherwise(F.col(text))).select(*runs.columns, "applied")
 
 
 def stale_edits(runs: DataFrame, edits: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

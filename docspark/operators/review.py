@@ -27,8 +27,9 @@ def comments_with_replies(comments: DataFrame, doc: str = "conv_id", index: str
 
 
 def edit_comments(comments: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
-    """comments with new texts where the expected text is the current one; applied tells which."""
-    j = comments.join(edits.select(*keys, "expected_text", "new_text"), keys, "left")
+    """comments with new texts where the expected text is the current one; applied tells which. Two edits of a comment change nothing."""
+    one = edits.groupBy(*keys).agg(F.count("*").alias("n"), F.min("expected_text").alias("expected_text"), F.min("new_text").alias("new_text")).where("n = 1").drop("n")
+    j = comments.join(one, keys, "left")
     fits = F.coalesce(F.col("expected_text") == F.col("text"), F.lit(False))
     return j.withColumn("applied", fits).withColumn("text", F.when(fits, F.col("new_text")).otherwise(F.col("text"))).drop("expected_text", "new_text")
 
@@ -36,7 +37,7 @@ def edit_comments(comments: DataFrame, edits: DataFrame, keys: list[str]) -> Dat
 def delete_comments(comments: DataFrame, deletes: DataFrame, keys: list[str]) -> DataFrame:
     """comments without those whose delete (keys, expected_text) fits and that nobody replies to."""
     kept = comments_with_replies(comments, *keys).select(*keys, F.lit(True).alias("has_replies"))
-    j = comments.join(deletes.select(*keys, "expected_text"), keys, "left").join(kept, keys, "left")
+    j = comments.join(deletes.select(*keys, "expected_text").dropDuplicates(keys), keys, "left").join(kept, keys, "left")
     return j.where("expected_text is null or expected_text <> text or has_replies").drop("expected_text", "has_replies")
 
 
@@ -48,9 +49,9 @@ def form_inventory(widgets: DataFrame, key: str, columns: list[str]) -> DataFram
 
 def fill_forms(fields: DataFrame, requests: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(fields with accepted answers, rejected requests with the reason): the expected value must be the current one, a text
-    single-line, a choice among the options."""
-    j = requests.join(fields.select(*keys, "value", "kind", "options"), keys, "left")
-    reason = F.when(F.col("kind").isNull(), "missing").when(~F.col("expected").eqNullSafe(F.col("value")), "stale").when((F.col("kind") == "text") & F.col("answer").rlike("[\r\n]"), "line_break").when((F.col("kind") == "choice") & ~F.array_contains("options", F.col("answer")), "option")
+    single-line, a choice among the options, and no other request may ask for the same field."""
+    j = requests.withColumn("asked", F.count("*").over(Window.partitionBy(*keys))).join(fields.select(*keys, "value", "kind", "options"), keys, "left")
+    reason = F.when(F.col("asked") > 1, "repeated").when(F.col("kind").isNull(), "missing").when(~F.col("expected").eqNullSafe(F.col("value")), "stale").when((F.col("kind") == "text") & F.col("answer").rlike("[\r\n]"), "line_break").when((F.col("kind") == "choice") & ~F.array_contains("options", F.col("answer")), "option")
     j = j.withColumn("reason", reason)
     accepted = j.where("reason is null").select(*keys, "answer")
     filled = fields.join(accepted, keys, "left").withColumn("value", F.coalesce("answer", "value")).drop("answer")

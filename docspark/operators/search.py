@@ -32,7 +32,7 @@ def pattern(query: str, opts: Options = Options()) -> str:
         i = 0
         while i < len(folded):
             if folded[i : i + 2] == "ss":
-                out, i = out + "(?:ss|[ßẞ])", i + 2
+                out, i = out + "(?:[sSſ]{2}|[ßẞ])", i + 2
                 continue
             c = folded[i]
             same = sorted({c, c.upper() if len(c.upper()) == 1 else c, *{"σ": "ςΣ", "k": "K", "s": "ſ", "å": "Å", "µ": "μ", "μ": "µ"}.get(c, "")})

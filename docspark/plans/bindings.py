@@ -49,21 +49,24 @@ PLAN = """plan AS (
 
 
 def outline(spark, d) -> DataFrame:
-    """Nations as documents: level 0 the nation, 1 its customers, 2 their orders; targets are orders."""
-    c, o = read(spark, d, "customer"), read(spark, d, "orders")
-    n = read(spark, d, "nation").select(F.col("n_nationkey").alias("doc_id"), F.lit(0).alias("level"), F.lit(-1).cast("long").alias("k1"), F.lit(-1).cast("long").alias("k2"), F.lit(None).cast("long").alias("target"))
-    c1 = c.select(F.col("c_nationkey").alias("doc_id"), F.lit(1).alias("level"), F.col("c_custkey").alias("k1"), F.lit(-1).cast("long").alias("k2"), F.lit(None).cast("long").alias("target"))
-    o1 = o.join(c, o.o_custkey == c.c_custkey).select(F.col("c_nationkey").alias("doc_id"), F.lit(2).alias("level"), F.col("c_custkey").alias("k1"), F.col("o_orderkey").alias("k2"), F.col("o_orderkey").alias("target"))
+    """Customers as documents: level 0 the customer, 1 the orders, 2 their lines; targets are orders and, from 10**9 on, parts."""
+    c, o, lines = read(spark, d, "customer"), read(spark, d, "orders"), plan(spark, d)
+    none = F.lit(-1).cast("long")
+    row = lambda doc, level, k1, k2, target: [F.col(doc).cast("long").alias("doc_id"), F.lit(level).alias("level"), k1.alias("k1"), k2.alias("k2"), target.cast("long").alias("target")]
+    top = c.select(*row("c_custkey", 0, none, none, F.lit(None)))
+    middle = o.select(*row("o_custkey", 1, F.col("o_orderkey"), none, F.col("o_orderkey")))
+    leaf = lines.join(o, lines.workspace_id == o.o_orderkey).select(*row("o_custkey", 2, F.col("o_orderkey"), F.col("pos"), F.col("source_id") + 1_000_000_000))
+    known = c.select(F.col("c_custkey").alias("doc_id"))
+    u = top.unionByName(middle.unionByName(leaf).join(known, "doc_id", "left_semi"))
     by = Window.partitionBy("doc_id").orderBy("k1", "k2")
-    u = n.unionByName(c1).unionByName(o1)
     return u.select("doc_id", (F.row_number().over(by) - 1).cast("long").alias("idx"), "level", F.concat_ws("/", "doc_id", "k1", "k2").alias("item_id"), "target")
 
 
-OUTLINE = """outline AS (
+OUTLINE = f"""{PLAN}, outline AS (
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k1, k2) - 1 AS idx, level, doc_id || '/' || k1 || '/' || k2 AS item_id, target FROM (
-        SELECT n_nationkey AS doc_id, 0 AS level, -1 AS k1, -1 AS k2, NULL::BIGINT AS target FROM nation
-        UNION ALL SELECT c_nationkey, 1, c_custkey, -1, NULL FROM customer
-        UNION ALL SELECT c_nationkey, 2, c_custkey, o_orderkey, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey))"""
+        SELECT c_custkey AS doc_id, 0 AS level, -1 AS k1, -1 AS k2, NULL::BIGINT AS target FROM customer
+        UNION ALL SELECT o_custkey, 1, o_orderkey, -1, o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)
+        UNION ALL SELECT o_custkey, 2, o_orderkey, pos, source_id + 1000000000 FROM plan JOIN orders ON o_orderkey = workspace_id WHERE o_custkey IN (SELECT c_custkey FROM customer)))"""
 
 
 def permissions(spark, d) -> DataFrame:

@@ -28,6 +28,9 @@ RUN_STARTS = "run_spans AS (SELECT *, CAST(coalesce(sum(length(text) + 1) OVER (
 THE = "m AS (SELECT doc_id, page_index, generate_subscripts(g, 1) AS k, g FROM (SELECT doc_id, page_index, string_split(lower(text), 'the') AS g FROM doc_pages) WHERE len(g) > 1), matches AS (SELECT doc_id, page_index, CAST(k - 1 AS BIGINT) AS ordinal, CAST(list_sum(list_transform(g[1:k], lambda x: length(x))) + 3 * (k - 1) AS BIGINT) AS start FROM m WHERE k < len(g))"
 
 
+WORDY = r"regexp_matches({c}, '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}\x{{200C}}\x{{200D}}]')"
+
+
 @query("SELECT doc_id, lang, source, n_chars FROM documents")
 def a1_scan_corpus(s, d):
     return read(s, d, "documents").select("doc_id", "lang", "source", "n_chars")
@@ -44,10 +47,14 @@ def a3_export_text(s, d):
     return assemble.export_text(B.pages(s, d))
 
 
-@query(f"WITH {PAGES} SELECT doc_id, page_index, text FROM doc_pages WHERE page_index IN (0, 2, 3)")
+@query(f"""WITH {PAGES}, c AS (SELECT doc_id, count(*) AS n FROM doc_pages GROUP BY 1)
+    SELECT doc_id, page_index, text, NULL AS error FROM doc_pages JOIN c USING (doc_id) WHERE CASE doc_id % 5 WHEN 0 THEN true WHEN 1 THEN page_index = 1 WHEN 2 THEN n >= 4 AND page_index IN (0, 2, 3) ELSE false END
+    UNION ALL SELECT doc_id, NULL, NULL, CASE doc_id % 5 WHEN 1 THEN 'current' WHEN 3 THEN 'syntax' ELSE 'bounds' END FROM c WHERE doc_id % 5 = 1 AND n < 2 OR doc_id % 5 = 2 AND n < 4 OR doc_id % 5 IN (3, 4)
+    UNION ALL SELECT doc_id, NULL, NULL, 'no_pages' FROM documents WHERE text IS NULL""")
 def a5_select_pages(s, d):
-    p = B.pages(s, d)
-    return assemble.select_pages(p, read(s, d, "documents").select("doc_id", F.lit("1, 3-4, 3").alias("expr"))).select("doc_id", "page_index", "text")
+    k = F.col("doc_id") % 5
+    asked = read(s, d, "documents").select("doc_id", F.when(k == 0, "all").when(k == 1, "current").otherwise("range").alias("mode"), F.lit(1).cast("long").alias("current_page"), F.when(k == 2, "1, 3-4, 3").when(k == 3, "1,x,9").otherwise("2-1").alias("expr"))
+    return assemble.select_pages(B.pages(s, d), asked).select("doc_id", "page_index", "text", "error")
 
 
 @query("""SELECT coalesce(a.doc_id, m.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'missing' WHEN m.doc_id IS NULL THEN 'unexpected' WHEN a.sha256 <> m.sha256 THEN 'digest' WHEN a.pages <> m.pages THEN 'pages' ELSE 'ok' END AS status
@@ -134,7 +141,9 @@ def c2_search_matches(s, d):
     return search.search_matches(B.pages(s, d), "the").drop("matched")
 
 
-@query()
+@query(f"""WITH {PAGES}, {THE}, sides AS (SELECT doc_id, page_index, right(substr(text, 1, CAST(start AS INT)), 1) AS l1, CASE WHEN start > 1 THEN substr(text, CAST(start - 1 AS INT), 1) ELSE '' END AS l2, substr(text, CAST(start + 4 AS INT), 1) AS r1, substr(text, CAST(start + 5 AS INT), 1) AS r2 FROM matches JOIN doc_pages USING (doc_id, page_index)),
+    joined AS (SELECT doc_id, page_index, {WORDY.format(c='l1')} OR l1 IN (chr(39), chr(8217)) AND {WORDY.format(c='l2')} OR {WORDY.format(c='r1')} OR r1 IN (chr(39), chr(8217)) AND {WORDY.format(c='r2')} AS inside FROM sides)
+    SELECT doc_id, page_index, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, length(trim(text)) > 0 AS has_text FROM doc_pages LEFT JOIN (SELECT doc_id, page_index, count(*) AS n FROM joined WHERE NOT inside GROUP BY 1, 2) USING (doc_id, page_index)""")
 def c3_search_whole_word(s, d):
     return search.search_whole_word(B.pages(s, d), "the").select("doc_id", "page_index", "n_matches", "has_text")
 
@@ -198,11 +207,13 @@ def d2_interval_overlaps(s, d):
     return replace.interval_overlaps(m.select("doc_id", "page_index", (F.col("start") - F.col("start") % 7).alias("start"), (F.col("start") + 9).alias("stop")), ["doc_id", "page_index"])
 
 
-@query(f"""WITH {LINE_MATCHES}, e AS (SELECT doc_id, line_no, CASE WHEN doc_id % 5 = 1 AND line_no = 0 THEN text || '?' ELSE text END AS expected, replace(text, 'the', 'THE$1') AS new_text FROM r3 WHERE len(g) > 1)
-    SELECT r.doc_id, r.line_no, CASE WHEN fits AND e_line IS NOT NULL THEN new_text ELSE text END AS text, fits AND e_line IS NOT NULL AS applied FROM (
-        SELECT r.doc_id, r.line_no, r.text, e.new_text, e.line_no AS e_line, coalesce(bool_and(e.expected = r.text) OVER (PARTITION BY r.doc_id), true) AS fits FROM runs r LEFT JOIN e ON e.doc_id = r.doc_id AND e.line_no = r.line_no) r""")
+@query(f"""WITH {LINE_MATCHES}, e AS (SELECT doc_id, line_no, CASE WHEN doc_id % 5 = 1 AND line_no = 0 THEN text || '?' ELSE text END AS expected, replace(text, 'the', 'THE$1') AS new_text FROM r3 WHERE len(g) > 1),
+    bad AS (SELECT DISTINCT doc_id FROM e WHERE doc_id % 5 = 1 AND line_no = 0 OR doc_id % 5 = 2 AND line_no = 1 OR doc_id % 5 = 3 AND line_no = 2)
+    SELECT r.doc_id, r.line_no, CASE WHEN e.line_no IS NOT NULL AND bad.doc_id IS NULL THEN new_text ELSE text END AS text, e.line_no IS NOT NULL AND bad.doc_id IS NULL AS applied FROM runs r LEFT JOIN e ON e.doc_id = r.doc_id AND e.line_no = r.line_no LEFT JOIN bad ON bad.doc_id = r.doc_id""")
 def d8_apply_edits(s, d):
-    return replace.apply_edits(B.runs(s, d), _spoiled(s, d), ["doc_id", "line_no"])
+    e = _spoiled(s, d)
+    lost = e.where("doc_id % 5 = 2 and line_no = 1").withColumn("line_no", F.lit(1_000_000).cast("long"))
+    return replace.apply_edits(B.runs(s, d), e.unionByName(lost).unionByName(e.where("doc_id % 5 = 3 and line_no = 2")), ["doc_id", "line_no"])
 
 
 def _spoiled(s, d):
@@ -309,9 +320,10 @@ def g7_alias_sources(s, d):
     return pages.alias_sources(B.plan(s, d).select("workspace_id", F.col("pos").alias("slot"), (F.col("source_id") % 50).alias("source_id")))
 
 
-@query(f"WITH {PLAN} SELECT workspace_id, bool_and(page_index = pos AND rotation = 0) AS identity FROM plan GROUP BY 1")
+@query(f"WITH {PLAN} SELECT workspace_id, bool_and(page_index = pos AND rotation = 0) AND workspace_id % 3 <> 0 AS identity FROM plan GROUP BY 1")
 def g8_is_identity_plan(s, d):
-    return pages.is_identity_plan(B.plan(s, d))
+    p = B.plan(s, d)
+    return pages.is_identity_plan(p, p.groupBy("workspace_id").agg((F.count("*") + (F.col("workspace_id") % 3 == 0).cast("int")).alias("n")))
 
 
 @query(f"WITH {PLAN} SELECT workspace_id, 'part-' || lpad(CAST(pos // 2 + 1 AS VARCHAR), 4, '0') AS part, min(pos) AS first, max(pos) + 1 AS stop FROM plan GROUP BY workspace_id, pos // 2")
@@ -332,9 +344,10 @@ def g9_split_at(s, d):
     return _parts(s, d)
 
 
-@query(f"WITH {PLAN} SELECT DISTINCT workspace_id, true AS valid FROM plan")
+@query(f"WITH {PLAN}, {STARTS} SELECT workspace_id, workspace_id % 4 <> 1 OR count(*) <= 1 AS valid FROM parts GROUP BY 1")
 def g10_validate_partition(s, d):
-    return pages.validate_partition(_parts(s, d), B.plan(s, d))
+    part = _parts(s, d)  # in every fourth workspace the parts behind the first begin a page late
+    return pages.validate_partition(part.withColumn("first", F.when((F.col("workspace_id") % 4 == 1) & (F.col("first") > 0), F.col("first") + 1).otherwise(F.col("first"))), B.plan(s, d))
 
 
 @query(f"WITH {PLAN}, {STARTS} SELECT p.workspace_id, p.pos, part FROM plan p JOIN parts q ON p.workspace_id = q.workspace_id AND p.pos >= first AND p.pos < stop")
@@ -354,7 +367,7 @@ def g13_validate_plan(s, d):
     return pages.validate_plan(p.withColumn("rotation", F.when(F.col("pos") % 4 == 3, 45).otherwise(F.col("rotation"))), p.where("source_id % 10 <> 0").select("source_id", "page_index").distinct())
 
 
-@query()
+@query(f"WITH {PLAN} SELECT workspace_id, sha256(string_agg(lpad(CAST(pos AS VARCHAR), 10, '0') || '|' || source_id || '|' || page_index || '|' || rotation, chr(10) ORDER BY pos)) AS digest FROM plan GROUP BY 1")
 def g14_plan_digest(s, d):
     return pages.plan_digest(B.plan(s, d))
 
@@ -380,10 +393,11 @@ def h1_validate_outline(s, d):
     return outline.validate_outline(B.outline(s, d).where("level <> 1 or idx % 7 <> 1"))
 
 
-@query(f"""WITH {OUTLINE}, p AS (SELECT *, CASE level WHEN 1 THEN max(CASE WHEN level = 0 THEN idx END) OVER w WHEN 2 THEN max(CASE WHEN level = 1 THEN idx END) OVER w END AS parent FROM outline WINDOW w AS (PARTITION BY doc_id ORDER BY idx))
-    SELECT doc_id, idx, parent, lag(idx) OVER k AS prev_sibling, lead(idx) OVER k AS next_sibling FROM p WINDOW k AS (PARTITION BY doc_id, parent ORDER BY idx)""")
+@query(f"""WITH {OUTLINE}, p AS (SELECT *, CASE level WHEN 1 THEN max(CASE WHEN level = 0 THEN idx END) OVER w WHEN 2 THEN max(CASE WHEN level = 1 THEN idx END) OVER w END AS parent FROM outline WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
+    kids AS (SELECT doc_id, parent AS idx, min(idx) AS first_child, max(idx) AS last_child FROM p WHERE parent IS NOT NULL GROUP BY 1, 2)
+    SELECT doc_id, idx, parent, lag(idx) OVER k AS prev_sibling, lead(idx) OVER k AS next_sibling, first_child, last_child FROM p LEFT JOIN kids USING (doc_id, idx) WINDOW k AS (PARTITION BY doc_id, parent ORDER BY idx)""")
 def h2_outline_parents(s, d):
-    return outline.outline_parents(B.outline(s, d), 3).select("doc_id", "idx", "parent", "prev_sibling", "next_sibling")
+    return outline.outline_parents(B.outline(s, d)).select("doc_id", "idx", "parent", "prev_sibling", "next_sibling", "first_child", "last_child")
 
 
 ENDS = "ends AS (SELECT *, coalesce(CASE level WHEN 0 THEN min(CASE WHEN level <= 0 THEN idx END) OVER f WHEN 1 THEN min(CASE WHEN level <= 1 THEN idx END) OVER f ELSE min(CASE WHEN level <= 2 THEN idx END) OVER f END, max(idx) OVER (PARTITION BY doc_id) + 1) AS branch_end FROM outline WINDOW f AS (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))"
@@ -391,25 +405,42 @@ ENDS = "ends AS (SELECT *, coalesce(CASE level WHEN 0 THEN min(CASE WHEN level <
 
 @query(f"WITH {OUTLINE}, {ENDS} SELECT doc_id, idx, branch_end FROM ends")
 def h3_branch_end(s, d):
-    return outline.branch_end(B.outline(s, d), 3).select("doc_id", "idx", "branch_end")
+    return outline.branch_end(B.outline(s, d)).select("doc_id", "idx", "branch_end")
 
 
-@query(f"""WITH {OUTLINE}, {ENDS}, f AS (SELECT e.*, o_orderkey AS new_target FROM ends e LEFT JOIN orders ON o_orderkey = target AND o_orderstatus <> 'F'), g AS (SELECT *, sum(CASE WHEN level = 2 AND new_target IS NOT NULL OR level < 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx) AS c FROM f)
-    SELECT doc_id, idx, level, item_id, new_target AS target FROM g WHERE level < 2 OR new_target IS NOT NULL""")
+@query(f"""WITH {OUTLINE}, {ENDS}, live AS (SELECT e.*, coalesce(o_orderkey, p_partkey + 1000000000) AS new_target FROM ends e LEFT JOIN orders ON o_orderkey = target AND o_orderstatus <> 'F' LEFT JOIN part ON p_partkey + 1000000000 = target AND p_size > 40)
+    SELECT doc_id, idx, level, item_id, new_target AS target FROM live l WHERE target IS NULL OR new_target IS NOT NULL OR EXISTS (SELECT 1 FROM live b WHERE b.doc_id = l.doc_id AND b.idx > l.idx AND b.idx < l.branch_end AND b.new_target IS NOT NULL)""")
 def h4_remap_outline(s, d):
     kept = read(s, d, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("target"), F.col("o_orderkey").alias("new_target"))
-    return outline.remap_outline(B.outline(s, d), kept, 3)
+    lines = (F.col("p_partkey") + 1_000_000_000).cast("long")
+    return outline.remap_outline(B.outline(s, d), kept.union(read(s, d, "part").where("p_size > 40").select(lines, lines)))
 
 
-@query(f"WITH {OUTLINE} SELECT doc_id % 5 AS workspace_id, doc_id, idx, row_number() OVER (PARTITION BY doc_id % 5 ORDER BY doc_id, idx) - 1 AS new_idx, false AS repeats FROM outline")
+@query(f"WITH {OUTLINE} SELECT doc_id // 20 AS workspace_id, doc_id, idx, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id, idx) - 1 AS new_idx, idx = 0 AND count(*) FILTER (WHERE idx = 0) OVER (PARTITION BY doc_id // 20) > 1 AS repeats FROM outline")
 def h5_merge_outlines(s, d):
-    o = B.outline(s, d).withColumn("workspace_id", F.col("doc_id") % 5).withColumn("slot", F.col("doc_id"))
+    o = B.outline(s, d).withColumn("workspace_id", F.floor(F.col("doc_id") / 20)).withColumn("slot", F.col("doc_id")).withColumn("item_id", F.when(F.col("idx") == 0, "top").otherwise(F.col("item_id")))
     return outline.merge_outlines(o).select("workspace_id", "doc_id", "idx", "new_idx", "repeats")
 
 
-@query(f"WITH {OUTLINE}, {ENDS} SELECT doc_id, idx, branch_end - idx - 1 AS descendants FROM ends")
+@query(f"""WITH {OUTLINE}, {ENDS}, c AS (SELECT *, idx % 3 = 1 AND level < 2 AS closed FROM ends),
+    seen AS (SELECT x.doc_id, x.idx, count(*) AS n FROM c x JOIN c y ON y.doc_id = x.doc_id AND y.idx > x.idx AND y.idx < x.branch_end
+        WHERE NOT EXISTS (SELECT 1 FROM c z WHERE z.doc_id = x.doc_id AND z.closed AND z.idx > x.idx AND z.idx < y.idx AND y.idx < z.branch_end) GROUP BY 1, 2)
+    SELECT doc_id, idx, CAST((CASE WHEN closed THEN -1 ELSE 1 END) * coalesce(n, 0) AS BIGINT) AS descendants FROM c LEFT JOIN seen USING (doc_id, idx)""")
 def h6_outline_counts(s, d):
-    return outline.outline_counts(B.outline(s, d), 3)
+    return outline.outline_counts(B.outline(s, d).withColumn("closed", (F.col("idx") % 3 == 1) & (F.col("level") < 2)))
+
+
+@query(f"""WITH {OUTLINE}, {ENDS}, one AS (SELECT doc_id, doc_id % 6 AS op, level AS at_level, branch_end AS e FROM ends WHERE idx = 1),
+    spot AS (SELECT a.*, n.branch_end AS n FROM one a LEFT JOIN ends n ON n.doc_id = a.doc_id AND n.idx = a.e AND n.level = a.at_level),
+    moved AS (SELECT o.*, op, e, CASE WHEN op = 4 AND n IS NOT NULL AND idx >= 1 AND idx < e THEN idx + n - e WHEN op = 4 AND n IS NOT NULL AND idx >= e AND idx < n THEN idx + 1 - e ELSE idx END AS k FROM outline o LEFT JOIN spot USING (doc_id)),
+    edited AS (SELECT doc_id, k, 1 AS place, level, item_id, CASE WHEN op = 1 AND idx = 1 THEN 'new title' ELSE item_id END AS title, CASE WHEN op = 2 AND idx = 1 THEN 7 ELSE target END AS target FROM moved WHERE NOT coalesce(op = 3 AND idx >= 1 AND idx < e, false)
+        UNION ALL SELECT doc_id, e, 0, at_level + 1, 'new', 'new title', 7 FROM spot WHERE op = 0)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, place) - 1 AS idx, level, item_id, title, target FROM edited""")
+def h7_edit_outline(s, d):
+    o = B.outline(s, d).withColumn("title", F.col("item_id"))
+    ops = F.array(*[F.lit(x) for x in ("add", "retitle", "retarget", "remove", "down", "up")])
+    edits = o.where("idx = 0").select("doc_id", F.lit(1).cast("long").alias("at"), F.element_at(ops, (F.col("doc_id") % 6 + 1).cast("int")).alias("op"), F.lit("new").alias("new_id"), F.lit("new title ").alias("new_title"), F.lit(7).cast("long").alias("new_target"))
+    return outline.edit_outline(o, edits)
 
 
 @query("SELECT page_id, CAST(k - 1 AS BIGINT) AS ordinal, h[k] AS href FROM (SELECT page_id, h, unnest(range(1, len(h) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, '<a[^>]*href=\"([^\"]*)\"', 1) AS h FROM pages))")
@@ -553,13 +584,23 @@ def j4_apply_redaction(s, d):
     return redact.apply_redaction(B.runs(s, d).withColumnRenamed("line_no", "page_index"), _ranges(s, d))
 
 
-@query(f"WITH {RUNS} SELECT doc_id, line_no AS page_index, true AS exact FROM runs")
+@query(f"""WITH {CHARS}, kept AS (SELECT doc_id, page_index, string_agg(text, '' ORDER BY char_index) AS t FROM chars WHERE NOT ((x < 90 AND x + 6 > 50) OR (x < 300 AND x + 6 > 207)) GROUP BY 1, 2)
+    SELECT r.doc_id, r.line_no AS page_index, r.doc_id % 3 <> 0 OR coalesce(t = reverse(t), true) AS exact FROM runs r LEFT JOIN kept k ON k.doc_id = r.doc_id AND k.page_index = r.line_no""")
 def j5_redaction_audit(s, d):
     before = B.runs(s, d).withColumnRenamed("line_no", "page_index")
-    return redact.redaction_audit(before, redact.apply_redaction(before, _ranges(s, d)), _ranges(s, d))
-
-
-@query()
+    after = redact.apply_redaction(before, _ranges(s, d))
+    spoiled = after.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.reverse("text")).otherwise(F.col("text")))
+    return redact.redaction_audit(before, spoiled, _ranges(s, d))
+
+
+@query(f"""WITH RECURSIVE {LOG}, e AS (SELECT session_id, action, state, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS k FROM log),
+    h AS (SELECT DISTINCT session_id, 0::BIGINT AS k, []::BIGINT[] AS past, NULL::BIGINT AS present, []::BIGINT[] AS future FROM log
+        UNION ALL SELECT h.session_id, e.k,
+            CASE WHEN action = 'commit' AND present IS NOT NULL OR action = 'redo' AND len(future) > 0 THEN list_append(past, present)[-100:] WHEN action = 'undo' AND len(past) > 0 THEN past[:-2] ELSE past END,
+            CASE WHEN action = 'commit' THEN state WHEN action = 'undo' AND len(past) > 0 THEN past[-1] WHEN action = 'redo' AND len(future) > 0 THEN future[1] ELSE present END,
+            CASE WHEN action = 'commit' THEN []::BIGINT[] WHEN action = 'undo' AND len(past) > 0 THEN list_prepend(present, future) WHEN action = 'redo' AND len(future) > 0 THEN future[2:] ELSE future END
+        FROM h JOIN e ON e.session_id = h.session_id AND e.k = h.k + 1)
+    SELECT session_id, present, CAST(len(past) AS BIGINT) AS n_past, CAST(len(future) AS BIGINT) AS n_future FROM h QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY k DESC) = 1""")
 def k1_replay_history(s, d):
     return history.replay_history(B.sessions(s, d))
 
@@ -590,10 +631,10 @@ def k6_job_progress(s, d):
     return history.job_progress(e).select("job_id", "steps", "last_stage")
 
 
-@query("""SELECT store, max(generation) AS generation FROM (SELECT l_suppkey AS store, l_linenumber AS generation, bool_and(o_orderstatus IS NOT NULL AND o_orderstatus <> 'F') AS ok FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2) WHERE ok GROUP BY 1""")
+@query("""SELECT store, max(generation) AS generation FROM (SELECT l_partkey % 40 AS store, l_orderkey AS generation, bool_and(coalesce(o_orderstatus <> 'F' AND o_orderkey % 7 <> 0, false)) AS ok FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2) WHERE ok GROUP BY 1""")
 def k7_latest_valid_generation(s, d):
-    c = read(s, d, "lineitem").select(F.col("l_suppkey").alias("store"), F.col("l_linenumber").alias("generation"), F.col("l_orderkey").alias("file"), F.lit(1).alias("length"))
-    p = read(s, d, "orders").select(F.col("o_orderkey").alias("file"), F.when(F.col("o_orderstatus") != "F", 1).otherwise(2).alias("length"))
+    c = read(s, d, "lineitem").select((F.col("l_partkey") % 40).alias("store"), F.col("l_orderkey").alias("generation"), F.col("l_orderkey").alias("file"), F.lit(1).alias("length"), F.md5(F.col("l_orderkey").cast("string")).alias("checksum"))
+    p = read(s, d, "orders").select(F.col("o_orderkey").alias("file"), F.when(F.col("o_orderstatus") != "F", 1).otherwise(2).alias("length"), F.md5(F.when(F.col("o_orderkey") % 7 == 0, "broken").otherwise(F.col("o_orderkey").cast("string"))).alias("checksum"))
     return history.latest_valid_generation(c, p)
 
 
@@ -850,3 +891,19 @@ def i8_effective_names(s, d):
 def i10_resolve_choices(s, d):
     f = read(s, d, "part").select("p_partkey", F.array("p_brand", "p_type", "p_name").alias("options"), F.array((F.col("p_size") % 3).cast("int"), (F.floor(F.col("p_size") / 3) % 4).cast("int")).alias("rows"), (F.col("p_partkey") % 2 == 1).alias("multiple"))
     return review.resolve_choices(f).select("p_partkey", "reason", F.array_join("picked", "|").alias("picked"))
+
+
+@query(f"""WITH {CHARS}, shown AS (SELECT *, NOT regexp_matches(text, '[\\s\\x{{85}}\\x{{0B}}\\pZ\\x{{FEFF}}]') AS visible, char_index // 2 AS pair FROM chars),
+    spans AS (SELECT *, CASE WHEN bool_and(visible) OVER p AND count(*) OVER p = 2 THEN 2 * pair ELSE char_index END AS head FROM shown WINDOW p AS (PARTITION BY doc_id, page_index, pair))
+    SELECT doc_id, page_index, min(char_index) AS start, max(char_index) + 1 AS stop, string_agg(text, '' ORDER BY char_index) AS text FROM spans GROUP BY doc_id, page_index, head""")
+def c13_selectable_spans(s, d):
+    k = F.col("char_index")
+    twos = _chars(s, d).withColumn("x", (F.floor(k / 2) * 6 + (k % 2) * 0.015).cast("double"))
+    return layout.selectable_spans(twos).select("doc_id", "page_index", "start", "stop", "text")
+
+
+@query(f"""WITH {CHARS}, marks AS (SELECT doc_id, line_no AS page_index, unnest([0, 1]) AS mark_id, length(text) * 6 AS w FROM runs)
+    SELECT doc_id, page_index, mark_id FROM marks WHERE w <= CASE mark_id WHEN 0 THEN 50 ELSE 207 END""")
+def j1_missed_marks(s, d):
+    marks = _marks(s, d).withColumn("mark_id", F.when(F.col("mx") == 50, 0).otherwise(1))
+    return redact.missed_marks(_chars(s, d), marks).select("doc_id", "page_index", "mark_id")

@@ -2,23 +2,23 @@
 
 import pytest
 
-from docspark.operators import history, pages, redact, replace, search
+from docspark.operators import assemble, history, layout, outline, pages, redact, replace, search
 from docspark.streaming import jobs
 
 
 @pytest.mark.parametrize(
     "text,query,case,whole,want",
     [
-        ("ΟΣ ος οσ", "ΟΣ", False, False, [[0, 2], [3, 5], [6, 8]]),
-        ("Straße", "STRASSE", False, False, [[0, 6]]),
-        ("foo foobar Foo", "foo", False, True, [[0, 3], [11, 14]]),
-        ("can't can", "can", False, True, [[6, 9]]),
-        ("xa-a-a", "a-a", False, True, [[3, 6]]),
-        ("a-a-a", "a-a", False, False, [[0, 3]]),
-        ("﻿A \r\nB", "a b", False, False, [[1, 6]]),
-        ("A\x85B", "a b", False, False, []),
-        ("X.*Y", ".*", False, False, [[1, 3]]),
-        ("Cat cat", "cat", True, False, [[4, 7]]),
+        ("Λόγος ΛΌΓΟΣ λόγοσ", "λόγος", False, False, [[0, 5], [6, 11], [12, 17]]),
+        ("Grüße aus der GASSE", "gasse", False, False, [[14, 19]]),
+        ("Maß halten, MASS nehmen", "mass", False, False, [[0, 3], [12, 16]]),
+        ("rain rainy, Rain.", "rain", False, True, [[0, 4], [12, 16]]),
+        ("won't won", "won", False, True, [[6, 9]]),
+        ("no-no-no", "no-no", False, True, [[0, 5]]),
+        ("papapa", "papa", False, False, [[0, 4]]),
+        ("left\t \n right", "left right", False, False, [[0, 13]]),
+        ("cost (a+b)? yes", "(a+b)?", False, False, [[5, 11]]),
+        ("Oak oak OAK", "OAK", True, False, [[8, 11]]),
     ],
 )
 def test_search(spark, text, query, case, whole, want):
@@ -57,25 +57,25 @@ def test_redaction_audit_compares_by_value(spark):
 
 
 def plan(spark, n=5):
-    return spark.createDataFrame([(1, i, "abcde"[i], 7, i, 0) for i in range(n)], "workspace_id long, pos long, page_id string, source_id long, page_index long, rotation int")
+    return spark.createDataFrame([(1, i, "abcdefg"[i], 7, i, 0) for i in range(n)], "workspace_id long, pos long, page_id string, source_id long, page_index long, rotation int")
 
 
 def ids(df):
     return "".join(r.page_id[0] for r in df.orderBy("pos").collect())
 
 
-@pytest.mark.parametrize("at,want", [(0, "bdace"), (5, "acebd"), (1, "abdce")])
+@pytest.mark.parametrize("at,want", [(0, "cdfabeg"), (7, "abegcdf"), (5, "abecdfg"), (6, "abecdfg"), (3, "abcdfeg")])
 def test_move(spark, at, want):
-    sel = spark.createDataFrame([(1, 1), (1, 3)], "workspace_id long, pos long")
-    assert ids(pages.move_pages(plan(spark), sel, spark.createDataFrame([(1, at)], "workspace_id long, at long"))) == want
+    sel = spark.createDataFrame([(1, 2), (1, 3), (1, 5)], "workspace_id long, pos long")
+    assert ids(pages.move_pages(plan(spark, 7), sel, spark.createDataFrame([(1, at)], "workspace_id long, at long"))) == want
 
 
 def test_duplicate_delete_insert(spark):
-    p, sel = plan(spark), spark.createDataFrame([(1, 1), (1, 3)], "workspace_id long, pos long")
-    assert ids(pages.duplicate_pages(p, sel)) == "abcdbde"
-    assert ids(pages.delete_pages(p, sel)) == "ace"
-    assert ids(pages.delete_pages(p, p.select("workspace_id", "pos"))) == "abcde"
-    assert ids(pages.insert_pages(p, p.where("pos = 4"), spark.createDataFrame([(1, 99)], "workspace_id long, at long"))) == "abcdee"
+    p, sel = plan(spark, 6), spark.createDataFrame([(1, 0), (1, 4)], "workspace_id long, pos long")
+    assert ids(pages.duplicate_pages(p, sel)) == "abcdeaef"
+    assert ids(pages.delete_pages(p, sel)) == "bcdf"
+    assert ids(pages.delete_pages(p, p.select("workspace_id", "pos"))) == "abcdef"
+    assert ids(pages.insert_pages(p, p.where("pos = 2"), spark.createDataFrame([(1, 50)], "workspace_id long, at long"))) == "abcdefc"
 
 
 def log(spark, actions):
@@ -83,12 +83,13 @@ def log(spark, actions):
     return spark.createDataFrame(rows, "session_id long, ts string, event_id long, action string, state long").selectExpr("session_id", "cast(ts AS timestamp) ts", "event_id", "action", "state")
 
 
-ACTIONS = [("commit", k) for k in range(106)] + [("undo", -1)] * 2
+#: 130 states of which the last 100 before the present are kept, then three steps back and one forth.
+ACTIONS = [("commit", k) for k in range(130)] + [("undo", -1)] * 3 + [("redo", -1)]
 
 
 def test_history(spark):
-    assert tuple(history.replay_history(log(spark, ACTIONS)).first()) == (1, 103, 98, 2)
-    assert tuple(history.replay_history(log(spark, [*ACTIONS, ("commit", 200), *[("undo", -1)] * 100])).first())[1:3] == (5, 0)
+    assert tuple(history.replay_history(log(spark, ACTIONS)).first()) == (1, 127, 98, 2)
+    assert tuple(history.replay_history(log(spark, [*ACTIONS, ("commit", 500), ("redo", -1), *[("undo", -1)] * 150])).first()) == (1, 29, 0, 99)
 
 
 def test_history_stream_equals_batch(spark, tmp_path):
@@ -96,9 +97,71 @@ def test_history_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema("session_id long, ts timestamp, event_id long, action string, state long").option("maxFilesPerTrigger", 100).parquet(str(tmp_path / "in"))
     q = jobs.replay_history_stream(stream).writeStream.outputMode("update").format("memory").queryName("hist").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert [tuple(r) for r in spark.table("hist").collect()][-1] == (1, 103, 98, 2)
+    assert [tuple(r) for r in spark.table("hist").collect()][-1] == (1, 127, 98, 2)
 
 
 def test_deadline_cuts_bursts(spark):
     got = history.checkpoint_coalesce(log(spark, ACTIONS[:20]), 1.5, 5).collect()
     assert sorted(r.changes for r in got) == [5, 5, 5, 5]
+
+
+def test_edits_are_all_or_nothing(spark):
+    runs = spark.createDataFrame([(d, k, f"t{d}{k}") for d in range(5) for k in range(2)], "doc_id long, line_no long, text string")
+    edits = [(0, 0, "t00", "A"), (0, 1, "t01", "B"), (1, 0, "t10", "A"), (1, 7, "gone", "B"), (2, 0, "t20", "A"), (2, 0, "t20", "B"), (3, 0, "other", "A"), (3, 1, "t31", "B")]
+    got = replace.apply_edits(runs, spark.createDataFrame(edits, "doc_id long, line_no long, expected_text string, new_text string"), ["doc_id", "line_no"])
+    assert sorted((r.doc_id, r.line_no, r.text) for r in got.collect() if r.applied) == [(0, 0, "A"), (0, 1, "B")]
+    assert got.count() == 10 and sorted(r.text for r in got.where("not applied").collect()) == sorted(f"t{d}{k}" for d in range(1, 5) for k in range(2))
+
+
+LEVELS = [0, 1, 2, 2, 1, 2, 3, 0, 1]
+
+
+def outlined(spark, **more):
+    from pyspark.sql import functions as F
+
+    o = spark.createDataFrame([(1, i, v, f"i{i}", f"i{i}", i) for i, v in enumerate(LEVELS)], "doc_id long, idx long, level int, item_id string, title string, target long")
+    return o.withColumns({k: F.expr(v) for k, v in more.items()})
+
+
+@pytest.mark.parametrize(
+    "at,op,want",
+    [
+        (1, "add", "i0 i1 i2 i3 + i4 i5 i6 i7 i8"), (None, "add", "i0 i1 i2 i3 i4 i5 i6 i7 i8 +"), (4, "up", "i0 i4 i5 i6 i1 i2 i3 i7 i8"), (1, "down", "i0 i4 i5 i6 i1 i2 i3 i7 i8"),
+        (0, "down", "i7 i8 i0 i1 i2 i3 i4 i5 i6"), (4, "down", "i0 i1 i2 i3 i4 i5 i6 i7 i8"), (1, "up", "i0 i1 i2 i3 i4 i5 i6 i7 i8"), (4, "remove", "i0 i1 i2 i3 i7 i8"), (30, "remove", "i0 i1 i2 i3 i4 i5 i6 i7 i8"),
+    ],
+)
+def test_edit_outline(spark, at, op, want):
+    e = spark.createDataFrame([(1, at, op, "+", "new", 9)], "doc_id long, at long, op string, new_id string, new_title string, new_target long")
+    got = outline.edit_outline(outlined(spark), e).orderBy("idx").collect()
+    assert " ".join(r.item_id for r in got) == want and [r.idx for r in got] == list(range(len(got)))
+    if op == "add":
+        assert [(r.level, r.target) for r in got if r.item_id == "+"] == [(2 if at else 0, 9)]
+
+
+def test_outline_counts_with_closed_items(spark):
+    got = outline.outline_counts(outlined(spark, closed="idx in (1, 5)")).orderBy("idx").collect()
+    assert [r.descendants for r in got] == [3, -2, 0, 0, 1, -1, 0, 1, 0]
+
+
+def test_remap_outline_keeps_ancestors_of_living_items(spark):
+    pages_left = spark.createDataFrame([(6, 60), (8, 80)], "target long, new_target long")
+    got = outline.remap_outline(outlined(spark), pages_left).orderBy("idx").collect()
+    assert [(r.idx, r.target) for r in got] == [(0, None), (4, None), (5, None), (6, 60), (7, None), (8, 80)]
+
+
+def test_selectable_spans_compare_with_the_first_box(spark):
+    chars = [("a", 0.0), ("b", 0.015), ("c", 0.03), (" ", 0.03), ("d", 5.0), ("e", 5.02)]
+    df = spark.createDataFrame([(1, 0, i, t, x, 0.0, 6.0, 9.0) for i, (t, x) in enumerate(chars)], "doc_id long, page_index long, char_index long, text string, x double, y double, width double, height double")
+    got = layout.selectable_spans(df).orderBy("start").collect()
+    assert [(r.start, r.stop, r.text) for r in got] == [(0, 2, "ab"), (2, 3, "c"), (3, 4, " "), (4, 6, "de")]
+    assert abs(got[0].width - 6.015) < 1e-9
+
+
+def test_select_pages_reports_what_is_wrong(spark):
+    p = spark.createDataFrame([(d, k, "t") for d in range(1, 8) for k in range(3)], "doc_id long, page_index long, text string")
+    asked = [(1, "range", None, "1,x,3"), (2, "range", None, "3, 1-2,2"), (3, "range", None, "2-4"), (4, "current", 1, None), (5, "current", 3, None), (6, "all", None, None), (7, "range", None, "0"), (8, "all", None, None)]
+    got = assemble.select_pages(p, spark.createDataFrame(asked, "doc_id long, mode string, current_page long, expr string")).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.doc_id, []).append(r.error or r.page_index)
+    assert {k: sorted(v) for k, v in found.items()} == {1: ["syntax"], 2: [0, 1, 2], 3: ["bounds"], 4: [1], 5: ["current"], 6: [0, 1, 2], 7: ["bounds"], 8: ["no_pages"]}
