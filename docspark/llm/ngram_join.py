@@ -1,11 +1,11 @@
 """Near-duplicate documents by word n-gram Jaccard, joined on PartEnum signatures.
 
-Sets fall into size bands. Two sets of a band pair that reach the threshold differ in at most k elements, so if the domain
-is cut into more than k parts, some part holds the same elements of both. The hash of a set's elements in one part is a
-signature; similar sets share one. Parts with one element or none say little, and one passage that many documents share
-would bring all of them together: s spare parts make up for up to s such light parts, which then go unsigned. Only sets
-with more than s light parts sign their single elements too, and only those with more than s empty parts also the empty
-ones. Of two similar sets at least s+1 parts are equal, so they share a signature of the same kind. Nothing is lost.
+Sets fall into size bands. Two sets of a band pair that reach the threshold differ in at most k elements. The domain is cut in
+two levels: into n1 > k / 2 partitions, of which some then holds at most one difference, and each of these into three parts, of
+which two then hold the same elements of both sets. So each partition gives a signature for each of its three subsets of two
+parts, a hash of the set's elements in them, and similar sets share one. Subsets with one element or none say little: s spare
+partitions make up for up to s partitions with such a subset, which then go unsigned. Only sets with more than s of these sign
+their single elements too, and only those with more than s partitions with an empty subset also these. Nothing is lost.
 
 Of the sets that share a signature only pairs with the signature's leader are verified at first (a star). If all of them
 hold, or their ends are connected by others, the group is done. Only members left apart from the leader's component are
@@ -15,14 +15,14 @@ hopeless pairs before any set is fetched.
 
 from __future__ import annotations
 
-from math import exp, floor
+from math import ceil, exp, floor
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import bitmap_filter, components, may_contain, slices, table
+from docspark.llm.common import bitmap_filter, components, lookup, may_contain, slices, table
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SKETCH_WORDS = 4
@@ -96,15 +96,12 @@ def bands(num: int, den: int, largest: int) -> list[tuple[int, int]]:
     return out
 
 
-def parts_of(high: int, num: int, den: int) -> tuple[int, int, int]:
-    """For the pairs of a band with largest size high and the band below: largest difference k, spare parts s, number of parts."""
+def parts_of(high: int, num: int, den: int) -> tuple[int, int]:
+    """For the pairs of a band with largest size high and the band below: largest difference k and number of partitions."""
     k = floor(2 * high * (den - num) / (den + num) + 1e-9)
-    s = 1 + (k + 20) // 33
-    if k >= 100:  # a passage is a small share of long sets only; in short ones more and smaller parts would bring more sets together
-        light = lambda s, mean: (k + 1 + s) * exp(-mean) * (1 + mean)
-        while s < k // 2 and light(s, high * num / den / (k + 1 + s)) > s:
-            s += 1 + k // 100
-    return k, s, k + 1 + s
+    least = k // 2 + 1
+    mean = 2 / 3 * high * num / den / least  # elements of a subset
+    return k, least + min(1 + least // 2, 1 + ceil(4.5 * least * exp(-mean) * (1 + mean)))
 
 
 def signatures(sh: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,43 +115,41 @@ def signatures(sh: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tuple[
     owner = np.repeat(np.arange(len(sizes)), sizes)
     top = bands(num, den, int(highs[-1]) + 1)
     params = np.array([parts_of(h, num, den) for _, h in top], np.int64)
-    # a set and one of the band above are smaller together, differ in less and so leave more spare parts
+    # a set and one of the band above are smaller together, differ in less and so leave more spare partitions
     below = np.array([0] + [floor((a + b) * (den - num) / (den + num) + 1e-9) for (_, a), (_, b) in zip(top, top[1:])], np.int64)
+    scrambled = mix(sh ^ np.uint64(0x9E3779B97F4A7C15))
     sigs, owners = [], []
     for step in (0, 1):
         b = band + step
-        at_band = np.minimum(b, len(params) - 1)
-        k, s, parts = params[at_band].T
-        spare = parts - 1 - below[at_band] if step else s
-        live = (sizes > 0) & ((k > 0) | (step == 0))
-        whole = live & (k == 0)
-        parts = np.where(whole, 1, parts)
-        use = live[owner]
-        o, e = owner[use], sh[use]
+        k, parts = params[np.minimum(b, len(params) - 1)].T
         salt = mix(b.astype(np.uint64) + np.uint64(77))
-        part = (mix(e ^ np.uint64(0x9E3779B97F4A7C15)) % parts[o].astype(np.uint64)).astype(np.int64)
-        offset = np.cumsum(np.where(live, parts, 0)) - np.where(live, parts, 0)
-        cell = offset[o] + part
-        order = np.argsort(cell, kind="stable")
-        cells, e = cell[order], mix(e[order])
-        first = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])) if len(cells) else np.zeros(0, np.int64)
-        if not len(first):
-            continue
-        total = np.add.reduceat(e, first)
-        at = cells[first]
-        own = np.repeat(np.arange(len(sizes)), np.where(live, parts, 0))[at]
-        inner = (at - offset[own]).astype(np.uint64)
-        filled = np.bincount(own, minlength=len(sizes))
-        single = np.diff(np.append(first, len(cells))) == 1
-        light = parts - filled + np.bincount(own[single], minlength=len(sizes))
-        signed = ~single | (whole | (light > spare))[own]
-        sigs.append(mix(mix(total[signed] + inner[signed]) + salt[own[signed]]))
-        owners.append(own[signed])
-        for i in np.flatnonzero(live & ~whole & (parts - filled > spare)):
-            empty = np.setdiff1d(np.arange(parts[i]), (at - offset[i])[own == i]).astype(np.uint64)
-            sigs.append(mix(mix(empty + np.uint64(0x5851F42D4C957F2D)) + salt[i]))
-            owners.append(np.full(len(empty), i))
-    return (np.concatenate(sigs), np.concatenate(owners)) if sigs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        whole = np.flatnonzero((sizes > 0) & (k == 0)) if step == 0 else np.zeros(0, np.int64)
+        if len(whole):
+            sums = np.add.reduceat(np.append(mix(sh), np.uint64(0)), np.minimum(bounds[:-1], len(sh)))
+            sigs.append(mix(mix(sums[whole]) + salt[whole]))
+            owners.append(whole)
+        live = (sizes > 0) & (k > 0)
+        spare = parts - 1 - (below[np.minimum(b, len(below) - 1)] if step else k) // 2
+        cells = np.where(live, 3 * parts, 0)
+        first = np.cumsum(cells) - cells
+        use = live[owner]
+        cell = first[owner[use]] + (scrambled[use] % cells[owner[use]].astype(np.uint64)).astype(np.int64)
+        total = np.zeros(int(cells.sum()), np.uint64)
+        np.add.at(total, cell, mix(sh[use]))
+        n = np.bincount(cell, minlength=len(total)).reshape(-1, 3)
+        total = mix(total + np.tile(np.array([11, 13, 17], np.uint64), len(n))).reshape(-1, 3)
+        own = np.repeat(np.arange(len(sizes)), cells // 3)
+        inner = np.arange(len(n)) - first[own] // 3
+        pairs = [(0, 1), (0, 2), (1, 2)]
+        held = np.stack([n[:, i] + n[:, j] for i, j in pairs], 1)
+        fewest = held.min(1)
+        light, bare = (np.bincount(own[fewest <= m], minlength=len(sizes)) > spare for m in (1, 0))
+        least = np.where(bare, 0, np.where(light, 1, 2))[own]
+        for j, (x, y) in enumerate(pairs):
+            signed = held[:, j] >= least
+            sigs.append(mix(mix(total[signed, x] + total[signed, y] + (3 * inner[signed] + j).astype(np.uint64)) + salt[own[signed]]))
+            owners.append(own[signed])
+    return np.concatenate(sigs), np.concatenate(owners)
 
 
 def sketches(sh: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -166,18 +161,17 @@ def sketches(sh: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(-1, cells), axis=1).view(np.int64)
 
 
-def wide_sketches(sh: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
-    """Such parities of long sets, in 0.7 to 1.4 cells an element (a power of two); null for sets that 256 cells can tell apart."""
-    h, words, ends = mix(sh + np.uint64(5)), [], [0]
+def wide_sketches(sh: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Such parities of long sets, in 0.7 to 1.4 cells an element (a power of two); empty for sets that 256 cells can tell apart."""
+    h, out = mix(sh + np.uint64(5)), []
     for i, j in zip(bounds[:-1], bounds[1:]):
-        if j - i >= WIDE_FROM:
-            cells = 1 << int(0.7 * (j - i)).bit_length()
-            odd = np.bincount((h[i:j] & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
-            words.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
-            ends.append(ends[-1] + len(words[-1]))
-        else:
-            ends.append(ends[-1])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(words) if words else np.zeros(0, np.int64)), mask=pa.array(np.diff(bounds) < WIDE_FROM))
+        if j - i < WIDE_FROM:
+            out.append(b"")
+            continue
+        cells = 1 << int(0.7 * (j - i)).bit_length()
+        odd = np.bincount((h[i:j] & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+    return out
 
 
 def wide_apart(x: str, y: str):
@@ -190,22 +184,23 @@ def wide_apart(x: str, y: str):
     )
 
 
-COLUMNS = ["kind", "key", "id", "leader", "size", "same", "s0", "s1", "s2", "s3", "wide"]
 SCHEMA = "kind int, key long, id long, leader long, size long, same long, s0 long, s1 long, s2 long, s3 long, wide array<long>"
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 WIDE = pa.list_(pa.int64())
 
 
 def _signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Rows of kind 0 (a signature and the smallest id that has it in this buffer), 1 (a member and its leader of the buffer) and 2 (one per document)."""
+    """Rows (key, id, more): a signature and the smallest id that has it in this buffer (more is null), a member and, in more, its
+    leader of the buffer (8 bytes), and one for each document with its size, sum and sketches (48 bytes or longer)."""
 
     def run(batches):
         words = WordHashes()
 
-        def rows(kind, key, ident, leader, info=None):
-            m = len(key)
-            fill = lambda: pa.nulls(m, pa.int64())
-            more = [x if isinstance(x, pa.Array) else pa.array(x) for x in info] if info else [*(fill() for _ in range(6)), pa.nulls(m, WIDE)]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(key.view(np.int64)), pa.array(ident), pa.array(leader) if leader is not None else fill(), *more], names=COLUMNS)
+        def rows(key, ident, more=None):
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ident), pa.nulls(len(key), pa.binary()) if more is None else pa.array(more, pa.binary())], names=["key", "id", "more"])
+
+        def members(key, ident, leader):
+            return rows(key, ident, [x.tobytes() for x in leader])
 
         held: list = []
 
@@ -216,10 +211,10 @@ def _signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             sig, ids = sig[order], ids[order]
             first = np.append(True, sig[1:] != sig[:-1]) if len(sig) else np.zeros(0, bool)
             leader = ids[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))] if len(sig) else ids
-            yield rows(0, sig[first], ids[first], None)
+            yield rows(sig[first], ids[first])
             more = ~first & (leader != ids)
             if more.any():
-                yield rows(1, sig[more], ids[more], leader[more])
+                yield members(sig[more], ids[more], leader[more])
 
         waiting = 0
         for part in slices(batches, 1, 1 << 20):
@@ -229,8 +224,8 @@ def _signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             sums = np.zeros(len(ids), np.uint64)
             if (sizes > 0).any():
                 sums[sizes > 0] = np.add.reduceat(mix(sh + np.uint64(9)), bounds[:-1][sizes > 0])
-            sk = sketches(sh, bounds)
-            yield rows(2, mix(ids.view(np.uint64)), ids, None, [sizes, sums.view(np.int64), *(np.ascontiguousarray(sk[:, i]) for i in range(4)), wide_sketches(sh, bounds)])
+            facts = np.column_stack([sizes, sums.view(np.int64), sketches(sh, bounds)])
+            yield rows(mix(ids.view(np.uint64)), ids, [f.tobytes() + w for f, w in zip(facts, wide_sketches(sh, bounds))])
             # of equal sets only the smallest id signs; the others follow it
             order = np.lexsort((ids, sums, sizes))
             z, q = sizes[order], sums[order]
@@ -238,7 +233,7 @@ def _signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             lead = ids[order][np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
             copies = ~new & (z > 0) & (lead != ids[order])
             if copies.any():
-                yield rows(1, q[copies], ids[order][copies], lead[copies])
+                yield members(q[copies], ids[order][copies], lead[copies])
             signing = np.zeros(len(ids), bool)
             signing[order[new]] = True
             sig, own = signatures(sh, bounds, num, den)
@@ -251,19 +246,33 @@ def _signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(run, "key long, id long, more binary")
 
 
 def _stars(batches):
-    """Sorted signature rows to (member, leader) rows, the leader being the signature's first and smallest id; other rows pass through."""
+    """Sorted rows of _signed to rows of SCHEMA: kind 1 for a member and its leader, the signature's first and smallest id, kind 2 for a document."""
     last_key = last_id = None
+
+    def members(key, ids, leader):
+        m = len(key)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(key), pa.array(ids), pa.array(leader), *[pa.nulls(m, pa.int64())] * 6, pa.nulls(m, WIDE)], names=COLUMNS)
+
     for b in batches:
-        kind, key, ids = (np.asarray(b.column(i)) for i in range(3))
-        other = pa.array(kind != 0)
-        passed = b.filter(other)
-        if passed.num_rows:
-            yield passed
-        key, ids = key[kind == 0], ids[kind == 0]
+        other = np.flatnonzero(np.asarray(b.column(2).is_valid()))
+        key, ids = np.asarray(b.column(0)), np.asarray(b.column(1))
+        if len(other):
+            more = b.column(2).take(pa.array(other)).to_pylist()
+            led = np.array([len(x) == 8 for x in more])
+            if led.any():
+                yield members(key[other[led]], ids[other[led]], np.frombuffer(b"".join(x for x in more if len(x) == 8), np.int64))
+            if not led.all():
+                full, at = [x for x in more if len(x) > 8], other[~led]
+                facts = np.stack([np.frombuffer(x[:48], np.int64) for x in full], 1)
+                wide = pa.array([np.frombuffer(x[48:], np.int64) if len(x) > 48 else None for x in full], WIDE)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), 2, np.int32)), pa.array(key[at]), pa.array(ids[at]), pa.nulls(len(at), pa.int64()), *map(pa.array, facts), wide], names=COLUMNS)
+        own = np.ones(len(key), bool)
+        own[other] = False
+        key, ids = key[own], ids[own]
         if not len(key):
             continue
         first = np.append(key[0] != last_key if last_key is not None else True, key[1:] != key[:-1])
@@ -272,8 +281,7 @@ def _stars(batches):
         last_key, last_id = key[-1], leader[-1]
         more = ~first & (leader != ids)
         if more.any():
-            m = int(more.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(key[more]), pa.array(ids[more]), pa.array(leader[more]), *[pa.nulls(m, pa.int64())] * 6, pa.nulls(m, WIDE)], names=COLUMNS)
+            yield members(key[more], ids[more], leader[more])
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -325,8 +333,8 @@ def _close(num: int, den: int):
 
 def _verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, n: int, num: int, den: int, bits: int) -> DataFrame:
     """Of the pairs (a, b) those with den * intersection >= num * union, whole sets compared."""
-    of = lambda side: info.select(*[F.col(c).alias(f"{c}_{side}") for c in ("id", "size", "same", "s0", "s1", "s2", "s3", "wide")])
-    known = pairs.join(of("a"), F.col("a") == F.col("id_a")).join(of("b"), F.col("b") == F.col("id_b"))
+    of = lambda side: info.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("size", "same", "s0", "s1", "s2", "s3", "wide")])
+    known = lookup(table(pairs, "tried"), of("a"), "a").join(of("b"), "b")  # a leader may have very many pairs, a member has few
     small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
     # |A ^ B| <= (|A|+|B|) (den-num)/(den+num) for pairs that hold; the sketches differ in no more bits than the sets in elements
     apart = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(SKETCH_WORDS)), F.lit(0))

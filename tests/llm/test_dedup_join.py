@@ -71,18 +71,22 @@ def test_near_duplicates_edges(spark):
 
 
 def test_signatures_never_lose_a_pair():
-    rng = np.random.default_rng(1)
-    for size in (7, 12, 40, 150, 700):
-        for _ in range(30):
-            base = rng.integers(1, 2**63, size, dtype=np.int64).astype(np.uint64)
-            k = ngram_join.floor(0.15 * size / 1.85)
-            other = np.concatenate([base[k:], rng.integers(1, 2**63, k, dtype=np.int64).astype(np.uint64)])
-            a, b = np.unique(base), np.unique(other)
-            common = len(np.intersect1d(a, b))
-            if 100 * common < 85 * (len(a) + len(b) - common):
-                continue
-            sig, own = ngram_join.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 85, 100)
-            assert set(sig[own == 0]) & set(sig[own == 1])
+    rng, tried = np.random.default_rng(1), 0
+    for num in (85, 80):
+        for size in (1, 3, 5, 7, 9, 12, 40, 150, 700, 3000):
+            for _ in range(40):
+                base = rng.integers(1, 2**63, size, dtype=np.int64).astype(np.uint64)
+                gone = int(rng.integers(0, (100 - num) * size // 100 + 1))
+                new = int(rng.integers(0, (100 - num) * size // 100 + 1))
+                other = np.concatenate([base[gone:], rng.integers(1, 2**63, new, dtype=np.int64).astype(np.uint64)])
+                a, b = np.unique(base), np.unique(other)
+                common = len(np.intersect1d(a, b))
+                if 100 * common < num * (len(a) + len(b) - common):
+                    continue
+                tried += 1
+                sig, own = ngram_join.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), num, 100)
+                assert set(sig[own == 0]) & set(sig[own == 1])
+    assert tried > 300
 
 
 def test_keep_first_keeps_columns(spark):
