@@ -25,12 +25,14 @@ def extraction_text(c: Column) -> Column:
 
 
 def casefold(c: Column) -> Column:
-    """Default case folding: lower case, and the folds that differ from it."""
-    lone = {chr(i): chr(i).casefold() for i in range(0x2000) if len(chr(i).casefold()) == 1 and chr(i).casefold() != chr(i)}
+    """Default case folding of all characters, by this Python's Unicode tables: one to one, and to several where a text holds such a character."""
+    folds = {chr(i): chr(i).casefold() for i in range(0x110000) if not 0xD800 <= i < 0xE000 and chr(i).casefold() != chr(i)}
+    lone, wide = ({k: v for k, v in folds.items() if (len(v) == 1) == one} for one in (True, False))
     out = F.translate(c, "".join(lone), "".join(lone.values()))
-    for i in (i for i in range(0x250) if len(chr(i).casefold()) > 1):
-        out = F.replace(out, F.lit(chr(i)), F.lit(chr(i).casefold()))
-    return out
+    several = out
+    for k, v in wide.items():
+        several = F.replace(several, F.lit(k), F.lit(v))
+    return F.when(out.rlike(f"[{''.join(wide)}]"), several).otherwise(out)
 
 
 def list_marker(c: Column) -> Column:

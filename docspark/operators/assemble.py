@@ -40,11 +40,21 @@ def select_pages(pages: DataFrame, requests: DataFrame, key: str = "doc_id") ->
     return good.join(pages, [key, "page_index"]).unionByName(r.where("error is not null").select(key, "error"), allowMissingColumns=True)
 
 
-def verify_manifest(actual: DataFrame, manifest: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Each document's checks against a manifest (key, sha256, pages): missing, unexpected, digest and page count."""
-    a, m = actual.select(F.col(key), "sha256", "pages"), manifest.select(F.col(key), F.col("sha256").alias("want_sha"), F.col("pages").alias("want_pages"))
-    j = a.join(m, key, "full_outer")
-    status = F.when(F.col("pages").isNull(), "missing").when(F.col("want_pages").isNull(), "unexpected").when(F.col("sha256") != F.col("want_sha"), "digest").when(F.col("pages") != F.col("want_pages"), "pages").otherwise("ok")
+def verify_manifest(actual: DataFrame, manifest: DataFrame, key: str = "doc_id", slack: float = 0.01) -> DataFrame:
+    """Each document's first failed check against a manifest: missing, unexpected, digest, pages, size, sample, scan_text, else ok.
+
+    Both: key, sha256, pages, width, height (within slack); actual: text; manifest: sample (to be part of the text, null for none)
+    and scan (such a document has no text).
+    """
+    cols = ("sha256", "pages", "width", "height")
+    m = manifest.select(key, *[F.col(c).alias(f"want_{c}") for c in cols], "sample", "scan")
+    j = actual.select(key, *cols, "text").join(m, key, "full_outer")
+    off = F.greatest(*[F.abs(F.col(c) - F.col(f"want_{c}")) for c in ("width", "height")]) > slack
+    blank = F.coalesce(F.trim("text"), F.lit("")) == ""
+    status = (
+        F.when(F.col("pages").isNull(), "missing").when(F.col("want_pages").isNull(), "unexpected").when(F.col("sha256") != F.col("want_sha256"), "digest").when(F.col("pages") != F.col("want_pages"), "pages")
+        .when(off, "size").when(F.col("sample").isNotNull() & ~F.coalesce(F.contains("text", "sample"), F.lit(False)), "sample").when(F.col("scan") & ~blank, "scan_text").otherwise("ok")
+    )
     return j.select(key, status.alias("status"))
 
 

@@ -72,11 +72,14 @@ def checkpoint_coalesce(log: DataFrame, idle_seconds: float, deadline_seconds: f
     return g.groupBy(*keys).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("changes")).drop("burst", "span")
 
 
-def preview_expiry(previews: DataFrame, now, ttl_seconds: int, max_items: int = 8) -> DataFrame:
-    """Previews (session_id, ts, event_id) still alive at `now` (Column), the newest max_items of each session, with seconds left."""
+def preview_expiry(previews: DataFrame, now, ttl_seconds: int, max_items: int = 8, max_bytes: int = 64 << 20) -> DataFrame:
+    """Previews (session_id, ts, event_id, bytes) still alive at `now` (Column), the newest max_items of each session while those newer
+    take less than max_bytes, with seconds left."""
     age = (micros(now) - micros("ts")) / 1e6
     by = Window.partitionBy("session_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return previews.withColumn("left_s", ttl_seconds - age).where((F.col("left_s") > 0) & (age >= 0)).withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= max_items)
+    alive = previews.withColumn("left_s", ttl_seconds - age).where((F.col("left_s") > 0) & (age >= 0))
+    newer = F.coalesce(F.sum("bytes").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return alive.withColumn("rank", F.row_number().over(by).cast("long")).withColumn("newer_bytes", newer).where((F.col("rank") <= max_items) & (F.col("newer_bytes") < max_bytes)).drop("newer_bytes")
 
 
 def job_progress(events: DataFrame) -> DataFrame:
@@ -102,11 +105,12 @@ def orphan_payloads(payloads: DataFrame, retained: DataFrame) -> DataFrame:
     return payloads.join(retained.select("file").distinct(), "file", "left_anti")
 
 
-def block_dedup_report(docs: DataFrame, block: int = 65536, text: str = "text") -> DataFrame:
-    """Blocks of the texts by content: digest, occurrences, characters of one."""
+def block_dedup_report(versions: DataFrame, key: str, block: int = 65536, text: str = "text") -> DataFrame:
+    """Blocks of the versions' texts by content: digest, occurrences, bytes of one, versions that hold it, and the bytes that sharing saves."""
     n = F.length(text)
-    parts = docs.where(n > 0).select(F.explode(F.expr(f"transform(sequence(0, (length({text}) - 1) div {block}), i -> substring({text}, cast(i * {block} + 1 as int), {block}))")).alias("b"))
-    return parts.groupBy(F.sha2("b", 256).alias("digest")).agg(F.count("*").alias("occurrences"), F.first(F.length("b")).cast("long").alias("chars"))
+    parts = versions.where(n > 0).select(key, F.explode(F.expr(f"transform(sequence(0, (length({text}) - 1) div {block}), i -> substring({text}, cast(i * {block} + 1 as int), {block}))")).alias("b"))
+    g = parts.select(key, F.sha2("b", 256).alias("digest"), F.octet_length("b").cast("long").alias("bytes")).groupBy("digest").agg(F.count("*").alias("occurrences"), F.first("bytes").alias("bytes"), F.count_distinct(key).alias("versions"))
+    return g.withColumn("saved_bytes", (F.col("occurrences") - 1) * F.col("bytes"))
 
 
 def benchmark_summary(samples: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -115,3 +119,9 @@ def benchmark_summary(samples: DataFrame, keys: list[str], value: str) -> DataFr
         F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.percentile(value, 0.5), 6).alias("median"), F.round(F.min(value), 6).alias("least"),
         F.round(F.max(value), 6).alias("largest"), F.round(F.percentile(value, 0.95), 6).alias("p95"),
     )
+
+
+def benchmark_reduction(summary: DataFrame, fixture: str, version: str) -> DataFrame:
+    """By how many percent each version's mean lies under the mean of the fixture's version before it (null for the first)."""
+    before = F.lag("mean").over(Window.partitionBy(fixture).orderBy(version))
+    return summary.select(fixture, version, F.round(100 * (1 - F.try_divide("mean", before)), 4).alias("reduction"))

@@ -141,9 +141,11 @@ def dangling_links(links: DataFrame, urls: DataFrame) -> DataFrame:
     return links.join(urls.select(F.col("url").alias("href")).distinct(), "href", "left_anti")
 
 
-def reading_history(nav: DataFrame, limit: int = 100) -> DataFrame:
-    """The last `limit` locations of each session, those left out that repeat the one before (page and zoom equal, moved under 0.5)."""
+def reading_history(nav: DataFrame, pages: DataFrame, limit: int = 100) -> DataFrame:
+    """The last `limit` locations of each session, those left out that repeat the one before (page and zoom equal, x and y moved under
+    0.5); of these the ones on pages (page) that are still there."""
     by = Window.partitionBy("session_id").orderBy("ts", "event_id")
-    same = (F.lag("page").over(by) == F.col("page")) & (F.lag("zoom").over(by) == F.col("zoom")) & (F.abs(F.lag("y").over(by) - F.col("y")) < 0.5)
+    moved = lambda c: F.abs(F.lag(c).over(by) - F.col(c)) >= 0.5
+    same = (F.lag("page").over(by) == F.col("page")) & (F.lag("zoom").over(by) == F.col("zoom")) & ~moved("x") & ~moved("y")
     kept = nav.withColumn("same", F.coalesce(same, F.lit(False))).where("not same")
-    return kept.withColumn("back", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("ts"), F.desc("event_id"))).cast("long")).where(F.col("back") <= limit).drop("same")
+    return kept.withColumn("back", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("ts"), F.desc("event_id"))).cast("long")).where(F.col("back") <= limit).drop("same").join(pages.select("page").distinct(), "page", "left_semi")

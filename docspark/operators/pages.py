@@ -103,16 +103,30 @@ def assign_parts(plan: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def replace_page_occurrence(plan: DataFrame, requests: DataFrame) -> DataFrame:
-    """One occurrence (workspace_id, pos, new_source, new_index) shows another page; others of the same page stay."""
-    j = plan.join(requests, [WS, "pos"], "left")
-    return j.select(*[F.coalesce("new_source", "source_id").alias(c) if c == "source_id" else F.coalesce("new_index", "page_index").alias(c) if c == "page_index" else F.col(c) for c in plan.columns])
+    """plan after one occurrence (workspace_id, pos) got other content: requests: workspace_id, pos, new_source, n_pages.
 
-
-def validate_plan(plan: DataFrame, pages: DataFrame) -> DataFrame:
-    """Violations: duplicate ids, rotations that are no quarter turns, pages that the source lacks."""
+    The source's pages in the workspace go on as pages of its new version. If the page is there once, it keeps its index. If it
+    repeats, the version has one page more, of index n_pages: the occurrence moves there, or, if it is the first one, the
+    others do. A workspace with several requests stays as it is.
+    """
+    one = requests.withColumn("asked", F.count("*").over(Window.partitionBy(WS))).where("asked = 1").select(WS, F.col("pos").alias("at"), "new_source", "n_pages")
+    same = plan.withColumns({"first_pos": F.min("pos").over(Window.partitionBy(WS, "source_id", "page_index")), "times": F.count("*").over(Window.partitionBy(WS, "source_id", "page_index"))})
+    target = same.select(WS, F.col("pos").alias("at"), F.col("source_id").alias("old_source"), F.col("page_index").alias("old_index"), (F.col("first_pos") == F.col("pos")).alias("leads"), "times")
+    j = plan.join(one.join(target, [WS, "at"]), WS, "left")
+    mine = F.coalesce(F.col("source_id") == F.col("old_source"), F.lit(False))
+    moves = mine & (F.col("times") > 1) & (F.col("page_index") == F.col("old_index")) & ((F.col("pos") == F.col("at")) != F.col("leads"))
+    changed = {"source_id": F.when(mine, F.col("new_source")), "page_index": F.when(moves, F.col("n_pages"))}
+    return j.select(*[changed[c].otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in plan.columns])
+
+
+def validate_plan(plan: DataFrame, pages: DataFrame, slack: float = 0.25, most: int = 10_000) -> DataFrame:
+    """Violations: duplicate ids, rotations that are no quarter turns, pages that the source lacks, sizes (width, height) off by more
+    than slack, and pages beyond the largest number of a plan."""
     n = F.count("*").over(Window.partitionBy(WS, "page_id"))
-    j = plan.withColumn("n_ids", n).join(pages.select("source_id", "page_index", F.lit(True).alias("there")), ["source_id", "page_index"], "left")
-    reason = F.when(F.col("n_ids") > 1, "duplicate_id").when(~F.col("rotation").isin(0, 90, 180, 270), "rotation").when(F.col("there").isNull(), "missing_page")
+    known = pages.select("source_id", "page_index", F.col("width").alias("real_w"), F.col("height").alias("real_h"), F.lit(True).alias("there"))
+    j = plan.withColumn("n_ids", n).join(known, ["source_id", "page_index"], "left")
+    off = (F.abs(F.col("width") - F.col("real_w")) > slack) | (F.abs(F.col("height") - F.col("real_h")) > slack)
+    reason = F.when(F.col("n_ids") > 1, "duplicate_id").when(~F.col("rotation").isin(0, 90, 180, 270), "rotation").when(F.col("there").isNull(), "missing_page").when(off, "size").when(F.col("pos") >= most, "too_many_pages")
     return j.withColumn("reason", reason).where("reason is not null").select(WS, "pos", "reason")
 
 
@@ -129,11 +143,13 @@ def plan_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("before")).unionByName(b.exceptAll(a).withColumn("side", F.lit("after")))
 
 
-def authorize(plan: DataFrame, permissions: DataFrame, intent: str) -> DataFrame:
-    """The first denial of each workspace by page order: permissions (source_id, copy, edit); intent copy or edit."""
-    allowed = F.coalesce(F.col(intent), F.lit(True))
-    j = plan.join(permissions, "source_id", "left").withColumn("denied", ~allowed)
-    return j.groupBy(WS).agg(F.min(F.when(F.col("denied"), F.col("pos"))).alias("denied_at"), F.min_by(F.when(F.col("denied"), F.col("source_id")), F.when(F.col("denied"), F.col("pos"))).alias("denied_source"))
+def authorize(plan: DataFrame, permissions: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """The first denial of each workspace by page order: permissions (source_id and a boolean for each right, null or no row allowing
+    it); rules: the rights that the intent needs, with the reason to give, in order."""
+    reason = F.coalesce(*[F.when(~F.col(right), why) for right, why in rules])
+    j = plan.join(permissions, "source_id", "left").withColumn("reason", reason)
+    first = F.min(F.when(F.col("reason").isNotNull(), F.struct("pos", "source_id", "reason"))).alias("d")
+    return j.groupBy(WS).agg(first).select(WS, F.col("d.pos").alias("denied_at"), F.col("d.source_id").alias("denied_source"), F.col("d.reason").alias("reason"))
 
 
 def combinable(plan: DataFrame, sources: DataFrame) -> DataFrame:

@@ -29,10 +29,12 @@ def match_ownership(matches: DataFrame, runs: DataFrame, key: str = "doc_id", bu
     return g.withColumn("blocker", reason)
 
 
-def plan_replacement(matches: DataFrame, runs: DataFrame, replacement: str, keys: list[str], text: str = "text", longest: int = 10_000) -> DataFrame:
-    """One edit for each run that changes: keys, expected_text, new_text, n_matches, blocked (the result is longer than allowed).
+def plan_replacement(matches: DataFrame, runs: DataFrame, replacement: str, keys: list[str], text: str = "text", longest: int = 4096, page: str = "doc_id") -> DataFrame:
+    """One edit for each run that changes: keys, expected_text, new_text, n_matches, blocker, can_apply.
 
-    matches: keys, start, stop, selected. The pieces between selected matches are put together with the replacement.
+    matches: keys, start, stop, selected. The pieces between selected matches are put together with the replacement. Blockers:
+    ReplacementTooLong (bytes), NeedsRemoval (nothing is left), NeedsParagraphLayout (a line break is left). can_apply is false for all
+    edits of a page that has a blocked one.
     """
     chosen = matches.where("selected").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     new = F.aggregate(
@@ -43,18 +45,22 @@ def plan_replacement(matches: DataFrame, runs: DataFrame, replacement: str, keys
     )
     j = runs.select(*keys, F.col(text).alias("body")).join(chosen, keys)
     out = j.select(*keys, F.col("body").alias("expected_text"), new.alias("new_text"), F.size("spans").cast("long").alias("n_matches"))
-    return out.where("expected_text <> new_text").withColumn("blocked", F.length("new_text") > longest)
-
-
-def plan_document_replacement(edits: DataFrame, key: str = "doc_id", max_edits: int | None = None, max_bytes: int | None = None) -> DataFrame:
-    """Per document: edits, matches, bytes, and the first blocker; a blocked document has no edits to apply."""
-    g = edits.groupBy(key).agg(F.count("*").alias("n_edits"), F.sum("n_matches").alias("n_matches"), F.sum(F.octet_length("new_text")).cast("long").alias("n_bytes"), F.bool_or("blocked").alias("any_blocked"))
-    reason = F.when(F.col("any_blocked"), "SelectedMatchesBlocked")
-    if max_edits is not None:
-        reason = reason.when(F.col("n_edits") > max_edits, "TooManyEdits")
-    if max_bytes is not None:
-        reason = reason.when(F.col("n_bytes") > max_bytes, "BatchBytes")
-    return g.withColumn("blocker", reason).drop("any_blocked")
+    same = F.col("new_text") == F.col("expected_text")
+    blocker = F.when(F.octet_length("new_text") > longest, "ReplacementTooLong").when(F.col("new_text") == "", "NeedsRemoval").when(~same & F.col("new_text").rlike(r"[\r\n\x0b\x0c\x{85}\x{2028}\x{2029}]"), "NeedsParagraphLayout")
+    out = out.withColumn("blocker", blocker).where(~same | F.col("blocker").isNotNull())
+    return out.withColumn("can_apply", F.count("blocker").over(Window.partitionBy(page)) == 0)
+
+
+def plan_document_replacement(edits: DataFrame, key: str = "doc_id", page: str = "page_index", max_edits: int = 64, max_pages: int = 32, max_bytes: int = 512 * 1024) -> DataFrame:
+    """Per document: edits, selected and blocked matches, pages, bytes (before and after), and the first blocker of
+    SelectedMatchesBlocked, TooManyEdits, TooManyPages and BatchBytes; a blocked document has no edits to apply."""
+    free = F.col("blocker").isNull()
+    g = edits.groupBy(key).agg(
+        F.count(F.when(free, 1)).alias("n_edits"), F.sum("n_matches").alias("n_matches"), F.coalesce(F.sum(F.when(~free, F.col("n_matches"))), F.lit(0)).cast("long").alias("n_blocked"),
+        F.count_distinct(F.when(free, F.col(page))).alias("n_pages"), F.coalesce(F.sum(F.when(free, F.octet_length("expected_text") + F.octet_length("new_text"))), F.lit(0)).cast("long").alias("n_bytes"),
+    )
+    reason = F.when(F.col("n_blocked") > 0, "SelectedMatchesBlocked").when(F.col("n_edits") > max_edits, "TooManyEdits").when(F.col("n_pages") > max_pages, "TooManyPages").when(F.col("n_bytes") > max_bytes, "BatchBytes")
+    return g.withColumn("blocker", reason)
 
 
 def apply_edits(runs: DataFrame, edits: DataFrame, keys: list[str], doc: str = "doc_id", text: str = "text") -> DataFrame:

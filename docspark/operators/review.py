@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def review_list(plan: DataFrame, comments: DataFrame) -> DataFrame:
-    """Comments at each place of their page, with a title also where the text is blank."""
-    title = F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.lit("Empty comment"))
-    return plan.join(comments, ["source_id", "page_index"]).select("workspace_id", "pos", "annotation_index", title.alias("title"))
+def review_list(plan: DataFrame, comments: DataFrame, added: DataFrame) -> DataFrame:
+    """Comments (source_id, page_index, annotation_index, text) at each place of their page, and comments and highlights added to a place
+    (workspace_id, pos, annotation_index, kind, text), with a title also where the text is blank."""
+    old = plan.join(comments, ["source_id", "page_index"]).select("workspace_id", "pos", "annotation_index", F.lit("native").alias("kind"), "text")
+    both = old.unionByName(added.where("kind in ('comment', 'highlight')").select("workspace_id", "pos", "annotation_index", "kind", "text"))
+    title = F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.when(F.col("kind") == "highlight", "Highlight").otherwise("Empty comment"))
+    return both.select("workspace_id", "pos", "annotation_index", "kind", title.alias("title"))
 
 
 def comment_eligibility(comments: DataFrame) -> DataFrame:
@@ -100,11 +103,20 @@ def metadata_merge(primary: DataFrame, secondary: DataFrame, key: str, fields: l
     return primary.join(b, key, "full_outer").select(key, *[F.coalesce(f, f"{f}__b").alias(f) for f in fields], conflicts.alias("conflicts"))
 
 
-def metadata_edit(meta: DataFrame, edits: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Fields given in edits replace, an empty text clears, others stay."""
-    e = edits.select(key, *[F.col(f).alias(f"{f}__e") for f in fields])
-    new = reduce(lambda acc, f: [*acc, F.when(F.col(f"{f}__e").isNull(), F.col(f)).otherwise(F.nullif(f"{f}__e", F.lit(""))).alias(f)], fields, [])
-    return meta.join(e, key, "left").select(key, *new)
+def metadata_edit(meta: DataFrame, edits: DataFrame, key: str, fields: list[str], longest: int = 16 * 1024) -> DataFrame:
+    """meta after edits (key, op, clear, fields) and error. op update sets the given fields (an empty text clears one) and, with clear,
+    empties the others; remove empties all. Errors, which change nothing: nothing_given, text (characters that XML lacks, or too long)."""
+    e = edits.select(key, "op", "clear", *[F.col(f).alias(f"{f}__e") for f in fields])
+    given = [F.col(f"{f}__e") for f in fields]
+    bad = reduce(lambda a, b: a | b, [F.coalesce((F.octet_length(g) > longest) | g.rlike(r"[^\t\n\r\x{20}-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]"), F.lit(False)) for g in given])
+    update = F.col("op") == "update"
+    error = F.when(update & F.coalesce(*given).isNull(), "nothing_given").when(update & bad, "text")
+    j = meta.join(e, key, "left").withColumn("error", error)
+    new = [
+        F.when(F.col("op").isNull() | F.col("error").isNotNull(), F.col(f)).when(F.col("op") == "remove", None).when(g.isNotNull(), F.nullif(g, F.lit(""))).when(~F.coalesce("clear", F.lit(False)), F.col(f)).alias(f)
+        for f, g in zip(fields, given)
+    ]
+    return j.select(key, *new, "error")
 
 
 def metadata_of_composition(plan: DataFrame, meta: DataFrame, fields: list[str]) -> DataFrame:

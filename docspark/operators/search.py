@@ -84,20 +84,29 @@ def search_union(native: DataFrame, added: DataFrame, id_cols: list[str]) -> Dat
     return both.withColumn("match_id", F.concat_ws(":", *id_cols, "scope", "start"))
 
 
-def search_many(docs: DataFrame, queries: DataFrame, anchor: int = 4, text: str = "text") -> DataFrame:
+def search_many(docs: DataFrame, queries: DataFrame, anchor: int = 4, text: str = "text", bits: int = 20) -> DataFrame:
     """(doc_id, item_id) where the document contains the query's text, whatever stands round it: equi-join on inner words, then an exact test.
 
     The query's first and last word may be parts of the document's words; those between are whole ones, for the query itself
-    has blanks on both sides of them. Texts without inner words are compared with every document.
+    has blanks on both sides of them. A bitmap of the queries' anchors (2**bits bits, one broadcast row) drops a document's other
+    word groups before they become rows. Texts without inner words are compared with every document.
     """
     words = lambda c: F.split(F.lower(c), "[ \n\t]+")
     q = queries.select("item_id", F.col("text").alias("needle")).withColumn("w", words(F.col("needle"))).withColumn("k", F.least(F.lit(anchor), F.size("w") - 2))
-    long = q.where("k > 0").select("item_id", "needle", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("k")), " "), "k").alias("h"))
+    long = q.where("k > 0").select("item_id", "needle", "k", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("k")), " "), "k").alias("h"))
     short = q.where("k <= 0").select("item_id", "needle")
     d = docs.select("doc_id", F.col(text).alias("body")).withColumn("w", words(F.col("body")))
     gram = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - k + 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " "), F.lit(k)))
-    grams = F.array_distinct(F.flatten(F.array(*[gram(k) for k in range(1, anchor + 1)])))
-    hits = d.select("doc_id", F.explode(grams).alias("h")).join(long.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
+    lengths = [r.k for r in long.select("k").distinct().collect()]  # at most `anchor` numbers
+    if not lengths:
+        return d.select("doc_id", "body").join(short, F.contains(F.lower("body"), F.lower("needle"))).select("doc_id", "item_id")
+    at = F.pmod("h", F.lit(1 << bits))
+    masks = long.groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {1 << bits}) % 64 as int))")).alias("mask"))
+    every = docs.sparkSession.range(1 << (bits - 6)).select(F.col("id").cast("int").alias("word")).join(F.broadcast(masks), "word", "left")
+    bitmap = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")))), lambda x: x["mask"]).alias("bitmap"))
+    known = lambda h: F.expr("1L").bitwiseAND(F.call_function("shiftright", F.get("bitmap", F.shiftright(F.pmod(h, F.lit(1 << bits)), 6).cast("int")), (F.pmod(h, F.lit(1 << bits)) % 64).cast("int"))) == 1
+    grams = F.array_distinct(F.filter(F.flatten(F.array(*[gram(k) for k in lengths])), known))
+    hits = d.withColumn("one", F.lit(1)).join(F.broadcast(bitmap.withColumn("one", F.lit(1))), "one").select("doc_id", F.explode(grams).alias("h")).join(long.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
     holds = F.contains(F.lower("body"), F.lower("needle"))
     found = hits.join(long.select("item_id", "needle"), "item_id").join(d.select("doc_id", "body"), "doc_id").where(holds).select("doc_id", "item_id")
     return found.unionByName(d.select("doc_id", "body").join(short, holds).select("doc_id", "item_id"))

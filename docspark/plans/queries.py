@@ -57,14 +57,17 @@ def a5_select_pages(s, d):
     return assemble.select_pages(B.pages(s, d), asked).select("doc_id", "page_index", "text", "error")
 
 
-@query("""SELECT coalesce(a.doc_id, m.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'missing' WHEN m.doc_id IS NULL THEN 'unexpected' WHEN a.sha256 <> m.sha256 THEN 'digest' WHEN a.pages <> m.pages THEN 'pages' ELSE 'ok' END AS status
-    FROM (SELECT doc_id, sha256(text) AS sha256, length(text) - length(replace(text, chr(10), '')) AS pages FROM documents) a
-    FULL JOIN (SELECT doc_id, sha256(CASE WHEN doc_id % 13 = 5 THEN upper(text) ELSE text END) AS sha256, length(text) - length(replace(text, chr(10), '')) + CAST(doc_id % 17 = 2 AS INT) AS pages FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) m USING (doc_id)""")
+@query("""SELECT coalesce(a.doc_id, m.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'missing' WHEN m.doc_id IS NULL THEN 'unexpected' WHEN a.doc_id % 13 = 5 AND upper(text) <> text THEN 'digest' WHEN a.doc_id % 17 = 2 THEN 'pages'
+        WHEN a.doc_id % 19 = 3 THEN 'size' WHEN a.doc_id % 5 = 4 AND NOT contains(text, reverse(substr(text, 1, 20))) THEN 'sample' WHEN a.doc_id % 7 = 5 AND trim(text) <> '' THEN 'scan_text' ELSE 'ok' END AS status
+    FROM (SELECT doc_id, text FROM documents WHERE doc_id % 11 <> 7) a FULL JOIN (SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) m USING (doc_id)""")
 def a6_verify_manifest(s, d):
-    docs = read(s, d, "documents")
+    docs, k = read(s, d, "documents"), lambda m, r: F.col("doc_id") % m == r
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    actual = docs.select("doc_id", F.sha2("text", 256).alias("sha256"), lines.alias("pages"))
-    manifest = docs.join(read(s, d, "labels"), "doc_id", "left_semi").select("doc_id", F.sha2(F.when(F.col("doc_id") % 13 == 5, F.upper("text")).otherwise(F.col("text")), 256).alias("sha256"), (lines + (F.col("doc_id") % 17 == 2).cast("int")).alias("pages"))
+    actual = docs.where("doc_id % 11 <> 7").select("doc_id", F.sha2("text", 256).alias("sha256"), lines.alias("pages"), F.lit(595.0).alias("width"), F.lit(842.0).alias("height"), "text")
+    manifest = docs.join(read(s, d, "labels"), "doc_id", "left_semi").select(
+        "doc_id", F.sha2(F.when(k(13, 5), F.upper("text")).otherwise(F.col("text")), 256).alias("sha256"), (lines + k(17, 2).cast("int")).alias("pages"), F.lit(595.005).alias("width"),
+        F.when(k(19, 3), 842.5).otherwise(842.0).alias("height"), F.when(k(5, 4), F.reverse(F.substring("text", 1, 20))).otherwise(F.substring("text", 3, 9)).alias("sample"), k(7, 5).alias("scan"),
+    )
     return assemble.verify_manifest(actual, manifest)
 
 
@@ -184,7 +187,10 @@ def c12_search_restricted(s, d):
 LINE_MATCHES = f"{RUNS}, r3 AS (SELECT doc_id, line_no, text, string_split(text, 'the') AS g FROM runs)"
 
 
-@query(f"""WITH {LINE_MATCHES} SELECT doc_id, line_no, text AS expected_text, replace(text, 'the', 'THE$1') AS new_text, CAST(len(g) - 1 AS BIGINT) AS n_matches, length(replace(text, 'the', 'THE$1')) > 10000 AS blocked FROM r3 WHERE len(g) > 1""")
+PLANNED = f"{LINE_MATCHES}, e0 AS (SELECT doc_id, line_no, text AS expected_text, replace(text, 'the', 'THE$1') AS new_text, CAST(len(g) - 1 AS BIGINT) AS n_matches FROM r3 WHERE len(g) > 1), planned AS (SELECT *, CASE WHEN strlen(new_text) > 700 THEN 'ReplacementTooLong' WHEN regexp_matches(new_text, '[\\r\\n\\x0b\\x0c\\x{{85}}\\x{{2028}}\\x{{2029}}]') THEN 'NeedsParagraphLayout' END AS blocker FROM e0)"
+
+
+@query(f"WITH {PLANNED} SELECT *, count(blocker) OVER (PARTITION BY doc_id) = 0 AS can_apply FROM planned")
 def d3_plan_replacement(s, d):
     return _edits(s, d)
 
@@ -192,12 +198,14 @@ def d3_plan_replacement(s, d):
 def _edits(s, d):
     r = B.runs(s, d)
     m = search.search_matches(r, "the", search.Options(match_case=True)).withColumn("selected", F.lit(True))
-    return replace.plan_replacement(m, r, "THE$1", ["doc_id", "line_no"])
+    return replace.plan_replacement(m, r, "THE$1", ["doc_id", "line_no"], longest=700)
 
 
-@query(f"""WITH {LINE_MATCHES} SELECT doc_id, count(*) AS n_edits, CAST(sum(len(g) - 1) AS BIGINT) AS n_matches, CAST(sum(strlen(replace(text, 'the', 'THE$1'))) AS BIGINT) AS n_bytes, CASE WHEN bool_or(length(replace(text, 'the', 'THE$1')) > 10000) THEN 'SelectedMatchesBlocked' WHEN count(*) > 6 THEN 'TooManyEdits' END AS blocker FROM r3 WHERE len(g) > 1 GROUP BY 1""")
+@query(f"""WITH {PLANNED}, g AS (SELECT doc_id, count(*) FILTER (WHERE blocker IS NULL) AS n_edits, CAST(sum(n_matches) AS BIGINT) AS n_matches, CAST(coalesce(sum(n_matches) FILTER (WHERE blocker IS NOT NULL), 0) AS BIGINT) AS n_blocked,
+        count(DISTINCT line_no // 4) FILTER (WHERE blocker IS NULL) AS n_pages, CAST(coalesce(sum(strlen(expected_text) + strlen(new_text)) FILTER (WHERE blocker IS NULL), 0) AS BIGINT) AS n_bytes FROM planned GROUP BY 1)
+    SELECT *, CASE WHEN n_blocked > 0 THEN 'SelectedMatchesBlocked' WHEN n_edits > 6 THEN 'TooManyEdits' WHEN n_pages > 1 THEN 'TooManyPages' WHEN n_bytes > 300 THEN 'BatchBytes' END AS blocker FROM g""")
 def d4_plan_document_replacement(s, d):
-    return replace.plan_document_replacement(_edits(s, d), max_edits=6)
+    return replace.plan_document_replacement(_edits(s, d).withColumn("page_index", F.floor(F.col("line_no") / 4)), max_edits=6, max_pages=1, max_bytes=300)
 
 
 @query(f"""WITH {PAGES}, {THE}, i AS (SELECT doc_id, page_index, start - start % 7 AS start, start + 9 AS stop FROM matches)
@@ -355,16 +363,27 @@ def g11_assign_parts(s, d):
     return pages.assign_parts(B.plan(s, d), _parts(s, d)).select("workspace_id", "pos", "part")
 
 
-@query(f"WITH {PLAN} SELECT workspace_id, pos, page_id, CASE WHEN pos = 1 THEN -1 ELSE source_id END AS source_id, CASE WHEN pos = 1 THEN 9 ELSE page_index END AS page_index, rotation FROM plan")
+FEW = PLAN.replace("l_partkey AS source_id, l_suppkey % 5 AS page_index", "l_partkey % 3 + 1 AS source_id, l_suppkey % 5 % 2 AS page_index")
+
+
+@query(f"""WITH {FEW}, t AS (SELECT workspace_id, source_id AS old_source, page_index AS old_index, pos AS spot FROM plan WHERE pos = 1), f AS (SELECT t.*, count(*) AS times, min(p.pos) AS first_pos FROM t JOIN plan p ON p.workspace_id = t.workspace_id AND p.source_id = old_source AND p.page_index = old_index GROUP BY ALL)
+    SELECT p.workspace_id, pos, page_id, CASE WHEN p.source_id = old_source THEN -p.source_id ELSE p.source_id END AS source_id,
+        CASE WHEN p.source_id = old_source AND times > 1 AND p.page_index = old_index AND (CASE WHEN first_pos = spot THEN pos <> spot ELSE pos = spot END) THEN 5 ELSE p.page_index END AS page_index, rotation FROM plan p LEFT JOIN f ON f.workspace_id = p.workspace_id""")
 def g12_replace_page_occurrence(s, d):
-    p = B.plan(s, d)
-    return pages.replace_page_occurrence(p, p.where("pos = 1").select("workspace_id", "pos", F.lit(-1).cast("long").alias("new_source"), F.lit(9).cast("long").alias("new_index")))
+    p = _few_sources(s, d)
+    return pages.replace_page_occurrence(p, p.where("pos = 1").select("workspace_id", "pos", (-F.col("source_id")).alias("new_source"), F.lit(5).cast("long").alias("n_pages")))
 
 
-@query(f"WITH {PLAN} SELECT workspace_id, pos, CASE WHEN pos % 4 = 3 THEN 'rotation' ELSE 'missing_page' END AS reason FROM plan WHERE pos % 4 = 3 OR source_id % 10 = 0")
+def _few_sources(s, d):
+    return B.plan(s, d).withColumn("source_id", F.col("source_id") % 3 + 1).withColumn("page_index", F.col("page_index") % 2)
+
+
+@query(f"WITH {PLAN} SELECT workspace_id, pos, CASE WHEN pos % 4 = 3 THEN 'rotation' WHEN source_id % 10 = 0 THEN 'missing_page' WHEN source_id % 10 = 1 THEN 'size' ELSE 'too_many_pages' END AS reason FROM plan WHERE pos % 4 = 3 OR source_id % 10 < 2 OR pos >= 5")
 def g13_validate_plan(s, d):
     p = B.plan(s, d)
-    return pages.validate_plan(p.withColumn("rotation", F.when(F.col("pos") % 4 == 3, 45).otherwise(F.col("rotation"))), p.where("source_id % 10 <> 0").select("source_id", "page_index").distinct())
+    known = p.where("source_id % 10 <> 0").select("source_id", "page_index", F.lit(595.0).alias("width"), F.lit(842.0).alias("height")).distinct()
+    shown = p.withColumn("rotation", F.when(F.col("pos") % 4 == 3, 45).otherwise(F.col("rotation"))).withColumn("width", F.lit(595.2)).withColumn("height", F.when(F.col("source_id") % 10 == 1, 841.7).otherwise(842.1))
+    return pages.validate_plan(shown, known, most=5)
 
 
 @query(f"WITH {PLAN} SELECT workspace_id, sha256(string_agg(lpad(CAST(pos AS VARCHAR), 10, '0') || '|' || source_id || '|' || page_index || '|' || rotation, chr(10) ORDER BY pos)) AS digest FROM plan GROUP BY 1")
@@ -378,9 +397,10 @@ def g15_plan_diff(s, d):
     return pages.plan_diff(p, pages.rotate_pages(p, _odd(s, d), 1))
 
 
-@query(f"WITH {PLAN} SELECT workspace_id, min(pos) FILTER (WHERE toxic = 1) AS denied_at, arg_min(source_id, pos) FILTER (WHERE toxic = 1) AS denied_source FROM plan LEFT JOIN labels ON doc_id = source_id GROUP BY 1")
+@query(f"""WITH {PLAN}, j AS (SELECT workspace_id, pos, source_id, CASE WHEN toxic = 1 THEN 'exporting text' WHEN quality = 0 THEN 'cropping pages' END AS reason FROM plan LEFT JOIN labels ON doc_id = source_id)
+    SELECT workspace_id, min(pos) FILTER (WHERE reason IS NOT NULL) AS denied_at, arg_min(source_id, pos) FILTER (WHERE reason IS NOT NULL) AS denied_source, arg_min(reason, pos) FILTER (WHERE reason IS NOT NULL) AS reason FROM j GROUP BY 1""")
 def g16_authorize(s, d):
-    return pages.authorize(B.plan(s, d), B.permissions(s, d).withColumnRenamed("doc_id", "source_id"), "copy")
+    return pages.authorize(B.plan(s, d), B.permissions(s, d).withColumnRenamed("doc_id", "source_id"), [("copy", "exporting text"), ("edit", "cropping pages")])
 
 
 @query(f"WITH {PLAN} SELECT workspace_id, bool_and(quality <> 0) AND count(DISTINCT toxic) <= 1 AS combinable FROM (SELECT DISTINCT workspace_id, source_id FROM plan) JOIN labels ON doc_id = source_id GROUP BY 1")
@@ -469,16 +489,23 @@ def _nav(s, d):
     return read(s, d, "events").select(F.col("user_id").alias("session_id"), "ts", "event_id", F.col("event_type").alias("page"), F.lit(1).alias("zoom"), F.col("value").alias("y"))
 
 
-@query(f"""WITH {NAV}, k AS (SELECT *, coalesce(lag(page) OVER w = page AND abs(lag(y) OVER w - y) < 0.5, false) AS same FROM nav WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id))
-    SELECT session_id, event_id, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS back FROM k WHERE NOT same QUALIFY back <= 20""")
+@query(f"""WITH {NAV}, k AS (SELECT *, coalesce(lag(page) OVER w = page AND abs(lag(y) OVER w - y) < 0.5 AND event_id % 4 // 2 = lag(event_id) OVER w % 4 // 2, false) AS same FROM nav WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id)),
+    b AS (SELECT session_id, event_id, page, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS back FROM k WHERE NOT same QUALIFY back <= 20)
+    SELECT session_id, event_id, back FROM b WHERE page <> 'error'""")
 def h11_reading_history(s, d):
-    return outline.reading_history(_nav(s, d), 20).select("session_id", "event_id", "back")
+    nav = _nav(s, d).withColumn("x", F.floor(F.col("event_id") % 4 / 2).cast("double"))
+    return outline.reading_history(nav, nav.select("page").distinct().where("page <> 'error'"), 20).select("session_id", "event_id", "back")
 
 
-@query(f"WITH {PLAN} SELECT workspace_id, pos, turn AS annotation_index, coalesce(nullif(trim(text), ''), 'Empty comment') AS title FROM plan JOIN conversations ON source_id = conv_id AND page_index = turn % 5")
+@query(f"""WITH {PLAN} SELECT workspace_id, pos, turn AS annotation_index, 'native' AS kind, coalesce(nullif(trim(text), ''), 'Empty comment') AS title FROM plan JOIN conversations ON source_id = conv_id AND page_index = turn % 5
+    UNION ALL SELECT workspace_id, pos, 0, 'highlight', CASE WHEN source_id % 2 = 0 THEN 'Highlight' ELSE 'text' END FROM plan WHERE pos = 1
+    UNION ALL SELECT workspace_id, pos, 0, 'comment', 'Empty comment' FROM plan WHERE pos = 2""")
 def i1_review_list(s, d):
+    p = B.plan(s, d)
     c = read(s, d, "conversations").select(F.col("conv_id").alias("source_id"), (F.col("turn") % 5).alias("page_index"), F.col("turn").alias("annotation_index"), "text")
-    return review.review_list(B.plan(s, d), c)
+    kind = F.when(F.col("pos") == 1, "highlight").when(F.col("pos") == 2, "comment").otherwise("ink")
+    added = p.select("workspace_id", "pos", F.lit(0).cast(c.schema["annotation_index"].dataType).alias("annotation_index"), kind.alias("kind"), F.when((F.col("pos") == 1) & (F.col("source_id") % 2 == 1), " text ").alias("text"))
+    return review.review_list(p, c, added)
 
 
 def _comments(s, d):
@@ -530,10 +557,12 @@ def i11_metadata_merge(s, d):
     return review.metadata_merge(a, b, "doc_id", ["lang", "source"])
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'xx' WHEN 1 THEN NULL ELSE lang END AS lang, source FROM documents")
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'xx' WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE lang END AS lang, CASE doc_id % 6 WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN 'new' ELSE source END AS source,
+    CASE doc_id % 6 WHEN 4 THEN 'nothing_given' WHEN 5 THEN 'text' END AS error FROM documents""")
 def i12_metadata_edit(s, d):
-    docs = read(s, d, "documents")
-    e = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "xx").when(F.col("doc_id") % 3 == 1, "").alias("lang"), F.lit(None).cast("string").alias("source"))
+    docs, k = read(s, d, "documents"), F.col("doc_id") % 6
+    lang = F.when(k == 0, "xx").when(k == 1, "").when(k == 5, "a\x01b")
+    e = docs.select("doc_id", F.when(k == 2, "remove").otherwise("update").alias("op"), ((k == 1) | (k == 3)).alias("clear"), lang.alias("lang"), F.when(k == 3, "new").alias("source"))
     return review.metadata_edit(docs, e, "doc_id", ["lang", "source"])
 
 
@@ -618,11 +647,12 @@ def k4_checkpoint_coalesce(s, d):
     return g.join(log.groupBy("session_id", F.col("ts").alias("first_ts")).agg(F.min("event_id").alias("first_event")), ["session_id", "first_ts"]).select("session_id", "first_event", "changes")
 
 
-@query("""WITH e AS (SELECT user_id AS session_id, event_id, ts, max(ts) OVER () AS now FROM events) SELECT session_id, event_id, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS rank FROM e WHERE epoch_us(now) - epoch_us(ts) < 604800000000 QUALIFY rank <= 8""")
+@query("""WITH e AS (SELECT user_id AS session_id, event_id, ts, max(ts) OVER () AS now FROM events), a AS (SELECT session_id, event_id, row_number() OVER w AS rank, coalesce(sum(event_id % 7) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS newer FROM e WHERE epoch_us(now) - epoch_us(ts) < 604800000000 WINDOW w AS (PARTITION BY session_id ORDER BY ts DESC, event_id DESC))
+    SELECT session_id, event_id, rank FROM a WHERE rank <= 8 AND newer < 15""")
 def k5_preview_expiry(s, d):
-    e = read(s, d, "events").select(F.col("user_id").alias("session_id"), "ts", "event_id")
+    e = read(s, d, "events").select(F.col("user_id").alias("session_id"), "ts", "event_id", (F.col("event_id") % 7).alias("bytes"))
     now = e.agg(F.max("ts")).first()[0]  # one value
-    return history.preview_expiry(e, F.lit(now), 604_800).select("session_id", "event_id", "rank")
+    return history.preview_expiry(e, F.lit(now), 604_800, max_bytes=15).select("session_id", "event_id", "rank")
 
 
 @query("SELECT user_id AS job_id, count(*) AS steps, arg_max(event_type, (ts, event_id)) AS last_stage FROM events GROUP BY 1")
@@ -649,9 +679,9 @@ def k9_orphan_payloads(s, d):
     return history.orphan_payloads(read(s, d, "customer").select(F.col("c_custkey").alias("file")), read(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("file")))
 
 
-@query("SELECT sha256(b) AS digest, count(*) AS occurrences, length(first(b)) AS chars FROM (SELECT substr(text, CAST(i * 256 + 1 AS INT), 256) AS b FROM (SELECT text, unnest(range(0, (length(text) - 1) // 256 + 1)) AS i FROM documents WHERE length(text) > 0)) GROUP BY b")
+@query("SELECT sha256(b) AS digest, count(*) AS occurrences, strlen(first(b)) AS bytes, count(DISTINCT doc_id) AS versions, (count(*) - 1) * strlen(first(b)) AS saved_bytes FROM (SELECT doc_id, substr(text, CAST(i * 256 + 1 AS INT), 256) AS b FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // 256 + 1)) AS i FROM documents WHERE length(text) > 0)) GROUP BY b")
 def k10_block_dedup_report(s, d):
-    return history.block_dedup_report(read(s, d, "documents"), 256)
+    return history.block_dedup_report(read(s, d, "documents"), "doc_id", 256)
 
 
 @query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(min(value), 6) AS least, round(max(value), 6) AS largest, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
@@ -907,3 +937,10 @@ def c13_selectable_spans(s, d):
 def j1_missed_marks(s, d):
     marks = _marks(s, d).withColumn("mark_id", F.when(F.col("mx") == 50, 0).otherwise(1))
     return redact.missed_marks(_chars(s, d), marks).select("doc_id", "page_index", "mark_id")
+
+
+@query("""WITH m AS (SELECT event_type, user_id % 3 AS version, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2)
+    SELECT event_type, version, round(100 * (1 - mean / nullif(lag(mean) OVER (PARTITION BY event_type ORDER BY version), 0)), 4) AS reduction FROM m""")
+def k11_benchmark_reduction(s, d):
+    e = read(s, d, "events").withColumn("version", F.col("user_id") % 3)
+    return history.benchmark_reduction(history.benchmark_summary(e, ["event_type", "version"], "value"), "event_type", "version")

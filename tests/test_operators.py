@@ -165,3 +165,43 @@ def test_select_pages_reports_what_is_wrong(spark):
     for r in got:
         found.setdefault(r.doc_id, []).append(r.error or r.page_index)
     assert {k: sorted(v) for k, v in found.items()} == {1: ["syntax"], 2: [0, 1, 2], 3: ["bounds"], 4: [1], 5: ["current"], 6: [0, 1, 2], 7: ["bounds"], 8: ["no_pages"]}
+
+
+def test_casefold_of_all_characters(spark):
+    from docspark.functions import text as T
+
+    words = ["ＡＢＣ", "oﬀice", "Ⅷ", "Straße", "İstanbul", "ǅ", "ΣΊΣΥΦΟΣ", "plain", "𐐀", "ŉ ẖ ΐ", None]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [r[0] for r in df.select(T.casefold(df.w)).collect()] == [w.casefold() if w else w for w in words]
+
+
+def test_sink_does_not_overwrite(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    from docspark.sources import corpus
+
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "doc_id long, text string, lang string")
+    corpus.export_text_sink(df, str(tmp_path / "out"), ("lang",))
+    assert sorted(map(tuple, corpus.scan_corpus(spark, str(tmp_path / "out"), df.schema).collect())) == [(1, "a", "x"), (2, "b", "y")]
+    with pytest.raises(AnalysisException):
+        corpus.export_text_sink(df, str(tmp_path / "out"))
+
+
+def test_inventory_counts_equal_files(spark, tmp_path):
+    import hashlib
+
+    from docspark.sources import corpus
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    for name, data in (("a", b"%PDF-1.7 x"), ("b", b"%PDF-1.7 x"), ("deep/c", b"\x89PNG")):
+        (tmp_path / "in" / name).write_bytes(data)
+    got = {r.sha256: (r.length, r.magic, r.copies) for r in corpus.binary_inventory(spark, str(tmp_path / "in")).collect()}
+    assert got == {hashlib.sha256(b"%PDF-1.7 x").hexdigest(): (10, b"%PDF-1.7".hex().upper(), 2), hashlib.sha256(b"\x89PNG").hexdigest(): (4, "89504E47", 1)}
+
+
+def test_repeated_requests_change_nothing(spark):
+    from docspark.operators import review
+
+    c = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "conv_id long, turn long, text string")
+    e = spark.createDataFrame([(1, 0, "a", "x"), (1, 0, "a", "y"), (1, 1, "b", "z")], "conv_id long, turn long, expected_text string, new_text string")
+    assert sorted((r.turn, r.text, r.applied) for r in review.edit_comments(c, e, ["conv_id", "turn"]).collect()) == [(0, "a", False), (1, "z", True)]
