@@ -106,6 +106,52 @@ def test_mix_meets_targets(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_is_sorted_by_position(spark):
+    docs = spark.createDataFrame([(i, "w " * (i % 9), f"s{i % 4}", 1) for i in range(200)] + [(5, "w w", "s1", 1)] * 2, "doc_id long, text string, source string, size int").repartition(4)
+    at = [r.position for r in mixing.mix(docs).collect()]
+    known = [x for x in at if x is not None]
+    assert known == sorted(known) and None not in at[: len(known)] and 0 < known[0] and known[-1] <= 1 and len(at) == 202
+
+
+def test_training_order_follows_the_positions(spark):
+    rows = [(i, " ".join(f"t{i}x{k}" for k in range(i % 9)) + " ", f"s{i % 4}", 1, 0.5) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, position double").repartition(4)
+    by_id = {r[0]: r for r in rows}
+    want = sorted((p, r.doc_id) for r in mixing.mix(docs).collect() for p in (r.position, r.position2) if p is not None)
+    got = mixing.training_order(docs, length_col="size").collect()
+    assert [r.doc_id for r in got] == [i for _, i in want]
+    for r in got:
+        was = by_id[r.doc_id]
+        assert was[1].startswith(r.text) and r.position == 0.5 and r.size == (1 if r.text == was[1] else len(r.text))
+    taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    for i in by_id:
+        assert sum(len(r.text.split()) for r in got if r.doc_id == i) == taken[i]
+    assert mixing.training_order(docs.limit(0)).count() == 0
+
+
+def test_other_kinds_of_vocabulary(spark):
+    import os
+
+    import public_tokenizers
+
+    folder = os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
+    models = sorted(f for f in os.listdir(folder) if f.endswith(".model"))
+    assert models
+    import sentencepiece
+
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(TEXTS)] + [(3, "again", "s")] * 2, SCHEMA)
+    for name in models:
+        library = sentencepiece.SentencePieceProcessor(model_file=os.path.join(folder, name))
+        got = sorted((r.doc_id, r.n_tokens) for r in tokenizing.token_counts(docs, tokenizer=os.path.join(folder, name)).collect())
+        assert got == sorted([(i, len(library.encode(t or ""))) for i, t in enumerate(TEXTS)] + [(3, len(library.encode("again")))] * 2)
+    from tokenizers import Tokenizer
+
+    word = os.path.join(folder, "word_bpe_49k.json")
+    library = Tokenizer.from_file(word)
+    got = sorted((r.doc_id, r.n_tokens) for r in tokenizing.token_counts(docs, tokenizer=word).where("doc_id <> 3").collect())
+    assert got == [(i, len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in enumerate(TEXTS) if i != 3]
+
+
 def test_quality_learns(spark):
     rng = np.random.default_rng(4)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
