@@ -8,20 +8,27 @@ from pyspark.sql import functions as F
 PAGE = ["doc_id", "page_index"]
 
 
-def mark_glyphs(chars: DataFrame, marks: DataFrame, touching: bool = False) -> DataFrame:
-    """Characters that a mark (page, mark_id, mx, my, mw, mh) meets; touching also counts where asked for."""
-    j = chars.join(marks, PAGE)
+def _meets(x, y, w, h, touching: bool):
+    """Whether the character's box meets the rectangle; touching also counts where asked for."""
+    right, bottom = F.col("x") + F.col("width"), F.col("y") + F.col("height")
     if touching:
-        hit = (F.col("x") <= F.col("mx") + F.col("mw")) & (F.col("x") + F.col("width") >= F.col("mx")) & (F.col("y") <= F.col("my") + F.col("mh")) & (F.col("y") + F.col("height") >= F.col("my"))
-    else:
-        hit = (F.col("x") < F.col("mx") + F.col("mw")) & (F.col("x") + F.col("width") > F.col("mx")) & (F.col("y") < F.col("my") + F.col("mh")) & (F.col("y") + F.col("height") > F.col("my"))
-    return j.where(hit).select(*PAGE, "char_index", "text").distinct()
+        return (F.col("x") <= x + w) & (right >= x) & (F.col("y") <= y + h) & (bottom >= y)
+    return (F.col("x") < x + w) & (right > x) & (F.col("y") < y + h) & (bottom > y)
+
+
+def mark_glyphs(chars: DataFrame, marks: DataFrame, touching: bool = False) -> DataFrame:
+    """Characters that a mark (page, mx, my, mw, mh) meets; chars has one row for each page and char_index.
+
+    A page's marks come as one array, so each character is looked at once and the join's partitioning serves the ranges too.
+    """
+    per_page = marks.groupBy(*PAGE).agg(F.collect_list(F.struct("mx", "my", "mw", "mh")).alias("marks"))
+    hit = F.exists("marks", lambda m: _meets(m["mx"], m["my"], m["mw"], m["mh"], touching))
+    return chars.join(per_page, PAGE).where(hit).select(*PAGE, "char_index", "text")
 
 
 def missed_marks(chars: DataFrame, marks: DataFrame) -> DataFrame:
     """Marks (page, mark_id, mx, my, mw, mh) that meet no character; a page with such a mark is not to be redacted."""
-    within = (F.col("x") < F.col("mx") + F.col("mw")) & (F.col("x") + F.col("width") > F.col("mx")) & (F.col("y") < F.col("my") + F.col("mh")) & (F.col("y") + F.col("height") > F.col("my"))
-    met = chars.join(marks, PAGE).where(within).select(*PAGE, "mark_id").distinct()
+    met = chars.join(marks, PAGE).where(_meets(F.col("mx"), F.col("my"), F.col("mw"), F.col("mh"), False)).select(*PAGE, "mark_id").distinct()
     return marks.join(met, [*PAGE, "mark_id"], "left_anti")
 
 
