@@ -82,9 +82,15 @@ def preview_expiry(previews: DataFrame, now, ttl_seconds: int, max_items: int =
     return alive.withColumn("rank", F.row_number().over(by).cast("long")).withColumn("newer_bytes", newer).where((F.col("rank") <= max_items) & (F.col("newer_bytes") < max_bytes)).drop("newer_bytes")
 
 
-def job_progress(events: DataFrame) -> DataFrame:
-    """Each job's number of steps, last stage and time; works on streams with a watermark on ts as well."""
-    return events.groupBy("job_id").agg(F.count("*").alias("steps"), F.max_by("stage", F.struct("ts", "event_id")).alias("last_stage"), F.max("ts").alias("last_ts"))
+def job_progress(events: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Each job's completed and total steps, last stage and time, and whether its result may be shown: jobs has job_id and total; a
+    job with the stage cancel shows no result, however far it came, and one of which steps are missing none either."""
+    g = events.groupBy("job_id").agg(
+        F.count(F.when(F.col("stage") != "cancel", 1)).alias("completed"), F.max_by("stage", F.struct("ts", "event_id")).alias("last_stage"), F.max("ts").alias("last_ts"), F.bool_or(F.col("stage") == "cancel").alias("cancelled")
+    )
+    j = jobs.select("job_id", "total").join(g, "job_id", "left")
+    done = ~F.coalesce("cancelled", F.lit(False)) & (F.col("completed") >= F.col("total"))
+    return j.select("job_id", F.coalesce("completed", F.lit(0)).alias("completed"), "total", "last_stage", "last_ts", F.coalesce(done, F.lit(False)).alias("has_result"))
 
 
 def latest_valid_generation(checkpoints: DataFrame, payloads: DataFrame) -> DataFrame:

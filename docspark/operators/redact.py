@@ -45,7 +45,7 @@ def area_ranges(chars: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def apply_redaction(pages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """pages (page, text) without the characters in ranges, and how many went."""
+    """pages (page, text) without the characters in ranges, how many went, and how many ranges (blocks of text) were met."""
     spans = ranges.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     left = F.aggregate(
         "spans",
@@ -54,7 +54,7 @@ def apply_redaction(pages: DataFrame, ranges: DataFrame) -> DataFrame:
         lambda acc: F.concat(acc["out"], F.substring("text", (acc["at"] + 1).cast("int"), F.length("text"))),
     )
     j = pages.join(spans, PAGE, "left").withColumn("redacted", F.when(F.col("spans").isNull(), F.col("text")).otherwise(left))
-    return j.select(*PAGE, F.col("redacted").alias("text"), (F.length("text") - F.length("redacted")).cast("long").alias("removed"))
+    return j.select(*PAGE, F.col("redacted").alias("text"), (F.length("text") - F.length("redacted")).cast("long").alias("removed"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("affected"))
 
 
 def redaction_audit(before: DataFrame, after: DataFrame, ranges: DataFrame) -> DataFrame:

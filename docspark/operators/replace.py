@@ -84,12 +84,22 @@ def affected_pages(edits: DataFrame, keys: list[str]) -> DataFrame:
     return edits.select(*keys).distinct()
 
 
-def validate_batch(edits: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
-    """Edits whose path begins with another edit's path on the same page."""
+def validate_batch(edits: DataFrame, keys: list[str], path: str = "path", batch: str = "doc_id", max_edits: int = 64, max_pages: int = 32) -> DataFrame:
+    """edits that are not allowed, and why: path (empty or over 13 steps), text (expected_text of 1 to 16384 bytes, new_text of 1 to
+    4096), prefix (its path begins with another edit's on the same page), repeated (another has the same path), too_many_edits or
+    too_many_pages (of the batch: all its edits)."""
     whole = edits.select(*keys, F.col(path).alias("outer_path")).distinct()
-    inner = edits.where(F.size(path) > 1)
-    outer = inner.withColumn("outer_path", F.explode(F.transform(F.sequence(F.lit(1), F.size(path) - 1), lambda i: F.slice(path, F.lit(1), i))))
-    return outer.join(whole, [*keys, "outer_path"], "left_semi").select(*edits.columns).distinct()
+    steps = F.transform(F.sequence(F.lit(1), F.greatest(F.size(path) - 1, F.lit(1))), lambda i: F.slice(path, F.lit(1), i))
+    inner = edits.where(F.size(path) > 1).select(*keys, path).distinct().withColumn("outer_path", F.explode(steps))
+    inside = inner.join(whole, [*keys, "outer_path"], "left_semi").select(*keys, path).distinct().withColumn("inside", F.lit(True))
+    pages = edits.groupBy(batch).agg(F.count("*").alias("n_edits"), F.count_distinct(*keys).alias("n_pages"))
+    j = edits.withColumn("same_path", F.count("*").over(Window.partitionBy(*keys, path))).join(inside, [*keys, path], "left").join(pages, batch)
+    size = lambda c, most: F.coalesce(F.octet_length(c), F.lit(0)).between(1, most)
+    reason = (
+        F.when(~F.size(path).between(1, 13), "path").when(~size("expected_text", 16 * 1024) | ~size("new_text", 4096), "text").when(F.col("inside"), "prefix").when(F.col("same_path") > 1, "repeated")
+        .when(F.col("n_edits") > max_edits, "too_many_edits").when(F.col("n_pages") > max_pages, "too_many_pages")
+    )
+    return j.withColumn("reason", reason).where("reason is not null").select(*edits.columns, "reason")
 
 
 def apply_workspace_result(plan: DataFrame, overlays: DataFrame, page_patches: DataFrame, overlay_patches: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -103,13 +113,16 @@ def apply_workspace_result(plan: DataFrame, overlays: DataFrame, page_patches: D
     return p, o.select("doc_id", "line_no", F.coalesce("new_text", "text").alias("text"))
 
 
-def plan_workspace_replacement(plan: DataFrame, native: DataFrame, added: DataFrame) -> DataFrame:
-    """Matches of page text (source_id, page_index, start) and of added text (page_id, start) at every place of a plan, numbered
-    together for each page: workspace_id, page_id, scope, start, ordinal."""
-    n = plan.join(native, ["source_id", "page_index"]).select("workspace_id", "page_id", F.lit("page").alias("scope"), "start")
-    o = plan.select("workspace_id", "page_id").join(added, "page_id").select("workspace_id", "page_id", F.lit("overlay").alias("scope"), "start")
+def plan_workspace_replacement(plan: DataFrame, native: DataFrame, added: DataFrame, selected: DataFrame) -> DataFrame:
+    """Matches of page text (source_id, page_index, start, visible) and of added text (page_id, start, visible) at every place of a plan:
+    the visible ones numbered together for each page, with selected, whether selected (page_id, ordinal) names them. A selection
+    that names no match comes as a row of its own with error unknown_selection."""
+    n = plan.join(native.where("visible"), ["source_id", "page_index"]).select("workspace_id", "page_id", F.lit("page").alias("scope"), "start")
+    o = plan.select("workspace_id", "page_id").join(added.where("visible"), "page_id").select("workspace_id", "page_id", F.lit("overlay").alias("scope"), "start")
     by = Window.partitionBy("workspace_id", "page_id").orderBy(F.desc("scope"), "start")
-    return n.unionByName(o).withColumn("ordinal", (F.row_number().over(by) - 1).cast("long"))
+    matches = n.unionByName(o).withColumn("ordinal", (F.row_number().over(by) - 1).cast("long"))
+    j = matches.join(selected.select("page_id", "ordinal").distinct().withColumn("selected", F.lit(True)), ["page_id", "ordinal"], "full_outer")
+    return j.withColumn("error", F.when(F.col("scope").isNull(), "unknown_selection")).withColumn("selected", F.coalesce("selected", F.lit(False)))
 
 
 def overlay_replacement(overlays: DataFrame, needle: str, replacement: str, text: str = "text") -> DataFrame:

@@ -608,7 +608,7 @@ def j3_area_ranges(s, d):
     return redact.area_ranges(_chars(s, d), _marks(s, d))
 
 
-@query(f"WITH {CHARS}, {HIT} SELECT doc_id, line_no AS page_index, coalesce((SELECT string_agg(c.text, '' ORDER BY c.char_index) FROM chars c WHERE c.doc_id = r.doc_id AND c.page_index = r.line_no AND NOT ((c.x < 90 AND c.x + 6 > 50) OR (c.x < 300 AND c.x + 6 > 207))), '') AS text, (SELECT count(*) FROM hits h WHERE h.doc_id = r.doc_id AND h.page_index = r.line_no) AS removed FROM runs r")
+@query(f"WITH {CHARS}, {HIT}, {RANGES} SELECT doc_id, line_no AS page_index, coalesce((SELECT string_agg(c.text, '' ORDER BY c.char_index) FROM chars c WHERE c.doc_id = r.doc_id AND c.page_index = r.line_no AND NOT ((c.x < 90 AND c.x + 6 > 50) OR (c.x < 300 AND c.x + 6 > 207))), '') AS text, (SELECT count(*) FROM hits h WHERE h.doc_id = r.doc_id AND h.page_index = r.line_no) AS removed, (SELECT count(*) FROM ranges g WHERE g.doc_id = r.doc_id AND g.page_index = r.line_no) AS affected FROM runs r")
 def j4_apply_redaction(s, d):
     return redact.apply_redaction(B.runs(s, d).withColumnRenamed("line_no", "page_index"), _ranges(s, d))
 
@@ -655,10 +655,12 @@ def k5_preview_expiry(s, d):
     return history.preview_expiry(e, F.lit(now), 604_800, max_bytes=15).select("session_id", "event_id", "rank")
 
 
-@query("SELECT user_id AS job_id, count(*) AS steps, arg_max(event_type, (ts, event_id)) AS last_stage FROM events GROUP BY 1")
+@query("""SELECT user_id AS job_id, count(*) FILTER (WHERE event_type <> 'error') AS completed, 5 + user_id % 90 AS total, CASE arg_max(event_type, (ts, event_id)) WHEN 'error' THEN 'cancel' ELSE arg_max(event_type, (ts, event_id)) END AS last_stage,
+    count(*) FILTER (WHERE event_type = 'error' AND user_id % 2 = 0) = 0 AND count(*) FILTER (WHERE event_type <> 'error' OR user_id % 2 = 1) >= 5 + user_id % 90 AS has_result FROM events WHERE event_type <> 'error' OR user_id % 2 = 0 GROUP BY user_id""")
 def k6_job_progress(s, d):
-    e = read(s, d, "events").select(F.col("user_id").alias("job_id"), "ts", "event_id", F.col("event_type").alias("stage"))
-    return history.job_progress(e).select("job_id", "steps", "last_stage")
+    e = read(s, d, "events").where("event_type <> 'error' or user_id % 2 = 0").select(F.col("user_id").alias("job_id"), "ts", "event_id", F.when(F.col("event_type") == "error", "cancel").otherwise(F.col("event_type")).alias("stage"))
+    jobs = e.select("job_id", (5 + F.col("job_id") % 90).alias("total")).distinct()
+    return history.job_progress(e, jobs).select("job_id", "completed", "total", "last_stage", "has_result")
 
 
 @query("""SELECT store, max(generation) AS generation FROM (SELECT l_partkey % 40 AS store, l_orderkey AS generation, bool_and(coalesce(o_orderstatus <> 'F' AND o_orderkey % 7 <> 0, false)) AS ok FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2) WHERE ok GROUP BY 1""")
@@ -737,21 +739,26 @@ def d1_match_ownership(s, d):
 
 
 @query(f"""WITH {PLAN}, part_names AS (SELECT p_partkey, p_name AS text FROM part), {_the('native', 'benchmark', 'item_id')}, {_the('added', 'part_names', 'p_partkey')},
-    u AS (SELECT workspace_id, page_id, 'page' AS scope, start FROM plan JOIN native ON source_id % 50 = item_id UNION ALL SELECT workspace_id, page_id, 'overlay', start FROM plan JOIN added ON source_id = p_partkey)
-    SELECT *, row_number() OVER (PARTITION BY workspace_id, page_id ORDER BY scope DESC, start) - 1 AS ordinal FROM u""")
+    u AS (SELECT workspace_id, page_id, 'page' AS scope, start FROM plan JOIN native ON source_id % 50 = item_id WHERE start % 5 <> 2 UNION ALL SELECT workspace_id, page_id, 'overlay', start FROM plan JOIN added ON source_id = p_partkey),
+    n AS (SELECT *, row_number() OVER (PARTITION BY workspace_id, page_id ORDER BY scope DESC, start) - 1 AS ordinal FROM u)
+    SELECT coalesce(n.page_id, p.page_id) AS page_id, coalesce(ordinal, 1) AS ordinal, n.workspace_id, scope, start, p.page_id IS NOT NULL AS selected, CASE WHEN n.page_id IS NULL THEN 'unknown_selection' END AS error FROM n FULL JOIN (SELECT page_id FROM plan WHERE pos = 2) p ON p.page_id = n.page_id AND ordinal = 1""")
 def d5_plan_workspace_replacement(s, d):
     p = B.plan(s, d)
     native = search.search_matches(read(s, d, "benchmark").select("item_id", "text"), "the").select("item_id", "start")
     sources = p.select("source_id", "page_index").distinct()
-    native = sources.join(native, F.col("source_id") % 50 == F.col("item_id")).select("source_id", "page_index", "start")
+    native = sources.join(native, F.col("source_id") % 50 == F.col("item_id")).select("source_id", "page_index", "start", (F.col("start") % 5 != 2).alias("visible"))
     added = search.search_matches(read(s, d, "part").select("p_partkey", F.col("p_name").alias("text")), "the").select(F.col("p_partkey").alias("source_id"), "start")
-    return replace.plan_workspace_replacement(p, native, p.join(added, "source_id").select("page_id", "start"))
+    added = p.join(added, "source_id").select("page_id", "start", F.lit(True).alias("visible"))
+    return replace.plan_workspace_replacement(p, native, added, p.where("pos = 2").select("page_id", F.lit(1).cast("long").alias("ordinal")))
 
 
-@query(f"WITH {RUNS} SELECT doc_id, line_no FROM runs a WHERE EXISTS (SELECT 1 FROM runs b WHERE a.doc_id = b.doc_id AND b.line_no <> a.line_no AND (b.line_no = a.line_no // 10 OR b.line_no = a.line_no // 100 OR b.line_no = a.line_no // 1000 OR b.line_no = a.line_no // 10000) AND starts_with(CAST(a.line_no AS VARCHAR), CAST(b.line_no AS VARCHAR)))")
+@query(f"""WITH {RUNS}, c AS (SELECT doc_id, count(*) AS n, count(DISTINCT line_no // 100) AS n_pages FROM runs GROUP BY 1), r AS (SELECT a.doc_id, a.line_no, CASE WHEN length(text) = 0 OR strlen(text) > 4096 THEN 'text'
+        WHEN EXISTS (SELECT 1 FROM runs b WHERE a.doc_id = b.doc_id AND b.line_no // 100 = a.line_no // 100 AND b.line_no <> a.line_no AND (b.line_no = a.line_no // 10 OR b.line_no = a.line_no // 100) AND starts_with(CAST(a.line_no AS VARCHAR), CAST(b.line_no AS VARCHAR))) THEN 'prefix'
+        WHEN n > 40 THEN 'too_many_edits' WHEN n_pages > 1 THEN 'too_many_pages' END AS reason FROM runs a JOIN c USING (doc_id))
+    SELECT * FROM r WHERE reason IS NOT NULL""")
 def d7_validate_batch(s, d):
-    e = B.runs(s, d).select("doc_id", "line_no", F.split(F.col("line_no").cast("string"), "").alias("path"))
-    return replace.validate_batch(e, ["doc_id"]).select("doc_id", "line_no")
+    e = B.runs(s, d).select("doc_id", F.floor(F.col("line_no") / 100).alias("page_index"), "line_no", F.split(F.col("line_no").cast("string"), "").alias("path"), F.lit("old").alias("expected_text"), F.col("text").alias("new_text"))
+    return replace.validate_batch(e, ["doc_id", "page_index"], max_edits=40, max_pages=1).select("doc_id", "line_no", "reason")
 
 
 def _patched(s, d):
