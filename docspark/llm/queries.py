@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import cover_tree, exact_dedup, language, lm, mixing, ngram_join, packing, quality, secrets, tokenizing
+from docspark.llm import cover_tree, exact_dedup, language, lm, mixing, ngram_join, packing, pieces, quality, secrets, tokenizing
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +56,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, net)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_cover_tree, op3_token_counts, op4_maxent_lm, op5_ngram_join, op6_secret_scan, op7_exact_dedup, op8_language_id, op9_packing, op10_quality)}
+def op11_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode_decode(read(spark, sf_dir, "documents"))
+    digest = F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest, F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_cover_tree, op3_token_counts, op4_maxent_lm, op5_ngram_join, op6_secret_scan, op7_exact_dedup, op8_language_id, op9_packing, op10_quality, op11_piece_encoding)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
