@@ -58,6 +58,22 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += length
 
 
+class Remembered(dict):
+    """The ids of words, as bytes; those of words not seen lately are worked out."""
+
+    def __init__(self, encoder: PieceEncoder):
+        self.encoder, self.older = encoder, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            coded = self.encoder.coded
+            ids = b"".join([coded[n] for n in self.encoder.split(word)])
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+
 class PieceEncoder:
     """Encodes texts by a merge-type model with byte fallback; remembers the ids of recent words and pairs within bounds.
 
@@ -77,82 +93,113 @@ class PieceEncoder:
         if trainer.get(3) != MERGE_TYPE or not trainer.get(35) or {USER_DEFINED, UNUSED} & set(kinds):
             raise ValueError("only models of the merge type with byte fallback and without user-defined and unused pieces")
         pieces = [self.library.id_to_piece(i) for i in range(len(kinds))]
-        self.ids = {p: i for i, p in enumerate(pieces) if kinds[i] == NORMAL}
-        self.scores = {p: self.library.get_score(i) for p, i in self.ids.items()}
+        scores = {p: self.library.get_score(i) for i, p in enumerate(pieces) if kinds[i] == NORMAL}
+        self.scores = scores
         self.byte_ids = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        whole = {p for p in self.ids if len(p) == 1 or self.merged(p) == [p]}  # a piece that its own merges don't give is never seen
-        self.shorter = {p: next(p[:k] for k in range(len(p) - 1, 0, -1) if k == 1 or p[:k] in whole) for p in whole if len(p) > 1}
+        # symbols have numbers: the pieces that their own merges give (no other is ever seen), then characters that are no piece
+        self.names: list[str] = [p for p in scores if len(p) == 1 or self.merged(p) == [p]]
+        self.numbers = {p: n for n, p in enumerate(self.names)}
+        self.coded = [pack("<i", self.library.piece_to_id(p)) for p in self.names]
+        self.sizes = [len(p) for p in self.names]
+        self.shorter = [next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.numbers), p[0]) for p in self.names]
+        self.shorter = [self.number(p) for p in self.shorter]
         self.automaton = ahocorasick.Automaton()
-        for p in whole:
-            self.automaton.add_word(p, p)
+        for n, p in enumerate(self.names):
+            self.automaton.add_word(p, n)
         self.automaton.make_automaton()
         # merges never cross a character that no piece holds, nor the start of blanks if pieces hold these at their start only
-        leading = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
-        line = "\n" if not any("\n" in p for p in self.ids) else ""
+        leading = not any(BLANK in p.lstrip(BLANK) for p in scores)
+        line = "\n" if not any("\n" in p for p in scores) else ""
         self.segments = re.compile(f"{BLANK}*[^{BLANK}{line}]+|{BLANK}+|\n+" if leading else f"[^{line}]+|\n+" if line else "(?s:.+)")
-        self.memory: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.memory = Remembered(self)
+        self.pairs: dict[int, bool] = {}
+
+    def number(self, symbol: str) -> int:
+        """The symbol's number; a character that is no piece gets one when it is first seen, with the ids of its bytes."""
+        if symbol not in self.numbers:
+            self.numbers[symbol] = len(self.names)
+            self.names.append(symbol)
+            self.coded.append(b"".join(pack("<i", self.byte_ids[b]) for b in symbol.encode("utf-8", "replace")))
+            self.sizes.append(1)
+            self.shorter.append(self.numbers[symbol])
+        return self.numbers[symbol]
 
     def merged(self, text: str) -> list[str]:
         """The text's symbols after all merges, best score first and leftmost of equal ones; for short texts."""
-        parts, scores = list(text), self.scores
-        while len(parts) > 1:
-            best = max(range(len(parts) - 1), key=lambda i: (scores.get(parts[i] + parts[i + 1], -np.inf), -i))
-            if parts[best] + parts[best + 1] not in scores:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        score, none = self.scores.get, -np.inf
+        parts = list(text)
+        gains = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while gains and (best := max(gains)) > none:
+            i = gains.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del gains[i]
+            if i:
+                gains[i - 1] = score(parts[i - 1] + parts[i], none)
+            if i < len(gains):
+                gains[i] = score(parts[i] + parts[i + 1], none)
         return parts
 
-    def fits(self, left: str, right: str) -> bool:
-        """Whether these two pieces stay apart when their joint text is merged anew."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) > self.remember:
-                self.pairs = {}
-            known = self.pairs[left, right] = self.merged(left + right) == [left, right]
+    def fits(self, left: int, right: int) -> bool:
+        """Whether these two symbols stay apart when their joint text is merged anew; remembered."""
+        if len(self.pairs) > 4 * self.remember:
+            self.pairs = {}
+        a, b = self.names[left], self.names[right]
+        known = self.pairs[left << 21 | right] = self.merged(a + b) == [a, b]
         return known
 
-    def split(self, text: str) -> list[str]:
-        """The pieces of a normalised text; a character that is no piece stands for itself."""
-        longest: list[str | None] = [None] * len(text)
-        for end, piece in self.automaton.iter(text):  # by growing end, so the longest from each place comes last
-            longest[end - len(piece) + 1] = piece
+    def split(self, text: str) -> list[int]:
+        """The numbers of a normalised text's symbols."""
+        sizes, shorter, matches = self.sizes, self.shorter, self.automaton.iter_long
+        longest = [-1] * len(text)  # from each place; those that follow one another come first, others when they are asked for
+        for end, piece in matches(text):
+            longest[end - sizes[piece] + 1] = piece
+
+        def match(at: int) -> int:
+            end, piece = next(matches(text, at), (-1, -1))
+            longest[at] = piece if end - sizes[piece] + 1 == at else self.number(text[at])
+            return longest[at]
+
         failed = bytearray((len(text) >> 3) + 1)
-        out: list[str] = []
-        at, piece = 0, longest[0] or text[0] if text else ""
+        known, out, last = self.pairs.get, [], -1
+        at, piece = 0, -1
+        if text:
+            piece = longest[0] if longest[0] >= 0 else match(0)
         while at < len(text):
-            end = at + len(piece)
-            if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.fits(out[-1], piece)):
+            end = at + sizes[piece]
+            fit = not failed[end >> 3] >> (end & 7) & 1
+            if fit and last >= 0:
+                fit = known(last << 21 | piece)
+                if fit is None:
+                    fit = self.fits(last, piece)
+                    known = self.pairs.get
+            if fit:
                 out.append(piece)
-                at = end
+                at, last = end, piece
                 if at < len(text):
-                    piece = longest[at] or text[at]
-            elif len(piece) > 1:
-                piece = self.shorter[piece]
+                    piece = longest[at]
+                    if piece < 0:
+                        piece = match(at)
+            elif sizes[piece] > 1:
+                piece = shorter[piece]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()
-                at -= len(piece)
+                at -= sizes[piece]
+                last = out[-1] if out else -1
         return out
 
-    def _ids(self, segment: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.split(segment):
-            if piece in self.ids:
-                ids.append(self.ids[piece])
-            else:
-                ids.extend(self.byte_ids[b] for b in piece.encode("utf-8", "replace"))
-        return pack(f"<{len(ids)}i", *ids)
-
     def encode(self, text: str) -> np.ndarray:
-        """The ids of the whole text, as 32-bit numbers."""
-        segments = self.segments.findall(self.library.normalize(text)) if text else []
+        """The ids of the whole text, as 32-bit numbers.
+
+        Words seen lately are remembered in two generations: when the younger is full it becomes the older, so that frequent
+        words stay. Words of more than 64 characters seldom come again and are not remembered.
+        """
+        if not text:
+            return np.empty(0, "<i4")
         if len(self.memory) > self.remember:
-            self.memory = {}
-        memory, once = self.memory, {}
-        for s in {s for s in segments if s not in memory}:
-            (memory if len(s) <= 64 else once)[s] = self._ids(s)  # long words seldom come again
-        return np.frombuffer(b"".join(memory.get(s) or once[s] for s in segments) if once else b"".join([memory[s] for s in segments]), "<i4")
+            self.memory.older = dict(self.memory)
+            self.memory.clear()
+        return np.frombuffer(b"".join(map(self.memory.__getitem__, self.segments.findall(self.library.normalize(text)))), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
         return self.library.decode(ids.tolist())
