@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import cover_tree, exact_dedup, language, lm, mixing, ngram_join, packing, pieces, quality, secrets, tokenizing
+from docspark.llm import collocation, cover_tree, exact_dedup, language, lm, mixing, ngram_join, packing, pieces, quality, secrets, tokenizing, variants
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +62,43 @@ def op11_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest, F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_cover_tree, op3_token_counts, op4_maxent_lm, op5_ngram_join, op6_secret_scan, op7_exact_dedup, op8_language_id, op9_packing, op10_quality, op11_piece_encoding)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(read(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(variants.word_counts(read(spark, sf_dir, "documents"), typo_every=97))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_cover_tree, op3_token_counts, op4_maxent_lm, op5_ngram_join, op6_secret_scan, op7_exact_dedup, op8_language_id, op9_packing, op10_quality, op11_piece_encoding, op12_collocations, op13_spelling_variants)}
 
 ORACLE_SQL = {
+    "op12_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+            FROM documents),
+        phrases AS (
+            SELECT lang, 1 AS m, unnest(w) AS phrase FROM pieces
+            UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM pieces
+            UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM pieces),
+        f AS (SELECT lang, m, phrase, count(*) AS n FROM phrases GROUP BY ALL),
+        words AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY 1),
+        c AS (SELECT lang, m, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND n >= 10),
+        cuts AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+        parts AS (SELECT *, array_to_string(w[1:k], ' ') AS p1, array_to_string(w[k + 1:m], ' ') AS p2 FROM cuts),
+        scored AS (
+            SELECT parts.lang, parts.phrase, a, f1.n AS l, f2.n AS r, CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(f1.n AS HUGEINT) * f2.n) AS BIGINT) AS score
+            FROM parts JOIN f f1 ON f1.lang = parts.lang AND f1.m = k AND f1.phrase = p1 JOIN f f2 ON f2.lang = parts.lang AND f2.m = parts.m - k AND f2.phrase = p2
+            QUALIFY row_number() OVER (PARTITION BY parts.lang, parts.phrase ORDER BY score, k) = 1),
+        longer AS (
+            SELECT lang, phrase, max(a) AS a FROM (
+                SELECT lang, a, array_to_string(w[1:2], ' ') AS phrase FROM c WHERE m = 3
+                UNION ALL SELECT lang, a, array_to_string(w[2:3], ' ') FROM c WHERE m = 3) GROUP BY ALL)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM scored JOIN words USING (lang)
+        WHERE NOT EXISTS (SELECT 1 FROM longer WHERE longer.lang = scored.lang AND longer.phrase = scored.phrase AND 100 * longer.a >= 50 * scored.a)
+        QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""",
     "op7_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER g AS keep_id,
