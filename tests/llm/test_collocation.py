@@ -45,7 +45,7 @@ def corpus(seed, n):
 COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
 
-@pytest.mark.parametrize("least,most,shards,bits", [(10, 3, 4, 26), (3, 4, 2, 4), (2, 2, 1, 26), (12, 5, 8, 26)])
+@pytest.mark.parametrize("least,most,shards,bits", [(10, 3, 4, 26), (3, 4, 2, 8), (2, 2, 1, 26), (12, 5, 8, 26)])
 def test_equals_plain_counts(spark, least, most, shards, bits):
     rows = corpus(least, 150)
     docs = spark.createDataFrame([(*r, 7, "x") for r in rows], "text string, lang string, n int, phrase string").repartition(5)
@@ -66,13 +66,26 @@ def test_scores_beyond_64_bits_are_exact(spark, a, left, right):
 
 
 def test_keys_of_equal_words_agree_across_batches():
-    one, two = collocation.Words(), collocation.Words()
-    a = one.numbers([b"x y z", b"q"])
-    b = two.numbers([b"q", b"Z x Y z"])
-    keys = lambda ids, w: {tuple(w.names[i] for i in ids[p : p + m]): int(k) for m, at, ks in collocation._grams(ids, w.hashes, 3, 5) for p, k in zip(at, ks)}
-    ka, kb = keys(a, one), keys(b, two)
-    assert ka[b"x", b"y", b"z"] == kb[b"x", b"y", b"z"] and ka[b"q",] == kb[b"q",] and (b"z", b"q") not in ka
-    assert len(set(ka.values())) == len(ka) and np.uint64(0) not in ka.values()
+    one, two = collocation.Words([b"x  y\tz" + b"w" * 100, b"q"]), collocation.Words([b"q", b"x. Z x Y z" + b"W" * 100, b""])
+
+    def keys(words):
+        out = {}
+        for m, at, ks in collocation._grams(words, 3, 5):
+            for p, k in zip(at, ks):
+                out[words.text(words.first[p], words.first[p + m - 1] + words.size[p + m - 1] - words.first[p])] = int(k)
+        return out
+
+    a, b = keys(one), keys(two)
+    z = b"z" + b"w" * 100
+    assert a[b"x y " + z] == b[b"x y " + z] and a[b"q"] == b[b"q"] and a[z] == b[z] and not any(z + b" q" in k for k in a) and b"x z" not in b
+    assert len(set(b.values())) == len(b)
+    assert not len(collocation.Words([b"", b" . "]).size) and not len(collocation.Words([]).size)
+
+
+def test_spans_of_one_key_are_told_apart():
+    words = collocation.Words([b"one two one three one two-and-twenty two-and-twenty onex"])
+    got = list(words.counts(words.first, words.size, np.zeros(len(words.size), np.uint64)))
+    assert sorted(got) == [(b"one", 3), (b"onex", 1), (b"three", 1), (b"two", 1), (b"two-and-twenty", 2)]
 
 
 def test_equals_sql(spark):
