@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,14 +26,24 @@ def extraction_text(c: Column) -> Column:
     return F.rtrim(F.regexp_replace(c, " {2,}", " "))
 
 
-def casefold(c: Column) -> Column:
-    """Default case folding of all characters, by this Python's Unicode tables: one to one, and to several where a text holds such a character."""
-    folds = {chr(i): chr(i).casefold() for i in range(0x110000) if not 0xD800 <= i < 0xE000 and chr(i).casefold() != chr(i)}
-    lone, wide = ({k: v for k, v in folds.items() if (len(v) == 1) == one} for one in (True, False))
-    out = F.translate(c, "".join(lone), "".join(lone.values()))
+@cache
+def folds() -> dict[str, str]:
+    """Every character whose default case folding is another text, with that text, by this Python's Unicode tables."""
+    return {c: c.casefold() for i in range(0x110000) if not 0xD800 <= i < 0xE000 and (c := chr(i)).casefold() != c}
+
+
+def casefold(c: Column, joint: str = "") -> Column:
+    """Default case folding of all characters: one to one, and to several where a text holds such a character.
+
+    joint, a character, is set between the several ones of a single character; where it stands in the text itself, the next
+    character in code-point order takes its place.
+    """
+    lone, wide = ({k: v for k, v in folds().items() if (len(v) == 1) == one} for one in (True, False))
+    moved = {joint: chr(ord(joint) + 1)} if joint else {}
+    out = F.translate(c, "".join([*lone, *moved]), "".join([*lone.values(), *moved.values()]))
     several = out
     for k, v in wide.items():
-        several = F.replace(several, F.lit(k), F.lit(v))
+        several = F.replace(several, F.lit(k), F.lit(joint.join(v)))
     return F.when(out.rlike(f"[{''.join(wide)}]"), several).otherwise(out)
 
 

@@ -23,6 +23,11 @@ def fold(past: list, present, future: list, action: str, state, limit: int):
     return past, present, future
 
 
+def near_place(last, place, near: float) -> bool:
+    """Whether two places (page, zoom, y) are the same but for less than `near` of y."""
+    return last[0] == place[0] and last[1] == place[1] and abs(last[2] - place[2]) < near
+
+
 def replay_history(log: DataFrame, limit: int = 100) -> DataFrame:
     """(session_id, present, n_past, n_future) after the log (session_id, ts, event_id, action, state) in order.
 
@@ -56,20 +61,65 @@ def bounded_history(states: DataFrame, limit: int = 100) -> DataFrame:
     return states.withColumn("age", F.row_number().over(by).cast("long")).where(F.col("age") <= limit)
 
 
+class Burst:
+    """The changes that the next checkpoint will cover (times in microseconds): it is written when idle seconds pass without a
+    change, or deadline seconds after the first change that it covers. The change after it begins the next one."""
+
+    def __init__(self, idle: float, deadline: float | None, first: int = 0, last: int = 0, changes: int = 0):
+        self.idle, self.deadline = round(idle * 1e6), None if deadline is None else round(deadline * 1e6)
+        self.first, self.last, self.changes = first, last, changes
+
+    def due(self) -> int | None:
+        """When the checkpoint is written if no change comes; null without changes."""
+        if not self.changes:
+            return None
+        return min(self.last + self.idle + 1, self.first + self.deadline) if self.deadline is not None else self.last + self.idle + 1
+
+    def expire(self, now: int) -> list[tuple[int, int, int]]:
+        """(first, last, changes) of the burst if it is due by now."""
+        if not self.changes or self.due() > now:
+            return []
+        done, self.changes = (self.first, self.last, self.changes), 0
+        return [done]
+
+    def add(self, at: int) -> list[tuple[int, int, int]]:
+        """Takes in a change not before the last one; gives the burst that was due by then."""
+        done = self.expire(at)
+        self.first, self.last, self.changes = self.first if self.changes else at, at, self.changes + 1
+        return done
+
+
 def checkpoint_coalesce(log: DataFrame, idle_seconds: float, deadline_seconds: float | None = None) -> DataFrame:
-    """Bursts of changes of each session that one checkpoint covers: a burst ends after idle_seconds without a change.
+    """Bursts of changes of each session that one checkpoint covers (session_id, first_ts, last_ts, changes): a burst ends after more
+    than idle_seconds without a change.
 
-    With a deadline, a longer burst is cut into spans of that length from its first change.
+    With a deadline it also ends that long after its first change, and the next change begins a new one. Where a burst begins
+    then depends on all before it, so each session's sorted rows go through a fold of three numbers.
     """
+    log = log.where("session_id is not null")
+    if deadline_seconds is not None:
+
+        def run(batches):
+            session, burst = None, Burst(idle_seconds, deadline_seconds)
+            for pdf in batches:
+                done = []
+                for s, at in zip(pdf["session_id"].tolist(), pdf["at"].tolist()):
+                    if s != session:
+                        done += [(session, *d) for d in ([(burst.first, burst.last, burst.changes)] if burst.changes else [])]
+                        session, burst = s, Burst(idle_seconds, deadline_seconds)
+                    done += [(s, *d) for d in burst.add(at)]
+                yield pd.DataFrame(done, columns=["session_id", "first", "last", "changes"])
+            if burst.changes:
+                yield pd.DataFrame([(session, burst.first, burst.last, burst.changes)], columns=["session_id", "first", "last", "changes"])
+
+        ordered = log.select("session_id", micros("ts").alias("at")).where("at is not null").repartition("session_id").sortWithinPartitions("session_id", "at")
+        kind = log.schema["ts"].dataType
+        bursts = ordered.mapInPandas(run, f"session_id {log.schema['session_id'].dataType.simpleString()}, first long, last long, changes long")
+        return bursts.select("session_id", F.timestamp_micros("first").cast(kind).alias("first_ts"), F.timestamp_micros("last").cast(kind).alias("last_ts"), "changes")
     by = Window.partitionBy("session_id").orderBy("ts", "event_id")
     new = F.coalesce(micros("ts") - micros(F.lag("ts").over(by)) > idle_seconds * 1e6, F.lit(True))
     g = log.withColumn("burst", F.sum(F.when(new, 1).otherwise(0)).over(by))
-    keys = ["session_id", "burst"]
-    if deadline_seconds is not None:
-        first = F.min(micros("ts")).over(Window.partitionBy(*keys))
-        g = g.withColumn("span", F.floor((micros("ts") - first) / (deadline_seconds * 1e6)))
-        keys.append("span")
-    return g.groupBy(*keys).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("changes")).drop("burst", "span")
+    return g.groupBy("session_id", "burst").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("changes")).drop("burst")
 
 
 def preview_expiry(previews: DataFrame, now, ttl_seconds: int, max_items: int = 8, max_bytes: int = 64 << 20) -> DataFrame:

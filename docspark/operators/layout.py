@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspark.functions.fold import let, scan
 from docspark.functions.text import list_marker
 
 PAGE = ["doc_id", "page_index"]
@@ -13,7 +14,8 @@ BARE = r"^(?:[-•‣◦]|\(?(?:[0-9]{1,3}|[A-Za-z]|[IVXLCDMivxlcdm]{1,8})[.)])$
 
 def assemble_rows(runs: DataFrame) -> DataFrame:
     """Visual rows of runs (page, baseline, run, text, x, width, size): a row goes on while the gap to the run before lies between
-    -0.25 and 1 times the larger size. Blank runs are left out; a lone list marker stays a row of its own."""
+    -0.25 and 1 times the larger size. Blank runs are left out; a lone list marker stays a row of its own. sizes: those of the
+    row's runs, each once, in order of first use; size is the largest."""
     by = Window.partitionBy(*PAGE, "baseline").orderBy("x", "run")
     size, gap = F.greatest("size", F.lag("size").over(by)), F.col("x") - F.lag(F.col("x") + F.col("width")).over(by)
     bare = F.col("text").rlike(BARE)
@@ -21,48 +23,70 @@ def assemble_rows(runs: DataFrame) -> DataFrame:
     new = gap.isNull() | (gap > size) | (gap < -0.25 * size) | F.col("bare") | F.lag("bare").over(by)
     r = r.withColumn("new", new.cast("int")).withColumn("row", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     return r.groupBy(*PAGE, "baseline", "row").agg(
-        F.min("x").alias("left"), F.max(F.col("x") + F.col("width")).alias("right"), F.max("size").alias("size"), F.min_by("text", F.struct("x", "run")).alias("first_text"), F.count("*").alias("n_runs")
-    )
+        F.min("x").alias("left"), F.max(F.col("x") + F.col("width")).alias("right"), F.max("size").alias("size"), F.min_by("text", F.struct("x", "run")).alias("first_text"), F.count("*").alias("n_runs"),
+        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("x", "run", "size"))), lambda r: r["size"])).alias("sizes"),
+    )
 
 
-def number_groups(rows: DataFrame, order: list[Column], facts: dict[str, Column], follows, name: str, keep: list[str]) -> DataFrame:
+def number_groups(rows: DataFrame, order: list[Column], facts: dict[str, Column], follows, name: str, keep: list[str], common: str | None = None, eps: float = 0.0) -> DataFrame:
     """The kept columns of rows and `name`, the number of each row's group in its page.
 
     A page's rows are folded in order: a row goes on in the last group if follows(head, second, row) holds, these being the facts
-    of the group's first row, of its second one (null if there is none yet) and of the row. One page is one array.
+    of the group's first row, of its second one (null if there is none yet) and of the row. common names a fact that is an
+    array of numbers: all rows of a group must then share one of them (up to eps), and follows gets as a fourth argument those
+    of the first row that all rows so far and this one share, the first such being its number. One page is one array.
     """
     item = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], F.struct(*[c.alias(n) for n, c in facts.items()]).alias("facts"), F.struct(*keep).alias("row"))
     pages = rows.select(*PAGE, item.alias("item")).groupBy(*PAGE).agg(F.array_sort(F.collect_list("item")).alias("items"))
     none = F.lit(None).cast(pages.schema["items"].dataType.elementType["facts"].dataType)
 
     def step(s, x):
-        on = F.coalesce(follows(s["head"], s["second"], x["facts"]), F.lit(False))
-        group = s["group"] + F.when(on, 0).otherwise(1)
-        return F.struct(group.alias("group"), F.when(on, s["head"]).otherwise(x["facts"]).alias("head"), F.when(on, F.coalesce(s["second"], x["facts"])).alias("second"), F.concat(s["out"], F.array(group)).alias("out"))
+        facts = x["facts"]
+        shared = F.filter(s["shared"], lambda v: F.exists(facts[common], lambda w: F.abs(v - w) <= eps)) if common else s["shared"]
+
+        def state(left):
+            fits = (F.size(left) > 0) & follows(s["head"], s["second"], facts, left[0]) if common else follows(s["head"], s["second"], facts)
+
+            def after(on):
+                group = s["group"] + F.when(on, 0).otherwise(1)
+                new = F.struct(group.alias("group"), F.when(on, s["head"]).otherwise(facts).alias("head"), F.when(on, F.coalesce(s["second"], facts)).alias("second"), (F.when(on, left).otherwise(facts[common]) if common else left).alias("shared"))
+                return F.struct(new.alias("s"), group.alias("o"))
+
+            return let(F.coalesce(fits, F.lit(False)), after)
+
+        return let(shared, state)
 
-    start = F.struct(F.lit(-1).cast("long").alias("group"), none.alias("head"), none.alias("second"), F.array().cast("array<bigint>").alias("out"))
-    numbers = F.aggregate("items", start, step, lambda s: s["out"])
+    start = F.struct(F.lit(-1).cast("long").alias("group"), none.alias("head"), none.alias("second"), F.array().cast("array<double>").alias("shared"))
+    numbers = scan(F.col("items"), start, step, "bigint")
     each = pages.select(F.explode(F.arrays_zip(F.transform("items", lambda i: i["row"]).alias("row"), numbers.alias("number"))).alias("z"))
     return each.select("z.row.*", F.col("z.number").alias(name))
 
 
-def segment_paragraphs(rows: DataFrame, eps: float = 0.01) -> DataFrame:
+def segment_paragraphs(rows: DataFrame, eps: float = 0.01, mixed: bool = False) -> DataFrame:
     """rows (of assemble_rows) with block: consecutive rows of one size, with a leading of 0.6 to 1.65 sizes, aligned left (with
-    the block's second row, or a first line indented by at most two sizes), centred or right. A list item starts a new block."""
+    the block's second row, or a first line indented by at most two sizes), centred or right. A list item starts a new block.
+
+    mixed: rows may have several sizes, but all rows of a block share one, which also measures their alignment; the leading is
+    measured by the largest size of the two rows.
+    """
     above = {c: F.lag(c).over(Window.partitionBy(*PAGE).orderBy(F.desc("baseline"), "left", "row")) for c in ("baseline", "left", "size", "bare")}
-    pace = above["baseline"] - F.col("baseline")
-    paired = (F.abs(above["size"] - F.col("size")) <= eps) & (pace + eps >= 0.6 * above["size"]) & (pace <= 1.65 * above["size"]) & ~F.col("marker") & ~above["bare"]
+    pace, largest = above["baseline"] - F.col("baseline"), F.greatest(above["size"], "size") if mixed else above["size"]
+    one_size = F.lit(True) if mixed else F.abs(above["size"] - F.col("size")) <= eps
+    paired = one_size & (pace + eps >= 0.6 * largest) & (pace <= 1.65 * largest) & ~F.col("marker") & ~above["bare"]
     outdent = above["left"] - F.col("left")
     marked = rows.withColumn("marker", F.coalesce(list_marker(F.col("first_text")), F.lit(False))).withColumn("bare", (F.col("n_runs") == 1) & F.col("first_text").rlike(BARE))
-    marked = marked.withColumn("paired", paired).withColumn("outdented", (outdent > 0) & (outdent <= 2 * above["size"])).withColumn("slack", above["size"] / 2)
-    facts = {"x0": F.col("left"), "x1": F.col("right")} | {c: F.col(c) for c in ("paired", "outdented", "slack")}
-
-    def follows(head, second, row):
-        near = lambda a, b: F.abs(a - b) <= row["slack"]
-        left = near(F.coalesce(second["x0"], head["x0"]), row["x0"]) | (second.isNull() & row["outdented"])
+    marked = marked.withColumn("paired", paired).withColumn("outdent", outdent).withColumn("measure", above["size"])
+    facts = {"x0": F.col("left"), "x1": F.col("right")} | {c: F.col(c) for c in ("paired", "outdent", "measure")}
+    if mixed:
+        facts["sizes"] = F.col("sizes").cast("array<double>")
+
+    def follows(head, second, row, shared=None):
+        size = row["measure"] if shared is None else shared
+        near = lambda a, b: F.abs(a - b) <= size / 2
+        left = near(F.coalesce(second["x0"], head["x0"]), row["x0"]) | (second.isNull() & (row["outdent"] > 0) & (row["outdent"] <= 2 * size))
         return row["paired"] & (left | near((head["x0"] + head["x1"]) / 2, (row["x0"] + row["x1"]) / 2) | near(head["x1"], row["x1"]))
 
-    return number_groups(marked, [-F.col("baseline"), F.col("left"), F.col("row")], facts, follows, "block", rows.columns)
+    return number_groups(marked, [-F.col("baseline"), F.col("left"), F.col("row")], facts, follows, "block", rows.columns, "sizes" if mixed else None, eps)
 
 
 def selectable_spans(chars: DataFrame, tol: float = 0.02) -> DataFrame:
@@ -92,16 +116,25 @@ def paragraph_of(anchors: DataFrame, blocks: DataFrame, most: int = 64) -> DataF
     return j.withColumn("reason", F.when(F.col("pieces") > most, "too_many_pieces"))
 
 
-def neighbour_conflicts(boxes: DataFrame, band: float = 64.0) -> DataFrame:
-    """Pairs of boxes (page, box, block, x, y, width, height) of different blocks that overlap: one row per box and block in its way.
+def neighbour_conflicts(runs: DataFrame, cell: float = 64.0) -> DataFrame:
+    """Text in the way of a block: page, block, other (a run outside it). A block with such text is not to be edited alone.
 
-    The join is on bands of the page's height, so that only boxes near each other meet.
+    runs: page, run, block (null for text of no block), text, left, right, bottom, top (y upwards), baseline, size. A run is in the way
+    if a run of the block lies within that run's size to its left or right, their baselines within 0.75 sizes of each other, and
+    it reaches above 0.25 sizes under the block run's baseline and begins under 1.1 sizes over it. Blank runs are not, nor is a
+    list marker on the same baseline to the left. Runs meet in cells of both axes, so only those near each other are compared.
     """
-    bands = F.explode(F.sequence(F.floor(F.col("y") / band), F.floor((F.col("y") + F.col("height")) / band)))
-    b = boxes.withColumn("band", bands)
-    o = b.select(*PAGE, "band", F.col("block").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("width").alias("ow"), F.col("height").alias("oh"))
-    meets = (F.col("x") < F.col("ox") + F.col("ow")) & (F.col("ox") < F.col("x") + F.col("width")) & (F.col("y") < F.col("oy") + F.col("oh")) & (F.col("oy") < F.col("y") + F.col("height"))
-    return b.join(o, [*PAGE, "band"]).where((F.col("block") != F.col("other")) & meets).select(*PAGE, "box", "other").distinct()
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
+    reach = F.col("size") * 0.75
+    mine = runs.where("block is not null").withColumn("cx", cells(F.col("left") - F.col("size"), F.col("right") + F.col("size"))).withColumn("cy", cells(F.col("baseline") - reach, F.col("baseline") + reach))
+    named = {c: f"o_{c}" for c in ("run", "block", "text", "left", "right", "bottom", "top", "baseline")}
+    others = runs.where(F.trim("text") != "").select(*PAGE, *[F.col(c).alias(n) for c, n in named.items()]).withColumn("cx", cells(F.col("o_left"), F.col("o_right"))).withColumn("cy", F.floor(F.col("o_baseline") / cell))
+    j = mine.join(others, [*PAGE, "cx", "cy"]).where(~F.col("block").eqNullSafe(F.col("o_block")))
+    apart = F.greatest(F.col("left") - F.col("o_right"), F.col("o_left") - F.col("right"), F.lit(0.0))
+    off = F.abs(F.col("baseline") - F.col("o_baseline"))
+    label = F.col("o_text").rlike(BARE) & (off <= 0.01) & (F.col("o_right") <= F.col("left"))
+    near = (apart <= F.col("size")) & (off <= reach) & (F.col("o_top") > F.col("baseline") - F.col("size") * 0.25) & (F.col("o_bottom") < F.col("baseline") + F.col("size") * 1.1)
+    return j.where(near & ~label).select(*PAGE, "block", F.col("o_run").alias("other")).distinct()
 
 
 def infer_alignment(rows: DataFrame, keys: list[str]) -> DataFrame:

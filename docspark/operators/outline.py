@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,10 +12,13 @@ DOC = "doc_id"
 
 
 def validate_outline(o: DataFrame) -> DataFrame:
-    """Items that break the rules: first level 0, no level skipped on the way down, depth under 32, unique ids."""
+    """Items that break the rules: first level 0, no level skipped on the way down, depth under 32, unique ids and, if o has
+    color (an array of numbers or null), these finite and from 0 to 1."""
     by = Window.partitionBy(DOC).orderBy("idx")
     before = F.lag("level").over(by)
     reason = F.when(before.isNull() & (F.col("level") != 0), "first_level").when(F.col("level") > before + 1, "skipped_level").when(F.col("level") >= 32, "depth").when(F.count("*").over(Window.partitionBy(DOC, "item_id")) > 1, "duplicate_id")
+    if "color" in o.columns:
+        reason = reason.when(F.exists("color", lambda v: v.isNull() | F.isnan(v) | (v < 0) | (v > 1)), "color")
     return o.withColumn("reason", reason).where("reason is not null").select(DOC, "idx", "reason")
 
 
@@ -50,18 +56,94 @@ def branch_end(o: DataFrame, max_level: int = 32) -> DataFrame:
     return o.withColumn("branch_end", F.coalesce(_beyond(F.col("idx"), [DOC], max_level), F.max("idx").over(Window.partitionBy(DOC)) + 1))
 
 
+def _mapped(value, pages: dict):
+    """A value of an action with its pages mapped, None where one is gone. A page is an object that holds nothing but page."""
+    if isinstance(value, list):
+        return [_mapped(v, pages) for v in value]
+    if not isinstance(value, dict):
+        return value
+    if value.keys() == {"page"}:
+        new = pages.get(str(value["page"]))
+        return None if new is None else {"page": type(value["page"])(new)}
+    out = {k: _mapped(v, pages) for k, v in value.items()}
+    place = out.get("D")
+    if out.get("S") == "GoTo" and not (isinstance(place, list) and place and isinstance(place[0], dict) and place[0].keys() == {"page"}):
+        return None
+    following = out.get("Next")
+    if isinstance(following, list):
+        following = out["Next"] = [v for v in following if v is not None]
+    if "Next" in out and (following is None or following == []):
+        del out["Next"]
+    return out
+
+
+def _map_actions(action: pd.Series, pages: pd.Series) -> pd.Series:
+    def one(text, known):
+        new = _mapped(json.loads(text), {k: v for k, v in known} if known is not None else {})
+        return None if new is None else json.dumps(new, separators=(",", ":"), ensure_ascii=False)
+
+    return pd.Series([None if a is None else one(a, p) for a, p in zip(action, pages)], dtype=object)
+
+
+PAGE_VALUE = r'"page"\s*:\s*(?:"([^"]*)"|(-?[0-9]+))'
+
+
+def remap_actions(o: DataFrame, page_map: DataFrame) -> DataFrame:
+    """o (doc_id, idx, action: JSON text) with the pages in its actions through page_map (target, new_target).
+
+    A page that is gone becomes null; an action that goes to such a page becomes null with all in it, and so does one among those
+    that follow another, which then drops out of the list; a list without entries is left out. Only the pages that an action
+    names come to it, as a small map.
+    """
+    names = F.array_distinct(F.transform(F.regexp_extract_all("action", F.lit(f"({PAGE_VALUE})"), F.lit(1)), lambda m: F.regexp_replace(m, r'^"page"\s*:\s*|"', "")))
+    named = o.where(F.col("action").contains('"page"')).select(DOC, "idx", F.explode(names).alias("name"))
+    known = page_map.select(F.col("target").cast("string").alias("name"), F.col("new_target").cast("string").alias("new_name"))
+    pages = named.join(known, "name").groupBy(DOC, "idx").agg(F.collect_list(F.array("name", "new_name")).alias("pages"))
+    return o.join(pages, [DOC, "idx"], "left").withColumn("action", F.pandas_udf(_map_actions, "string")("action", "pages")).drop("pages")
+
+
 def remap_outline(o: DataFrame, page_map: DataFrame, max_level: int = 32) -> DataFrame:
     """Targets through page_map (target, new_target); an item whose page is gone stays, without target, if a descendant's is there.
 
-    Items without a target stay as they are.
+    Items without a target stay as they are. If o has action (JSON text), an item without a target whose action goes to a page counts
+    as aiming at that page, and what is left of the actions comes out (see remap_actions).
     """
-    j = o.join(page_map, "target", "left")
-    j = j.withColumn("lives", F.col("target").isNull() | F.col("new_target").isNotNull())
+    keep = []
+    if "action" in o.columns:
+        there = F.when(F.get_json_object("action", "$.S") == "GoTo", F.get_json_object("action", "$.D[0].page"))
+        o = o.withColumn("aim", F.coalesce("target", there.cast(o.schema["target"].dataType)))
+        o, keep = remap_actions(o, page_map), ["action"]
+    else:
+        o = o.withColumn("aim", F.col("target"))
+    j = o.join(page_map.select(F.col("target").alias("aim"), "new_target"), "aim", "left")
+    j = j.withColumn("lives", F.col("aim").isNull() | F.col("new_target").isNotNull())
     j = j.withColumn("later", F.coalesce(F.sum(F.col("lives").cast("long")).over(_after([DOC])), F.lit(0)))
     # living items from the end of the branch on: those after its end and the one there
     at_end = _beyond(F.struct("idx", (F.col("later") + F.col("lives").cast("long")).alias("living")), [DOC], max_level)
     j = j.withColumn("below", F.col("later") - F.coalesce(at_end["living"], F.lit(0)))
-    return j.where("lives or below > 0").select(DOC, "idx", "level", "item_id", F.col("new_target").alias("target"))
+    return j.where("lives or below > 0").select(DOC, "idx", "level", "item_id", F.when(F.col("target").isNotNull(), F.col("new_target")).alias("target"), *keep)
+
+
+def outline_paths(o: DataFrame, max_level: int = 32) -> DataFrame:
+    """o with parent and path: the places among their siblings of the item's ancestors and of itself, from the top, such as 0/2/1."""
+    o = outline_parents(o, max_level).drop("prev_sibling", "next_sibling", "first_child", "last_child")
+    o = o.withColumn("place", F.row_number().over(Window.partitionBy(DOC, "parent").orderBy("idx")) - 1)
+    last = _last(F.struct("idx", "place"), Window.partitionBy(DOC).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1), max_level)
+    above = F.transform(F.slice(F.array(*last), F.lit(1), F.col("level")), lambda a: a["place"].cast("string"))
+    return o.withColumn("path", F.array_join(F.concat(above, F.array(F.col("place").cast("string"))), "/")).drop("place")
+
+
+def outline_diff(before: DataFrame, after: DataFrame, columns: list[str], max_level: int = 32) -> DataFrame:
+    """Items in which two outlines of a document differ, ids and all else but `columns` left out: doc_id, path, side, change.
+
+    change: content (the items at that path differ), only (the other side has no item there). Equal outlines give no row; an item
+    moved among its siblings shows at both of its places.
+    """
+    content = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256).alias("content")
+    a, b = (outline_paths(o, max_level).select(DOC, "path", content) for o in (before, after))
+    j = a.withColumnRenamed("content", "was").join(b.withColumnRenamed("content", "now"), [DOC, "path"], "full_outer").where("not (was <=> now)")
+    side = F.explode(F.when(F.col("was").isNull(), F.array(F.lit("after"))).when(F.col("now").isNull(), F.array(F.lit("before"))).otherwise(F.array(F.lit("before"), F.lit("after"))))
+    return j.select(DOC, "path", side.alias("side"), F.when(F.col("was").isNull() | F.col("now").isNull(), "only").otherwise("content").alias("change"))
 
 
 def outline_counts(o: DataFrame, max_level: int = 32) -> DataFrame:
@@ -123,8 +205,17 @@ def merge_outlines(outlines: DataFrame) -> DataFrame:
 
 
 def extract_links(pages: DataFrame, html: str = "html") -> DataFrame:
-    """A row for each link of each page: page_id, ordinal, href."""
-    return pages.select("page_id", F.posexplode(F.regexp_extract_all(html, F.lit('<a[^>]*href="([^"]*)"'), F.lit(1))).alias("ordinal", "href")).withColumn("ordinal", F.col("ordinal").cast("long"))
+    """A row for each link of each page: page_id, ordinal, href, name (the text of the link, tags taken out and blanks collapsed).
+
+    Tag and attribute names in either case; the address in double quotes, single quotes or none. A link that is not closed has no name.
+    """
+    anchor = r'(?is)(<a\s(?:[^>"\']|"[^"]*"|\'[^\']*\')*?>)((?:(?!</?a[\s>]).)*+)(</a\s*>)?'
+    all_of = lambda k: F.regexp_extract_all(html, F.lit(anchor), F.lit(k))
+    each = pages.select("page_id", F.filter(F.arrays_zip(all_of(1).alias("tag"), all_of(2).alias("inner"), all_of(3).alias("end")), lambda a: a["tag"].rlike(r"(?i)[\s\"']href\s*=")).alias("found"))
+    each = each.select("page_id", F.posexplode("found").alias("ordinal", "a"))
+    value = lambda k: F.regexp_extract("a.tag", r'(?is)[\s"\']href\s*=\s*(?:"([^"]*)"|\'([^\']*)\'|([^\s>"\']+))', k)
+    name = F.trim(F.regexp_replace(F.regexp_replace("a.inner", "(?s)<[^>]*>", ""), r"\s+", " "))
+    return each.select("page_id", F.col("ordinal").cast("long").alias("ordinal"), F.concat(value(1), value(2), value(3)).alias("href"), F.when(F.col("a.end") != "", name).alias("name"))
 
 
 def remap_links(links: DataFrame, plan: DataFrame) -> DataFrame:

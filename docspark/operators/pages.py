@@ -25,11 +25,14 @@ def move_pages(plan: DataFrame, selected: DataFrame, boundary: DataFrame) -> Dat
 
 
 def duplicate_pages(plan: DataFrame, selected: DataFrame) -> DataFrame:
-    """Copies of the selected pages, with ids of their own, after the last of them."""
-    m = _marked(plan, selected)
-    last = F.max(F.when(F.col("sel"), F.col("pos"))).over(Window.partitionBy(WS))
-    m = m.withColumn("last", last)
-    copies = m.where("sel").select(*[(F.concat("page_id", F.lit("-copy")).alias(c) if c == "page_id" else F.col(c)) for c in plan.columns], F.col("last").alias("k1"), F.lit(1).alias("k2"))
+    """Copies of the selected pages after the last of them. The copy of page x is x-copy, or x-copy-2 and so on where the workspace
+    has such pages already."""
+    m = _marked(plan, selected).withColumn("last", F.max(F.when(F.col("sel"), F.col("pos"))).over(Window.partitionBy(WS)))
+    taken = lambda k: F.regexp_extract("page_id", r"^(?s)(.*)-copy(?:-([0-9]{1,9}))?$", k)
+    used = plan.where(F.col("page_id").rlike(r"(?s)-copy(-[0-9]{1,9})?$")).groupBy(WS, taken(1).alias("page_id")).agg(F.max(F.coalesce(F.expr("try_cast(regexp_extract(page_id, '-([0-9]+)$', 1) as bigint)"), F.lit(1))).alias("used"))
+    new_id = F.concat("page_id", F.lit("-copy"), F.coalesce(F.concat(F.lit("-"), (F.col("used") + 1).cast("string")), F.lit("")))
+    copies = m.where("sel").join(used, [WS, "page_id"], "left").withColumn("new_id", new_id)
+    copies = copies.select(*[F.col("new_id" if c == "page_id" else c).alias(c) for c in plan.columns], F.col("last").alias("k1"), F.lit(1).alias("k2"))
     return renumber(m.select(*plan.columns, F.col("pos").alias("k1"), F.lit(0).alias("k2")).unionByName(copies), "k1", "k2", "pos").select(*plan.columns)
 
 
@@ -143,6 +146,19 @@ def plan_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("before")).unionByName(b.exceptAll(a).withColumn("side", F.lit("after")))
 
 
+def overlay_diff(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
+    """Pages whose overlays (workspace, pos, z: their order on the page, and columns; ids are not looked at) differ: workspace, pos and
+    the least z at which they do. Where one side has fewer overlays, that is the first one that it lacks."""
+    content = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+
+    def listed(o: DataFrame, name: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(WS, "pos").orderBy("z")) - 1
+        return o.select(WS, "pos", place.cast("long").alias("place"), content.alias(name))
+
+    j = listed(before, "was").join(listed(after, "now"), [WS, "pos", "place"], "full_outer").where("not (was <=> now)")
+    return j.groupBy(WS, "pos").agg(F.min("place").alias("first_difference"))
+
+
 def authorize(plan: DataFrame, permissions: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """The first denial of each workspace by page order: permissions (source_id and a boolean for each right, null or no row allowing
     it); rules: the rights that the intent needs, with the reason to give, in order."""

@@ -1,71 +1,82 @@
-"""Redaction by rectangles over characters (doc_id, page_index, char_index, text, x, y, width, height)."""
+"""Redaction by rectangles over the characters of pages: PAGE columns and chars, an array of text, x, y, width, height in reading order.
+
+A page's marks come to it as one array and everything is worked out inside the two arrays, so that only results become rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docspark.functions.fold import let, splice
+
 PAGE = ["doc_id", "page_index"]
 
 
-def _meets(x, y, w, h, touching: bool):
-    """Whether the character's box meets the rectangle; touching also counts where asked for."""
-    right, bottom = F.col("x") + F.col("width"), F.col("y") + F.col("height")
+def _meets(c: Column, m: Column, touching: bool = False) -> Column:
+    """Whether the character's box meets the mark; touching also counts where asked for."""
     if touching:
-        return (F.col("x") <= x + w) & (right >= x) & (F.col("y") <= y + h) & (bottom >= y)
-    return (F.col("x") < x + w) & (right > x) & (F.col("y") < y + h) & (bottom > y)
-
+        return (c["x"] <= m["mx"] + m["mw"]) & (c["x"] + c["width"] >= m["mx"]) & (c["y"] <= m["my"] + m["mh"]) & (c["y"] + c["height"] >= m["my"])
+    return (c["x"] < m["mx"] + m["mw"]) & (c["x"] + c["width"] > m["mx"]) & (c["y"] < m["my"] + m["mh"]) & (c["y"] + c["height"] > m["my"])
 
-def mark_glyphs(chars: DataFrame, marks: DataFrame, touching: bool = False) -> DataFrame:
-    """Characters that a mark (page, mx, my, mw, mh) meets; chars has one row for each page and char_index.
 
-    A page's marks come as one array, so each character is looked at once and the join's partitioning serves the ranges too.
-    """
+def _marked(pages: DataFrame, marks: DataFrame, touching: bool) -> DataFrame:
+    """Pages with marks, and hits: the sorted places of the characters that a mark meets."""
     per_page = marks.groupBy(*PAGE).agg(F.collect_list(F.struct("mx", "my", "mw", "mh")).alias("marks"))
-    hit = F.exists("marks", lambda m: _meets(m["mx"], m["my"], m["mw"], m["mh"], touching))
-    return chars.join(per_page, PAGE).where(hit).select(*PAGE, "char_index", "text")
+    j = pages.select(*PAGE, "chars").where(F.size("chars") > 0).join(per_page, PAGE)
+    places = F.sequence(F.lit(0), F.size("chars") - 1)
+    return j.withColumn("hits", F.filter(places, lambda i: F.exists("marks", lambda m: _meets(F.get("chars", i), m, touching))))
+
+
+def mark_glyphs(pages: DataFrame, marks: DataFrame, touching: bool = False) -> DataFrame:
+    """Characters that a mark (page, mx, my, mw, mh) meets: page, char_index, text."""
+    hit = _marked(pages, marks, touching).select(*PAGE, F.explode(F.transform("hits", lambda i: F.struct(i.cast("long").alias("char_index"), F.get("chars", i)["text"].alias("text")))).alias("h"))
+    return hit.select(*PAGE, "h.*")
 
 
-def missed_marks(chars: DataFrame, marks: DataFrame) -> DataFrame:
+def missed_marks(pages: DataFrame, marks: DataFrame) -> DataFrame:
     """Marks (page, mark_id, mx, my, mw, mh) that meet no character; a page with such a mark is not to be redacted."""
-    met = chars.join(marks, PAGE).where(_meets(F.col("mx"), F.col("my"), F.col("mw"), F.col("mh"), False)).select(*PAGE, "mark_id").distinct()
-    return marks.join(met, [*PAGE, "mark_id"], "left_anti")
+    per_page = marks.groupBy(*PAGE).agg(F.collect_list(F.struct("mark_id", "mx", "my", "mw", "mh")).alias("marks"))
+    j = per_page.join(pages.select(*PAGE, "chars"), PAGE, "left")
+    missed = F.filter("marks", lambda m: ~F.coalesce(F.exists("chars", lambda c: _meets(c, m)), F.lit(False)))
+    return j.select(*PAGE, F.explode(missed).alias("m")).select(*PAGE, "m.*")
+
+
+def mark_ranges(pages: DataFrame, marks: DataFrame, touching: bool = False, bridge_spaces: bool = True) -> DataFrame:
+    """Ranges of characters that marks meet: page, start, stop. Neighbouring hits are one range and, with bridge_spaces, so are hits
+    between which there are only spaces; spaces before the first hit and behind the last one are left alone."""
+
+    def apart(hits: Column, k: Column) -> Column:
+        """Whether a range ends before the k-th hit."""
+        p, q = F.get(hits, k - 1), F.get(hits, k)
+        between = F.forall(F.slice("chars", p + 2, q - p - 1), lambda c: c["text"] == " ") if bridge_spaces else q == p + 1
+        return ~F.coalesce(between, F.lit(False))
+
+    cuts = lambda hits: F.filter(F.sequence(F.lit(0), F.size(hits)), lambda k: (k == 0) | (k == F.size(hits)) | apart(hits, k))
+    ends = lambda hits, at: F.transform(F.sequence(F.lit(0), F.size(at) - 2), lambda i: F.struct(F.get(hits, F.get(at, i)).cast("long").alias("start"), (F.get(hits, F.get(at, i + 1) - 1) + 1).cast("long").alias("stop")))
+    hit = _marked(pages, marks, touching).where(F.size("hits") > 0)
+    return hit.select(*PAGE, F.explode(let(cuts(F.col("hits")), lambda at: ends(F.col("hits"), at))).alias("r")).select(*PAGE, "r.*")
 
 
-def mark_ranges(hits: DataFrame) -> DataFrame:
-    """Runs of neighbouring hit characters: page, start, stop."""
-    by = Window.partitionBy(*PAGE).orderBy("char_index")
-    g = hits.withColumn("island", F.col("char_index") - F.row_number().over(by))
-    return g.groupBy(*PAGE, "island").agg(F.min("char_index").alias("start"), (F.max("char_index") + 1).alias("stop")).drop("island")
+def area_ranges(pages: DataFrame, marks: DataFrame) -> DataFrame:
+    """mark_ranges where touching a mark counts, spaces are not bridged and marks may meet nothing."""
+    return mark_ranges(pages, marks, touching=True, bridge_spaces=False)
 
 
-def area_ranges(chars: DataFrame, marks: DataFrame) -> DataFrame:
-    """mark_ranges where touching a mark counts."""
-    return mark_ranges(mark_glyphs(chars, marks, touching=True))
+def _spans(ranges: DataFrame) -> DataFrame:
+    return ranges.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
 def apply_redaction(pages: DataFrame, ranges: DataFrame) -> DataFrame:
     """pages (page, text) without the characters in ranges, how many went, and how many ranges (blocks of text) were met."""
-    spans = ranges.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    left = F.aggregate(
-        "spans",
-        F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda acc, m: F.struct(F.concat(acc["out"], F.substring("text", (acc["at"] + 1).cast("int"), (m["start"] - acc["at"]).cast("int"))).alias("out"), m["stop"].alias("at")),
-        lambda acc: F.concat(acc["out"], F.substring("text", (acc["at"] + 1).cast("int"), F.length("text"))),
-    )
-    j = pages.join(spans, PAGE, "left").withColumn("redacted", F.when(F.col("spans").isNull(), F.col("text")).otherwise(left))
+    j = pages.join(_spans(ranges), PAGE, "left")
+    j = j.withColumn("redacted", F.when(F.col("spans").isNull(), F.col("text")).otherwise(splice(F.col("text"), F.col("spans"))))
     return j.select(*PAGE, F.col("redacted").alias("text"), (F.length("text") - F.length("redacted")).cast("long").alias("removed"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("affected"))
 
 
 def redaction_audit(before: DataFrame, after: DataFrame, ranges: DataFrame) -> DataFrame:
     """Per page: whether after has, by value, what is left of before without the ranges' characters; a page that only one has is not exact."""
-    spans = ranges.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    kept = F.aggregate(
-        F.coalesce("spans", F.array().cast("array<struct<start: bigint, stop: bigint>>")),
-        F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("bigint").alias("at")),
-        lambda acc, m: F.struct(F.array_append(acc["parts"], F.substring("text", (acc["at"] + 1).cast("int"), F.greatest(m["start"] - acc["at"], F.lit(0)).cast("int"))).alias("parts"), F.greatest(acc["at"], m["stop"]).alias("at")),
-        lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring("text", (acc["at"] + 1).cast("int"), F.length("text"))),
-    )
-    want = before.join(spans, PAGE, "left").select(*PAGE, kept.alias("want"), F.lit(True).alias("was"))
+    kept = F.when(F.col("spans").isNull(), F.col("text")).otherwise(splice(F.col("text"), F.col("spans")))
+    want = before.join(_spans(ranges), PAGE, "left").select(*PAGE, kept.alias("want"), F.lit(True).alias("was"))
     j = want.join(after.select(*PAGE, "text", F.lit(True).alias("still")), PAGE, "full_outer")
     return j.select(*PAGE, (F.col("was").isNotNull() & F.col("still").isNotNull() & F.col("want").eqNullSafe(F.col("text"))).alias("exact"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspark.functions.fold import splice
+
 
 def interval_overlaps(ranges: DataFrame, keys: list[str]) -> DataFrame:
     """ranges with overlaps: whether the interval meets another of its group."""
@@ -14,19 +16,46 @@ def interval_overlaps(ranges: DataFrame, keys: list[str]) -> DataFrame:
     return ranges.withColumn("overlaps", F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False)))
 
 
-def match_ownership(matches: DataFrame, runs: DataFrame, key: str = "doc_id", bucket: int = 256) -> DataFrame:
-    """Each match with the run that holds it and, if it cannot be edited, why: Unmapped, CrossObject or Ineligible in that order.
+def match_ownership(matches: DataFrame, spans: DataFrame, key: str = "doc_id", bucket: int = 256) -> DataFrame:
+    """Each match (key, start, stop) with the run and the part of its text that hold it (run, source_start, source_stop; null if they
+    are not one), and blocker, why it cannot be edited.
+
+    spans: key, char_start, char_stop, run, source_start, valid, supported: a stretch of the page's characters comes from the run's
+    text from source_start on; valid: the characters are those of the run there; characters without a span belong to no run.
+    Blockers, in this order: InvalidMapping (a span is not valid), CrossObject (several runs), Unmapped (a character of no run),
+    OverlappingSource (some of the run's text is shown by several characters of the page), InvalidMapping (the characters do not follow one
+    another in the run), Ineligible (the run is not supported).
 
-    runs: key, run, run_start, run_stop, supported. The join is on stretches of `bucket` characters, so that in a long text
-    only runs near a match meet it.
+    The join is on stretches of `bucket` characters, so that in a long text only spans near a match meet it.
     """
     stretch = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.greatest(F.col(a), F.col(b) - 1) / bucket)))
-    m = matches.select(key, "start", "stop").distinct().withColumn("at", stretch("start", "stop"))
-    r = runs.select(F.col(key).alias("run_key"), "run", "run_start", "run_stop", "supported").withColumn("run_at", stretch("run_start", "run_stop"))
-    j = m.join(r, (F.col(key) == F.col("run_key")) & (F.col("at") == F.col("run_at")) & (F.col("start") < F.col("run_stop")) & (F.col("stop") > F.col("run_start")), "left")
-    g = j.groupBy(key, "start", "stop").agg(F.count_distinct("run").alias("n_runs"), F.min("run").alias("run"), F.coalesce(F.bool_and("supported"), F.lit(False)).alias("supported"))
-    reason = F.when(F.col("n_runs") == 0, "Unmapped").when(F.col("n_runs") > 1, "CrossObject").when(~F.col("supported"), "Ineligible")
-    return g.withColumn("blocker", reason)
+    spans = spans.where("char_start < char_stop").select(key, "char_start", "char_stop", "run", "source_start", "valid", "supported")
+    # a sweep over each run's text: +1 where a span begins, -1 where it ends; the pieces with a depth of two or more are shown twice
+    stop = (F.col("source_start") + F.col("char_stop") - F.col("char_start")).alias("at")
+    edges = spans.select(key, "run", F.col("source_start").alias("at"), F.lit(1).alias("by")).unionByName(spans.select(key, "run", stop, F.lit(-1).alias("by")))
+    along = Window.partitionBy(key, "run").orderBy("at")
+    depth = edges.groupBy(key, "run", "at").agg(F.sum("by").alias("by")).withColumn("depth", F.sum("by").over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("to", F.lead("at").over(along))
+    twice = depth.where("depth > 1").groupBy(key, "run").agg(F.collect_list(F.struct("at", "to")).alias("twice"))
+    spans = spans.join(twice, [key, "run"], "left")
+    m = matches.select(key, "start", "stop").distinct().withColumn("near", stretch("start", "stop"))
+    r = spans.withColumnRenamed(key, "span_key").withColumn("span_near", stretch("char_start", "char_stop"))
+    meets = (F.col(key) == F.col("span_key")) & (F.col("near") == F.col("span_near")) & (F.col("start") < F.col("char_stop")) & (F.col("stop") > F.col("char_start"))
+    first, last = F.greatest("start", "char_start"), F.least("stop", "char_stop")
+    j = m.join(r, meets, "left").withColumn("shift", F.col("source_start") - F.col("char_start")).withColumn("low", first + F.col("shift")).withColumn("high", last + F.col("shift"))
+    j = j.withColumn("shown_twice", F.exists("twice", lambda t: (t["at"] < F.col("high")) & (t["to"] > F.col("low"))))
+    # a match and a span may meet in several stretches: once each
+    once = j.groupBy(key, "start", "stop", "char_start").agg(*[F.first(c).alias(c) for c in ("run", "shift", "low", "high", "valid", "supported", "shown_twice")])
+    g = once.groupBy(key, "start", "stop").agg(
+        F.count_distinct("run").alias("n_runs"), F.min("run").alias("run"), F.sum(F.col("high") - F.col("low")).alias("held"), F.min("shift").alias("least"), F.max("shift").alias("most"), F.min("low").alias("low"),
+        F.bool_or(~F.col("valid")).alias("wrong"), F.bool_or("shown_twice").alias("twice"), F.bool_and("supported").alias("supported"),
+    )
+    reason = (
+        F.when(F.col("wrong"), "InvalidMapping").when(F.col("n_runs") > 1, "CrossObject").when((F.col("n_runs") == 0) | (F.col("held") < F.col("stop") - F.col("start")), "Unmapped").when(F.col("twice"), "OverlappingSource")
+        .when(F.col("least") != F.col("most"), "InvalidMapping").when(~F.col("supported"), "Ineligible")
+    )
+    g = g.withColumn("blocker", reason)
+    known = F.col("blocker").isNull() | (F.col("blocker") == "Ineligible")
+    return g.select(key, "start", "stop", F.when(known, F.col("run")).alias("run"), F.when(known, F.col("low")).alias("source_start"), F.when(known, F.col("low") + F.col("held")).alias("source_stop"), "blocker")
 
 
 def plan_replacement(matches: DataFrame, runs: DataFrame, replacement: str, keys: list[str], text: str = "text", longest: int = 4096, page: str = "doc_id") -> DataFrame:
@@ -37,12 +66,7 @@ def plan_replacement(matches: DataFrame, runs: DataFrame, replacement: str, keys
     edits of a page that has a blocked one.
     """
     chosen = matches.where("selected").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    new = F.aggregate(
-        "spans",
-        F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda acc, m: F.struct(F.concat(acc["out"], F.substring("body", (acc["at"] + 1).cast("int"), (m["start"] - acc["at"]).cast("int")), F.lit(replacement)).alias("out"), m["stop"].alias("at")),
-        lambda acc: F.concat(acc["out"], F.substring("body", (acc["at"] + 1).cast("int"), F.length("body"))),
-    )
+    new = splice(F.col("body"), F.col("spans"), replacement)
     j = runs.select(*keys, F.col(text).alias("body")).join(chosen, keys)
     out = j.select(*keys, F.col("body").alias("expected_text"), new.alias("new_text"), F.size("spans").cast("long").alias("n_matches"))
     same = F.col("new_text") == F.col("expected_text")
@@ -53,14 +77,18 @@ def plan_replacement(matches: DataFrame, runs: DataFrame, replacement: str, keys
 
 def plan_document_replacement(edits: DataFrame, key: str = "doc_id", page: str = "page_index", max_edits: int = 64, max_pages: int = 32, max_bytes: int = 512 * 1024) -> DataFrame:
     """Per document: edits, selected and blocked matches, pages, bytes (before and after), and the first blocker of
-    SelectedMatchesBlocked, TooManyEdits, TooManyPages and BatchBytes; a blocked document has no edits to apply."""
+    SelectedMatchesBlocked, PageBatchBlocked, TooManyEdits, TooManyPages and BatchBytes; a blocked document has no edits to apply.
+
+    edits may have batch_blocker: why the page's edits cannot be applied together (see validate_batch), null if they can."""
     free = F.col("blocker").isNull()
+    edits = edits if "batch_blocker" in edits.columns else edits.withColumn("batch_blocker", F.lit(None).cast("string"))
     g = edits.groupBy(key).agg(
         F.count(F.when(free, 1)).alias("n_edits"), F.sum("n_matches").alias("n_matches"), F.coalesce(F.sum(F.when(~free, F.col("n_matches"))), F.lit(0)).cast("long").alias("n_blocked"),
         F.count_distinct(F.when(free, F.col(page))).alias("n_pages"), F.coalesce(F.sum(F.when(free, F.octet_length("expected_text") + F.octet_length("new_text"))), F.lit(0)).cast("long").alias("n_bytes"),
+        F.count(F.when(free, F.col("batch_blocker"))).alias("batches"),
     )
-    reason = F.when(F.col("n_blocked") > 0, "SelectedMatchesBlocked").when(F.col("n_edits") > max_edits, "TooManyEdits").when(F.col("n_pages") > max_pages, "TooManyPages").when(F.col("n_bytes") > max_bytes, "BatchBytes")
-    return g.withColumn("blocker", reason)
+    reason = F.when(F.col("n_blocked") > 0, "SelectedMatchesBlocked").when(F.col("batches") > 0, "PageBatchBlocked").when(F.col("n_edits") > max_edits, "TooManyEdits").when(F.col("n_pages") > max_pages, "TooManyPages").when(F.col("n_bytes") > max_bytes, "BatchBytes")
+    return g.withColumn("blocker", reason).drop("batches")
 
 
 def apply_edits(runs: DataFrame, edits: DataFrame, keys: list[str], doc: str = "doc_id", text: str = "text") -> DataFrame:

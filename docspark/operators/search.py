@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cache
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.functions.text import BLANKS, collapse_whitespace
+from docspark.functions.fold import let, scan
+from docspark.functions.text import BLANKS, casefold, collapse_whitespace, folds
 
-WORD = r"[\p{L}\p{M}\p{N}\p{Pc}‌‍]"
+WORD = r"[\p{L}\p{M}\p{N}\p{Pc}\u200C\u200D]"
+#: Set between the letters that one character folds to: matches may not begin or end beside it.
+JOINT = "\uFDD0"
 
 
 @dataclass(frozen=True)
@@ -19,52 +23,87 @@ class Options:
     whole_words: bool = False
 
 
-def pattern(query: str, opts: Options = Options()) -> str:
-    """The query as a Java regular expression; folds that expand (ss and such) become alternatives."""
+@cache
+def _spellings() -> dict[str, str]:
+    """For each folded character all characters that fold to it alone, itself among them."""
+    out: dict[str, str] = {}
+    for c, f in folds().items():
+        if len(f) == 1:
+            out[f] = out.get(f, f) + c
+    return out
+
+
+def _quoted(text: str) -> str:
+    return re.sub(r"([^\w])", r"\\\1", text)
+
+
+def _words(query: str) -> list[str]:
     words = [w for w in re.split(f"[{BLANKS}]+", query) if w]
     if not words:
         raise ValueError("the query is blank")
+    return words
+
 
-    def quoted(word: str) -> str:
-        if opts.match_case:
-            return re.sub(r"([^\w])", r"\\\1", word)
-        out, folded = "", word.casefold()
-        i = 0
-        while i < len(folded):
-            if folded[i : i + 2] == "ss":
-                out, i = out + "(?:[sSſ]{2}|[ßẞ])", i + 2
-                continue
-            c = folded[i]
-            same = sorted({c, c.upper() if len(c.upper()) == 1 else c, *{"σ": "ςΣ", "k": "K", "s": "ſ", "å": "Å", "µ": "μ", "μ": "µ"}.get(c, "")})
-            out += "[" + "".join(re.sub(r"([^\w])", r"\\\1", x) for x in same) + "]"
-            i += 1
-        return out
-
-    body = f"[{BLANKS}]+".join(map(quoted, words))
+def expands(query: str, opts: Options = Options()) -> bool:
+    """Whether some character folds to several letters that the folded query holds together."""
+    words = [w.casefold() for w in _words(query)]
+    return not opts.match_case and any(f in w for f in folds().values() if len(f) > 1 for w in words)
+
+
+def pattern(query: str, opts: Options = Options()) -> str:
+    """The query as a Java regular expression over target(text): runs of blanks are alike, whole words end where no word goes on."""
+    words = _words(query)
+    if opts.match_case:
+        body = f"[{BLANKS}]+".join(map(_quoted, words))
+    elif expands(query, opts):
+        letters = [[_quoted(chr(ord(c) + 1) if c == JOINT else c) for c in w.casefold()] for w in words]
+        body = f"(?<!{JOINT}){f'[{BLANKS}]+'.join(f'{JOINT}?'.join(w) for w in letters)}(?!{JOINT})"
+    else:
+        one = lambda c: f"[{''.join(map(_quoted, _spellings()[c]))}]" if c in _spellings() else _quoted(c)
+        body = f"[{BLANKS}]+".join("".join(map(one, w.casefold())) for w in words)
     if opts.whole_words:
         body = f"(?<!{WORD})(?<!{WORD}['’])(?={WORD}){body}(?<={WORD})(?!{WORD})(?!['’]{WORD})"
     return body
 
 
+def target(text: Column, query: str, opts: Options = Options()) -> Column:
+    """What the query's pattern is matched with: the text, or its case folding where a character may fold to several letters."""
+    return casefold(text, JOINT) if expands(query, opts) else text
+
+
 def search_count(pages: DataFrame, query: str, opts: Options = Options(), text: str = "text") -> DataFrame:
-    """pages with n_matches and has_text."""
-    return pages.withColumn("n_matches", F.regexp_count(F.col(text), F.lit(pattern(query, opts))).cast("long")).withColumn("has_text", F.length(collapse_whitespace(F.col(text))) > 0)
+    """pages with n_matches and has_text. Letters match by full case folding: ß and ss, the ligature and fi are alike, but a match
+    never takes a part of what one character folds to."""
+    found = F.regexp_count(target(F.col(text), query, opts), F.lit(pattern(query, opts)))
+    return pages.withColumn("n_matches", found.cast("long")).withColumn("has_text", F.length(collapse_whitespace(F.col(text))) > 0)
 
 
-def search_matches(pages: DataFrame, query: str, opts: Options = Options(), text: str = "text", edges: str = "") -> DataFrame:
-    """One row per match that does not overlap an earlier one: the page's other columns, ordinal, start, stop (code points), matched."""
-    body = f"{edges}{pattern(query, opts)}{edges}"
-    found, gaps = F.regexp_extract_all(F.col(text), F.lit(f"({body})"), F.lit(1)), F.split(F.col(text), body, -1)
+def search_matches(pages: DataFrame, query: str, opts: Options = Options(), text: str = "text") -> DataFrame:
+    """One row per match that does not overlap an earlier one: the page's other columns, ordinal, start, stop (code points of the text
+    as it is), matched. Matches as in search_count; linear in the text and in the number of matches."""
+    return _rows(pages, pattern(query, opts), text, target(F.col(text), query, opts) if expands(query, opts) else None)
+
+
+def _rows(pages: DataFrame, body: str, text: str, folded: Column | None = None) -> DataFrame:
+    """A row for each match of a pattern in the text, or in its folding with joints."""
     keys = [c for c in pages.columns if c != text]
-    rows = pages.select(*keys, found.alias("found"), gaps.alias("gaps")).where(F.size("found") > 0)
-    starts = F.aggregate(
-        F.sequence(F.lit(1), F.size("found")),
-        F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("n")),
-        lambda acc, k: F.struct(F.concat(acc["at"], F.array(acc["n"] + F.length(F.element_at("gaps", k)))).alias("at"), (acc["n"] + F.length(F.element_at("gaps", k)) + F.length(F.element_at("found", k))).alias("n")),
-        lambda acc: acc["at"],
-    )
-    rows = rows.select(*keys, F.posexplode(F.arrays_zip(starts.alias("start"), F.col("found").alias("matched"))).alias("ordinal", "m"))
-    return rows.select(*keys, F.col("ordinal").cast("long").alias("ordinal"), F.col("m.start").cast("long").alias("start"), (F.col("m.start") + F.length("m.matched")).cast("long").alias("stop"), F.col("m.matched").alias("matched"))
+    rows = pages.select(*keys, *([F.col(text).alias("_text")] if folded is not None else []), (F.col(text) if folded is None else folded).alias("_in"))
+    rows = rows.withColumn("_found", F.regexp_extract_all("_in", F.lit(f"({body})"), F.lit(1))).where(F.size("_found") > 0)
+    # a character that folds to k letters has k - 1 joints beside them: two characters too many for each joint
+    length = F.length if folded is None else lambda c: 2 * F.length(F.replace(c, F.lit(JOINT), F.lit(""))) - F.length(c)
+    steps = F.arrays_zip(F.transform(F.split("_in", body, -1), length).alias("gap"), F.transform("_found", length).alias("taken"))
+    go = lambda at, x: let(at + x["gap"], lambda b: F.struct((b + x["taken"]).alias("s"), F.struct(b.alias("start"), (b + x["taken"]).alias("stop")).alias("o")))
+    spans = scan(F.slice(steps, F.lit(1), F.size("_found")), F.lit(0), go, "struct<start: int, stop: int>")
+    if folded is None:
+        return _exploded(rows, keys, F.arrays_zip(spans.alias("at"), F.col("_found").alias("matched")))
+    # the folded match is not what stands in the text
+    shown = lambda letters: F.transform(spans, lambda m: F.struct(m.alias("at"), F.array_join(F.slice(letters, m["start"] + 1, m["stop"] - m["start"]), "").alias("matched")))
+    return _exploded(rows, keys, let(F.split("_text", ""), shown))
+
+
+def _exploded(rows: DataFrame, keys: list[str], found: Column) -> DataFrame:
+    rows = rows.select(*keys, F.posexplode(found).alias("ordinal", "m"))
+    return rows.select(*keys, F.col("ordinal").cast("long").alias("ordinal"), F.col("m.at.start").cast("long").alias("start"), F.col("m.at.stop").cast("long").alias("stop"), F.col("m.matched").alias("matched"))
 
 
 def search_whole_word(pages: DataFrame, query: str, match_case: bool = False, text: str = "text") -> DataFrame:
@@ -128,14 +167,107 @@ def search_restricted(matches: DataFrame, permissions: DataFrame, key: str = "do
     return matches.join(p, key, "left").withColumn("matched", F.when(F.coalesce("may_copy", F.lit(True)), F.col("matched"))).drop("may_copy")
 
 
-def match_rects(matches: DataFrame, keys: list[str], line_starts: DataFrame, cell_w: float = 6.0, cell_h: float = 12.0) -> DataFrame:
-    """Rectangles of matches on a monospaced grid: one for each line that a match touches (line_starts: keys, line, begin, end)."""
-    j = matches.join(line_starts, keys).where((F.col("start") < F.col("line_stop")) & (F.col("stop") > F.col("line_start")))
-    left = F.greatest("start", "line_start") - F.col("line_start")
-    width = F.least("stop", "line_stop") - F.greatest("start", "line_start")
-    return j.select(*keys, "ordinal", "line", (left * cell_w).alias("x"), (F.col("line") * cell_h).alias("y"), (width * cell_w).alias("width"), F.lit(cell_h).alias("height"))
+def match_rects(matches: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """The rectangles that cover each match: keys, ordinal, line (from 0), x, y, width, height.
+
+    boxes: keys, chars (the page's characters in order, an array of text, x, y, width, height) and vertical (whether lines run down
+    the page, as on one turned by 90 or 270 degrees). A character joins the rectangle before it if they share at least half of
+    the thinner one's thickness and lie no farther apart than that; the rectangle is the one grown so far, not the last
+    character. Blank characters and boxes without an area or with infinite edges are passed over.
+    """
+    number = "double"
+    box = lambda c: F.struct(c["text"].alias("text"), *[c[k].cast(number).alias(a) for a, k in (("x", "x"), ("y", "y"), ("w", "width"), ("h", "height"))])
+    finite = lambda v: ~F.isnan(v) & (F.abs(v) < float("inf"))
+    solid = lambda c: (F.length(collapse_whitespace(c["text"])) > 0) & (c["w"] > 0) & (c["h"] > 0) & finite(c["x"]) & finite(c["y"]) & finite(c["w"]) & finite(c["h"])
+    j = matches.join(boxes.select(*keys, "chars", F.coalesce("vertical", F.lit(False)).alias("vertical")), keys)
+    taken = F.filter(F.transform(F.slice("chars", (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")), box), solid)
+    names = ("line", "x0", "y0", "x1", "y1")
+    kind = f"struct<line: int, {', '.join(f'{n}: {number}' for n in names[1:])}>"
+
+    def grown(r: Column, c: Column) -> Column:
+        right, below = c["x"] + c["w"], c["y"] + c["h"]
+        across, along = F.least(r["x1"], right) - F.greatest(r["x0"], c["x"]), F.least(r["y1"], below) - F.greatest(r["y0"], c["y"])
+        shared, apart = F.when(F.col("vertical"), across).otherwise(along), -F.when(F.col("vertical"), along).otherwise(across)
+        thick = F.when(F.col("vertical"), F.least(r["x1"] - r["x0"], c["w"])).otherwise(F.least(r["y1"] - r["y0"], c["h"]))
+        joins = F.coalesce((r["line"] >= 0) & (shared >= thick * 0.5) & (F.greatest(apart, F.lit(0.0)) <= thick), F.lit(False))
+
+        def state(on: Column) -> Column:
+            edges = [F.when(on, F.least(r["x0"], c["x"])).otherwise(c["x"]), F.when(on, F.least(r["y0"], c["y"])).otherwise(c["y"]), F.when(on, F.greatest(r["x1"], right)).otherwise(right), F.when(on, F.greatest(r["y1"], below)).otherwise(below)]
+            return F.struct(*[v.alias(n) for n, v in zip(names, [r["line"] + F.when(on, 0).otherwise(1), *edges])])
+
+        return let(let(joins, state), lambda v: F.struct(v.alias("s"), v.alias("o")))
+
+    start = F.struct(F.lit(-1).alias("line"), *[F.lit(None).cast(number).alias(n) for n in names[1:]])
+    last = lambda states: F.filter(states, lambda v, i: F.coalesce(F.get(states, i + 1)["line"] != v["line"], F.lit(True)))
+    rects = j.select(*keys, "ordinal", F.explode(let(scan(taken, start, grown, kind), last)).alias("r"))
+    return rects.select(*keys, "ordinal", "r.line", F.col("r.x0").alias("x"), F.col("r.y0").alias("y"), (F.col("r.x1") - F.col("r.x0")).alias("width"), (F.col("r.y1") - F.col("r.y0")).alias("height"))
+
+
+#: Classes of the default rules for word boundaries (marks and format characters go with the character before them).
+WITH = r"[\p{M}\u200C\u200D\p{Cf}&&[^\u200B]]*"
+ALONE = r"[\p{IsHan}\p{IsHiragana}]"
+KATAKANA = r"[\p{IsKatakana}\u3031-\u3035\u309B\u309C\u30A0\u30FC\uFF70]"
+LETTER = rf"[\p{{IsAlphabetic}}&&[^\p{{M}}\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\u30FC\uFF70\p{{IsThai}}\p{{IsLao}}\p{{IsKhmer}}\p{{IsMyanmar}}]]"
+MID_LETTER = r"[.:'·‘’․‧︓﹒﹕＇．：\u0387\u05F4]"
+MID_NUMBER = r"[.,;'‘’․⁄﹐﹒﹔＇，．；\u037E\u0589\u060C\u060D\u066C\u07F8\uFE10\uFE14]"
+JOINS = r"[\p{Pc}\u202F]"
+_RUN = rf"(?:(?:{LETTER}{WITH}(?:{MID_LETTER}{WITH}(?={LETTER}))?|\p{{Nd}}{WITH}(?:{MID_NUMBER}{WITH}(?=\p{{Nd}}))?)+|(?:{KATAKANA}{WITH})+)"
+WORD_SEGMENT = rf"(?:{JOINS}{WITH})*{_RUN}(?:(?:{JOINS}{WITH})+{_RUN})*(?:{JOINS}{WITH})*|{ALONE}{WITH}|[\p{{IsThai}}\p{{IsLao}}\p{{IsKhmer}}\p{{IsMyanmar}}]+"
+
+
+@cache
+def _simple_spellings() -> dict[str, str]:
+    """For each character all characters of the same simple case folding, which never changes a text's length."""
+    simple = {c: (f if len(f) == 1 else c.lower()) for c, f in folds().items()}
+    groups: dict[str, str] = {}
+    for c, f in simple.items():
+        if len(f) == 1 and f != c:
+            groups[f] = groups.get(f, f) + c
+    return {c: g for g in groups.values() for c in g}
 
 
 def find_in_paragraph(paragraphs: DataFrame, query: str, opts: Options = Options(), text: str = "text") -> DataFrame:
-    """search_matches whose ends do not cut a letter from its marks or a joined sequence; Hangul parts and flags are not looked at."""
-    return search_matches(paragraphs, query, opts, text, edges=r"(?![\p{M}\x{200D}])(?<!\x{200D})")
+    """Places of a literal query, blanks and line breaks as they are: paragraph columns, ordinal, start, stop, matched.
+
+    A match may not cut a grapheme cluster (marks, Hangul syllables, pairs of flag letters, joined emoji); letters are alike by
+    simple case folding. With whole_words it begins where a word begins and ends where one ends, by the default rules for word
+    boundaries (a Han or Hiragana character is a word of its own, there is no dictionary). Only accepted matches are passed
+    over whole, so a refused one does not hide a later one that overlaps it. CR LF and CR in the query count as LF.
+    """
+    query = re.sub("\r\n?", "\n", query)
+    if not query:
+        raise ValueError("the query is empty")
+    same = {} if opts.match_case else _simple_spellings()
+    body = "".join(f"[{''.join(map(_quoted, same[c]))}]" if c in same else _quoted(c) for c in query)
+    keys = [c for c in paragraphs.columns if c != text]
+    found = F.regexp_extract_all(text, F.lit(f"(?=({body}))"), F.lit(1))  # at every place, overlapping ones too
+    before = F.transform(F.split(text, f"(?={body})", -1), F.length)
+    rows = paragraphs.select(*keys, F.col(text).alias("_in"), found.alias("_found"), before.alias("_before")).where(F.size("_found") > 0)
+    # one character a place: | where a cluster, or a word, begins or ends; null where every place is an edge of a cluster
+    dots = lambda n: F.repeat(F.lit("."), n)
+    drawn = lambda parts, draw: F.array_join(F.transform(parts, draw), "").cast("binary")
+    clusters = F.concat(drawn(F.regexp_extract_all("_in", F.lit(r"(\X)"), F.lit(1)), lambda c: F.concat(F.lit("|"), dots(F.length(c) - 1))), F.lit(b"|"))
+    rows = rows.withColumn("_edges", F.when(~F.col("_in").rlike(r"^[\x00-\x0C\x0E-\xAC\xAE-\u02FF]*+$"), clusters))
+    if opts.whole_words:
+        rows = rows.withColumn("_words", F.regexp_extract_all("_in", F.lit(f"(?s)({WORD_SEGMENT}|.)"), F.lit(1)))
+        is_word = lambda w: w.rlike(f"{LETTER}|\\p{{Nd}}|{KATAKANA}|{ALONE}|[\\p{{IsThai}}\\p{{IsLao}}\\p{{IsKhmer}}\\p{{IsMyanmar}}]")
+        begin = drawn(F.col("_words"), lambda w: F.when(is_word(w), F.concat(F.lit("|"), dots(F.length(w) - 1))).otherwise(dots(F.length(w))))
+        end = drawn(F.col("_words"), lambda w: F.when(is_word(w), F.concat(dots(F.length(w) - 1), F.lit("|"))).otherwise(dots(F.length(w))))
+        rows = rows.select(*keys, "_found", "_before", "_edges", begin.alias("_begin"), F.concat(F.lit(b"."), end).alias("_end"))
+    # the pieces before the places: none is cut off in front of a match at the very beginning
+    gaps = F.when(F.size("_before") > F.size("_found"), F.slice("_before", F.lit(1), F.size("_found"))).otherwise(F.concat(F.array(F.lit(0)), F.slice("_before", F.lit(1), F.size("_found") - 1)))
+    at = lambda flags, place: F.substring(flags, place + 1, F.lit(1)) == F.lit(b"|")
+
+    def go(s, x):
+        def tried(place):
+            stop = place + F.length(x["m"])
+            taken = (place >= s["free"]) & F.coalesce(at(F.col("_edges"), place) & at(F.col("_edges"), stop), F.lit(True))
+            if opts.whole_words:
+                taken = taken & at(F.col("_begin"), place) & at(F.col("_end"), stop)
+            return let(taken, lambda t: F.struct(F.struct(place.alias("at"), F.when(t, stop).otherwise(s["free"]).alias("free")).alias("s"), F.struct(place.alias("start"), stop.alias("stop"), x["m"].alias("m"), t.alias("taken")).alias("o")))
+
+        return let(s["at"] + x["gap"], tried)
+
+    tries = scan(F.arrays_zip(gaps.alias("gap"), F.col("_found").alias("m")), F.struct(F.lit(0).alias("at"), F.lit(0).alias("free")), go, "struct<start: int, stop: int, m: string, taken: boolean>")
+    rows = rows.select(*keys, F.filter(tries, lambda t: t["taken"]).alias("_taken"))
+    return _exploded(rows, keys, F.transform("_taken", lambda t: F.struct(F.struct(t["start"].alias("start"), t["stop"].alias("stop")).alias("at"), t["m"].alias("matched"))))

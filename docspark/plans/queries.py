@@ -144,6 +144,20 @@ def c2_search_matches(s, d):
     return search.search_matches(B.pages(s, d), "the").drop("matched")
 
 
+SHARP = f"{PAGES}, sharp AS (SELECT doc_id, page_index, text, lower(text) AS t FROM doc_pages), folded AS (SELECT doc_id, page_index, text, regexp_extract_all(t, '[sſ]{{2}}|ß') AS f, string_split_regex(t, '[sſ]{{2}}|ß') AS g FROM sharp)"
+
+
+@query(f"WITH {SHARP} SELECT doc_id, page_index, CAST(len(f) AS BIGINT) AS n_matches, length(trim(text)) > 0 AS has_text FROM folded")
+def c1_search_folded(s, d):
+    return search.search_count(B.pages(s, d), "SS").select("doc_id", "page_index", "n_matches", "has_text")
+
+
+@query(f"""WITH {SHARP}, each AS (SELECT *, unnest(range(1, len(f) + 1)) AS k FROM folded), spots AS (SELECT *, CAST(list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM each)
+    SELECT doc_id, page_index, CAST(k - 1 AS BIGINT) AS ordinal, start, start + length(f[k]) AS stop, substr(text, CAST(start + 1 AS INT), CAST(length(f[k]) AS INT)) AS matched FROM spots""")
+def c2_search_folded(s, d):
+    return search.search_matches(B.pages(s, d), "ß")
+
+
 @query(f"""WITH {PAGES}, {THE}, sides AS (SELECT doc_id, page_index, right(substr(text, 1, CAST(start AS INT)), 1) AS l1, CASE WHEN start > 1 THEN substr(text, CAST(start - 1 AS INT), 1) ELSE '' END AS l2, substr(text, CAST(start + 4 AS INT), 1) AS r1, substr(text, CAST(start + 5 AS INT), 1) AS r2 FROM matches JOIN doc_pages USING (doc_id, page_index)),
     joined AS (SELECT doc_id, page_index, {WORDY.format(c='l1')} OR l1 IN (chr(39), chr(8217)) AND {WORDY.format(c='l2')} OR {WORDY.format(c='r1')} OR r1 IN (chr(39), chr(8217)) AND {WORDY.format(c='r2')} AS inside FROM sides)
     SELECT doc_id, page_index, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, length(trim(text)) > 0 AS has_text FROM doc_pages LEFT JOIN (SELECT doc_id, page_index, count(*) AS n FROM joined WHERE NOT inside GROUP BY 1, 2) USING (doc_id, page_index)""")
@@ -203,9 +217,10 @@ def _edits(s, d):
 
 @query(f"""WITH {PLANNED}, g AS (SELECT doc_id, count(*) FILTER (WHERE blocker IS NULL) AS n_edits, CAST(sum(n_matches) AS BIGINT) AS n_matches, CAST(coalesce(sum(n_matches) FILTER (WHERE blocker IS NOT NULL), 0) AS BIGINT) AS n_blocked,
         count(DISTINCT line_no // 4) FILTER (WHERE blocker IS NULL) AS n_pages, CAST(coalesce(sum(strlen(expected_text) + strlen(new_text)) FILTER (WHERE blocker IS NULL), 0) AS BIGINT) AS n_bytes FROM planned GROUP BY 1)
-    SELECT *, CASE WHEN n_blocked > 0 THEN 'SelectedMatchesBlocked' WHEN n_edits > 6 THEN 'TooManyEdits' WHEN n_pages > 1 THEN 'TooManyPages' WHEN n_bytes > 300 THEN 'BatchBytes' END AS blocker FROM g""")
+    SELECT *, CASE WHEN n_blocked > 0 THEN 'SelectedMatchesBlocked' WHEN n_edits > 0 AND doc_id % 9 = 4 THEN 'PageBatchBlocked' WHEN n_edits > 6 THEN 'TooManyEdits' WHEN n_pages > 1 THEN 'TooManyPages' WHEN n_bytes > 300 THEN 'BatchBytes' END AS blocker FROM g""")
 def d4_plan_document_replacement(s, d):
-    return replace.plan_document_replacement(_edits(s, d).withColumn("page_index", F.floor(F.col("line_no") / 4)), max_edits=6, max_pages=1, max_bytes=300)
+    edits = _edits(s, d).withColumn("page_index", F.floor(F.col("line_no") / 4)).withColumn("batch_blocker", F.when(F.col("doc_id") % 9 == 4, "prefix"))
+    return replace.plan_document_replacement(edits, max_edits=6, max_pages=1, max_bytes=300)
 
 
 @query(f"""WITH {PAGES}, {THE}, i AS (SELECT doc_id, page_index, start - start % 7 AS start, start + 9 AS stop FROM matches)
@@ -428,12 +443,57 @@ def h3_branch_end(s, d):
     return outline.branch_end(B.outline(s, d)).select("doc_id", "idx", "branch_end")
 
 
-@query(f"""WITH {OUTLINE}, {ENDS}, live AS (SELECT e.*, coalesce(o_orderkey, p_partkey + 1000000000) AS new_target FROM ends e LEFT JOIN orders ON o_orderkey = target AND o_orderstatus <> 'F' LEFT JOIN part ON p_partkey + 1000000000 = target AND p_size > 40)
+@query(f"""WITH {OUTLINE}, {ENDS}, live AS (SELECT e.*, coalesce(o_orderkey, p_partkey + 1000000005) AS new_target FROM ends e LEFT JOIN orders ON o_orderkey = target AND o_orderstatus <> 'F' LEFT JOIN part ON p_partkey + 1000000000 = target AND p_size > 40)
     SELECT doc_id, idx, level, item_id, new_target AS target FROM live l WHERE target IS NULL OR new_target IS NOT NULL OR EXISTS (SELECT 1 FROM live b WHERE b.doc_id = l.doc_id AND b.idx > l.idx AND b.idx < l.branch_end AND b.new_target IS NOT NULL)""")
 def h4_remap_outline(s, d):
+    return outline.remap_outline(B.outline(s, d), _kept_pages(s, d))
+
+
+def _kept_pages(s, d):
     kept = read(s, d, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("target"), F.col("o_orderkey").alias("new_target"))
     lines = (F.col("p_partkey") + 1_000_000_000).cast("long")
-    return outline.remap_outline(B.outline(s, d), kept.union(read(s, d, "part").where("p_size > 40").select(lines, lines)))
+    return kept.union(read(s, d, "part").where("p_size > 40").select(lines, lines + 5))
+
+
+#: Every third item aims by an action, every third one has an action beside its target; further actions follow these.
+ACTED = f"""{OUTLINE}, {ENDS}, aimed AS (SELECT e.*, CASE WHEN target IS NOT NULL AND idx % 3 = 1 THEN NULL ELSE target END AS own, CASE WHEN target IS NOT NULL AND idx % 3 > 0 THEN target END AS act FROM ends e),
+    live AS (SELECT a.*, CASE WHEN target IS NULL THEN NULL WHEN o_orderkey IS NOT NULL THEN o_orderkey ELSE p_partkey + 1000000005 END AS new_target FROM aimed a LEFT JOIN orders ON o_orderkey = target AND o_orderstatus <> 'F' LEFT JOIN part ON p_partkey + 1000000000 = target AND p_size > 40)"""
+
+
+@query(f"""WITH {ACTED} SELECT doc_id, idx, level, item_id, CASE WHEN own IS NOT NULL THEN new_target END AS target,
+        CASE WHEN act IS NULL THEN NULL WHEN idx % 3 = 1 AND new_target IS NULL THEN NULL
+            WHEN idx % 3 = 1 THEN '{{"S":"GoTo","D":[{{"page":' || new_target || '}},"Fit"],"Next":[{{"S":"URI","URI":"x"}},{{"S":"GoTo","D":[{{"page":' || new_target || '}}]}}]}}'
+            WHEN new_target IS NULL THEN '{{"S":"Hide","T":[null,1]}}' ELSE '{{"S":"Hide","T":[{{"page":' || new_target || '}},1],"Next":{{"S":"GoTo","D":[{{"page":' || new_target || '}}]}}}}' END AS action
+    FROM live l WHERE target IS NULL OR new_target IS NOT NULL OR EXISTS (SELECT 1 FROM live b WHERE b.doc_id = l.doc_id AND b.idx > l.idx AND b.idx < l.branch_end AND b.new_target IS NOT NULL)""")
+def h4_remap_actions(s, d):
+    page, k = F.concat(F.lit('{"page":'), F.col("target").cast("string"), F.lit("}")), F.col("idx") % 3
+    jump = F.concat(F.lit('{"S":"GoTo","D":['), page, F.lit(',"Fit"],"Next":[{"S":"URI","URI":"x"},{"S":"GoTo","D":['), page, F.lit(']},{"S":"GoTo","D":[{"page":-7}]}]}'))
+    hide = F.concat(F.lit('{"S":"Hide","T":['), page, F.lit(',1],"Next":{"S":"GoTo","D":['), page, F.lit("]}}"))
+    o = B.outline(s, d).withColumn("action", F.when(k == 1, jump).when(k == 2, hide)).withColumn("target", F.when(k != 1, F.col("target")))
+    return outline.remap_outline(o, _kept_pages(s, d))
+
+
+#: After: the items at idx 3 aim elsewhere, those at the ends of the outlines of odd documents are gone, ids are others.
+PATHS = f"""{OUTLINE}, {ENDS}, up AS (SELECT a.doc_id, a.idx, a.level, a.target, a.branch_end, count(b.idx) AS place FROM ends a LEFT JOIN ends p ON p.doc_id = a.doc_id AND p.level = a.level - 1 AND p.idx < a.idx AND a.idx < p.branch_end
+        LEFT JOIN ends b ON b.doc_id = a.doc_id AND b.level = a.level AND b.idx < a.idx AND (a.level = 0 OR b.idx > p.idx) GROUP BY ALL),
+    paths AS (SELECT a.doc_id, a.idx, a.level, a.target, a.branch_end, string_agg(p.place, '/' ORDER BY p.level) AS path FROM up a JOIN up p ON p.doc_id = a.doc_id AND p.idx <= a.idx AND a.idx < p.branch_end GROUP BY ALL)"""
+
+
+@query(f"""WITH {PATHS}, last AS (SELECT doc_id, max(idx) AS m FROM paths GROUP BY 1) SELECT doc_id, path, unnest(CASE WHEN idx = m AND doc_id % 2 = 1 THEN ['before'] ELSE ['before', 'after'] END) AS side, CASE WHEN idx = m AND doc_id % 2 = 1 THEN 'only' ELSE 'content' END AS change
+    FROM paths JOIN last USING (doc_id) WHERE (idx = m AND doc_id % 2 = 1) OR (idx = 3 AND target IS NOT NULL)""")
+def g15_outline_diff(s, d):
+    o = B.outline(s, d)
+    end = F.max("idx").over(Window.partitionBy("doc_id"))
+    after = o.withColumn("end", end).where("not (idx = end and doc_id % 2 = 1)").drop("end").withColumn("item_id", F.concat(F.lit("new"), "item_id")).withColumn("target", F.when(F.col("idx") == 3, -F.col("target")).otherwise(F.col("target")))
+    return outline.outline_diff(o, after, ["level", "target"])
+
+
+@query(f"WITH {RUNS} SELECT doc_id AS workspace_id, line_no // 4 AS pos, min(line_no % 4) AS first_difference FROM runs WHERE (doc_id % 3 = 1 AND text LIKE '%the%') OR (doc_id % 3 = 2 AND line_no % 4 = 3) GROUP BY 1, 2")
+def g15_overlay_diff(s, d):
+    o = B.runs(s, d).select(F.col("doc_id").alias("workspace_id"), F.floor(F.col("line_no") / 4).alias("pos"), (F.col("line_no") % 4).alias("z"), F.concat_ws("-", "doc_id", "line_no").alias("overlay_id"), "text")
+    k = F.col("workspace_id") % 3
+    after = o.where("not (workspace_id % 3 = 2 and z = 3)").withColumn("overlay_id", F.reverse("overlay_id")).withColumn("text", F.when(k == 1, F.replace("text", F.lit("the"), F.lit("teh"))).otherwise(F.col("text")))
+    return pages.overlay_diff(o, after, ["text"])
 
 
 @query(f"WITH {OUTLINE} SELECT doc_id // 20 AS workspace_id, doc_id, idx, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id, idx) - 1 AS new_idx, idx = 0 AND count(*) FILTER (WHERE idx = 0) OVER (PARTITION BY doc_id // 20) > 1 AS repeats FROM outline")
@@ -463,7 +523,8 @@ def h7_edit_outline(s, d):
     return outline.edit_outline(o, edits)
 
 
-@query("SELECT page_id, CAST(k - 1 AS BIGINT) AS ordinal, h[k] AS href FROM (SELECT page_id, h, unnest(range(1, len(h) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, '<a[^>]*href=\"([^\"]*)\"', 1) AS h FROM pages))")
+@query("""SELECT page_id, CAST(k - 1 AS BIGINT) AS ordinal, regexp_extract(h[k], '(?i)href="([^"]*)"', 1) AS href, trim(regexp_replace(regexp_replace(regexp_extract(h[k], '(?is)^<a\\s[^>]*>(.*)</a>$', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS name
+    FROM (SELECT page_id, h, unnest(range(1, len(h) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\\s[^>]*href="[^"]*"[^>]*>.*?</a>') AS h FROM pages))""")
 def h8_extract_links(s, d):
     return outline.extract_links(read(s, d, "pages"))
 
@@ -572,48 +633,61 @@ def i13_metadata_of_composition(s, d):
 
 
 CHARS = f"{RUNS}, chars AS (SELECT doc_id, line_no AS page_index, CAST(i AS BIGINT) AS char_index, substr(text, i + 1, 1) AS text, i * 6 AS x FROM (SELECT *, CAST(unnest(range(0, length(text))) AS INT) AS i FROM runs))"
-HIT = "hits AS (SELECT * FROM chars WHERE (x < 90 AND x + 6 > 50) OR (x < 300 AND x + 6 > 207))"
+HIT = "hits AS (SELECT * FROM chars WHERE (x < 90 AND x + 6 > 50) OR (x < 114 AND x + 6 > 97) OR (x < 300 AND x + 6 > 207))"
+
+
+def _page_chars(s, d):
+    box = lambda c, i: F.struct(c.alias("text"), (i * 6).alias("x"), F.lit(0).alias("y"), F.lit(6).alias("width"), F.lit(12).alias("height"))
+    r = B.runs(s, d).where(F.length("text") > 0)
+    return r.select("doc_id", F.col("line_no").alias("page_index"), F.transform(F.split("text", ""), box).alias("chars"))
 
 
 def _chars(s, d):
-    r = B.runs(s, d)
-    c = r.select("doc_id", F.col("line_no").alias("page_index"), F.posexplode(F.split("text", "")).alias("char_index", "text")).where(F.length("text") > 0)
-    return c.select("doc_id", "page_index", F.col("char_index").cast("long").alias("char_index"), "text", (F.col("char_index") * 6).alias("x"), F.lit(0).alias("y"), F.lit(6).alias("width"), F.lit(12).alias("height"))
+    c = _page_chars(s, d).select("doc_id", "page_index", F.posexplode("chars").alias("char_index", "c"))
+    return c.select("doc_id", "page_index", F.col("char_index").cast("long").alias("char_index"), "c.*")
 
 
 def _marks(s, d):
     r = B.runs(s, d).select("doc_id", F.col("line_no").alias("page_index"))
-    return r.select("*", F.explode(F.array(*[F.struct(F.lit(a).alias("mx"), F.lit(2).alias("my"), F.lit(w).alias("mw"), F.lit(5).alias("mh")) for a, w in ((50, 40), (207, 93))])).alias("m")).select("doc_id", "page_index", "m.*")
+    return r.select("*", F.explode(F.array(*[F.struct(F.lit(a).alias("mx"), F.lit(2).alias("my"), F.lit(w).alias("mw"), F.lit(5).alias("mh")) for a, w in ((50, 40), (97, 17), (207, 93))])).alias("m")).select("doc_id", "page_index", "m.*")
 
 
 def _ranges(s, d):
-    return redact.mark_ranges(redact.mark_glyphs(_chars(s, d), _marks(s, d)))
+    return redact.mark_ranges(_page_chars(s, d), _marks(s, d))
 
 
 @query(f"WITH {CHARS}, {HIT} SELECT doc_id, page_index, char_index, text FROM hits")
 def j1_mark_glyphs(s, d):
-    return redact.mark_glyphs(_chars(s, d), _marks(s, d))
+    return redact.mark_glyphs(_page_chars(s, d), _marks(s, d))
 
 
 RANGES = "ranges AS (SELECT doc_id, page_index, min(char_index) AS start, max(char_index) + 1 AS stop FROM (SELECT *, char_index - row_number() OVER (PARTITION BY doc_id, page_index ORDER BY char_index) AS g FROM hits) GROUP BY doc_id, page_index, g)"
 
 
-@query(f"WITH {CHARS}, {HIT}, {RANGES} SELECT * FROM ranges")
+#: Hits with only spaces between them are one range.
+BRIDGED = """near AS (SELECT h.doc_id, h.page_index, char_index, coalesce(trim(substr(r.text, CAST(lag(char_index) OVER w + 2 AS INT), CAST(char_index - lag(char_index) OVER w - 1 AS INT)), ' ') <> '', true) AS new
+        FROM hits h JOIN runs r ON r.doc_id = h.doc_id AND r.line_no = h.page_index WINDOW w AS (PARTITION BY h.doc_id, h.page_index ORDER BY char_index)),
+    ranges AS (SELECT doc_id, page_index, min(char_index) AS start, max(char_index) + 1 AS stop FROM (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id, page_index ORDER BY char_index) AS g FROM near) GROUP BY doc_id, page_index, g),
+    kept AS (SELECT doc_id, page_index, string_agg(text, '' ORDER BY char_index) AS t FROM chars c WHERE NOT EXISTS (SELECT 1 FROM ranges g WHERE g.doc_id = c.doc_id AND g.page_index = c.page_index AND char_index >= start AND char_index < stop) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {CHARS}, {HIT}, {BRIDGED} SELECT * FROM ranges")
 def j2_mark_ranges(s, d):
     return _ranges(s, d)
 
 
-@query(f"WITH {CHARS}, hits AS (SELECT * FROM chars WHERE (x <= 90 AND x + 6 >= 50) OR (x <= 300 AND x + 6 >= 207)), {RANGES} SELECT * FROM ranges")
+@query(f"WITH {CHARS}, hits AS (SELECT * FROM chars WHERE (x <= 90 AND x + 6 >= 50) OR (x <= 114 AND x + 6 >= 97) OR (x <= 300 AND x + 6 >= 207)), {RANGES} SELECT * FROM ranges")
 def j3_area_ranges(s, d):
-    return redact.area_ranges(_chars(s, d), _marks(s, d))
+    return redact.area_ranges(_page_chars(s, d), _marks(s, d))
 
 
-@query(f"WITH {CHARS}, {HIT}, {RANGES} SELECT doc_id, line_no AS page_index, coalesce((SELECT string_agg(c.text, '' ORDER BY c.char_index) FROM chars c WHERE c.doc_id = r.doc_id AND c.page_index = r.line_no AND NOT ((c.x < 90 AND c.x + 6 > 50) OR (c.x < 300 AND c.x + 6 > 207))), '') AS text, (SELECT count(*) FROM hits h WHERE h.doc_id = r.doc_id AND h.page_index = r.line_no) AS removed, (SELECT count(*) FROM ranges g WHERE g.doc_id = r.doc_id AND g.page_index = r.line_no) AS affected FROM runs r")
+@query(f"""WITH {CHARS}, {HIT}, {BRIDGED}, n AS (SELECT doc_id, page_index, CAST(sum(stop - start) AS BIGINT) AS removed, count(*) AS affected FROM ranges GROUP BY 1, 2)
+    SELECT r.doc_id, line_no AS page_index, coalesce(t, '') AS text, coalesce(removed, 0) AS removed, coalesce(affected, 0) AS affected FROM runs r LEFT JOIN kept k ON k.doc_id = r.doc_id AND k.page_index = line_no LEFT JOIN n ON n.doc_id = r.doc_id AND n.page_index = line_no""")
 def j4_apply_redaction(s, d):
     return redact.apply_redaction(B.runs(s, d).withColumnRenamed("line_no", "page_index"), _ranges(s, d))
 
 
-@query(f"""WITH {CHARS}, kept AS (SELECT doc_id, page_index, string_agg(text, '' ORDER BY char_index) AS t FROM chars WHERE NOT ((x < 90 AND x + 6 > 50) OR (x < 300 AND x + 6 > 207)) GROUP BY 1, 2)
+@query(f"""WITH {CHARS}, {HIT}, {BRIDGED}
     SELECT r.doc_id, r.line_no AS page_index, r.doc_id % 3 <> 0 OR coalesce(t = reverse(t), true) AS exact FROM runs r LEFT JOIN kept k ON k.doc_id = r.doc_id AND k.page_index = r.line_no""")
 def j5_redaction_audit(s, d):
     before = B.runs(s, d).withColumnRenamed("line_no", "page_index")
@@ -647,6 +721,15 @@ def k4_checkpoint_coalesce(s, d):
     return g.join(log.groupBy("session_id", F.col("ts").alias("first_ts")).agg(F.min("event_id").alias("first_event")), ["session_id", "first_ts"]).select("session_id", "first_event", "changes")
 
 
+@query(f"""WITH RECURSIVE {LOG}, e AS (SELECT session_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS k FROM log),
+    b AS (SELECT session_id, k, us, us AS first_us, 1 AS burst FROM e WHERE k = 1
+        UNION ALL SELECT e.session_id, e.k, e.us, CASE WHEN e.us - b.us > 7200000000 OR e.us - first_us >= 14400000000 THEN e.us ELSE first_us END, burst + CASE WHEN e.us - b.us > 7200000000 OR e.us - first_us >= 14400000000 THEN 1 ELSE 0 END FROM b JOIN e ON e.session_id = b.session_id AND e.k = b.k + 1)
+    SELECT session_id, min(us) AS first_us, max(us) AS last_us, count(*) AS changes FROM b GROUP BY session_id, burst""")
+def k4_checkpoint_deadline(s, d):
+    g = history.checkpoint_coalesce(B.sessions(s, d), 7200, 14400)
+    return g.select("session_id", history.micros("first_ts").alias("first_us"), history.micros("last_ts").alias("last_us"), "changes")
+
+
 @query("""WITH e AS (SELECT user_id AS session_id, event_id, ts, max(ts) OVER () AS now FROM events), a AS (SELECT session_id, event_id, row_number() OVER w AS rank, coalesce(sum(event_id % 7) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS newer FROM e WHERE epoch_us(now) - epoch_us(ts) < 604800000000 WINDOW w AS (PARTITION BY session_id ORDER BY ts DESC, event_id DESC))
     SELECT session_id, event_id, rank FROM a WHERE rank <= 8 AND newer < 15""")
 def k5_preview_expiry(s, d):
@@ -692,21 +775,39 @@ def k11_benchmark_summary(s, d):
 
 
 PAGE_LINES = "page_lines AS (SELECT doc_id, line_no // 4 AS page_index, line_no % 4 AS line, text, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, line_no // 4 ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_start FROM runs)"
-RECTS = f"{PAGE_LINES}, rects AS (SELECT doc_id, page_index, ordinal, line, (greatest(start, line_start) - line_start) * 6.0::DOUBLE AS x, line * 12.0::DOUBLE AS y, (least(start + 3, line_start + length(l.text)) - greatest(start, line_start)) * 6.0::DOUBLE AS width, 12.0::DOUBLE AS height FROM matches m JOIN page_lines l USING (doc_id, page_index) WHERE start < line_start + length(l.text) AND start + 3 > line_start)"
-
-
-def _page_lines(s, d):
-    r = B.runs(s, d).select("doc_id", F.floor(F.col("line_no") / 4).alias("page_index"), (F.col("line_no") % 4).alias("line"), "text")
-    by = Window.partitionBy("doc_id", "page_index").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("line_start", F.coalesce(F.sum(F.length("text") + 1).over(by), F.lit(0)).cast("long"))
-    return r.withColumn("line_stop", F.col("line_start") + F.length("text"))
+#: Boxes of a page's characters, on lines whose characters lie higher, lower or are flat; down the page on every second document.
+BOXES = f"""{PAGE_LINES}, spots AS (SELECT doc_id, page_index, line, line_start + i AS spot, CASE (doc_id + line + i) % 7 WHEN 3 THEN 5.0 WHEN 5 THEN -3.0 ELSE 0.0 END + line * 12 AS off, i * 6.0::DOUBLE AS along, CASE (doc_id + line + i) % 7 WHEN 4 THEN 5.0 ELSE 12.0 END::DOUBLE AS thick
+        FROM (SELECT *, unnest(range(0, length(text))) AS i FROM page_lines)),
+    boxes AS (SELECT doc_id, page_index, spot, doc_id % 2 = 1 AS vertical, CASE WHEN doc_id % 2 = 1 THEN off ELSE along END::DOUBLE AS x, CASE WHEN doc_id % 2 = 1 THEN along ELSE off END::DOUBLE AS y, CASE WHEN doc_id % 2 = 1 THEN thick ELSE 6.0 END::DOUBLE AS w, CASE WHEN doc_id % 2 = 1 THEN 6.0 ELSE thick END::DOUBLE AS h FROM spots)"""
+#: Each match's characters folded one after the other into the rectangle grown so far.
+RECTS = """grown AS (
+        SELECT m.doc_id, m.page_index, ordinal, start, 0 AS k, 0 AS line, vertical, x AS x0, y AS y0, x + w AS x1, y + h AS y1 FROM matches m JOIN boxes b ON b.doc_id = m.doc_id AND b.page_index = m.page_index AND spot = start
+        UNION ALL SELECT doc_id, page_index, ordinal, start, k + 1, line + CASE WHEN j THEN 0 ELSE 1 END, vertical, CASE WHEN j THEN least(x0, x) ELSE x END, CASE WHEN j THEN least(y0, y) ELSE y END, CASE WHEN j THEN greatest(x1, x + w) ELSE x + w END, CASE WHEN j THEN greatest(y1, y + h) ELSE y + h END
+        FROM (SELECT g.*, x, y, w, h, CASE WHEN g.vertical THEN least(x1, x + w) - greatest(x0, x) >= 0.5 * least(x1 - x0, w) AND greatest(y - y1, y0 - y - h, 0) <= least(x1 - x0, w)
+                ELSE least(y1, y + h) - greatest(y0, y) >= 0.5 * least(y1 - y0, h) AND greatest(x - x1, x0 - x - w, 0) <= least(y1 - y0, h) END AS j
+            FROM grown g JOIN boxes b ON b.doc_id = g.doc_id AND b.page_index = g.page_index AND spot = start + k + 1 WHERE k < 2)),
+    rects AS (SELECT doc_id, page_index, ordinal, line, arg_max(x0, k) AS x, arg_max(y0, k) AS y, arg_max(x1, k) - arg_max(x0, k) AS width, arg_max(y1, k) - arg_max(y0, k) AS height FROM grown GROUP BY 1, 2, 3, 4)"""
+
+
+def _boxes(s, d):
+    turned = F.col("doc_id") % 2 == 1
+
+    def box(c, line, i):
+        spot = (F.col("doc_id") + line + i) % 7
+        off, along, thick = F.when(spot == 3, 5.0).when(spot == 5, -3.0).otherwise(0.0) + line * 12, i * 6.0, F.when(spot == 4, 5.0).otherwise(12.0)
+        pick = lambda a, b, n: F.when(turned, a).otherwise(b).alias(n)
+        return F.struct(c.alias("text"), pick(off, along, "x"), pick(along, off, "y"), pick(thick, F.lit(6.0), "width"), pick(F.lit(6.0), thick, "height"))
+
+    blank = F.struct(F.lit("\n").alias("text"), *[F.lit(0.0).alias(n) for n in ("x", "y", "width", "height")])
+    lines = F.transform(F.split("text", "\n"), lambda t, n: F.concat(F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c, i: box(c, n, i)), F.array(blank)))
+    return B.pages(s, d).select("doc_id", "page_index", F.flatten(lines).alias("chars"), turned.alias("vertical"))
 
 
 def _rects(s, d):
-    return search.match_rects(search.search_matches(B.pages(s, d), "the"), ["doc_id", "page_index"], _page_lines(s, d).drop("text"))
+    return search.match_rects(search.search_matches(B.pages(s, d), "the"), _boxes(s, d), ["doc_id", "page_index"])
 
 
-@query(f"WITH {PAGES}, {THE}, {RECTS} SELECT * FROM rects")
+@query(f"WITH RECURSIVE {PAGES}, {THE}, {BOXES}, {RECTS} SELECT * FROM rects")
 def c5_match_rects(s, d):
     return _rects(s, d)
 
@@ -717,25 +818,50 @@ def c6_highlight_rects(s, d):
     return layout.highlight_rects(_chars(s, d).where(~F.col("text").isin("a", "e", "i")))
 
 
-@query(f"WITH {PAGES}, {THE}, {RECTS} SELECT doc_id, page_index, ordinal, greatest(x, 60.0) AS x, greatest(y, 6.0) AS y, least(x + width, 360.0) - greatest(x, 60.0) AS width, least(y + height, 40.0) - greatest(y, 6.0) AS height FROM rects WHERE x < 360 AND x + width > 60 AND y < 40 AND y + height > 6")
+@query(f"""WITH RECURSIVE {PAGES}, {THE}, {BOXES}, {RECTS}, seen AS (SELECT *, greatest(x, 60.0) AS vx, greatest(y, 6.0) AS vy, least(x + width, 360.0) AS vr, least(y + height, 40.0) AS vb FROM rects)
+    SELECT doc_id, page_index, ordinal, vx AS x, vy AS y, vr - vx AS width, vb - vy AS height FROM seen WHERE vr > vx AND vb > vy QUALIFY row_number() OVER (PARTITION BY doc_id, page_index, ordinal ORDER BY line) = 1""")
 def c7_search_visible(s, d):
     return layout.search_visible(_rects(s, d), ["doc_id", "page_index"], (60.0, 6.0, 300.0, 34.0))
 
 
-@query(f"WITH {RUNS}, {_the('found', 'runs', 'doc_id, line_no')} SELECT doc_id, line_no, ordinal, start, start + 3 AS stop FROM found")
+#: Every third document has a mark behind "the"; in every third one "the" is joined with another, the joiner belonging to the first.
+MARKED = f"{RUNS}, marked AS (SELECT doc_id, line_no, CASE doc_id % 3 WHEN 1 THEN replace(text, 'the ', 'the' || chr(769) || ' ') WHEN 2 THEN replace(text, 'the', 'the' || chr(8205) || 'the') ELSE text END AS text FROM runs)"
+
+
+@query(f"WITH {MARKED}, {_the('found', 'marked', 'doc_id, line_no')}, kept AS (SELECT f.*, text FROM found f JOIN marked m USING (doc_id, line_no) WHERE substr(text, CAST(start + 4 AS INT), 1) NOT IN (chr(769), chr(8205))) SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY start) - 1 AS ordinal, start, start + 3 AS stop FROM kept")
 def c11_find_in_paragraph(s, d):
-    return search.find_in_paragraph(B.runs(s, d), "the").drop("matched")
+    return search.find_in_paragraph(_marked_runs(s, d), "the").drop("matched")
+
+
+def _marked_runs(s, d):
+    k = F.col("doc_id") % 3
+    text = F.when(k == 1, F.replace("text", F.lit("the "), F.lit("the\u0301 "))).when(k == 2, F.replace("text", F.lit("the"), F.lit("the\u200dthe"))).otherwise(F.col("text"))
+    return B.runs(s, d).withColumn("text", text)
+
+
+#: Each line in two spans of its run; some lines show the text of the line before, some leave a letter out or show other text.
+OWNED = f"""{RUNS}, {RUN_STARTS}, halves AS (SELECT doc_id, line_no, text, run_start, unnest([0, 1]) AS half, length(text) // 2 AS cut FROM run_spans),
+    spans AS (SELECT doc_id, line_no * 2 + half AS span, run_start + half * cut AS char_start, run_start + CASE half WHEN 0 THEN cut ELSE length(text) END AS char_stop, CASE WHEN doc_id % 7 = 1 AND line_no % 2 = 1 THEN line_no - 1 ELSE line_no END AS run,
+        half * cut + CASE WHEN doc_id % 7 = 2 AND half = 1 THEN 1 ELSE 0 END AS source_start, line_no % 11 <> 5 AS valid, line_no % 3 <> 0 AS supported FROM halves)"""
 
 
-@query(f"""WITH {RUNS}, {RUN_STARTS}, {_the('found', 'documents', 'doc_id')}, m AS (SELECT doc_id, start, start + 9 AS stop FROM found),
-    j AS (SELECT m.doc_id, start, stop, count(line_no) AS n_runs, min(line_no) AS run, coalesce(bool_and(line_no % 3 <> 0), false) AS supported FROM m LEFT JOIN run_spans r ON m.doc_id = r.doc_id AND start < run_start + length(text) AND stop > run_start GROUP BY ALL)
-    SELECT *, CASE WHEN n_runs = 0 THEN 'Unmapped' WHEN n_runs > 1 THEN 'CrossObject' WHEN NOT supported THEN 'Ineligible' END AS blocker FROM j""")
+@query(f"""WITH {OWNED}, {_the('found', 'documents', 'doc_id')}, m AS (SELECT doc_id, start, start + 9 AS stop FROM found), s AS (SELECT * FROM spans WHERE char_start < char_stop),
+    j AS (SELECT m.doc_id, start, stop, span, run, valid, supported, source_start - char_start AS shift, greatest(start, char_start) + source_start - char_start AS low, least(stop, char_stop) + source_start - char_start AS high FROM m LEFT JOIN s ON m.doc_id = s.doc_id AND start < char_stop AND stop > char_start),
+    o AS (SELECT j.*, EXISTS (SELECT 1 FROM s b WHERE b.doc_id = j.doc_id AND b.run = j.run AND b.span <> j.span AND b.source_start < high AND b.source_start + b.char_stop - b.char_start > low) AS twice FROM j),
+    g AS (SELECT doc_id, start, stop, count(DISTINCT run) AS n, min(run) AS run, CAST(coalesce(sum(high - low), 0) AS BIGINT) AS held, min(shift) AS s0, max(shift) AS s1, min(low) AS low, bool_or(NOT valid) AS wrong, bool_or(twice) AS twice, bool_and(supported) AS supported FROM o GROUP BY 1, 2, 3),
+    b AS (SELECT *, CASE WHEN wrong THEN 'InvalidMapping' WHEN n > 1 THEN 'CrossObject' WHEN n = 0 OR held < stop - start THEN 'Unmapped' WHEN twice THEN 'OverlappingSource' WHEN s0 <> s1 THEN 'InvalidMapping' WHEN NOT supported THEN 'Ineligible' END AS blocker FROM g)
+    SELECT doc_id, start, stop, CASE WHEN coalesce(blocker, 'Ineligible') = 'Ineligible' THEN run END AS run, CASE WHEN coalesce(blocker, 'Ineligible') = 'Ineligible' THEN low END AS source_start, CASE WHEN coalesce(blocker, 'Ineligible') = 'Ineligible' THEN low + held END AS source_stop, blocker FROM b""")
 def d1_match_ownership(s, d):
     m = search.search_matches(read(s, d, "documents").select("doc_id", "text"), "the").select("doc_id", "start", (F.col("start") + 9).alias("stop"))
     by = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    r = B.runs(s, d).withColumn("run_start", F.coalesce(F.sum(F.length("text") + 1).over(by), F.lit(0)).cast("long"))
-    r = r.select("doc_id", F.col("line_no").alias("run"), "run_start", (F.col("run_start") + F.length("text")).alias("run_stop"), (F.col("line_no") % 3 != 0).alias("supported"))
-    return replace.match_ownership(m, r)
+    r = B.runs(s, d).withColumn("run_start", F.coalesce(F.sum(F.length("text") + 1).over(by), F.lit(0)).cast("long")).withColumn("cut", F.floor(F.length("text") / 2))
+    r = r.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("source_start", F.col("half") * F.col("cut"))
+    k, second = F.col("doc_id") % 7, F.col("half") == 1
+    return replace.match_ownership(m, r.select(
+        "doc_id", (F.col("run_start") + F.col("source_start")).alias("char_start"), (F.col("run_start") + F.when(second, F.length("text")).otherwise(F.col("cut"))).alias("char_stop"),
+        F.when((k == 1) & (F.col("line_no") % 2 == 1), F.col("line_no") - 1).otherwise(F.col("line_no")).alias("run"), (F.col("source_start") + F.when((k == 2) & second, 1).otherwise(0)).alias("source_start"),
+        (F.col("line_no") % 11 != 5).alias("valid"), (F.col("line_no") % 3 != 0).alias("supported"),
+    ))
 
 
 @query(f"""WITH {PLAN}, part_names AS (SELECT p_partkey, p_name AS text FROM part), {_the('native', 'benchmark', 'item_id')}, {_the('added', 'part_names', 'p_partkey')},
@@ -820,18 +946,18 @@ def e10_font_coverage(s, d):
 
 
 WORD_RUNS = f"""{WORDS}, wide AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY doc_id, line_no) - 1 AS n, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, line_no ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM words),
-    wr AS (SELECT doc_id, line_no // 4 AS page_index, 800.0::DOUBLE - 12 * (line_no % 4) AS baseline, k AS run, text, (off * 6 + CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 3000 - n * 3 ELSE 6000 - n * 6 END)::DOUBLE AS x, (length(text) * 6)::DOUBLE AS width, CASE WHEN line_no % 7 = 0 THEN 12.0 ELSE 8.0 END::DOUBLE AS size FROM wide)"""
+    wr AS (SELECT doc_id, line_no // 4 AS page_index, 800.0::DOUBLE - 12 * (line_no % 4) AS baseline, k AS run, text, (off * 6 + CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 3000 - n * 3 ELSE 6000 - n * 6 END)::DOUBLE AS x, (length(text) * 6)::DOUBLE AS width, CASE WHEN line_no % 7 = 0 OR (doc_id % 4 = 1 AND k % 5 = 4) THEN 12.0 ELSE 8.0 END::DOUBLE AS size FROM wide)"""
 ROWS = f"""{WORD_RUNS}, lone AS (SELECT *, regexp_matches(text, '{layout.BARE}') AS bare FROM wr WHERE trim(text) <> ''),
-    marked AS (SELECT *, x - lag(x + width) OVER w AS gap, coalesce(lag(bare) OVER w, false) AS after_bare FROM lone WINDOW w AS (PARTITION BY doc_id, page_index, baseline ORDER BY x, run)),
-    numbered AS (SELECT *, sum(CAST(gap IS NULL OR gap > size OR gap < -0.25 * size OR bare OR after_bare AS INT)) OVER (PARTITION BY doc_id, page_index, baseline ORDER BY x, run) AS row FROM marked),
-    rws AS (SELECT doc_id, page_index, baseline, CAST(row AS BIGINT) AS row, min(x) AS "left", max(x + width) AS "right", max(size) AS size, arg_min(text, run) AS first_text, count(*) AS n_runs FROM numbered GROUP BY ALL)"""
+    marked AS (SELECT *, x - lag(x + width) OVER w AS gap, greatest(size, lag(size) OVER w) AS big, coalesce(lag(bare) OVER w, false) AS after_bare FROM lone WINDOW w AS (PARTITION BY doc_id, page_index, baseline ORDER BY x, run)),
+    numbered AS (SELECT *, sum(CAST(gap IS NULL OR gap > big OR gap < -0.25 * big OR bare OR after_bare AS INT)) OVER (PARTITION BY doc_id, page_index, baseline ORDER BY x, run) AS row FROM marked),
+    rws AS (SELECT doc_id, page_index, baseline, CAST(row AS BIGINT) AS row, min(x) AS "left", max(x + width) AS "right", max(size) AS size, arg_min(text, run) AS first_text, count(*) AS n_runs, list(size ORDER BY x, run) AS sizes FROM numbered GROUP BY ALL)"""
 
 
 def _word_runs(s, d):
     line = Window.partitionBy("doc_id", "line_no")
     w = _words(s, d).withColumn("n", F.sum(F.length("text") + 1).over(line) - 1).withColumn("off", F.coalesce(F.sum(F.length("text") + 1).over(line.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     shift = F.when(F.col("doc_id") % 3 == 0, 0).when(F.col("doc_id") % 3 == 1, 3000 - F.col("n") * 3).otherwise(6000 - F.col("n") * 6)
-    return w.select("doc_id", F.floor(F.col("line_no") / 4).alias("page_index"), (800.0 - 12 * (F.col("line_no") % 4)).alias("baseline"), F.col("k").alias("run"), "text", (F.col("off") * 6 + shift).cast("double").alias("x"), (F.length("text") * 6).cast("double").alias("width"), F.when(F.col("line_no") % 7 == 0, 12.0).otherwise(8.0).alias("size"))
+    return w.select("doc_id", F.floor(F.col("line_no") / 4).alias("page_index"), (800.0 - 12 * (F.col("line_no") % 4)).alias("baseline"), F.col("k").alias("run"), "text", (F.col("off") * 6 + shift).cast("double").alias("x"), (F.length("text") * 6).cast("double").alias("width"), F.when((F.col("line_no") % 7 == 0) | ((F.col("doc_id") % 4 == 1) & (F.col("k") % 5 == 4)), 12.0).otherwise(8.0).alias("size"))
 
 
 def _rows(s, d):
@@ -859,27 +985,56 @@ def b8_crop_from_margins(s, d):
     return p.where("c is not null").select("page_id", "c.*")
 
 
-@query(f"WITH {ROWS} SELECT * FROM rws")
+@query(f"WITH {ROWS} SELECT * EXCLUDE (sizes), len(list_distinct(sizes)) AS n_sizes FROM rws")
 def f1_assemble_rows(s, d):
-    return _rows(s, d)
+    return _rows(s, d).withColumn("n_sizes", F.size("sizes").cast("long")).drop("sizes")
 
 
-@query()
+def _blocks(mixed):
+    """SQL of the blocks of rows: one row after the other, with the head's and the second row's edges and the sizes that all rows share."""
+    size, one = ("greatest(p_size, size)", "true") if mixed else ("p_size", "abs(p_size - size) <= 0.01")
+    unit, fit = ("shared[1]", "len(shared) > 0") if mixed else ("p_size", "true")
+    keep = "list_filter(common, lambda v: len(list_filter(n.sizes, lambda w: abs(v - w) <= 0.01)) > 0)" if mixed else "common"
+    return f"""{ROWS}, ordered AS (SELECT *, row_number() OVER w AS k, regexp_matches(ltrim(first_text), '^(?:[-•‣◦]|\\(?(?:[0-9]{{1,3}}|[A-Za-z]|[IVXLCDMivxlcdm]{{1,8}})[.)])(?:\\s|$)') AS marker, n_runs = 1 AND regexp_matches(first_text, '{layout.BARE}') AS bare
+            FROM rws WINDOW w AS (PARTITION BY doc_id, page_index ORDER BY baseline DESC, "left", row)),
+        blocks AS (
+            SELECT doc_id, page_index, k, row, baseline, "left", "right", size, bare, 0::BIGINT AS block, "left" AS h0, "right" AS h1, NULL::DOUBLE AS second, sizes AS common FROM ordered WHERE k = 1
+            UNION ALL SELECT doc_id, page_index, k, row, baseline, "left", "right", size, bare, block + CASE WHEN j THEN 0 ELSE 1 END, CASE WHEN j THEN h0 ELSE "left" END, CASE WHEN j THEN h1 ELSE "right" END, CASE WHEN j THEN coalesce(second, "left") END, CASE WHEN j THEN shared ELSE sizes END
+            FROM (SELECT *, coalesce({fit} AND {one} AND pace + 0.01 >= 0.6 * {size} AND pace <= 1.65 * {size} AND NOT marker AND NOT p_bare AND (abs(coalesce(second, h0) - "left") <= {unit} / 2 OR (second IS NULL AND p_left - "left" > 0 AND p_left - "left" <= 2 * {unit})
+                    OR abs((h0 + h1) / 2 - ("left" + "right") / 2) <= {unit} / 2 OR abs(h1 - "right") <= {unit} / 2), false) AS j
+                FROM (SELECT n.*, b.block, b.h0, b.h1, b.second, {keep} AS shared, b.size AS p_size, b.bare AS p_bare, b."left" AS p_left, b.baseline - n.baseline AS pace FROM blocks b JOIN ordered n ON n.doc_id = b.doc_id AND n.page_index = b.page_index AND n.k = b.k + 1)))"""
+
+
+@query(f"WITH RECURSIVE {_blocks(False)} SELECT doc_id, page_index, baseline, row, block FROM blocks")
 def f2_segment_paragraphs(s, d):
-    return layout.segment_paragraphs(_rows(s, d))
+    return layout.segment_paragraphs(_rows(s, d)).select("doc_id", "page_index", "baseline", "row", "block")
+
+
+@query(f"WITH RECURSIVE {_blocks(True)} SELECT doc_id, page_index, baseline, row, block FROM blocks")
+def f2_segment_mixed(s, d):
+    return layout.segment_paragraphs(_rows(s, d), mixed=True).select("doc_id", "page_index", "baseline", "row", "block")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_blocks(True)}, sums AS (SELECT b.doc_id, b.page_index, block, CAST(sum(n_runs) AS BIGINT) AS pieces, min(b."left") AS "left", max(b."right") AS "right" FROM blocks b JOIN rws r ON r.doc_id = b.doc_id AND r.page_index = b.page_index AND r.baseline = b.baseline AND r.row = b.row GROUP BY 1, 2, 3)
+    SELECT b.doc_id, b.page_index, b.block, b.baseline, b.row, pieces, s."left", s."right", CASE WHEN pieces > 24 THEN 'too_many_pieces' END AS reason
+    FROM blocks b JOIN rws r ON r.doc_id = b.doc_id AND r.page_index = b.page_index AND r.baseline = b.baseline AND r.row = b.row JOIN sums s ON s.doc_id = b.doc_id AND s.page_index = b.page_index AND s.block = b.block WHERE n_runs % 2 = 1""")
 def f3_paragraph_of(s, d):
     r = _rows(s, d)
-    return layout.paragraph_of(r.where("n_runs = 1").select("doc_id", "page_index", "baseline", "row"), layout.segment_paragraphs(r))
+    return layout.paragraph_of(r.where("n_runs % 2 = 1").select("doc_id", "page_index", "baseline", "row"), layout.segment_paragraphs(r, mixed=True), most=24)
 
 
-@query(f"""WITH {WORDS}, b AS (SELECT doc_id, line_no AS page_index, k AS box, k % 3 AS block, (k * 37) % 500 AS x, (k * 53) % 300 AS y FROM words)
-    SELECT DISTINCT a.doc_id, a.page_index, a.box, o.block AS other FROM b a JOIN b o ON a.doc_id = o.doc_id AND a.page_index = o.page_index AND a.block <> o.block AND a.x < o.x + 20 AND o.x < a.x + 20 AND a.y < o.y + 10 AND o.y < a.y + 10""")
+@query(f"""WITH {WORDS}, r AS (SELECT doc_id, line_no AS page_index, k AS run, CASE WHEN k % 4 < 3 THEN k % 4 END AS block, CASE WHEN k % 9 = 5 THEN '1.' ELSE text END AS text, ((k * 37) % 300)::DOUBLE AS l, ((k * 53) % 200)::DOUBLE AS base, CASE WHEN k % 2 = 0 THEN 8.0 ELSE 14.0 END::DOUBLE AS size FROM words),
+    b AS (SELECT *, l + 20 AS r, base - 2 AS bottom, base + size * 0.8 AS top FROM r)
+    SELECT DISTINCT a.doc_id, a.page_index, a.block, o.run AS other FROM b a JOIN b o ON a.doc_id = o.doc_id AND a.page_index = o.page_index AND a.block IS NOT NULL AND a.block IS DISTINCT FROM o.block AND trim(o.text) <> ''
+    WHERE greatest(a.l - o.r, o.l - a.r, 0) <= a.size AND abs(a.base - o.base) <= a.size * 0.75 AND o.top > a.base - a.size * 0.25 AND o.bottom < a.base + a.size * 1.1 AND NOT (regexp_matches(o.text, '{layout.BARE}') AND abs(a.base - o.base) <= 0.01 AND o.r <= a.l)""")
 def f4_neighbour_conflicts(s, d):
-    b = _words(s, d).select("doc_id", F.col("line_no").alias("page_index"), F.col("k").alias("box"), (F.col("k") % 3).alias("block"), (F.col("k") * 37 % 500).alias("x"), (F.col("k") * 53 % 300).alias("y"), F.lit(20).alias("width"), F.lit(10).alias("height"))
-    return layout.neighbour_conflicts(b)
+    k, size = F.col("k"), F.when(F.col("k") % 2 == 0, 8.0).otherwise(14.0)
+    left, base = (k * 37 % 300).cast("double"), (k * 53 % 200).cast("double")
+    text = F.when(k % 9 == 5, "1.").otherwise(F.col("text"))
+    return layout.neighbour_conflicts(_words(s, d).select(
+        "doc_id", F.col("line_no").alias("page_index"), k.alias("run"), F.when(k % 4 < 3, k % 4).alias("block"), text.alias("text"), left.alias("left"), (left + 20).alias("right"), (base - 2).alias("bottom"),
+        (base + size * 0.8).alias("top"), base.alias("baseline"), size.alias("size"),
+    ))
 
 
 @query(f"""WITH {ROWS}, g AS (SELECT doc_id, page_index, count(*) AS n_rows, max("left") - min("left") <= t AS l, max(("left" + "right") / 2) - min(("left" + "right") / 2) <= t AS c, max("right") - min("right") <= t AS r, max("right" - "left") - min("right" - "left") > 4 * t AS w
@@ -939,11 +1094,11 @@ def c13_selectable_spans(s, d):
     return layout.selectable_spans(twos).select("doc_id", "page_index", "start", "stop", "text")
 
 
-@query(f"""WITH {CHARS}, marks AS (SELECT doc_id, line_no AS page_index, unnest([0, 1]) AS mark_id, length(text) * 6 AS w FROM runs)
-    SELECT doc_id, page_index, mark_id FROM marks WHERE w <= CASE mark_id WHEN 0 THEN 50 ELSE 207 END""")
+@query(f"""WITH {CHARS}, marks AS (SELECT doc_id, line_no AS page_index, unnest([0, 1, 2]) AS mark_id, length(text) * 6 AS w FROM runs)
+    SELECT doc_id, page_index, mark_id FROM marks WHERE w <= CASE mark_id WHEN 0 THEN 50 WHEN 1 THEN 97 ELSE 207 END""")
 def j1_missed_marks(s, d):
-    marks = _marks(s, d).withColumn("mark_id", F.when(F.col("mx") == 50, 0).otherwise(1))
-    return redact.missed_marks(_chars(s, d), marks).select("doc_id", "page_index", "mark_id")
+    marks = _marks(s, d).withColumn("mark_id", F.when(F.col("mx") == 50, 0).when(F.col("mx") == 97, 1).otherwise(2))
+    return redact.missed_marks(_page_chars(s, d), marks).select("doc_id", "page_index", "mark_id")
 
 
 @query("""WITH m AS (SELECT event_type, user_id % 3 AS version, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2)

@@ -3,7 +3,6 @@
 import pytest
 
 from docspark.operators import assemble, history, layout, outline, pages, redact, replace, search
-from docspark.streaming import jobs
 
 
 @pytest.mark.parametrize(
@@ -92,14 +91,6 @@ def test_history(spark):
     assert tuple(history.replay_history(log(spark, [*ACTIONS, ("commit", 500), ("redo", -1), *[("undo", -1)] * 150])).first()) == (1, 29, 0, 99)
 
 
-def test_history_stream_equals_batch(spark, tmp_path):
-    log(spark, ACTIONS).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("session_id long, ts timestamp, event_id long, action string, state long").option("maxFilesPerTrigger", 100).parquet(str(tmp_path / "in"))
-    q = jobs.replay_history_stream(stream).writeStream.outputMode("update").format("memory").queryName("hist").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert [tuple(r) for r in spark.table("hist").collect()][-1] == (1, 127, 98, 2)
-
-
 def test_deadline_cuts_bursts(spark):
     got = history.checkpoint_coalesce(log(spark, ACTIONS[:20]), 1.5, 5).collect()
     assert sorted(r.changes for r in got) == [5, 5, 5, 5]
