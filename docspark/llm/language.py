@@ -19,19 +19,21 @@ MIX = np.uint32(0x9E3779B1)
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of the lower-cased texts' character 1- to 3-grams, and the text of each; none reaches over a text's end."""
-    joined = "\0".join((t or "").lower() for t in texts) + "\0"
-    chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.cumsum(chars == 0) - (chars == 0)
+    low = [(t or "").lower() for t in texts]
+    chars = np.frombuffer("\0".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.array([len(t) + 1 for t in low], np.int64)
+    owner = np.repeat(np.arange(len(low)), sizes)
+    owner[np.cumsum(sizes) - 1] = -1  # the separators; a text may hold their character itself
     buckets, owners = [], []
     for n in ORDERS:
         if len(chars) < n:
             continue
-        h, whole = np.full(len(chars) - n + 1, n, np.uint32), np.ones(len(chars) - n + 1, bool)
+        h = np.full(len(chars) - n + 1, n, np.uint32)
         for k in range(n):
             c = chars[k : len(chars) - n + 1 + k]
             h = (h ^ c) * MIX
             h ^= h >> np.uint32(15)
-            whole &= c != 0
+        whole = (owner[: len(h)] == owner[n - 1 :]) & (owner[: len(h)] >= 0)
         buckets.append((h[whole] % np.uint32(BUCKETS)).astype(np.int64))
         owners.append(owner[: len(h)][whole])
     b, o = np.concatenate(buckets), np.concatenate(owners)

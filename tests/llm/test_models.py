@@ -82,6 +82,18 @@ def test_language(spark):
     assert language.identify(docs, language.fit(docs.limit(0))).first().lang_pred == "und"
 
 
+def test_language_counts_grams_of_texts_with_nul_characters(spark):
+    texts = ["a\0b", "\0", "", None, "ab\0\0ab", "Straße\0", "x"]
+    buckets, owners = language.grams(texts)
+    for k, t in enumerate(texts):
+        alone, _ = language.grams([t])
+        assert sorted(buckets[owners == k]) == sorted(alone) and len(alone) == sum(max(0, len((t or "").lower()) - n + 1) for n in language.ORDERS)
+    rows = [(i, t, lang, "s") for i, (t, lang) in enumerate([("the\0cat " * 9, "en"), ("\0le chat\0" * 9, "fr"), ("\0\0", "en"), ("a\0", "fr")] * 20)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = language.identify(docs, language.fit(docs)).collect()
+    assert len(got) == len(rows) and all(r.lang_pred == rows[r.doc_id][2] for r in got if len(rows[r.doc_id][1]) > 9)
+
+
 @pytest.mark.parametrize("frequent", [8, 1 << 16])
 def test_lm_base_scores(spark, frequent):
     rng = np.random.default_rng(5)
@@ -244,6 +256,20 @@ def test_vectors_equal_brute_force(spark, how):
     assert cover_tree.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("spread", [1e-10, 1e-7, 3e-16])
+def test_vectors_closer_than_noise_settle(spark, spread, monkeypatch):
+    rng = np.random.default_rng(9)
+    center = rng.normal(size=32)
+    far = center + 0.16 * np.linalg.norm(center) * np.eye(32)[0]
+    rows = [(k, [float(v) for v in center * (1 + rng.normal(size=32) * spread) * rng.choice([1, 3, 0.1])], 1) for k in range(700)]
+    rows += [(700 + k, [float(v) for v in far + rng.normal(size=32) * spread], 1) for k in range(300)] + [(2000, [float(v) for v in -center], 1)]
+    levels, split = [], cover_tree._split
+    monkeypatch.setattr(cover_tree, "_split", lambda here, big, level: levels.append(level) or split(here, big, level))
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<double>, label int, weight string").repartition(3)
+    got = cover_tree.near_vectors(df, block=64, fan=16).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute_vectors(rows, 0.98) and len(levels) <= 4
+
+
 def test_cover_tree_covers():
     rng = np.random.default_rng(3)
     x = cover_tree.unit(rng.normal(size=(300, 6)))
