@@ -389,34 +389,74 @@ def _cross(apart: DataFrame, one: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select(F.least("f", "m").alias("a"), F.greatest("f", "m").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, threshold: tuple[int, int] = (80, 100), bits: int = 23) -> DataFrame:
-    """One row for each row of docs: id_col, n_shingles, component_id (the smallest id reachable by links, itself included).
-
-    Two documents link when the Jaccard similarity of their sets of word n-grams reaches threshold (numerator, denominator).
-    Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. Null, empty and blank texts have no shingles and link with nothing.
-    Ids are integers; rows with the same id count as one document (its links are those of all its texts), a null id links
-    with nothing and has a null component. Shingles are compared as 64-bit hashes.
-    """
-    num, den = threshold
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    known_ids = base.where("id is not null")
-    signed = _signed(known_ids, words, num, den)
+def _linked(docs: DataFrame, num: int, den: int, n: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Of documents (id, text; one text an id) the rows (id, n_shingles), each as often as it comes, and links (a, b) that connect what
+    is linked."""
+    signed = _signed(docs, n, num, den)
     found = signed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_stars, SCHEMA)
     found = table(found, "stars")
     info = found.where("kind = 2").select("id", "size", "same", "s0", "s1", "s2", "s3", "wide")
     stars = found.where("kind = 1").select("key", F.col("id").alias("b"), F.col("leader").alias("a"))
     one = info.dropDuplicates(["id"])
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = table(_verified(tried, known_ids, one, words, num, den, bits), "links")
+    links = table(_verified(tried, docs, one, n, num, den, bits), "links")
     comp = components(links)
     member = stars.select("key", F.col("b").alias("m")).union(stars.select("key", F.col("a").alias("m"))).distinct()
     heads = stars.groupBy("key").agg(F.min("a").alias("head"))
     apart = table(_apart(member, heads, comp), "apart")
     if apart.limit(1).count():
         rest = _cross(apart, one, num, den).join(tried, ["a", "b"], "left_anti")
-        comp = components(links.union(table(_verified(rest, known_ids, one, words, num, den, bits), "links")))
-    rows = info.select("id", F.col("size").alias("n_shingles"))
-    out = rows.join(comp, rows.id == comp.v, "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+        links = links.union(table(_verified(rest, docs, one, n, num, den, bits), "links"))
+    return info.select("id", F.col("size").alias("n_shingles")), links
+
+
+def _text_key():
+    return F.xxhash64("id", F.coalesce("text", F.lit("")))
+
+
+def _named_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Where ids have several texts: the documents with a hash of id and text for those ids, and names (key, id) of these hashes; else
+    None. Only the ids' hashes are shuffled to find out."""
+    h = _text_key()
+    several = table(docs.select("id", h.alias("h")).groupBy("id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("id"), "several-texts")
+    if several.isEmpty():
+        return None
+    words = table(bitmap_filter(several.select(F.col("id").alias("key"))), "several-texts-map")
+    marked = may_contain(docs, "id", words, "maybe")
+    maybe = marked.where("maybe").join(several.withColumn("several", F.lit(True)), "id", "left")
+    keyed = maybe.select("id", "text", F.when(F.col("several"), h).otherwise(F.col("id")).alias("key"))
+    keyed = table(keyed, "keyed")
+    return marked.where("not maybe").select("id", "text").union(keyed.select(F.col("key").alias("id"), "text")), table(keyed.where("key <> id").select("key", "id").distinct(), "names")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, threshold: tuple[int, int] = (80, 100), bits: int = 23) -> DataFrame:
+    """One row for each row of docs: id_col, n_shingles, component_id (the smallest id reachable by links, itself included).
+
+    Two documents link when the Jaccard similarity of their sets of word n-grams reaches threshold (numerator, denominator).
+    Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. Null, empty and blank texts have no shingles and link with nothing.
+    Ids are integers; rows with the same id count as one document: its links are those of all its texts, n_shingles is that of the
+    row's own. A null id links with nothing and has a null component. Shingles, and different texts of one id, are compared as
+    64-bit hashes.
+    """
+    num, den = threshold
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    known_ids = base.where("id is not null")
+    apart = _named_apart(known_ids)
+    if apart is None:
+        rows, links = _linked(known_ids, num, den, words, bits)
+        comp = components(links)
+        found = rows.join(comp, rows.id == comp.v, "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    else:
+        keyed, names = apart
+        rows, links = _linked(keyed, num, den, words, bits)
+        # the texts of one id are tied together at their id, so components are of ids
+        named = lambda c: F.coalesce(F.col(f"id_{c}"), F.col(c)).alias(c)
+        for c in ("a", "b"):
+            links = links.join(names.select(F.col("key").alias(c), F.col("id").alias(f"id_{c}")), c, "left").select(named(c), "b" if c == "a" else "a")
+        comp = components(links.where("a <> b"))
+        rows = rows.withColumnRenamed("id", "key").join(names, "key", "left").select(F.coalesce("id", "key").alias("id"), "n_shingles")
+        found = rows.join(comp, rows.id == comp.v, "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    out = found.select(F.col("id").alias(id_col), "n_shingles", "component_id")
     nameless = _sets(base.where("id is null"), words).select(F.col("id").alias(id_col), F.size("shingles").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.union(nameless)
 

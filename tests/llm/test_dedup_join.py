@@ -70,6 +70,27 @@ def test_near_duplicates_edges(spark):
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 3, 0), (7, 3, 7), (7, 3, 7)]
 
 
+def test_ids_with_several_texts_have_the_links_of_all(spark):
+    rng = random.Random(4)
+    texts = [t for _, t, *_ in corpus() if t and len(t.split()) > 6]
+    a, b = texts[0], texts[-1] + " other words entirely"
+    rows = [(1, a), (1, b), (2, a), (3, b)] + [(rng.randint(10, 45), rng.choice([*texts, None, ""])) for _ in range(90)] + [(60, t) for t in texts[:5]]
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    parts = brute_components([(k, t) for k, (_, t) in enumerate(rows)], 4, 85, 100)
+    for k, (_, c) in parts.items():
+        x, y = find(rows[k][0]), find(rows[c][0])
+        parent[max(x, y)] = min(x, y)
+    got = ngram_join.near_duplicates(spark.createDataFrame([(i, t, "", 0) for i, t in rows], SCHEMA).repartition(3), words=4, threshold=(85, 100)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((i, parts[k][0], find(i)) for k, (i, _) in enumerate(rows))
+    assert {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1}
+
+
 def test_signatures_never_lose_a_pair():
     rng, tried = np.random.default_rng(1), 0
     for num in (85, 80):
