@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from docspark.llm.common import components, lookup, table
 
 MARGIN, SLACK = 1e-9, 1e-6
+#: Distances under some 1e-8 are noise: a node of this radius is not split by them.
+TIGHT = 1e-6
 
 
 class CoverTree:
@@ -47,7 +49,7 @@ class CoverTree:
         self.begin.append(begin)
         self.end.append(end)
         self.children.append([])
-        if end - begin <= self.leaf or self.radius[me] <= 4 * MARGIN:
+        if end - begin <= self.leaf or self.radius[me] <= TIGHT:
             return me
         half = cover / 2
         while half > self.radius[me]:
@@ -190,23 +192,27 @@ def _nearest(batches):
 
 
 def _split(here: DataFrame, big: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """The members of the nodes in big (node, slots, shares) with their new nodes, and these nodes; one level of the tree.
+    """The members of the nodes in big (node, slots, shares, tight) with their new nodes, and these nodes; one level of the tree.
 
     A node's pivots are, for each slot, the member with the smallest hash; they are copied to the node's shares, so that the
-    members of a large node are dealt over many tasks.
+    members of a large node are dealt over many tasks. In a tight node, or one that comes from such, all vectors lie within twice
+    TIGHT of each other; its members go to slots by hash.
     """
     inner = lookup(here, big, "node").where("slots is not null")
     pick = F.struct(F.xxhash64(F.lit(level + 100), "c"), "c")
-    pivots = inner.groupBy("node", F.pmod(F.xxhash64(F.lit(level), "c"), F.col("slots")).alias("slot")).agg(F.min_by("data", pick).alias("data"), F.max("shares").alias("shares"))
+    pivots = inner.groupBy("node", F.pmod(F.xxhash64(F.lit(level), "c"), F.col("slots")).alias("slot")).agg(F.min_by("data", pick).alias("data"), F.max("shares").alias("shares"), F.bool_or("tight").alias("tight"))
     pivots = table(pivots, "pivots")
     none = F.lit(None).cast("long")
-    heads = pivots.select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"), "slot", none.alias("c"), none.alias("weight"), "data")
-    rest = inner.select("node", F.pmod(F.xxhash64(F.lit(level + 200), "c"), F.col("shares")).alias("share"), F.lit(1).alias("kind"), F.lit(-1).cast("long").alias("slot"), "c", "weight", "data")
+    heads = pivots.where("not tight").select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"), "slot", none.alias("c"), none.alias("weight"), "data")
+    rest = inner.where("not tight").select("node", F.pmod(F.xxhash64(F.lit(level + 200), "c"), F.col("shares")).alias("share"), F.lit(1).alias("kind"), F.lit(-1).cast("long").alias("slot"), "c", "weight", "data")
     dealt = heads.union(rest).repartition("node", "share").sortWithinPartitions("node", "share", "kind", "slot")
     placed = dealt.mapInArrow(_nearest, "c long, weight long, data binary, parent long, slot long, far double")
+    slot = F.pmod(F.xxhash64(F.lit(level), "c"), F.col("slots"))
+    spread = inner.where("tight").select("c", "weight", "data", F.col("node").alias("parent"), slot.alias("slot"), F.lit(2 * TIGHT).alias("far"), F.lit(True).alias("tight"))
+    placed = placed.withColumn("tight", F.lit(False)).unionByName(spread)
     placed = table(placed.withColumn("node", F.xxhash64(F.lit(level), "parent", "slot")), "placed")
-    nodes = placed.groupBy("node", "parent", "slot").agg(F.count("*").alias("size"), (F.max("far") + MARGIN).alias("radius"), F.sum("weight").alias("weight"))
-    nodes = nodes.join(pivots.select(F.col("node").alias("parent"), "slot", F.col("data").alias("center")), ["parent", "slot"])
+    nodes = placed.groupBy("node", "parent", "slot").agg(F.count("*").alias("size"), (F.max("far") + MARGIN).alias("radius"), F.sum("weight").alias("weight"), F.bool_or("tight").alias("tight"))
+    nodes = nodes.withColumn("tight", F.col("tight") | (F.col("radius") <= TIGHT)).join(pivots.select(F.col("node").alias("parent"), "slot", F.col("data").alias("center")), ["parent", "slot"])
     return placed.select("c", "weight", "data", "node"), table(nodes.withColumn("tile", F.xxhash64("parent", F.shiftright("slot", 3))), "nodes")
 
 
@@ -214,12 +220,12 @@ def _tree(points: DataFrame, block: int, fan: int, share: int):
     """Nodes (node, parent, size, radius, weight, center, tile, leaf), the leaves' members (node, tile, c, weight, data), and (c, node) of all levels but the root's."""
     here = table(points.select("c", "weight", "data", F.col("root").alias("node")), "placed")
     sizes = here.groupBy("node").agg(F.count("*").alias("size"), F.sum("weight").alias("weight"))
-    empty = [F.lit(None).cast(t).alias(n) for n, t in (("parent", "long"), ("slot", "long"), ("radius", "double"), ("center", "binary"))]
+    empty = [F.lit(None).cast(t).alias(n) for n, t in (("parent", "long"), ("slot", "long"), ("radius", "double"), ("center", "binary"))] + [F.lit(False).alias("tight")]
     nodes, level, found, leaves, members = table(sizes.select("*", *empty, F.col("node").alias("tile")), "nodes"), 0, [], [], []
     while True:
         size = F.col("size")
-        big = nodes.where(size > block).select("node", F.least(F.lit(fan), F.ceil(4 * size / block)).cast("long").alias("slots"), F.ceil(size / share).cast("long").alias("shares"))
-        found.append(nodes.withColumn("leaf", size <= block).drop("slot"))
+        big = nodes.where(size > block).select("node", F.least(F.lit(fan), F.ceil(4 * size / block)).cast("long").alias("slots"), F.ceil(size / share).cast("long").alias("shares"), "tight")
+        found.append(nodes.withColumn("leaf", size <= block).drop("slot", "tight"))
         leaves.append(lookup(here, nodes.where(size <= block).select("node", "tile"), "node").where("tile is not null").select("node", "tile", "c", "weight", "data"))
         if not big.limit(1).count():
             break
