@@ -235,9 +235,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Tokens are [^\\x20\\x09-\\x0D]+ of the whole text with A-Z lower-cased, and one end token; a null text has the end token
     alone. All rows outside the held-out fold train, a null id among them, and repeated rows as often as they occur: counts
-    come from all of them, and each takes part in the gradient of one of the rounds, which share them out by a hash of the id
-    and text. base_score adds log10((c+1)/(N+V+1)); score is the model's log10 probability, words of a leaf having their
-    counts' share of it, and all unknown ones of an ending one count.
+    come from all of them, and each takes part in the gradient of every round. base_score adds log10((c+1)/(N+V+1)); score is the
+    model's log10 probability, words of a leaf having their counts' share of it, and all unknown ones of an ending one count.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -256,7 +255,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # a message has the size of the weights, so one stands for three input partitions; but each core has one
     tasks = max(sc.defaultParallelism, train.rdd.getNumPartitions() // 3)
     weights = np.zeros((ROWS, WIDTH), np.float32)
-    for k in range(rounds if tokens else 0):
+    for _ in range(rounds if tokens else 0):
         shared = sc.broadcast(weights)
 
         def gradient(batches, shared=shared):
@@ -283,8 +282,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         waiting = 0
             yield _blocks([(t + x).reshape(ROWS, WIDTH) for t, x in zip(total, (seen, given))])
 
-        turn = F.pmod(F.xxhash64(F.lit(29), F.col("id").cast("string"), F.col("text")), F.lit(rounds)) == k
-        seen, given = _summed(train.where(turn).select("text").coalesce(tasks).mapInArrow(gradient, "block int, data binary"), 2, tasks)
+        seen, given = _summed(train.select("text").coalesce(tasks).mapInArrow(gradient, "block int, data binary"), 2, tasks)
         shared.destroy()
         # the gradient of the log likelihood, seen - given, divided by the logarithmic mean of the two
         weights = np.clip(weights + rate * np.log((seen + calm) / (given + calm)), -8, 8)

@@ -141,8 +141,8 @@ def test_lm_tree_is_a_code(leaves):
     assert np.allclose(np.exp(whole), mass / mass.sum(), rtol=1e-4)
 
 
-def brute_scores(rows, frequent, rounds_of, rounds=3, rate=0.5, calm=3.0):
-    """The language model word by word in Python: {id: score}. rounds_of gives each training row's round."""
+def brute_scores(rows, frequent, rounds=3, rate=0.5, calm=3.0):
+    """The language model word by word in Python: {id: score}."""
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     tokens = lambda t: [*(t or "").encode().lower().split(), b"\n"]
     c = Counter(x for i, t, *_ in rows if not held(i) for x in tokens(t))
@@ -173,10 +173,10 @@ def brute_scores(rows, frequent, rounds_of, rounds=3, rate=0.5, calm=3.0):
                 p = np.exp(z)
                 yield at, p / p.sum(), branch[0]
 
-    for turn in range(rounds):
+    for _ in range(rounds):
         seen, given = {}, {}
-        for (i, t, *_), mine in zip(rows, rounds_of):
-            if mine == turn and not held(i):
+        for i, t, *_ in rows:
+            if not held(i):
                 for at, p, b in steps(t):
                     for r in at:
                         seen.setdefault(r, np.zeros(lm.WIDTH))[b] += 1
@@ -191,15 +191,12 @@ def brute_scores(rows, frequent, rounds_of, rounds=3, rate=0.5, calm=3.0):
 
 @pytest.mark.parametrize("frequent", [20, 1 << 16])
 def test_lm_scores_equal_brute_force(spark, frequent):
-    from pyspark.sql import functions as F
-
     words = [f"w{k}" for k in range(50)]
     rng = np.random.default_rng(3)
     rows = [(i, " ".join(words[(int(k) * (1 + i % 5)) % 50] for k in rng.integers(0, 50, int(rng.integers(1, 9)))), "en", "s") for i in range(60)]
     rows += [(100, "said " * 400, "", ""), (None, None, "", ""), (101, "", "", ""), (102, "W1 unknown" + "x" * 300, "", "")]
     docs = spark.createDataFrame(rows, SCHEMA)
-    turns = [r.t for r in docs.select(F.pmod(F.xxhash64(F.lit(29), F.col("doc_id").cast("string"), F.col("text")), F.lit(3)).alias("t")).collect()]
-    want = brute_scores(rows, frequent, turns)
+    want = brute_scores(rows, frequent)
     got = lm.score_texts(docs.repartition(3), frequent=frequent).collect()
     assert len(got) == len(rows)
     for r in got:
