@@ -6,9 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def document_info(pages: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Pages, characters and longest page of each document."""
-    return pages.groupBy(key).agg(F.count("*").alias("page_count"), F.sum(F.length("text")).cast("long").alias("chars"), F.max(F.length("text")).cast("long").alias("longest_page"))
+def document_info(pages: DataFrame, key: str = "doc_id", permissions: DataFrame | None = None) -> DataFrame:
+    """Pages, characters and longest page of each document and, if pages have width and height, sizes: the distinct ones, in order of
+    the first page of each. With permissions (key and a boolean for each right) also denied: the rights that are false, sorted;
+    a document without a row there has none."""
+    found = [F.count("*").alias("page_count"), F.sum(F.length("text")).cast("long").alias("chars"), F.max(F.length("text")).cast("long").alias("longest_page")]
+    if {"width", "height"} <= set(pages.columns):
+        ordered = F.array_sort(F.collect_list(F.struct("page_index", "width", "height")))
+        found.append(F.array_distinct(F.transform(ordered, lambda p: F.struct(p["width"].alias("width"), p["height"].alias("height")))).alias("sizes"))
+    info = pages.groupBy(key).agg(*found)
+    if permissions is None:
+        return info
+    rights = sorted(c for c in permissions.columns if c != key)
+    denied = F.array_compact(F.array(*[F.when(~F.col(c), c) for c in rights]))
+    return info.join(permissions.select(key, denied.alias("denied")), key, "left").withColumn("denied", F.coalesce("denied", F.array().cast("array<string>")))
 
 
 def export_text(pages: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -95,10 +106,23 @@ def ocr_review(words: DataFrame, threshold: float = 80) -> DataFrame:
 def ocr_validate(words: DataFrame, width: float, height: float) -> DataFrame:
     """words with the first reason for which each is not valid, null if it is."""
     bad_box = (F.col("x") < 0) | (F.col("y") < 0) | (F.col("x") + F.col("width") > width) | (F.col("y") + F.col("height") > height)
-    reason = F.when(F.length(F.trim("text")) == 0, "empty").when(F.col("text").rlike(r"[\x00-\x1f]"), "control").when(~F.col("confidence").between(0, 100), "confidence").when(bad_box, "outside")
+    reason = F.when(F.length(F.trim("text")) == 0, "empty").when(F.col("text").rlike(r"\p{Cc}"), "control").when(~F.col("confidence").between(0, 100), "confidence").when(bad_box, "outside")
     return words.withColumn("reason", reason)
 
 
+def ocr_page_validate(words: DataFrame, width: float, height: float, page: list[str], line: str = "line", most_lines: int = 10_000, most_words: int = 20_000, most_bytes: int = 2 << 20, most_chars: int = 100_000) -> DataFrame:
+    """Per page: n_words, n_chars and reason, why its recognised text is refused as a whole (null if it is not): raster (no area, a side
+    over 6,000 or over 20 million points), lines, words, bytes or chars (too many), or the first reason of a word in order."""
+    raster = not (0 < width <= 6000 and 0 < height <= 6000 and width * height <= 20_000_000)
+    order = [c for c in ("block", "paragraph", line, "word") if c in words.columns]
+    g = ocr_validate(words, width, height).groupBy(*page).agg(
+        F.count("*").alias("n_words"), F.sum(F.length("text")).cast("long").alias("n_chars"), F.sum(F.octet_length("text")).alias("bytes"), F.count_distinct(line).alias("lines"),
+        F.min(F.when(F.col("reason").isNotNull(), F.struct(*order, "reason"))).alias("first"),
+    )
+    over = F.when(F.lit(raster), "raster").when(F.col("lines") > most_lines, "lines").when(F.col("n_words") > most_words, "words").when(F.col("bytes") > most_bytes, "bytes").when(F.col("n_chars") > most_chars, "chars")
+    return g.select(*page, "n_words", "n_chars", F.coalesce(over, F.col("first.reason")).alias("reason"))
+
+
 def ocr_exclude_existing(words: DataFrame, native: DataFrame, page: list[str], cell: float = 24.0, tol: float = 0.5) -> DataFrame:
     """words (word_id, x, y, width, height) without those whose centre lies in a native box, grown by tol, or the other way round.
 

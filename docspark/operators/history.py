@@ -162,10 +162,11 @@ def orphan_payloads(payloads: DataFrame, retained: DataFrame) -> DataFrame:
 
 
 def block_dedup_report(versions: DataFrame, key: str, block: int = 65536, text: str = "text") -> DataFrame:
-    """Blocks of the versions' texts by content: digest, occurrences, bytes of one, versions that hold it, and the bytes that sharing saves."""
-    n = F.length(text)
-    parts = versions.where(n > 0).select(key, F.explode(F.expr(f"transform(sequence(0, (length({text}) - 1) div {block}), i -> substring({text}, cast(i * {block} + 1 as int), {block}))")).alias("b"))
-    g = parts.select(key, F.sha2("b", 256).alias("digest"), F.octet_length("b").cast("long").alias("bytes")).groupBy("digest").agg(F.count("*").alias("occurrences"), F.first("bytes").alias("bytes"), F.count_distinct(key).alias("versions"))
+    """Blocks of so many bytes of the versions' texts (UTF-8) by content: digest, occurrences, bytes of one, versions that hold it, and
+    the bytes that sharing saves."""
+    data = versions.select(key, F.col(text).cast("binary").alias("_data")).where(F.length("_data") > 0)
+    parts = data.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.length("_data"), F.lit(block)), lambda i: F.substring(F.col("_data"), i, F.lit(block)))).alias("b"))
+    g = parts.select(key, F.sha2("b", 256).alias("digest"), F.length("b").cast("long").alias("bytes")).groupBy("digest").agg(F.count("*").alias("occurrences"), F.first("bytes").alias("bytes"), F.count_distinct(key).alias("versions"))
     return g.withColumn("saved_bytes", (F.col("occurrences") - 1) * F.col("bytes"))
 
 

@@ -28,19 +28,36 @@ def page_text(chars: DataFrame, width: float, height: float) -> DataFrame:
 def form_values_text(fields: DataFrame) -> DataFrame:
     """Per document the lines "label: value" under [Form fields], and how many fields were skipped.
 
-    fields: doc_id, pos, label, name, kind, value, checked. A label falls back to the name, then to "Unnamed field"; a radio
-    button counts only if checked; passwords and signatures are skipped.
+    fields: doc_id, pos, label, name, kind, value, checked and, if there are such, options and selected (row numbers). A label falls
+    back to the name, then to "Unnamed field". Choices show the texts of their selected options (rows that are none are left
+    out), a checkbox Checked or Unchecked; a radio button counts only if checked, with its first option, its value or "Selected".
+    Line ends become line feeds. Passwords, signatures and unsupported kinds are skipped.
     """
     given = lambda c: F.nullif(F.trim(c), F.lit(""))
+    fields = fields.withColumns({c: F.lit(None).cast(t) for c, t in (("options", "array<string>"), ("selected", "array<int>")) if c not in fields.columns})
     label = F.coalesce(given("label"), given("name"), F.lit("Unnamed field"))
-    skipped = F.col("kind").isin("password", "signature")
+    skipped = F.col("kind").isin("password", "signature", "unsupported")
     shown = ~skipped & ((F.col("kind") != "radio") | F.coalesce("checked", F.lit(False)))
-    f = fields.select("doc_id", "pos", F.concat(label, F.lit(": "), F.coalesce("value", F.lit(""))).alias("line"), shown.alias("shown"), skipped.alias("skipped"))
+    picked = F.array_join(F.filter(F.transform("selected", lambda i: F.when(i >= 0, F.get("options", i))), lambda x: x.isNotNull()), ", ")
+    value = F.when(F.size("selected") > 0, picked).when(F.col("kind") == "checkbox", F.when(F.coalesce("checked", F.lit(False)), "Checked").otherwise("Unchecked"))
+    value = value.when(F.col("kind") == "radio", F.coalesce(F.get("options", F.lit(0)), "value", F.lit("Selected"))).otherwise(F.coalesce("value", F.lit("")))
+    f = fields.select("doc_id", "pos", F.concat(label, F.lit(": "), normalize_line_endings(value)).alias("line"), shown.alias("shown"), skipped.alias("skipped"))
     g = f.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("shown"), F.struct("pos", "line")))).alias("l"), F.count_if("skipped").alias("skipped_fields"))
     text = F.when(F.size("l") > 0, F.concat(F.lit("[Form fields]\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))).otherwise("")
     return g.select("doc_id", text.alias("text"), "skipped_fields")
 
 
+def ocr_words(pages: DataFrame) -> DataFrame:
+    """Words of nested pages: page, block, paragraph, line and word (each counted in the one that holds it), page_line (over the whole page),
+    and the word's own columns.
+
+    pages: page, blocks, an array of paragraphs: array of lines: array of words: array of structs. What is empty gives no rows.
+    """
+    lines = F.flatten(F.flatten(F.transform("blocks", lambda b, i: F.transform(b["paragraphs"], lambda p, j: F.transform(p["lines"], lambda x, k: F.struct(i.cast("long").alias("block"), j.cast("long").alias("paragraph"), k.cast("long").alias("line"), x["words"].alias("words")))))))
+    each = pages.select(*PAGE, F.posexplode(lines).alias("page_line", "l")).select(*PAGE, "l.block", "l.paragraph", "l.line", F.col("page_line").cast("long").alias("page_line"), F.posexplode("l.words").alias("word", "w"))
+    return each.select(*PAGE, "block", "paragraph", "line", "page_line", F.col("word").cast("long").alias("word"), "w.*")
+
+
 def ocr_flatten(pages: DataFrame) -> DataFrame:
     """Words with their ordinals from nested pages (page, lines: array of arrays of words); lines without words give none."""
     lines = pages.select(*PAGE, F.posexplode("lines").alias("line", "words"))

@@ -61,6 +61,60 @@ def fill_forms(fields: DataFrame, requests: DataFrame, keys: list[str]) -> tuple
     return filled, j.where("reason is not null").select(*keys, "answer", "reason")
 
 
+#: Bits of a field's own flags and of its widget's.
+READ_ONLY, REQUIRED, MULTILINE, PASSWORD, EDITABLE, FILE, SEVERAL, RICH = 1 << 0, 1 << 1, 1 << 12, 1 << 13, 1 << 18, 1 << 20, 1 << 21, 1 << 25
+INVISIBLE, HIDDEN, NO_VIEW, LOCKED = 1 << 0, 1 << 1, 1 << 5, 1 << 6
+KINDS = {2: "checkbox", 3: "radio", 4: "combo", 5: "list", 6: "text", 7: "signature"}
+
+
+def form_states(widgets: DataFrame) -> DataFrame:
+    """What can be done with each widget: widgets (label, name, native_kind, field_flags, widget_flags and whatever else) with kind, label
+    (the name where it is empty), read_only, required, multiline, password, multi_select, editable, visible and reason.
+
+    reason, why it cannot be filled: read_only, hidden (or locked), kind (neither toggle, choice nor text), content (files, rich text).
+    """
+    field = lambda bit: F.col("field_flags").bitwiseAND(F.lit(bit)) != 0
+    widget = lambda bits: F.col("widget_flags").bitwiseAND(F.lit(bits)) != 0
+    native = F.col("native_kind")
+    kind = reduce(lambda c, k: c.when(native == k, KINDS[k]), list(KINDS)[1:], F.when(native == 2, KINDS[2])).otherwise("unsupported")
+    reason = (
+        F.when(field(READ_ONLY), "read_only").when(widget(INVISIBLE | HIDDEN | NO_VIEW | LOCKED), "hidden").when(~F.coalesce(native.between(2, 6), F.lit(False)), "kind")
+        .when((native == 6) & (field(FILE) | field(RICH)), "content")
+    )
+    flags = {"read_only": field(READ_ONLY), "required": field(REQUIRED), "multiline": (native == 6) & field(MULTILINE), "password": (native == 6) & field(PASSWORD), "multi_select": (native == 5) & field(SEVERAL), "editable": (native == 4) & field(EDITABLE)}
+    return widgets.withColumns({**flags, "kind": kind, "label": F.coalesce(F.nullif("label", F.lit("")), "name"), "visible": ~widget(INVISIBLE | HIDDEN | NO_VIEW), "reason": reason})
+
+
+def fill_fields(fields: DataFrame, requests: DataFrame, keys: list[str], longest: int = 32_768) -> tuple[DataFrame, DataFrame]:
+    """(fields with accepted answers, rejected requests with why): fields as form_states gives them, with options and value, a struct of
+    text, checked and indices of which one is set; requests: keys, expected and answer, such structs.
+
+    An answer is taken if its field is there and may be filled, no other request names it, expected is the current value (line
+    ends aside) and the answer fits the field's kind: a text without NUL, of at most `longest` UTF-16 units and one line unless
+    the field is multiline; a toggle, but a radio button is not switched off; rows of a choice that rise, lie among the options, are at
+    most one unless it takes several and at least one in a combo. Reasons, in this order: repeated, missing, that of the field,
+    stale, type, text, line_break, radio, rows.
+    """
+    one_line = lambda c: F.regexp_replace(c, "\r\n?", "\n")
+    even = lambda c: F.struct(one_line(F.col(c)["text"]).alias("text"), F.col(c)["checked"].alias("checked"), F.col(c)["indices"].alias("indices"))
+    known = fields.select(*keys, F.col("kind").alias("f_kind"), F.col("reason").alias("f_reason"), F.col("value").alias("f_value"), F.col("options").alias("f_options"), F.col("multiline").alias("f_multiline"), F.col("multi_select").alias("f_multi"))
+    j = requests.withColumn("asked", F.count("*").over(Window.partitionBy(*keys))).join(known, keys, "left").withColumn("new", even("answer"))
+    sort = lambda c: F.when(c["text"].isNotNull(), "text").when(c["checked"].isNotNull(), "toggle").when(c["indices"].isNotNull(), "choice")
+    new, rows = F.col("new"), F.col("new")["indices"]
+    choice = F.col("f_kind").isin("combo", "list")
+    fits = ((sort(new) == "choice") & choice) | ((sort(new) == sort(F.col("f_value"))) & (sort(new) != "choice"))
+    units = F.length(F.encode(new["text"], "UTF-16BE")) / 2
+    wrong_rows = F.exists(rows, lambda i: (i < 0) | (i >= F.size("f_options"))) | (F.array_sort(F.array_distinct(rows)) != rows) | (~F.col("f_multi") & (F.size(rows) > 1)) | ((F.col("f_kind") == "combo") & (F.size(rows) == 0))
+    reason = (
+        F.when(F.col("asked") > 1, "repeated").when(F.col("f_kind").isNull(), "missing").when(F.col("f_reason").isNotNull(), F.col("f_reason")).when(~even("expected").eqNullSafe(F.col("f_value")), "stale")
+        .when(~F.coalesce(fits, F.lit(False)), "type").when(new["text"].contains("\0") | (units > longest), "text").when(new["text"].contains("\n") & ~F.col("f_multiline"), "line_break")
+        .when((F.col("f_kind") == "radio") & ~new["checked"], "radio").when((sort(new) == "choice") & wrong_rows, "rows")
+    )
+    j = j.withColumn("why", reason)
+    filled = fields.join(j.where("why is null").select(*keys, "new"), keys, "left").withColumn("value", F.coalesce("new", "value")).drop("new")
+    return filled, j.where("why is not null").select(*keys, "answer", F.col("why").alias("reason"))
+
+
 def propagate_shared_fields(fields: DataFrame, accepted: DataFrame, doc: str, name: str = "name") -> DataFrame:
     """All widgets of a field take its accepted value."""
     return fields.join(accepted.select(doc, name, F.col("value").alias("new_value")), [doc, name], "left").withColumn("value", F.coalesce("new_value", "value")).drop("new_value")

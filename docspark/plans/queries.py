@@ -36,9 +36,14 @@ def a1_scan_corpus(s, d):
     return read(s, d, "documents").select("doc_id", "lang", "source", "n_chars")
 
 
-@query(f"WITH {PAGES} SELECT doc_id, count(*) AS page_count, CAST(sum(length(text)) AS BIGINT) AS chars, max(length(text)) AS longest_page FROM doc_pages GROUP BY 1")
+@query(f"""WITH {PAGES}, sized AS (SELECT *, CASE WHEN page_index % 3 = 1 THEN '842x595' ELSE '595x842' END AS size FROM doc_pages), firsts AS (SELECT doc_id, size, min(page_index) AS p FROM sized GROUP BY 1, 2)
+    SELECT s.doc_id, count(*) AS page_count, CAST(sum(length(text)) AS BIGINT) AS chars, max(length(text)) AS longest_page, (SELECT string_agg(size, ' ' ORDER BY p) FROM firsts f WHERE f.doc_id = s.doc_id) AS sizes,
+        concat_ws(' ', CASE WHEN any_value(toxic) = 1 THEN 'copy' END, CASE WHEN any_value(quality) = 0 THEN 'edit' END) AS denied FROM sized s LEFT JOIN labels USING (doc_id) GROUP BY 1""")
 def a2_document_info(s, d):
-    return assemble.document_info(B.pages(s, d))
+    turned = F.col("page_index") % 3 == 1
+    p = B.pages(s, d).withColumn("width", F.when(turned, 842).otherwise(595)).withColumn("height", F.when(turned, 595).otherwise(842))
+    sizes = F.array_join(F.transform("sizes", lambda z: F.concat_ws("x", z["width"], z["height"])), " ")
+    return assemble.document_info(p, permissions=B.permissions(s, d)).withColumn("sizes", sizes).withColumn("denied", F.array_join("denied", " "))
 
 
 @query(f"""WITH {PAGES} SELECT doc_id, string_agg(text, chr(10) || chr(12) || chr(10) ORDER BY page_index) AS text, count(*) AS page_count,
@@ -604,6 +609,49 @@ def i6_fill_forms(s, d):
     return review.fill_forms(f, requests, ["c_custkey", "name"])[0].select("c_custkey", "name", "value")
 
 
+def _widgets(s, d):
+    """A widget for each part: its kind, flags, options and value follow from the part's key."""
+    k = F.col("p_partkey")
+    native, bit = (k % 8).cast("int"), lambda b, on: F.when(on, b).otherwise(0)
+    flags = bit(review.READ_ONLY, k % 11 == 0) + bit(review.REQUIRED, k % 2 == 0) + bit(review.MULTILINE, k % 3 == 0) + bit(review.EDITABLE, k % 16 == 4) + bit(review.SEVERAL, k % 3 == 1) + bit(review.RICH, k % 13 == 6)
+    w = read(s, d, "part").select(k.alias("doc_id"), F.lit("").alias("label"), F.col("p_name").alias("name"), native.alias("native_kind"), flags.cast("int").alias("field_flags"), bit(review.HIDDEN, k % 7 == 3).cast("int").alias("widget_flags"), F.array("p_brand", "p_type", F.lit("x")).alias("options"))
+    f = review.form_states(w)
+    empty = lambda t: F.lit(None).cast(t)
+    toggle, choice = F.col("native_kind").isin(2, 3), F.col("native_kind").isin(4, 5) & ~F.col("editable")
+    text = F.when(~toggle & ~choice, F.concat(F.col("name"), F.lit("\n")))
+    value = F.struct(text.alias("text"), F.when(toggle, F.lit(True)).otherwise(empty("boolean")).alias("checked"), F.when(choice, F.array(F.lit(0))).otherwise(empty("array<int>")).alias("indices"))
+    return f.withColumn("value", value)
+
+
+FIELDS = """w AS (SELECT p_partkey AS doc_id, p_partkey % 8 AS native, p_partkey % 11 = 0 AS read_only, p_partkey % 3 = 0 AS f12, p_partkey % 16 = 4 AS f18, p_partkey % 3 = 1 AS f21, p_partkey % 13 = 6 AS f25, p_partkey % 7 = 3 AS hid, p_name AS name FROM part),
+    f AS (SELECT *, CASE native WHEN 2 THEN 'checkbox' WHEN 3 THEN 'radio' WHEN 4 THEN 'combo' WHEN 5 THEN 'list' WHEN 6 THEN 'text' WHEN 7 THEN 'signature' ELSE 'unsupported' END AS kind, native = 6 AND f12 AS multiline, native = 5 AND f21 AS multi_select, native = 4 AND f18 AS editable,
+        CASE WHEN read_only THEN 'read_only' WHEN hid THEN 'hidden' WHEN native NOT BETWEEN 2 AND 6 THEN 'kind' WHEN native = 6 AND f25 THEN 'content' END AS reason FROM w)"""
+
+
+@query(f"WITH {FIELDS} SELECT doc_id, name AS label, kind, read_only, doc_id % 2 = 0 AS required, multiline, false AS password, multi_select, editable, NOT hid AS visible, reason FROM f")
+def i5_form_states(s, d):
+    return _widgets(s, d).select("doc_id", "label", "kind", "read_only", "required", "multiline", "password", "multi_select", "editable", "visible", "reason")
+
+
+@query(f"""WITH {FIELDS}, v AS (SELECT *, CASE WHEN native IN (2, 3) THEN 'toggle' WHEN native IN (4, 5) AND NOT editable THEN 'choice' ELSE 'text' END AS sort, doc_id // 8 % 5 AS a FROM f)
+    SELECT doc_id, CASE WHEN reason IS NOT NULL THEN reason WHEN a = 4 THEN 'stale'
+        WHEN sort = 'toggle' AND native = 3 AND a = 1 THEN 'radio' WHEN sort = 'toggle' THEN NULL
+        WHEN native IN (4, 5) AND a = 0 THEN CASE WHEN native = 4 THEN 'rows' END WHEN native IN (4, 5) AND a = 1 THEN NULL WHEN native IN (4, 5) AND a = 2 THEN CASE WHEN NOT multi_select THEN 'rows' END WHEN native IN (4, 5) THEN 'rows'
+        WHEN a = 0 THEN 'text' WHEN a = 1 AND NOT multiline THEN 'line_break' WHEN a = 3 THEN 'type' END AS reason FROM v""")
+def i6_fill_fields(s, d):
+    f = _widgets(s, d)
+    a, pick = F.floor(F.col("doc_id") / 8) % 5, F.col("native_kind").isin(4, 5)
+    toggle = F.col("native_kind").isin(2, 3)
+    rows = F.when(a == 0, F.array().cast("array<int>")).when(a == 1, F.array(F.lit(2))).when(a == 2, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(2), F.lit(1)))
+    text = F.when(a == 0, "a\x00b").when(a == 1, "two\r\nlines").when(a == 3, F.lit(None).cast("string")).otherwise("one")
+    answer = F.struct(F.when(~toggle & ~pick, text).alias("text"), F.when(toggle, a != 1).otherwise(F.when(~pick & (a == 3), F.lit(True))).alias("checked"), F.when(pick, rows).alias("indices"))
+    now = F.struct(F.replace(F.col("value")["text"], F.lit("\n"), F.lit("\r\n")).alias("text"), F.col("value")["checked"].alias("checked"), F.col("value")["indices"].alias("indices"))
+    stale = F.struct(F.lit("stale").alias("text"), F.lit(None).cast("boolean").alias("checked"), F.lit(None).cast("array<int>").alias("indices"))
+    requests = f.select("doc_id", F.when(a == 4, stale).otherwise(now).alias("expected"), answer.alias("answer"))
+    filled, rejected = review.fill_fields(f, requests, ["doc_id"])
+    return filled.select("doc_id").join(rejected.select("doc_id", "reason"), "doc_id", "left")
+
+
 @query(f"WITH {PLAN} SELECT source_id, page_index, count(*) AS widgets, array_to_string(list_sort(list(DISTINCT CAST(pos AS VARCHAR))), ',') AS pages FROM plan GROUP BY 1, 2")
 def i9_field_removal_impact(s, d):
     return review.field_removal_impact(B.plan(s, d).withColumn("pos", F.col("pos").cast("string")), "source_id", "page_index", "pos")
@@ -764,9 +812,10 @@ def k9_orphan_payloads(s, d):
     return history.orphan_payloads(read(s, d, "customer").select(F.col("c_custkey").alias("file")), read(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("file")))
 
 
-@query("SELECT sha256(b) AS digest, count(*) AS occurrences, strlen(first(b)) AS bytes, count(DISTINCT doc_id) AS versions, (count(*) - 1) * strlen(first(b)) AS saved_bytes FROM (SELECT doc_id, substr(text, CAST(i * 256 + 1 AS INT), 256) AS b FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // 256 + 1)) AS i FROM documents WHERE length(text) > 0)) GROUP BY b")
+@query("""SELECT sha256(unhex(b)) AS digest, count(*) AS occurrences, length(first(b)) // 2 AS bytes, count(DISTINCT doc_id) AS versions, (count(*) - 1) * (length(first(b)) // 2) AS saved_bytes
+    FROM (SELECT doc_id, substr(h, CAST(i * 510 + 1 AS INT), 510) AS b FROM (SELECT doc_id, h, unnest(range(0, (length(h) - 1) // 510 + 1)) AS i FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents) WHERE length(h) > 0)) GROUP BY b""")
 def k10_block_dedup_report(s, d):
-    return history.block_dedup_report(read(s, d, "documents"), "doc_id", 256)
+    return history.block_dedup_report(read(s, d, "documents"), "doc_id", 255)
 
 
 @query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(min(value), 6) AS least, round(max(value), 6) AS largest, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
@@ -910,16 +959,49 @@ def e1_page_text(s, d):
     return recognised.page_text(_chars(s, d).withColumn("x", F.col("x") % 420), 300, 800)
 
 
-@query("""SELECT c_custkey AS doc_id, '[Form fields]' || chr(10) || 'Name: ' || c_name || chr(10) || 'c_nationkey: ' || c_nationkey || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || 'Unnamed field: ' || c_mktsegment ELSE '' END AS text, 1 AS skipped_fields FROM customer""")
+@query("""SELECT c_custkey AS doc_id, '[Form fields]' || chr(10) || 'Name: ' || c_name || chr(10) || 'c_nationkey: ' || c_nationkey || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || 'Unnamed field: ' || c_mktsegment ELSE '' END
+        || chr(10) || 'Segment: ' || array_to_string(list_filter([[c_mktsegment, 'a', 'b'][c_custkey % 3 + 1], [c_mktsegment, 'a', 'b'][c_nationkey % 5 + 1]], lambda x: x IS NOT NULL), ', ')
+        || chr(10) || 'Agreed: ' || CASE WHEN c_custkey % 3 = 0 THEN 'Checked' ELSE 'Unchecked' END AS text, 2 AS skipped_fields FROM customer""")
 def e2_form_values_text(s, d):
-    field = lambda pos, label, name, kind, value, checked: F.struct(F.lit(pos).alias("pos"), F.lit(label).cast("string").alias("label"), F.lit(name).alias("name"), F.lit(kind).alias("kind"), value.cast("string").alias("value"), checked.alias("checked"))
+    none = F.lit(None).cast("boolean")
+
+    def field(pos, label, name, kind, value, checked=none, options=None, selected=None):
+        texts = lambda v, t: F.lit(None).cast(t) if v is None else v.cast(t)
+        return F.struct(
+            F.lit(pos).alias("pos"), F.lit(label).cast("string").alias("label"), F.lit(name).alias("name"), F.lit(kind).alias("kind"), value.cast("string").alias("value"), checked.alias("checked"),
+            texts(options, "array<string>").alias("options"), texts(selected, "array<int>").alias("selected"),
+        )
+
     f = F.array(
-        field(0, "Name", "c_name", "text", F.col("c_name"), F.lit(None).cast("boolean")), field(1, " ", "c_nationkey", "choice", F.col("c_nationkey"), F.lit(None).cast("boolean")),
-        field(2, None, "", "radio", F.col("c_mktsegment"), F.col("c_custkey") % 2 == 0), field(3, "Pin", "pin", "password", F.col("c_custkey"), F.lit(None).cast("boolean")),
+        field(0, "Name", "c_name", "text", F.col("c_name")), field(1, " ", "c_nationkey", "choice", F.col("c_nationkey")), field(2, None, "", "radio", F.col("c_mktsegment"), F.col("c_custkey") % 2 == 0), field(3, "Pin", "pin", "password", F.col("c_custkey")),
+        field(4, "Segment", "seg", "list", F.lit(None), none, F.array("c_mktsegment", F.lit("a"), F.lit("b")), F.array(F.col("c_custkey") % 3, F.col("c_nationkey") % 5)), field(5, "Agreed", "ok", "checkbox", F.lit(None), F.col("c_custkey") % 3 == 0),
+        field(6, "Other", "x", "unsupported", F.lit("x")),
     )
     return recognised.form_values_text(read(s, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.inline(f)))
 
 
+#: Two lines of a page are a paragraph, two paragraphs a block.
+@query(f"WITH {WORDS} SELECT doc_id, line_no // 8 AS page_index, line_no % 8 // 4 AS block, line_no % 4 // 2 AS paragraph, line_no % 2 AS line, line_no % 8 AS page_line, k AS word, text, length(text) AS confidence FROM words")
+def e3_ocr_words(s, d):
+    return recognised.ocr_words(_nested(s, d))
+
+
+def _nested(s, d):
+    words = lambda t: F.transform(F.split(t, " "), lambda w: F.struct(w.alias("text"), F.length(w).cast("long").alias("confidence")))
+    cut = lambda a, n: F.transform(F.sequence(F.lit(1), F.size(a), F.lit(n)), lambda i: F.slice(a, i, F.lit(n)))
+    lines = lambda a: F.transform(a, lambda t: F.struct(words(t).alias("words")))
+    block = lambda a: F.struct(F.transform(cut(a, 2), lambda p: F.struct(lines(p).alias("lines"))).alias("paragraphs"))
+    docs = read(s, d, "documents").where("text is not null").select("doc_id", F.split("text", "\n").alias("l"))
+    return docs.select("doc_id", F.posexplode(cut(F.col("l"), 8)).alias("page_index", "p")).select("doc_id", F.col("page_index").cast("long").alias("page_index"), F.transform(cut(F.col("p"), 4), block).alias("blocks"))
+
+
+@query(f"""WITH {WORDS}, v AS (SELECT doc_id, line_no // 8 AS page_index, line_no, k, text, CASE WHEN length(trim(text)) = 0 THEN 'empty' WHEN regexp_matches(text, '\\p{{Cc}}') THEN 'control' WHEN length(text) > 10 THEN 'confidence' WHEN k * 60 + 48 > 900 THEN 'outside' END AS reason FROM words)
+    SELECT doc_id, page_index, count(*) AS n_words, CAST(sum(length(text)) AS BIGINT) AS n_chars, CASE WHEN count(DISTINCT line_no) > 7 THEN 'lines' WHEN count(*) > 200 THEN 'words' WHEN sum(strlen(text)) > 900 THEN 'bytes' WHEN sum(length(text)) > 850 THEN 'chars' ELSE arg_min(reason, (line_no, k)) FILTER (WHERE reason IS NOT NULL) END AS reason FROM v GROUP BY 1, 2""")
+def e4_ocr_page_validate(s, d):
+    w = recognised.ocr_words(_nested(s, d)).select("doc_id", "page_index", F.col("page_line").alias("line"), "word", "text", (F.col("confidence") * 10).alias("confidence"), (F.col("word") * 60).alias("x"), F.lit(0).alias("y"), F.lit(48).alias("width"), F.lit(10).alias("height"))
+    return assemble.ocr_page_validate(w, 900, 100, ["doc_id", "page_index"], most_lines=7, most_words=200, most_bytes=900, most_chars=850)
+
+
 def _ocr(s, d):
     return B.pages(s, d).select("doc_id", "page_index", F.transform(F.split("text", "\n"), lambda x: F.split(x, " ")).alias("lines"))
 
