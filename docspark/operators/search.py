@@ -124,31 +124,44 @@ def search_union(native: DataFrame, added: DataFrame, id_cols: list[str]) -> Dat
 
 
 def search_many(docs: DataFrame, queries: DataFrame, anchor: int = 4, text: str = "text", bits: int = 20) -> DataFrame:
-    """(doc_id, item_id) where the document contains the query's text, whatever stands round it: equi-join on inner words, then an exact test.
+    """(doc_id, item_id) where the document contains the query's text, whatever stands round it: equi-join on an anchor, then an exact test.
 
-    The query's first and last word may be parts of the document's words; those between are whole ones, for the query itself
-    has blanks on both sides of them. A bitmap of the queries' anchors (2**bits bits, one broadcast row) drops a document's other
-    word groups before they become rows. Texts without inner words are compared with every document.
+    A query's anchor are its inner words: its first and last word may be parts of the document's words; those between are whole
+    ones, for the query itself has blanks on both sides of them. A query without inner words is anchored by its first `anchor`
+    characters, at whatever place of the document. A bitmap of the queries' anchors (2**bits bits, one broadcast row) drops a
+    document's other word and character groups before they become rows. An empty query is in every document.
     """
     words = lambda c: F.split(F.lower(c), "[ \n\t]+")
-    q = queries.select("item_id", F.col("text").alias("needle")).withColumn("w", words(F.col("needle"))).withColumn("k", F.least(F.lit(anchor), F.size("w") - 2))
-    long = q.where("k > 0").select("item_id", "needle", "k", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("k")), " "), "k").alias("h"))
-    short = q.where("k <= 0").select("item_id", "needle")
-    d = docs.select("doc_id", F.col(text).alias("body")).withColumn("w", words(F.col("body")))
-    gram = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - k + 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " "), F.lit(k)))
-    lengths = [r.k for r in long.select("k").distinct().collect()]  # at most `anchor` numbers
+    q = queries.where("text is not null").select("item_id", F.col("text").alias("needle")).withColumn("w", words(F.col("needle"))).withColumn("k", F.least(F.lit(anchor), F.size("w") - 2))
+    q = q.withColumn("k", F.when(F.col("k") > 0, F.col("k")).otherwise(-F.least(F.lit(anchor), F.length(F.lower("needle")))))
+    inner = F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.greatest("k", F.lit(1))), " "), "k")
+    q = q.withColumn("h", F.when(F.col("k") > 0, inner).otherwise(F.xxhash64(F.substring(F.lower("needle"), F.lit(1), -F.col("k")), "k")))
+    anchored, empty = q.where("k <> 0").select("item_id", "needle", "k", "h"), q.where("k = 0").select("item_id")
+    d = docs.select("doc_id", F.col(text).alias("body")).where("body is not null")
+    lengths = sorted(r.k for r in q.select("k").distinct().collect())  # at most twice `anchor` numbers and 0
+    everywhere = d.select("doc_id").join(empty) if 0 in lengths else None  # that is the result itself
+    lengths = [k for k in lengths if k]
     if not lengths:
-        return d.select("doc_id", "body").join(short, F.contains(F.lower("body"), F.lower("needle"))).select("doc_id", "item_id")
+        return everywhere if everywhere is not None else d.select("doc_id").join(empty).limit(0)
     at = F.pmod("h", F.lit(1 << bits))
-    masks = long.groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {1 << bits}) % 64 as int))")).alias("mask"))
+    masks = anchored.groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {1 << bits}) % 64 as int))")).alias("mask"))
     every = docs.sparkSession.range(1 << (bits - 6)).select(F.col("id").cast("int").alias("word")).join(F.broadcast(masks), "word", "left")
     bitmap = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")))), lambda x: x["mask"]).alias("bitmap"))
     known = lambda h: F.expr("1L").bitwiseAND(F.call_function("shiftright", F.get("bitmap", F.shiftright(F.pmod(h, F.lit(1 << bits)), 6).cast("int")), (F.pmod(h, F.lit(1 << bits)) % 64).cast("int"))) == 1
-    grams = F.array_distinct(F.filter(F.flatten(F.array(*[gram(k) for k in lengths])), known))
-    hits = d.withColumn("one", F.lit(1)).join(F.broadcast(bitmap.withColumn("one", F.lit(1))), "one").select("doc_id", F.explode(grams).alias("h")).join(long.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
+
+    def grams(parts, k):
+        """The hashes of groups of abs(k) parts in a row (words for k > 0, characters otherwise) that may be anchors."""
+        n, glue = abs(k), " " if k > 0 else ""
+        starts = F.when(F.size(parts) >= n, F.sequence(F.lit(1), F.size(parts) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(parts, i, n), glue), F.lit(k))), known)
+
+    of_words = let(words(F.col("body")), lambda w: F.flatten(F.array(*[grams(w, k) for k in lengths if k > 0]))) if lengths[-1] > 0 else None
+    of_letters = let(F.split(F.lower("body"), ""), lambda c: F.flatten(F.array(*[grams(c, k) for k in lengths if k < 0]))) if lengths[0] < 0 else None
+    found = F.array_distinct(F.concat(*[g for g in (of_words, of_letters) if g is not None]))
+    hits = d.withColumn("one", F.lit(1)).join(F.broadcast(bitmap.withColumn("one", F.lit(1))), "one").select("doc_id", F.explode(found).alias("h")).join(anchored.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
     holds = F.contains(F.lower("body"), F.lower("needle"))
-    found = hits.join(long.select("item_id", "needle"), "item_id").join(d.select("doc_id", "body"), "doc_id").where(holds).select("doc_id", "item_id")
-    return found.unionByName(d.select("doc_id", "body").join(short, holds).select("doc_id", "item_id"))
+    hits = hits.join(anchored.select("item_id", "needle"), "item_id").join(d, "doc_id").where(holds).select("doc_id", "item_id")
+    return hits.unionByName(everywhere) if everywhere is not None else hits
 
 
 def next_prev_match(matches: DataFrame, cursors: DataFrame, key: str = "doc_id") -> DataFrame:

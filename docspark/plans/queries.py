@@ -9,6 +9,7 @@ from docspark.functions import text as T
 from docspark.operators import assemble, history, layout, outline, pages, recognised, redact, replace, review, search
 from docspark.plans import bindings as B
 from docspark.plans.bindings import LOG, OUTLINE, PAGES, PLAN, RUNS, read
+from docspark.sources import corpus
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -52,6 +53,19 @@ def a3_export_text(s, d):
     return assemble.export_text(B.pages(s, d))
 
 
+@query(f"""WITH {PAGES} SELECT doc_id, sha256(string_agg(p.text, chr(10) || chr(12) || chr(10) ORDER BY page_index)) AS digest, coalesce(any_value(lang), 'none') AS folder FROM doc_pages p JOIN documents USING (doc_id) GROUP BY 1""")
+def a4_export_text_sink(s, d):
+    texts = assemble.export_text(B.pages(s, d)).join(read(s, d, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("folder")), "doc_id").select("doc_id", "text", "folder")
+    path = corpus.scratch(s, "texts")
+    corpus.export_text_sink(texts, path, ("folder",))
+    return corpus.scan_corpus(s, path, texts.schema).select("doc_id", F.sha2("text", 256).alias("digest"), "folder")
+
+
+@query()
+def a7_binary_inventory(s, d):
+    return corpus.binary_inventory(s, d)
+
+
 @query(f"""WITH {PAGES}, c AS (SELECT doc_id, count(*) AS n FROM doc_pages GROUP BY 1)
     SELECT doc_id, page_index, text, NULL AS error FROM doc_pages JOIN c USING (doc_id) WHERE CASE doc_id % 5 WHEN 0 THEN true WHEN 1 THEN page_index = 1 WHEN 2 THEN n >= 4 AND page_index IN (0, 2, 3) ELSE false END
     UNION ALL SELECT doc_id, NULL, NULL, CASE doc_id % 5 WHEN 1 THEN 'current' WHEN 3 THEN 'syntax' ELSE 'bounds' END FROM c WHERE doc_id % 5 = 1 AND n < 2 OR doc_id % 5 = 2 AND n < 4 OR doc_id % 5 IN (3, 4)
@@ -191,6 +205,16 @@ def c9_search_many(s, d):
     return search.search_many(read(s, d, "documents"), read(s, d, "benchmark"))
 
 
+SHORT = "SELECT item_id * 3 + k AS item_id, CASE k WHEN 0 THEN substr(text, 2, 3) WHEN 1 THEN split_part(text, ' ', 2) || ' ' ELSE text END AS text FROM benchmark, (VALUES (0), (1), (2)) v(k)"
+
+
+@query(f"SELECT doc_id, item_id FROM documents d JOIN ({SHORT}) b ON contains(lower(d.text), lower(b.text))")
+def c9_search_short(s, d):
+    each = F.posexplode(F.array(F.substring("text", 2, 3), F.concat(F.get(F.split("text", " "), F.lit(1)), F.lit(" ")), F.col("text"))).alias("k", "text")
+    asked = read(s, d, "benchmark").select("item_id", each)
+    return search.search_many(read(s, d, "documents"), asked.select((F.col("item_id") * 3 + F.col("k")).alias("item_id"), "text"))
+
+
 @query(f"""WITH {_the('found', 'documents', 'doc_id')}, placed AS (SELECT doc_id, start, n_chars // 2 AS cursor FROM found JOIN documents USING (doc_id))
     SELECT doc_id, cursor, coalesce(min(start) FILTER (WHERE start >= cursor), min(start)) AS next_start, coalesce(max(start) FILTER (WHERE start < cursor), max(start)) AS prev_start FROM placed GROUP BY ALL""")
 def c10_next_prev_match(s, d):

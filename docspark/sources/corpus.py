@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -21,3 +24,13 @@ def binary_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Distinct files below path by content: sha256, length, first bytes, number of copies."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.groupBy(F.sha2("content", 256).alias("sha256")).agg(F.first("length").alias("length"), F.first(F.hex(F.substring("content", 1, 8))).alias("magic"), F.count("*").alias("copies"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir); in a temporary one only in local mode where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='docspark-')}"
+    return f"{named.rstrip('/')}/docspark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
