@@ -1,37 +1,70 @@
 """Redaction by rectangles over the characters of pages: PAGE columns and chars, an array of text, x, y, width, height in reading order.
 
-A page's marks come to it as one array and everything is worked out inside the two arrays, so that only results become rows.
+A page's marks come to it as one array; characters and marks of a batch of pages are compared in numpy, and only results become
+rows.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.functions.fold import let, splice
+from docspark.functions.fold import splice
 
 PAGE = ["doc_id", "page_index"]
 
 
-def _meets(c: Column, m: Column, touching: bool = False) -> Column:
-    """Whether the character's box meets the mark; touching also counts where asked for."""
-    if touching:
-        return (c["x"] <= m["mx"] + m["mw"]) & (c["x"] + c["width"] >= m["mx"]) & (c["y"] <= m["my"] + m["mh"]) & (c["y"] + c["height"] >= m["my"])
+def _meets(c: Column, m: Column) -> Column:
+    """Whether the character's box and the mark overlap."""
     return (c["x"] < m["mx"] + m["mw"]) & (c["x"] + c["width"] > m["mx"]) & (c["y"] < m["my"] + m["mh"]) & (c["y"] + c["height"] > m["my"])
 
 
-def _marked(pages: DataFrame, marks: DataFrame, touching: bool) -> DataFrame:
-    """Pages with marks, and hits: the sorted places of the characters that a mark meets."""
+def _hits(batch: pa.RecordBatch, touching: bool) -> tuple[pa.StructArray, np.ndarray, np.ndarray, np.ndarray]:
+    """All characters of a batch of pages with marks, the page of each, its place there, and whether a mark meets it."""
+    flat = lambda name: (batch.column(name).flatten(), pc.fill_null(pc.list_value_length(batch.column(name)), 0).to_numpy(zero_copy_only=False))
+    number = lambda rows, f: rows.field(f).cast(pa.float64()).to_numpy(zero_copy_only=False)
+    (chars, sizes), (marks, counts) = flat("chars"), flat("marks")
+    page = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(page)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    left, top = number(chars, "x"), number(chars, "y")
+    right, bottom = left + number(chars, "width"), top + number(chars, "height")
+    x, y = number(marks, "mx"), number(marks, "my")
+    r, b = x + number(marks, "mw"), y + number(marks, "mh")
+    under = np.less_equal if touching else np.less
+    first, hit = np.cumsum(counts) - counts, np.zeros(len(page), bool)
+    for k in range(int(counts.max(initial=0))):
+        on = np.flatnonzero((counts > k)[page] & ~hit)
+        m = first[page[on]] + k
+        hit[on] = under(left[on], r[m]) & under(x[m], right[on]) & under(top[on], b[m]) & under(y[m], bottom[on])
+    return chars, page, place, hit
+
+
+def _marked(pages: DataFrame, marks: DataFrame, found, more: str) -> DataFrame:
+    """Rows that found(batch) gives for the pages with marks: an index of pages and the further columns."""
     per_page = marks.groupBy(*PAGE).agg(F.collect_list(F.struct("mx", "my", "mw", "mh")).alias("marks"))
     j = pages.select(*PAGE, "chars").where(F.size("chars") > 0).join(per_page, PAGE)
-    places = F.sequence(F.lit(0), F.size("chars") - 1)
-    return j.withColumn("hits", F.filter(places, lambda i: F.exists("marks", lambda m: _meets(F.get("chars", i), m, touching))))
+    names = PAGE + [c.split(" ")[0] for c in more.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            page, *columns = found(batch)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(page)) for c in PAGE] + columns, names=names)
+
+    keys = ", ".join(f"{c} {j.schema[c].dataType.simpleString()}" for c in PAGE)
+    return j.mapInArrow(run, f"{keys}, {more}")
 
 
 def mark_glyphs(pages: DataFrame, marks: DataFrame, touching: bool = False) -> DataFrame:
     """Characters that a mark (page, mx, my, mw, mh) meets: page, char_index, text."""
-    hit = _marked(pages, marks, touching).select(*PAGE, F.explode(F.transform("hits", lambda i: F.struct(i.cast("long").alias("char_index"), F.get("chars", i)["text"].alias("text")))).alias("h"))
-    return hit.select(*PAGE, "h.*")
+
+    def found(batch):
+        chars, page, place, hit = _hits(batch, touching)
+        return page[hit], pa.array(place[hit], pa.int64()), chars.field("text").filter(pa.array(hit))
+
+    return _marked(pages, marks, found, "char_index long, text string")
 
 
 def missed_marks(pages: DataFrame, marks: DataFrame) -> DataFrame:
@@ -46,16 +79,18 @@ def mark_ranges(pages: DataFrame, marks: DataFrame, touching: bool = False, brid
     """Ranges of characters that marks meet: page, start, stop. Neighbouring hits are one range and, with bridge_spaces, so are hits
     between which there are only spaces; spaces before the first hit and behind the last one are left alone."""
 
-    def apart(hits: Column, k: Column) -> Column:
-        """Whether a range ends before the k-th hit."""
-        p, q = F.get(hits, k - 1), F.get(hits, k)
-        between = F.forall(F.slice("chars", p + 2, q - p - 1), lambda c: c["text"] == " ") if bridge_spaces else q == p + 1
-        return ~F.coalesce(between, F.lit(False))
-
-    cuts = lambda hits: F.filter(F.sequence(F.lit(0), F.size(hits)), lambda k: (k == 0) | (k == F.size(hits)) | apart(hits, k))
-    ends = lambda hits, at: F.transform(F.sequence(F.lit(0), F.size(at) - 2), lambda i: F.struct(F.get(hits, F.get(at, i)).cast("long").alias("start"), (F.get(hits, F.get(at, i + 1) - 1) + 1).cast("long").alias("stop")))
-    hit = _marked(pages, marks, touching).where(F.size("hits") > 0)
-    return hit.select(*PAGE, F.explode(let(cuts(F.col("hits")), lambda at: ends(F.col("hits"), at))).alias("r")).select(*PAGE, "r.*")
+    def found(batch):
+        chars, page, place, hit = _hits(batch, touching)
+        at = np.flatnonzero(hit)
+        solid = np.cumsum(~pc.fill_null(pc.equal(chars.field("text"), " "), False).to_numpy(zero_copy_only=False)) if bridge_spaces else np.arange(len(hit))
+        # between two hits of a page there are only spaces if the later one is the next solid character, or none lies between
+        gap = solid[at[1:] - 1] - solid[at[:-1]]
+        new = np.concatenate([[True], (page[at[1:]] != page[at[:-1]]) | (gap > 0)]) if len(at) else np.zeros(0, bool)
+        heads = np.flatnonzero(new)
+        last = at[np.append(heads[1:], len(at)) - 1] if len(heads) else at
+        return page[at[heads]], pa.array(place[at[heads]], pa.int64()), pa.array(place[last] + 1, pa.int64())
+
+    return _marked(pages, marks, found, "start long, stop long")
 
 
 def area_ranges(pages: DataFrame, marks: DataFrame) -> DataFrame:

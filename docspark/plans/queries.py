@@ -710,8 +710,9 @@ HIT = "hits AS (SELECT * FROM chars WHERE (x < 90 AND x + 6 > 50) OR (x < 114 AN
 
 def _page_chars(s, d):
     box = lambda c, i: F.struct(c.alias("text"), (i * 6).alias("x"), F.lit(0).alias("y"), F.lit(6).alias("width"), F.lit(12).alias("height"))
-    r = B.runs(s, d).where(F.length("text") > 0)
-    return r.select("doc_id", F.col("line_no").alias("page_index"), F.transform(F.split("text", ""), box).alias("chars"))
+    # dealt by page while it is still text: a table of few files would take the characters apart in as few tasks
+    r = B.runs(s, d).where(F.length("text") > 0).select("doc_id", F.col("line_no").alias("page_index"), "text").repartition("doc_id", "page_index")
+    return r.select("doc_id", "page_index", F.transform(F.split("text", ""), box).alias("chars"))
 
 
 def _chars(s, d):
@@ -873,7 +874,7 @@ def _boxes(s, d):
 
     blank = F.struct(F.lit("\n").alias("text"), *[F.lit(0.0).alias(n) for n in ("x", "y", "width", "height")])
     lines = F.transform(F.split("text", "\n"), lambda t, n: F.concat(F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c, i: box(c, n, i)), F.array(blank)))
-    return B.pages(s, d).select("doc_id", "page_index", F.flatten(lines).alias("chars"), turned.alias("vertical"))
+    return B.pages(s, d).repartition("doc_id", "page_index").select("doc_id", "page_index", F.flatten(lines).alias("chars"), turned.alias("vertical"))
 
 
 def _rects(s, d):
