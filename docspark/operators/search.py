@@ -192,8 +192,10 @@ def match_rects(matches: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFr
     box = lambda c: F.struct(c["text"].alias("text"), *[c[k].cast(number).alias(a) for a, k in (("x", "x"), ("y", "y"), ("w", "width"), ("h", "height"))])
     finite = lambda v: ~F.isnan(v) & (F.abs(v) < float("inf"))
     solid = lambda c: (F.length(collapse_whitespace(c["text"])) > 0) & (c["w"] > 0) & (c["h"] > 0) & finite(c["x"]) & finite(c["y"]) & finite(c["w"]) & finite(c["h"])
-    j = matches.join(boxes.select(*keys, "chars", F.coalesce("vertical", F.lit(False)).alias("vertical")), keys)
-    taken = F.filter(F.transform(F.slice("chars", (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")), box), solid)
+    # a page's matches come to its characters as one array, so that these are not copied for each match
+    per_page = matches.groupBy(*keys).agg(F.collect_list(F.struct("ordinal", "start", "stop")).alias("found"))
+    j = boxes.select(*keys, "chars", F.coalesce("vertical", F.lit(False)).alias("vertical")).join(per_page, keys)
+    taken = lambda m: F.filter(F.transform(F.slice("chars", (m["start"] + 1).cast("int"), (m["stop"] - m["start"]).cast("int")), box), solid)
     names = ("line", "x0", "y0", "x1", "y1")
     kind = f"struct<line: int, {', '.join(f'{n}: {number}' for n in names[1:])}>"
 
@@ -212,8 +214,9 @@ def match_rects(matches: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFr
 
     start = F.struct(F.lit(-1).alias("line"), *[F.lit(None).cast(number).alias(n) for n in names[1:]])
     last = lambda states: F.filter(states, lambda v, i: F.coalesce(F.get(states, i + 1)["line"] != v["line"], F.lit(True)))
-    rects = j.select(*keys, "ordinal", F.explode(let(scan(taken, start, grown, kind), last)).alias("r"))
-    return rects.select(*keys, "ordinal", "r.line", F.col("r.x0").alias("x"), F.col("r.y0").alias("y"), (F.col("r.x1") - F.col("r.x0")).alias("width"), (F.col("r.y1") - F.col("r.y0")).alias("height"))
+    each = lambda m: F.transform(let(scan(taken(m), start, grown, kind), last), lambda r: F.struct(m["ordinal"].alias("ordinal"), *[r[n].alias(n) for n in names]))
+    rects = j.select(*keys, F.explode(F.flatten(F.transform("found", each))).alias("r"))
+    return rects.select(*keys, "r.ordinal", "r.line", F.col("r.x0").alias("x"), F.col("r.y0").alias("y"), (F.col("r.x1") - F.col("r.x0")).alias("width"), (F.col("r.y1") - F.col("r.y0")).alias("height"))
 
 
 #: Classes of the default rules for word boundaries (marks and format characters go with the character before them).
