@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
 
@@ -180,22 +181,24 @@ def search_restricted(matches: DataFrame, permissions: DataFrame, key: str = "do
     return matches.join(p, key, "left").withColumn("matched", F.when(F.coalesce("may_copy", F.lit(True)), F.col("matched"))).drop("may_copy")
 
 
-def match_rects(matches: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
+def match_rects(matches: DataFrame, boxes: DataFrame, keys: list[str], chars: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """The rectangles that cover each match: keys, ordinal, line (from 0), x, y, width, height.
 
     boxes: keys, chars (the page's characters in order, an array of text, x, y, width, height) and vertical (whether lines run down
     the page, as on one turned by 90 or 270 degrees). A character joins the rectangle before it if they share at least half of
     the thinner one's thickness and lie no farther apart than that; the rectangle is the one grown so far, not the last
-    character. Blank characters and boxes without an area or with infinite edges are passed over.
+    character. Blank characters and boxes without an area or with infinite edges are passed over. Where chars follow from other
+    columns of boxes, give them as chars(start, stop), an expression for those of a match: only these are then taken out of a page.
     """
     number = "double"
     box = lambda c: F.struct(c["text"].alias("text"), *[c[k].cast(number).alias(a) for a, k in (("x", "x"), ("y", "y"), ("w", "width"), ("h", "height"))])
     finite = lambda v: ~F.isnan(v) & (F.abs(v) < float("inf"))
     solid = lambda c: (F.length(collapse_whitespace(c["text"])) > 0) & (c["w"] > 0) & (c["h"] > 0) & finite(c["x"]) & finite(c["y"]) & finite(c["w"]) & finite(c["h"])
     # a page's matches come to its characters as one array, so that these are not copied for each match
-    per_page = matches.groupBy(*keys).agg(F.collect_list(F.struct("ordinal", "start", "stop")).alias("found"))
-    j = boxes.select(*keys, "chars", F.coalesce("vertical", F.lit(False)).alias("vertical")).join(per_page, keys)
-    taken = lambda m: F.filter(F.transform(F.slice("chars", (m["start"] + 1).cast("int"), (m["stop"] - m["start"]).cast("int")), box), solid)
+    per_page = matches.groupBy(*keys).agg(F.collect_list(F.struct("ordinal", "start", "stop")).alias("_matches"))
+    j = boxes.withColumn("vertical", F.coalesce("vertical", F.lit(False))).join(per_page, keys)
+    given = chars or (lambda start, stop: F.slice("chars", (start + 1).cast("int"), (stop - start).cast("int")))
+    taken = lambda m: F.filter(F.transform(given(m["start"], m["stop"]), box), solid)
     names = ("line", "x0", "y0", "x1", "y1")
     kind = f"struct<line: int, {', '.join(f'{n}: {number}' for n in names[1:])}>"
 
@@ -215,7 +218,7 @@ def match_rects(matches: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFr
     start = F.struct(F.lit(-1).alias("line"), *[F.lit(None).cast(number).alias(n) for n in names[1:]])
     last = lambda states: F.filter(states, lambda v, i: F.coalesce(F.get(states, i + 1)["line"] != v["line"], F.lit(True)))
     each = lambda m: F.transform(let(scan(taken(m), start, grown, kind), last), lambda r: F.struct(m["ordinal"].alias("ordinal"), *[r[n].alias(n) for n in names]))
-    rects = j.select(*keys, F.explode(F.flatten(F.transform("found", each))).alias("r"))
+    rects = j.select(*keys, F.explode(F.flatten(F.transform("_matches", each))).alias("r"))
     return rects.select(*keys, "r.ordinal", "r.line", F.col("r.x0").alias("x"), F.col("r.y0").alias("y"), (F.col("r.x1") - F.col("r.x0")).alias("width"), (F.col("r.y1") - F.col("r.y0")).alias("height"))
 
 

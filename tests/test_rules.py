@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docspark.functions.fold import scan, splice
-from docspark.operators import layout, outline, pages, redact, replace, review
+from docspark.operators import layout, outline, pages, redact, replace, review, search
 
 
 def test_scan_and_splice(spark):
@@ -166,3 +166,26 @@ def test_deleting_comments(spark):
     d = spark.createDataFrame([(1, 0, "a"), (1, 1, "other"), (1, 2, "c"), (1, 9, "x")], "conv_id long, turn long, expected_text string")
     left = review.delete_comments(c, d, ["conv_id", "turn"])
     assert sorted(r.turn for r in left.collect()) == [1, 2, 3]
+
+
+def test_pages_meet_marks_as_text(spark):
+    pages = spark.createDataFrame([(1, 0, "ab cd"), (1, 1, "xyz"), (2, 0, "other")], "doc_id long, page_index long, text string")
+    boxed = F.transform(F.split("text", ""), lambda c, i: F.struct(c.alias("text"), (i * 6).alias("x"), F.lit(0).alias("y"), F.lit(6).alias("width"), F.lit(12).alias("height")))
+    marks = spark.createDataFrame([(1, 0, 7, 7, 2, 6, 4), (1, 1, 8, 90, 2, 5, 5), (3, 0, 9, 0, 0, 9, 9)], "doc_id long, page_index long, mark_id long, mx int, my int, mw int, mh int")
+    whole = pages.withColumn("chars", boxed)
+    for job in (redact.mark_glyphs, redact.mark_ranges, redact.area_ranges, redact.missed_marks):
+        got = job(pages, marks, chars=boxed)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, job(whole, marks).collect()))
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "transform(" in plan[: plan.index("Join")] and "transform(" not in plan[plan.index("Join") :]
+    assert sorted(r.mark_id for r in redact.missed_marks(pages, marks, boxed).collect()) == [8, 9]
+    assert [(r.start, r.stop) for r in redact.mark_ranges(pages, marks, chars=boxed).collect()] == [(1, 3)]
+
+
+def test_only_a_match_is_taken_out_of_its_page(spark):
+    pages = spark.createDataFrame([(1, "say the\nthe end", False)], "doc_id long, text string, vertical boolean")
+    box = lambda c, at: F.struct(c.alias("text"), (at * 6).alias("x"), F.lit(0).alias("y"), F.lit(6).alias("width"), F.lit(12).alias("height"))
+    some = lambda start, stop: F.transform(F.split(F.substring("text", (start + 1).cast("int"), (stop - start).cast("int")), ""), lambda c, k: box(c, start + k))
+    found = search.search_matches(pages.select("doc_id", "text"), "the")
+    want = search.match_rects(found, pages.withColumn("chars", F.transform(F.split("text", ""), box)), ["doc_id"]).collect()
+    assert len(want) == 2 and sorted(search.match_rects(found, pages, ["doc_id"], some).collect()) == sorted(want)
