@@ -15,12 +15,18 @@ def page_text(chars: DataFrame, width: float, height: float) -> DataFrame:
     """Page text of chars (page, char_index, text, x, y, width, height).
 
     Characters off the page go, and a line break takes the place of such a group and of the blanks around it, so that words
-    never fuse; blanks at either end go too.
+    never fuse; blanks at either end go too. chars may also be pages (page, chars: an array of text, x, y, width, height in
+    order), which are not shuffled.
     """
-    seen = (F.col("x") < width) & (F.col("y") < height) & (F.col("x") + F.col("width") > 0) & (F.col("y") + F.col("height") > 0)
-    piece = F.when(F.col("text").rlike(r"^\s*$") | seen, F.col("text")).otherwise(GONE)
-    g = chars.select(*PAGE, "char_index", piece.alias("piece")).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("char_index", "piece"))).alias("p"))
-    text = F.array_join(F.transform("p", lambda c: c["piece"]), "")
+    seen = lambda c: (c["x"] < width) & (c["y"] < height) & (c["x"] + c["width"] > 0) & (c["y"] + c["height"] > 0)
+    piece = lambda c: F.when(seen(c) | c["text"].rlike(r"^\s*$"), c["text"]).otherwise(GONE)
+    if "chars" in chars.columns:
+        g = chars.where("size(chars) > 0")
+        text = F.array_join(F.transform("chars", piece), "")
+    else:
+        row = F.struct("text", "x", "y", "width", "height")
+        g = chars.select(*PAGE, "char_index", piece(row).alias("piece")).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("char_index", "piece"))).alias("p"))
+        text = F.array_join(F.transform("p", lambda c: c["piece"]), "")
     text = F.regexp_replace(F.regexp_replace(text, f"^[\\s{GONE}]+|[\\s{GONE}]+$", ""), f"\\s*{GONE}[\\s{GONE}]*", "\n")
     return g.select(*PAGE, normalize_line_endings(text).alias("text"))
 
