@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -20,10 +22,34 @@ def export_text_sink(texts: DataFrame, path: str, partition_by: tuple[str, ...]
     texts.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
 
 
-def binary_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct files below path by content: sha256, length, first bytes, number of copies."""
+def binary_inventory(spark: SparkSession, path: str, block: int = 1 << 20) -> DataFrame:
+    """Distinct files below path by content: sha256, length, first bytes, number of copies.
+
+    Files of a file system that all machines mount (file:) are read a block at a time, whatever their size. Those of other stores
+    come through Spark's reader, each whole as one row.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.groupBy(F.sha2("content", 256).alias("sha256")).agg(F.first("length").alias("length"), F.first(F.hex(F.substring("content", 1, 8))).alias("magic"), F.count("*").alias("copies"))
+
+    def digests(batches):
+        for batch in batches:
+            rows = []
+            for name in batch.column("path").to_pylist():
+                with open(name.removeprefix("file:"), "rb") as f:
+                    part, length, digest = f.read(max(block, 8)), 0, hashlib.sha256()
+                    magic = part[:8].hex().upper()
+                    while part:
+                        digest.update(part)
+                        length += len(part)
+                        part = f.read(block)
+                rows.append((digest.hexdigest(), length, magic))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string()))] if rows else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.string())], names=["sha256", "length", "magic"])
+
+    some = files.select("path").first()  # names alone: no content is read; all files below a path lie in one store
+    if some and some.path.startswith("file:"):
+        each = files.select("path").mapInArrow(digests, "sha256 string, length long, magic string")
+    else:
+        each = files.select(F.sha2("content", 256).alias("sha256"), "length", F.hex(F.substring("content", 1, 8)).alias("magic"))
+    return each.groupBy("sha256").agg(F.first("length").alias("length"), F.first("magic").alias("magic"), F.count("*").alias("copies"))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
