@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -103,22 +103,39 @@ def ocr_review(words: DataFrame, threshold: float = 80) -> DataFrame:
     return words.groupBy("doc_id", bucket.alias("bucket")).agg(F.count("*").alias("n_words"))
 
 
+def _refused(c, width: float, height: float) -> Column:
+    """The first reason for which a word is not valid, null if it is; c gives its columns or fields by name."""
+    bad_box = (c("x") < 0) | (c("y") < 0) | (c("x") + c("width") > width) | (c("y") + c("height") > height)
+    return F.when(F.length(F.trim(c("text"))) == 0, "empty").when(c("text").rlike(r"\p{Cc}"), "control").when(~c("confidence").between(0, 100), "confidence").when(bad_box, "outside")
+
+
 def ocr_validate(words: DataFrame, width: float, height: float) -> DataFrame:
     """words with the first reason for which each is not valid, null if it is."""
-    bad_box = (F.col("x") < 0) | (F.col("y") < 0) | (F.col("x") + F.col("width") > width) | (F.col("y") + F.col("height") > height)
-    reason = F.when(F.length(F.trim("text")) == 0, "empty").when(F.col("text").rlike(r"\p{Cc}"), "control").when(~F.col("confidence").between(0, 100), "confidence").when(bad_box, "outside")
-    return words.withColumn("reason", reason)
+    return words.withColumn("reason", _refused(F.col, width, height))
 
 
 def ocr_page_validate(words: DataFrame, width: float, height: float, page: list[str], line: str = "line", most_lines: int = 10_000, most_words: int = 20_000, most_bytes: int = 2 << 20, most_chars: int = 100_000) -> DataFrame:
     """Per page: n_words, n_chars and reason, why its recognised text is refused as a whole (null if it is not): raster (no area, a side
-    over 6,000 or over 20 million points), lines, words, bytes or chars (too many), or the first reason of a word in order."""
+    over 6,000 or over 20 million points), lines, words, bytes or chars (too many), or the first reason of a word in order.
+
+    words may also be pages with their words as one array in order (page, words, as ocr_word_arrays gives them), which are not
+    shuffled; a page without words gives no row.
+    """
     raster = not (0 < width <= 6000 and 0 < height <= 6000 and width * height <= 20_000_000)
-    order = [c for c in ("block", "paragraph", line, "word") if c in words.columns]
-    g = ocr_validate(words, width, height).groupBy(*page).agg(
-        F.count("*").alias("n_words"), F.sum(F.length("text")).cast("long").alias("n_chars"), F.sum(F.octet_length("text")).alias("bytes"), F.count_distinct(line).alias("lines"),
-        F.min(F.when(F.col("reason").isNotNull(), F.struct(*order, "reason"))).alias("first"),
-    )
+    if "words" in words.columns:
+        texts = F.filter(F.transform("words", lambda w: w["text"]), lambda x: x.isNotNull())
+        total = lambda size: F.when(F.size(texts) > 0, F.aggregate(F.transform(texts, size), F.lit(0).cast("long"), lambda a, n: a + n))
+        reasons = F.filter(F.transform("words", lambda w: _refused(lambda n: w[n], width, height)), lambda r: r.isNotNull())
+        g = words.where("size(words) > 0").select(
+            *page, F.size("words").cast("long").alias("n_words"), total(F.length).alias("n_chars"), total(F.octet_length).alias("bytes"),
+            F.size(F.array_distinct(F.array_compact(F.transform("words", lambda w: w[line])))).alias("lines"), F.struct(F.get(reasons, F.lit(0)).alias("reason")).alias("first"),
+        )
+    else:
+        order = [c for c in ("block", "paragraph", line, "word") if c in words.columns]
+        g = ocr_validate(words, width, height).groupBy(*page).agg(
+            F.count("*").alias("n_words"), F.sum(F.length("text")).cast("long").alias("n_chars"), F.sum(F.octet_length("text")).alias("bytes"), F.count_distinct(line).alias("lines"),
+            F.min(F.when(F.col("reason").isNotNull(), F.struct(*order, "reason"))).alias("first"),
+        )
     over = F.when(F.lit(raster), "raster").when(F.col("lines") > most_lines, "lines").when(F.col("n_words") > most_words, "words").when(F.col("bytes") > most_bytes, "bytes").when(F.col("n_chars") > most_chars, "chars")
     return g.select(*page, "n_words", "n_chars", F.coalesce(over, F.col("first.reason")).alias("reason"))
 

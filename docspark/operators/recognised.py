@@ -64,6 +64,15 @@ def ocr_words(pages: DataFrame) -> DataFrame:
     return each.select(*PAGE, "block", "paragraph", "line", "page_line", F.col("word").cast("long").alias("word"), "w.*")
 
 
+def ocr_word_arrays(pages: DataFrame) -> DataFrame:
+    """The words that ocr_words gives as rows, as one array of each page in order: page, words. Nothing is shuffled."""
+    lines = F.flatten(F.flatten(F.transform("blocks", lambda b, i: F.transform(b["paragraphs"], lambda p, j: F.transform(p["lines"], lambda x, k: F.struct(i.cast("long").alias("block"), j.cast("long").alias("paragraph"), k.cast("long").alias("line"), x["words"].alias("words")))))))
+    nested = pages.select(*PAGE, lines.alias("lines"))
+    own = nested.schema["lines"].dataType.elementType["words"].dataType.elementType.names
+    word = lambda x, k: lambda w, n: F.struct(x["block"].alias("block"), x["paragraph"].alias("paragraph"), x["line"].alias("line"), k.cast("long").alias("page_line"), n.cast("long").alias("word"), *[w[c].alias(c) for c in own])
+    return nested.select(*PAGE, F.flatten(F.transform("lines", lambda x, k: F.transform(x["words"], word(x, k)))).alias("words"))
+
+
 def ocr_flatten(pages: DataFrame) -> DataFrame:
     """Words with their ordinals from nested pages (page, lines: array of arrays of words); lines without words give none."""
     lines = pages.select(*PAGE, F.posexplode("lines").alias("line", "words"))
