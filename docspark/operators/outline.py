@@ -3,12 +3,21 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from docspark.functions.deal import dealt
 
 DOC = "doc_id"
+#: Stands for a level that is null: no item is above, below or beside it.
+NO_LEVEL = np.iinfo(np.int64).max
 
 
 def validate_outline(o: DataFrame) -> DataFrame:
@@ -22,50 +31,158 @@ def validate_outline(o: DataFrame) -> DataFrame:
     return o.withColumn("reason", reason).where("reason is not null").select(DOC, "idx", "reason")
 
 
-def _last(value, before, max_level: int):
-    """For each level below max_level the running value of the last item of that level before the row."""
-    return [F.max(F.when(F.col("level") == k, value)).over(before) for k in range(max_level)]
+def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, in order of their documents, in batches that hold every document whole."""
+    joined = lambda some: pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            cut = int(_heads(batch)[-1])
+            if cut:
+                yield joined([*kept, batch.slice(0, cut)])
+                kept = [batch.slice(cut)]
+            elif kept and kept[0].column(DOC)[0].as_py() != batch.column(DOC)[0].as_py():
+                yield joined(kept)
+                kept = [batch]
+            else:
+                kept.append(batch)
+    if kept:
+        yield joined(kept)
+
+
+def _by_document(rows: DataFrame, schema: StructType, run: Callable[[pa.RecordBatch], list], order: tuple[str, ...] = ("idx",)) -> DataFrame:
+    """What run gives, column by column, for batches of whole documents, their rows in order. Rows are dealt and sorted once; a
+    document's outline is all that Python holds of them."""
+    names = schema.names
+
+    def each(batches):
+        for batch in _documents(batches):
+            yield pa.RecordBatch.from_arrays(run(batch), names=names)
+
+    return dealt(rows, DOC).sortWithinPartitions(DOC, *order).mapInArrow(each, schema)
+
+
+def _new(values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+
+
+def _heads(batch: pa.RecordBatch) -> np.ndarray:
+    """The rows that documents begin at."""
+    return _new(pc.dictionary_encode(batch.column(DOC), null_encoding="encode").indices.to_numpy())
+
+
+def _numbers(batch: pa.RecordBatch, name: str, null: int = 0) -> np.ndarray:
+    return pc.fill_null(batch.column(name).cast(pa.int64()), null).to_numpy(zero_copy_only=False)
+
+
+def _spread(heads: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of n rows where its group begins and where it ends."""
+    sizes = np.diff(np.append(heads, n))
+    return np.repeat(heads, sizes), np.repeat(heads + sizes, sizes)
+
+
+def _last(level: np.ndarray, k: int) -> np.ndarray:
+    """For each row the last row of level k up to it, -1 if there is none."""
+    return np.maximum.accumulate(np.where(level == k, np.arange(len(level)), -1))
+
+
+def _parents(first: np.ndarray, level: np.ndarray, max_level: int) -> np.ndarray:
+    """The last earlier row one level up in the document, -1 if there is none. One pass for each level that occurs."""
+    out = np.full(len(level), -1)
+    for k in np.unique(level[(level > 0) & (level <= max_level)]):
+        mine = level == k
+        out[mine] = _last(level, k - 1)[mine]
+    return np.where(out < first, -1, out)
+
+
+def _ends(stop: np.ndarray, level: np.ndarray, max_level: int) -> np.ndarray:
+    """The first later row whose level is not deeper, or the end of the group."""
+    out, n = stop.copy(), len(level)
+    for k in np.unique(level[level < max_level]):
+        mine = level == k
+        after = np.append(np.minimum.accumulate(np.where(level <= k, np.arange(n), n)[::-1])[::-1][1:], n)
+        out[mine] = np.minimum(after, stop)[mine]
+    return out
+
+
+def _grouped(first: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that brings rows of one group (a row's number, -1 for those of the document without one) together, and in
+    that order where the group begins and ends."""
+    key = np.where(group < 0, -1 - first, group)
+    order = np.argsort(key, kind="stable")
+    return order, *_spread(_new(key[order]), len(order))
+
+
+def _siblings(first: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row its place among its siblings, and the rows of those before and after it, -1 if there is none."""
+    order, begin, end = _grouped(first, parent)
+    at = np.arange(len(order))
+    place, before, after = (np.full(len(order), -1) for _ in range(3))
+    place[order] = at - begin
+    before[order[at > begin]] = order[at[at > begin] - 1]
+    after[order[at < end - 1]] = order[at[at < end - 1] + 1]
+    return place, before, after
+
+
+def _shape(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row where its document begins and ends, and its level."""
+    return *_spread(_heads(batch), batch.num_rows), _numbers(batch, "level", NO_LEVEL)
+
+
+def _picked(values: pa.Array, rows: np.ndarray) -> pa.Array:
+    """The values of these rows, null for -1."""
+    return values.take(pa.array(rows, mask=rows < 0))
+
+
+def _more(o: DataFrame, **columns) -> StructType:
+    return StructType([*o.schema.fields, *[StructField(n, t) for n, t in columns.items()]])
 
 
 def outline_parents(o: DataFrame, max_level: int = 32) -> DataFrame:
     """parent (idx of the last earlier item one level up), prev_sibling, next_sibling, first_child and last_child of each item of a valid outline.
 
-    One running pass keeps the last idx of each level.
+    Documents are dealt and sorted once; their items are then looked at as arrays.
     """
-    last = _last(F.col("idx"), Window.partitionBy(DOC).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1), max_level)
-    o = o.withColumn("parent", F.try_element_at(F.array(*last), F.nullif(F.col("level"), F.lit(0)).cast("int")))
-    kin = Window.partitionBy(DOC, "parent").orderBy("idx")
-    o = o.withColumn("prev_sibling", F.lag("idx").over(kin)).withColumn("next_sibling", F.lead("idx").over(kin))
-    kids = o.where("parent is not null").groupBy(DOC, F.col("parent").alias("idx")).agg(F.min("idx").alias("first_child"), F.max("idx").alias("last_child"))
-    return o.join(kids.withColumnsRenamed({DOC: "kid_doc", "idx": "kid_idx"}), (F.col(DOC) == F.col("kid_doc")) & (F.col("idx") == F.col("kid_idx")), "left").drop("kid_doc", "kid_idx")
-
+    kind = o.schema["idx"].dataType
 
-def _after(keys: list[str]):
-    """Later rows of the outline, nearest last: a running frame, so that a document is passed over once."""
-    return Window.partitionBy(*keys).orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
+    def run(batch):
+        first, _, level = _shape(batch)
+        parent = _parents(first, level, max_level)
+        _, before, after = _siblings(first, parent)
+        eldest, youngest = (np.full(batch.num_rows, -1) for _ in range(2))
+        child = np.flatnonzero(parent >= 0)
+        eldest[parent[child[::-1]]], youngest[parent[child]] = child[::-1], child  # of equal places the last one stays
+        return [*batch.columns, *[_picked(batch.column("idx"), r) for r in (parent, before, after, eldest, youngest)]]
 
-
-def _beyond(value, keys: list[str], max_level: int):
-    """The least value of the later rows whose level is not deeper than the row's own, null if there is none."""
-    nearest = F.array(*[F.min(F.when(F.col("level") <= k, value)).over(_after(keys)) for k in range(max_level)])
-    return F.try_element_at(nearest, (F.col("level") + 1).cast("int"))
+    return _by_document(o, _more(o, parent=kind, prev_sibling=kind, next_sibling=kind, first_child=kind, last_child=kind), run)
 
 
 def branch_end(o: DataFrame, max_level: int = 32) -> DataFrame:
     """branch_end: the first later idx whose level is not deeper, or one past the document's last."""
-    return o.withColumn("branch_end", F.coalesce(_beyond(F.col("idx"), [DOC], max_level), F.max("idx").over(Window.partitionBy(DOC)) + 1))
+
+    def run(batch):
+        _, stop, level = _shape(batch)
+        idx = _numbers(batch, "idx")
+        return [*batch.columns, pa.array(_places(idx, _ends(stop, level, max_level), stop), batch.column("idx").type)]
+
+    return _by_document(o, _more(o, branch_end=o.schema["idx"].dataType), run)
+
+
+def _places(idx: np.ndarray, rows: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The idx of these rows, one past the document's last for its end."""
+    return np.where(rows < stop, idx[np.minimum(rows, len(idx) - 1)], idx[stop - 1] + 1)
 
 
 def _mapped(value, pages: dict):
     """A value of an action with its pages mapped, None where one is gone. A page is an object that holds nothing but page."""
     if isinstance(value, list):
-        return [_mapped(v, pages) for v in value]
+        return [_mapped(v, pages) if isinstance(v, (dict, list)) else v for v in value]
     if not isinstance(value, dict):
         return value
-    if value.keys() == {"page"}:
+    if len(value) == 1 and "page" in value:
         new = pages.get(str(value["page"]))
         return None if new is None else {"page": type(value["page"])(new)}
-    out = {k: _mapped(v, pages) for k, v in value.items()}
+    out = {k: _mapped(v, pages) if isinstance(v, (dict, list)) else v for k, v in value.items()}
     place = out.get("D")
     if out.get("S") == "GoTo" and not (isinstance(place, list) and place and isinstance(place[0], dict) and place[0].keys() == {"page"}):
         return None
@@ -77,29 +194,58 @@ def _mapped(value, pages: dict):
     return out
 
 
-def _map_actions(action: pd.Series, pages: pd.Series) -> pd.Series:
-    def one(text, known):
-        new = _mapped(json.loads(text), {k: v for k, v in known} if known is not None else {})
-        return None if new is None else json.dumps(new, separators=(",", ":"), ensure_ascii=False)
+#: A page in the text of an action: its name in quotes or its number.
+PAGE_VALUE = r'"page"\s*:\s*(?:"([^"]*)"|(-?[0-9]+))'
+_JSON = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False)
 
-    return pd.Series([None if a is None else one(a, p) for a, p in zip(action, pages)], dtype=object)
 
+def _map_actions(rows: pa.RecordBatch, pages: dict) -> pa.Array:
+    def one(text):
+        new = _mapped(json.loads(text), pages)
+        return None if new is None else _JSON.encode(new)
 
-PAGE_VALUE = r'"page"\s*:\s*(?:"([^"]*)"|(-?[0-9]+))'
+    return pa.array([None if a is None else one(a) for a in rows.column("action").to_pylist()], pa.string())
+
+
+def _aimed(o: DataFrame, aim, page_map: DataFrame) -> DataFrame:
+    """o with _item (true), _name (the page that aim names), _new (its new page as text) and new_target, and if o has action a row
+    without its columns for each further page that is named there and is still there, so that all of them come to the document."""
+    columns, name = o.columns, aim.cast("string")
+    if "action" in columns:
+        names = F.array_distinct(F.transform(F.regexp_extract_all("action", F.lit(f"({PAGE_VALUE})"), F.lit(1)), lambda m: F.regexp_replace(m, r'^"page"\s*:\s*|"', "")))
+        entry = lambda item, n: F.struct(F.lit(item).alias("item"), n.alias("name"))
+        further = F.transform(F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda n: ~n.eqNullSafe(F.col("_aim"))), lambda n: entry(False, n))
+        o = o.withColumn("_aim", name).withColumn("_e", F.explode(F.concat(F.array(entry(True, F.col("_aim"))), further)))
+        o = o.select(*[c if c in (DOC, "idx") else F.when(F.col("_e.item"), F.col(c)).alias(c) for c in columns], F.col("_e.item").alias("_item"), F.col("_e.name").alias("_name"))
+    else:
+        o = o.withColumn("_item", F.lit(True)).withColumn("_name", name)
+    # items without an aim would all be dealt to one task
+    o = o.withColumn("_deal", F.hash(F.coalesce("_name", F.col(DOC).cast("string"))))
+    known = page_map.select(F.col("target").cast("string").alias("_known"), F.hash(F.col("target").cast("string")).alias("_known_deal"), "new_target", F.col("new_target").cast("string").alias("_new"))
+    j = o.join(known, (F.col("_name") == F.col("_known")) & (F.col("_deal") == F.col("_known_deal")), "left").where("_item or _new is not null")
+    return j.select(*columns, "_item", "_name", "_new", "new_target")
+
+
+def _pages(batch: pa.RecordBatch) -> dict:
+    there = batch.filter(pc.is_valid(batch.column("_new")))
+    return dict(zip(there.column("_name").to_pylist(), there.column("_new").to_pylist()))
 
 
 def remap_actions(o: DataFrame, page_map: DataFrame) -> DataFrame:
     """o (doc_id, idx, action: JSON text) with the pages in its actions through page_map (target, new_target).
 
     A page that is gone becomes null; an action that goes to such a page becomes null with all in it, and so does one among those
-    that follow another, which then drops out of the list; a list without entries is left out. Only the pages that an action
-    names come to it, as a small map.
+    that follow another, which then drops out of the list; a list without entries is left out. Only the pages that an outline's
+    actions name come to it.
     """
-    names = F.array_distinct(F.transform(F.regexp_extract_all("action", F.lit(f"({PAGE_VALUE})"), F.lit(1)), lambda m: F.regexp_replace(m, r'^"page"\s*:\s*|"', "")))
-    named = o.where(F.col("action").contains('"page"')).select(DOC, "idx", F.explode(names).alias("name"))
-    known = page_map.select(F.col("target").cast("string").alias("name"), F.col("new_target").cast("string").alias("new_name"))
-    pages = named.join(known, "name").groupBy(DOC, "idx").agg(F.collect_list(F.array("name", "new_name")).alias("pages"))
-    return o.join(pages, [DOC, "idx"], "left").withColumn("action", F.pandas_udf(_map_actions, "string")("action", "pages")).drop("pages")
+    columns = o.columns
+
+    def run(batch):
+        rows = batch.filter(batch.column("_item"))
+        action = _map_actions(rows, _pages(batch))
+        return [action if c == "action" else rows.column(c) for c in columns]
+
+    return _by_document(_aimed(o, F.lit(None), page_map).drop("new_target"), o.schema, run)
 
 
 def remap_outline(o: DataFrame, page_map: DataFrame, max_level: int = 32) -> DataFrame:
@@ -108,42 +254,75 @@ def remap_outline(o: DataFrame, page_map: DataFrame, max_level: int = 32) -> Dat
     Items without a target stay as they are. If o has action (JSON text), an item without a target whose action goes to a page counts
     as aiming at that page, and what is left of the actions comes out (see remap_actions).
     """
-    keep = []
-    if "action" in o.columns:
+    acts, aim = "action" in o.columns, F.col("target")
+    if acts:
         there = F.when(F.get_json_object("action", "$.S") == "GoTo", F.get_json_object("action", "$.D[0].page"))
-        o = o.withColumn("aim", F.coalesce("target", there.cast(o.schema["target"].dataType)))
-        o, keep = remap_actions(o, page_map), ["action"]
-    else:
-        o = o.withColumn("aim", F.col("target"))
-    j = o.join(page_map.select(F.col("target").alias("aim"), "new_target"), "aim", "left")
-    j = j.withColumn("lives", F.col("aim").isNull() | F.col("new_target").isNotNull())
-    j = j.withColumn("later", F.coalesce(F.sum(F.col("lives").cast("long")).over(_after([DOC])), F.lit(0)))
-    # living items from the end of the branch on: those after its end and the one there
-    at_end = _beyond(F.struct("idx", (F.col("later") + F.col("lives").cast("long")).alias("living")), [DOC], max_level)
-    j = j.withColumn("below", F.col("later") - F.coalesce(at_end["living"], F.lit(0)))
-    return j.where("lives or below > 0").select(DOC, "idx", "level", "item_id", F.when(F.col("target").isNotNull(), F.col("new_target")).alias("target"), *keep)
+        aim = F.coalesce("target", there.cast(o.schema["target"].dataType))
+    columns = [DOC, "idx", "level", "item_id", "target", *(["action"] if acts else [])]
+    j = _aimed(o.select(*columns), aim, page_map).withColumn("target", F.when(F.col("target").isNotNull(), F.col("new_target"))).drop("new_target")
+
+    def run(batch):
+        rows = batch.filter(batch.column("_item"))
+        _, stop, level = _shape(rows)
+        lives = pc.or_(pc.is_null(rows.column("_name")), pc.is_valid(rows.column("_new"))).to_numpy(zero_copy_only=False)
+        living = np.append(0, np.cumsum(lives))
+        below = living[_ends(stop, level, max_level)] - living[1:]
+        rows = rows.filter(pa.array(lives | (below > 0)))
+        return [_map_actions(rows, _pages(batch)) if c == "action" else rows.column(c) for c in columns]
+
+    return _by_document(j, j.select(*columns).schema, run)
+
+
+def _paths(first: np.ndarray, level: np.ndarray, max_level: int) -> pa.Array:
+    place, _, _ = _siblings(first, _parents(first, level, max_level))
+    parts = []
+    for k in np.unique(level[level < max_level]):
+        last = _last(level, k)
+        parts.append(pa.array(place[last], mask=(level <= k) | (last < first)).cast(pa.string()))
+    path = pc.binary_join_element_wise(*parts, pa.array(place).cast(pa.string()), "/", null_handling="skip")
+    return pc.if_else(pa.array(level == NO_LEVEL), pa.scalar(None, pa.string()), path)
 
 
 def outline_paths(o: DataFrame, max_level: int = 32) -> DataFrame:
     """o with parent and path: the places among their siblings of the item's ancestors and of itself, from the top, such as 0/2/1."""
-    o = outline_parents(o, max_level).drop("prev_sibling", "next_sibling", "first_child", "last_child")
-    o = o.withColumn("place", F.row_number().over(Window.partitionBy(DOC, "parent").orderBy("idx")) - 1)
-    last = _last(F.struct("idx", "place"), Window.partitionBy(DOC).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1), max_level)
-    above = F.transform(F.slice(F.array(*last), F.lit(1), F.col("level")), lambda a: a["place"].cast("string"))
-    return o.withColumn("path", F.array_join(F.concat(above, F.array(F.col("place").cast("string"))), "/")).drop("place")
+
+    def run(batch):
+        first, _, level = _shape(batch)
+        return [*batch.columns, _picked(batch.column("idx"), _parents(first, level, max_level)), _paths(first, level, max_level)]
+
+    return _by_document(o, _more(o, parent=o.schema["idx"].dataType, path=StringType()), run)
 
 
 def outline_diff(before: DataFrame, after: DataFrame, columns: list[str], max_level: int = 32) -> DataFrame:
     """Items in which two outlines of a document differ, ids and all else but `columns` left out: doc_id, path, side, change.
 
     change: content (the items at that path differ), only (the other side has no item there). Equal outlines give no row; an item
-    moved among its siblings shows at both of its places.
+    moved among its siblings shows at both of its places. Both outlines of a document meet as rows of one sort.
     """
-    content = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256).alias("content")
-    a, b = (outline_paths(o, max_level).select(DOC, "path", content) for o in (before, after))
-    j = a.withColumnRenamed("content", "was").join(b.withColumnRenamed("content", "now"), [DOC, "path"], "full_outer").where("not (was <=> now)")
-    side = F.explode(F.when(F.col("was").isNull(), F.array(F.lit("after"))).when(F.col("now").isNull(), F.array(F.lit("before"))).otherwise(F.array(F.lit("before"), F.lit("after"))))
-    return j.select(DOC, "path", side.alias("side"), F.when(F.col("was").isNull() | F.col("now").isNull(), "only").otherwise("content").alias("change"))
+    content = F.unhex(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)).alias("content")
+    both = before.select(DOC, F.lit(False).alias("late"), "idx", "level", content).unionByName(after.select(DOC, F.lit(True).alias("late"), "idx", "level", content))
+
+    def run(batch):
+        first, _, level = _shape(batch)
+        late = batch.column("late").to_numpy(zero_copy_only=False)
+        side = _spread(_new(2 * first + late), batch.num_rows)[0]
+        path = _paths(side, level, max_level)
+        codes = pc.fill_null(path.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        at = np.arange(batch.num_rows)
+        # places that have no path meet nothing
+        was, now = (pd.DataFrame({"doc": first[m], "path": np.where(codes[m] < 0, -1 - at[m], codes[m]), name: at[m]}) for m, name in ((~late, "was"), (late, "now")))
+        j = was.merge(now, on=["doc", "path"], how="outer")
+        was, now = (j[c].fillna(-1).to_numpy(np.int64) for c in ("was", "now"))
+        alone = (was < 0) | (now < 0)
+        same = pc.fill_null(pc.equal(_picked(batch.column("content"), was), _picked(batch.column("content"), now)), False).to_numpy(zero_copy_only=False)
+        was, now = was[alone | ~same], now[alone | ~same]
+        rows = np.concatenate([was[was >= 0], now[now >= 0]])
+        only = np.concatenate([now[was >= 0] < 0, was[now >= 0] < 0])
+        named = lambda flags, yes, no: pc.if_else(pa.array(flags, pa.bool_()), yes, no)
+        return [batch.column(DOC).take(pa.array(rows)), path.take(pa.array(rows)), named(late[rows], "after", "before"), named(only, "only", "content")]
+
+    schema = StructType([before.schema[DOC], *[StructField(n, StringType()) for n in ("path", "side", "change")]])
+    return _by_document(both, schema, run, ("late", "idx"))
 
 
 def outline_counts(o: DataFrame, max_level: int = 32) -> DataFrame:
@@ -152,17 +331,23 @@ def outline_counts(o: DataFrame, max_level: int = 32) -> DataFrame:
     o has closed (boolean). Each item lies in the region of its nearest closed ancestor; in a region, an open item's descendants
     are the rows up to the next one that is not deeper, and a closed item shows the region that it heads.
     """
-    before = Window.partitionBy(DOC).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    last = _last(F.struct("idx", F.coalesce("closed", F.lit(False)).alias("closed")), before, max_level)
-    region = F.coalesce(*[F.when((F.col("level") > k) & last[k]["closed"], last[k]["idx"]) for k in reversed(range(max_level))], F.lit(-1).cast("long"))
-    r = o.withColumn("region", region).select(DOC, "idx", "level", F.coalesce("closed", F.lit(False)).alias("closed"), "region")
-    later = F.count("*").over(_after([DOC, "region"]))
-    r = r.withColumn("later", later)
-    beyond = _beyond(F.struct("idx", (F.col("later") + 1).alias("rows")), [DOC, "region"], max_level)
-    r = r.withColumn("open_count", F.col("later") - F.coalesce(beyond["rows"], F.lit(0)))
-    heads = r.where("region >= 0").groupBy(F.col(DOC).alias("head_doc"), F.col("region").alias("head")).agg(F.count("*").alias("inside"))
-    r = r.join(heads, (F.col(DOC) == F.col("head_doc")) & (F.col("idx") == F.col("head")), "left")
-    return r.select(DOC, "idx", F.when(F.col("closed"), -F.coalesce("inside", F.lit(0))).otherwise(F.col("open_count")).alias("descendants"))
+
+    def run(batch):
+        first, _, level = _shape(batch)
+        closed = batch.column("closed").to_numpy(zero_copy_only=False)
+        region = np.full(batch.num_rows, -1)
+        for k in np.unique(level[level < max_level])[::-1]:
+            last = _last(level, k)
+            head = (region < 0) & (level > k) & (level != NO_LEVEL) & (last >= first) & closed[last]
+            region[head] = last[head]
+        order, _, end = _grouped(first, region)
+        shown = np.zeros(batch.num_rows, np.int64)
+        shown[order] = _ends(end, level[order], max_level) - np.arange(batch.num_rows) - 1
+        inside = np.bincount(region[region >= 0], minlength=batch.num_rows)
+        return [batch.column(DOC), batch.column("idx"), pa.array(np.where(closed, -inside, shown), pa.int64())]
+
+    rows = o.select(DOC, "idx", "level", F.coalesce("closed", F.lit(False)).alias("closed"))
+    return _by_document(rows, StructType([o.schema[DOC], o.schema["idx"], StructField("descendants", LongType())]), run)
 
 
 def edit_outline(o: DataFrame, edits: DataFrame, max_level: int = 32) -> DataFrame:
@@ -172,30 +357,68 @@ def edit_outline(o: DataFrame, edits: DataFrame, max_level: int = 32) -> DataFra
     a child at the end of the item's branch (at the outline's end where at is null), retitle and retarget change the item, remove takes
     its branch away, up and down swap its branch with that of the sibling before or after. Edits that cannot be done change
     nothing: an item that is not there, a blank title, a child below the last level, no such sibling, several edits of a document.
+    The edit comes to its document as one more row.
     """
-    e = edits.withColumn("edits", F.count("*").over(Window.partitionBy(DOC))).where("edits = 1").drop("edits").withColumnRenamed(DOC, "edit_doc")
-    whole = branch_end(outline_parents(o, max_level), max_level)
-    spans = whole.select(F.col(DOC).alias("at_doc"), F.col("idx").alias("at_idx"), F.col("level").alias("at_level"), F.col("branch_end").alias("at_end"), "prev_sibling", "next_sibling")
-    ends = whole.groupBy(F.col(DOC).alias("end_doc")).agg((F.max("idx") + 1).alias("doc_end"))
-    e = e.join(spans, (F.col("edit_doc") == F.col("at_doc")) & (F.col("at") == F.col("at_idx")), "left").join(ends, F.col("edit_doc") == F.col("end_doc"))
-    e = e.where("at_idx is not null or op = 'add' and at is null").where(f"op not in ('add', 'retitle') or length(trim(new_title)) > 0").where(f"op <> 'add' or coalesce(at_level, -1) + 1 < {max_level}")
-    # the branch [first, middle) goes behind [middle, last)
-    nxt = whole.select(F.col(DOC).alias("n_doc"), F.col("idx").alias("n_idx"), F.col("branch_end").alias("n_end"))
-    e = e.join(nxt, (F.col("edit_doc") == F.col("n_doc")) & (F.col("next_sibling") == F.col("n_idx")), "left").drop("n_doc", "n_idx", "at_doc", "end_doc")
-    e = e.withColumn("first", F.when(F.col("op") == "up", F.col("prev_sibling")).when((F.col("op") == "down") & F.col("n_end").isNotNull(), F.col("at")))
-    moves, up = F.col("first").isNotNull(), F.col("op") == "up"
-    e = e.withColumn("middle", F.when(moves & up, F.col("at")).when(moves, F.col("at_end"))).withColumn("last", F.when(moves & up, F.col("at_end")).when(moves, F.col("n_end")))
-    j = o.select(DOC, "idx", "level", "item_id", "title", "target").join(e, F.col(DOC) == F.col("edit_doc"), "left")
-    gone = (F.col("op") == "remove") & (F.col("idx") >= F.col("at")) & (F.col("idx") < F.col("at_end"))
-    key = F.when((F.col("idx") >= F.col("first")) & (F.col("idx") < F.col("middle")), F.col("idx") + F.col("last") - F.col("middle"))
-    key = key.when((F.col("idx") >= F.col("middle")) & (F.col("idx") < F.col("last")), F.col("idx") + F.col("first") - F.col("middle")).otherwise(F.col("idx"))
-    mine = F.col("idx") == F.col("at")
-    kept = j.where(~F.coalesce(gone, F.lit(False))).select(
-        DOC, key.alias("key"), F.lit(1).alias("place"), "level", "item_id", F.when(mine & (F.col("op") == "retitle"), F.trim("new_title")).otherwise(F.col("title")).alias("title"),
-        F.when(mine & (F.col("op") == "retarget"), F.col("new_target")).otherwise(F.col("target")).alias("target"),
-    )
-    added = e.where("op = 'add'").select(F.col("edit_doc").alias(DOC), F.coalesce("at_end", "doc_end").alias("key"), F.lit(0).alias("place"), (F.coalesce("at_level", F.lit(-1)) + 1).cast(o.schema["level"].dataType).alias("level"), F.col("new_id").alias("item_id"), F.trim("new_title").alias("title"), F.col("new_target").alias("target"))
-    return kept.unionByName(added).select(DOC, (F.row_number().over(Window.partitionBy(DOC).orderBy("key", "place")) - 1).cast("long").alias("idx"), "level", "item_id", "title", "target")
+    columns = ["idx", "level", "item_id", "title", "target"]
+    asked = edits.select(DOC, F.col("at").cast("long").alias("idx"), F.lit(None).cast(o.schema["level"].dataType).alias("level"), F.col("new_id").alias("item_id"), F.trim("new_title").alias("title"), F.col("new_target").alias("target"), F.coalesce("op", F.lit("")).alias("op"))
+    rows = o.select(DOC, F.col("idx").cast("long").alias("idx"), *columns[1:], F.lit(None).cast("string").alias("op")).unionByName(asked)
+
+    def run(batch):
+        edit = pc.is_valid(batch.column("op")).to_numpy(zero_copy_only=False)
+        both, asks = np.flatnonzero(~edit), np.flatnonzero(edit)
+        doc = np.repeat(np.arange(len(_heads(batch))), np.diff(np.append(_heads(batch), batch.num_rows)))
+        once = np.bincount(doc[asks], minlength=doc[-1] + 1) == 1
+        mine = np.full(doc[-1] + 1, -1)  # the only edit of a document
+        mine[doc[asks]] = asks
+        mine[~once] = -1
+        items = batch.take(pa.array(both))
+        if not items.num_rows:
+            return [batch.column(c).slice(0, 0) for c in (DOC, *columns)]
+        first, stop, level = _shape(items)
+        idx = _numbers(items, "idx")
+        _, before, after = _siblings(first, _parents(first, level, max_level))
+        ends = _places(idx, _ends(stop, level, max_level), stop)
+        ask = mine[doc[both]]  # of each item
+        ops, ats = np.array(batch.column("op").fill_null("").to_pylist(), object), _numbers(batch, "idx")
+        given = pc.is_valid(batch.column("idx")).to_numpy(zero_copy_only=False)
+        titled = pc.fill_null(pc.greater(pc.utf8_length(batch.column("title")), 0), False).to_numpy(zero_copy_only=False)
+        spot = np.full(batch.num_rows, -1)  # the item that an edit is about
+        hit = (ask >= 0) & given[ask] & (idx == ats[ask])
+        spot[ask[hit]] = np.flatnonzero(hit)
+        head = np.full(batch.num_rows, -1)  # the first item of the edit's outline
+        head[ask[ask >= 0]] = first[ask >= 0]
+        todo = np.unique(ask[ask >= 0])
+        todo = todo[(spot[todo] >= 0) | ((ops[todo] == "add") & ~given[todo])]
+        todo = todo[~np.isin(ops[todo], ["add", "retitle"]) | titled[todo]]
+        depth = np.where(spot >= 0, level[spot], -1) + 1
+        todo = todo[(ops[todo] != "add") | (depth[todo] < max_level)]
+        # the branch [low, middle) goes behind [middle, high); one that is removed is [low, middle)
+        low, middle, high = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
+        at = lambda e: spot[e]
+        up = todo[ops[todo] == "up"]
+        up = up[before[at(up)] >= 0]
+        low[up], middle[up], high[up] = idx[before[at(up)]], idx[at(up)], ends[at(up)]
+        down = todo[ops[todo] == "down"]
+        down = down[after[at(down)] >= 0]
+        low[down], middle[down], high[down] = idx[at(down)], ends[at(down)], ends[after[at(down)]]
+        out = todo[ops[todo] == "remove"]
+        low[out], middle[out] = idx[at(out)], ends[at(out)]
+        is_ = lambda some: np.isin(ask, some)
+        moves, inner, outer = is_(np.concatenate([up, down])), (idx >= low[ask]) & (idx < middle[ask]), (idx >= middle[ask]) & (idx < high[ask])
+        key = np.where(moves & inner, idx + high[ask] - middle[ask], np.where(moves & outer, idx + low[ask] - middle[ask], idx))
+        kept = np.flatnonzero(~(is_(out) & inner))
+        adds = todo[ops[todo] == "add"]
+        add_key = np.where(given[adds], ends[at(adds)], idx[stop[head[adds]] - 1] + 1)
+        taken = np.concatenate([both[kept], adds])
+        order = np.lexsort((np.append(np.ones(len(kept)), np.zeros(len(adds))), np.append(key[kept], add_key), doc[taken]))
+        new = taken[order]
+        source = lambda op: np.append(np.where(hit & is_(todo[ops[todo] == op]), ask, both)[kept], adds)[order]
+        deep = pa.array(np.append(level[kept], depth[adds])[order], mask=np.append(level[kept] == NO_LEVEL, np.zeros(len(adds), bool))[order]).cast(batch.column("level").type)
+        picked = lambda c, rows: batch.column(c).take(pa.array(rows))
+        number = np.arange(len(new)) - _spread(_new(doc[new]), len(new))[0]
+        return [picked(DOC, new), pa.array(number, pa.int64()), deep, picked("item_id", new), picked("title", source("retitle")), picked("target", source("retarget"))]
+
+    return _by_document(rows, rows.select(DOC, *columns).schema, run)
 
 
 def merge_outlines(outlines: DataFrame) -> DataFrame:
