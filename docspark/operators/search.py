@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,19 +127,58 @@ def search_union(native: DataFrame, added: DataFrame, id_cols: list[str]) -> Dat
     return both.withColumn("match_id", F.concat_ws(":", *id_cols, "scope", "start"))
 
 
+def _rolled(text: str, k: int) -> np.ndarray:
+    """A hash of each group of k characters in a row."""
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+    h = np.full(max(len(codes) - k + 1, 0), k, np.uint64)
+    for j in range(k):
+        h = (h ^ codes[j : j + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
+def _letters_hash(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None or not t else int(_rolled(t, len(t))[0]) for t in texts], dtype="Int64")
+
+
+def _letter_groups(docs: DataFrame, anchored: DataFrame, lengths: list[int], bits: int) -> DataFrame:
+    """(doc_id, h) for the groups of characters in docs (doc_id, body) that may be anchors. The anchors' bitmap is all that is sent."""
+    slots = 1 << bits
+    seen = anchored.where("k < 0").groupBy(F.shiftright(F.pmod("h", F.lit(slots)), 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {slots}) % 64 as int))")).alias("mask"))
+    words = np.zeros(slots >> 6, np.int64)
+    for r in seen.collect():  # at most 2**bits / 64 numbers
+        words[r.word] = r.mask
+    bitmap = np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for text in batch.column("body").to_pylist():
+                each = [h[bitmap[h & (slots - 1)]] for h in (_rolled(text, k) for k in lengths)]
+                found.append(np.unique(np.concatenate(each)))
+            sizes = [len(f) for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(np.concatenate(found), pa.int64())], names=["doc_id", "h"])
+
+    # dealt while it is still text: a table of few files would be gone through in as few tasks
+    dealt = docs.repartition("doc_id").select("doc_id", F.lower("body").alias("body"))
+    return dealt.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long")
+
+
 def search_many(docs: DataFrame, queries: DataFrame, anchor: int = 4, text: str = "text", bits: int = 20) -> DataFrame:
     """(doc_id, item_id) where the document contains the query's text, whatever stands round it: equi-join on an anchor, then an exact test.
 
     A query's anchor are its inner words: its first and last word may be parts of the document's words; those between are whole
     ones, for the query itself has blanks on both sides of them. A query without inner words is anchored by its first `anchor`
-    characters, at whatever place of the document. A bitmap of the queries' anchors (2**bits bits, one broadcast row) drops a
-    document's other word and character groups before they become rows. An empty query is in every document.
+    characters, at whatever place of the document. A bitmap of the queries' anchors (2**bits bits) drops a document's other word
+    and character groups before they become rows. A document meets its candidates as one array, so that it is neither copied nor
+    lower-cased for each. An empty query is in every document.
     """
     words = lambda c: F.split(F.lower(c), "[ \n\t]+")
     q = queries.where("text is not null").select("item_id", F.col("text").alias("needle")).withColumn("w", words(F.col("needle"))).withColumn("k", F.least(F.lit(anchor), F.size("w") - 2))
     q = q.withColumn("k", F.when(F.col("k") > 0, F.col("k")).otherwise(-F.least(F.lit(anchor), F.length(F.lower("needle")))))
     inner = F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.greatest("k", F.lit(1))), " "), "k")
-    q = q.withColumn("h", F.when(F.col("k") > 0, inner).otherwise(F.xxhash64(F.substring(F.lower("needle"), F.lit(1), -F.col("k")), "k")))
+    letters = F.pandas_udf(_letters_hash, "long")(F.when(F.col("k") < 0, F.substring(F.lower("needle"), F.lit(1), -F.col("k"))))
+    q = q.withColumn("letters", letters).withColumn("h", F.when(F.col("k") > 0, inner).otherwise(F.col("letters")))
     anchored, empty = q.where("k <> 0").select("item_id", "needle", "k", "h"), q.where("k = 0").select("item_id")
     d = docs.select("doc_id", F.col(text).alias("body")).where("body is not null")
     lengths = sorted(r.k for r in q.select("k").distinct().collect())  # at most twice `anchor` numbers and 0
@@ -144,24 +186,27 @@ def search_many(docs: DataFrame, queries: DataFrame, anchor: int = 4, text: str
     lengths = [k for k in lengths if k]
     if not lengths:
         return everywhere if everywhere is not None else d.select("doc_id").join(empty).limit(0)
-    at = F.pmod("h", F.lit(1 << bits))
-    masks = anchored.groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {1 << bits}) % 64 as int))")).alias("mask"))
-    every = docs.sparkSession.range(1 << (bits - 6)).select(F.col("id").cast("int").alias("word")).join(F.broadcast(masks), "word", "left")
-    bitmap = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")))), lambda x: x["mask"]).alias("bitmap"))
-    known = lambda h: F.expr("1L").bitwiseAND(F.call_function("shiftright", F.get("bitmap", F.shiftright(F.pmod(h, F.lit(1 << bits)), 6).cast("int")), (F.pmod(h, F.lit(1 << bits)) % 64).cast("int"))) == 1
-
-    def grams(parts, k):
-        """The hashes of groups of abs(k) parts in a row (words for k > 0, characters otherwise) that may be anchors."""
-        n, glue = abs(k), " " if k > 0 else ""
-        starts = F.when(F.size(parts) >= n, F.sequence(F.lit(1), F.size(parts) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.filter(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(parts, i, n), glue), F.lit(k))), known)
-
-    of_words = let(words(F.col("body")), lambda w: F.flatten(F.array(*[grams(w, k) for k in lengths if k > 0]))) if lengths[-1] > 0 else None
-    of_letters = let(F.split(F.lower("body"), ""), lambda c: F.flatten(F.array(*[grams(c, k) for k in lengths if k < 0]))) if lengths[0] < 0 else None
-    found = F.array_distinct(F.concat(*[g for g in (of_words, of_letters) if g is not None]))
-    hits = d.withColumn("one", F.lit(1)).join(F.broadcast(bitmap.withColumn("one", F.lit(1))), "one").select("doc_id", F.explode(found).alias("h")).join(anchored.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
-    holds = F.contains(F.lower("body"), F.lower("needle"))
-    hits = hits.join(anchored.select("item_id", "needle"), "item_id").join(d, "doc_id").where(holds).select("doc_id", "item_id")
+    found = [_letter_groups(d, anchored, [-k for k in lengths if k < 0], bits)] if lengths[0] < 0 else []
+    if lengths[-1] > 0:
+        at = F.pmod("h", F.lit(1 << bits))
+        masks = anchored.where("k > 0").groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {1 << bits}) % 64 as int))")).alias("mask"))
+        every = docs.sparkSession.range(1 << (bits - 6)).select(F.col("id").cast("int").alias("word")).join(F.broadcast(masks), "word", "left")
+        bitmap = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")))), lambda x: x["mask"]).alias("bitmap"))
+        known = lambda h: F.expr("1L").bitwiseAND(F.call_function("shiftright", F.get("bitmap", F.shiftright(F.pmod(h, F.lit(1 << bits)), 6).cast("int")), (F.pmod(h, F.lit(1 << bits)) % 64).cast("int"))) == 1
+
+        def grams(parts, k):
+            """The hashes of groups of k words in a row that may be anchors."""
+            starts = F.when(F.size(parts) >= k, F.sequence(F.lit(1), F.size(parts) - k + 1)).otherwise(F.array().cast("array<int>"))
+            return F.filter(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(parts, i, k), " "), F.lit(k))), known)
+
+        of_words = F.array_distinct(let(words(F.col("body")), lambda w: F.flatten(F.array(*[grams(w, k) for k in lengths if k > 0]))))
+        dealt = d.repartition("doc_id").withColumn("one", F.lit(1)).join(F.broadcast(bitmap.withColumn("one", F.lit(1))), "one")
+        found.append(dealt.select("doc_id", F.explode(of_words).alias("h")))
+    groups = reduce(DataFrame.unionByName, found)
+    asked = anchored.groupBy("h", "item_id", F.lower("needle").alias("needle")).agg(F.count("*").cast("int").alias("times"))
+    hits = groups.join(asked, "h").groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "needle", "times")).alias("hits"))
+    holds = let(F.lower("body"), lambda body: F.filter("hits", lambda c: F.contains(body, c["needle"])))
+    hits = d.join(hits, "doc_id").select("doc_id", F.explode(F.flatten(F.transform(holds, lambda c: F.array_repeat(c["item_id"], c["times"])))).alias("item_id"))
     return hits.unionByName(everywhere) if everywhere is not None else hits
 
 

@@ -196,3 +196,14 @@ def test_repeated_requests_change_nothing(spark):
     c = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "conv_id long, turn long, text string")
     e = spark.createDataFrame([(1, 0, "a", "x"), (1, 0, "a", "y"), (1, 1, "b", "z")], "conv_id long, turn long, expected_text string, new_text string")
     assert sorted((r.turn, r.text, r.applied) for r in review.edit_comments(c, e, ["conv_id", "turn"]).collect()) == [(0, "a", False), (1, "z", True)]
+
+
+def test_search_many_short_needles_as_arrays(spark):
+    bodies = ["a 𝒳y\u0000z b", "ÄÖÜ äöü", "abc" * 50, "x", "", None]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    q = spark.createDataFrame([(1, "𝒳Y"), (1, "abca"), (2, "äö"), (3, "y\u0000Z"), (4, "X"), (4, "x"), (5, "bcab"), (6, "abcabcabd")], "item_id long, text string")
+    found = search.search_many(docs, q)
+    want = sorted((i, r.item_id) for i, b in enumerate(bodies) for r in q.collect() if b is not None and r.text.lower() in b.lower())
+    assert sorted(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(lower(body" not in plan and "MapInArrow" in plan  # characters are hashed in numpy, not by an expression for each group
