@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -28,7 +27,7 @@ WIDTH, ENDINGS = 16, 64
 #: Rows of the weight table for each feature: the word before, the two words before, the word two back.
 REGIONS = (1 << 16, 1 << 17, 1 << 16)
 ROWS = sum(REGIONS)
-BLOCK, TILE = 4096, 1 << 13
+BLOCK, TILE, TOKENS = 4096, 1 << 13, 1 << 20
 BEGIN_HASH, END_HASH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD80)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -132,10 +131,18 @@ class Leaves:
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         order = np.argsort(hashes)
-        self.hashes, self.leaf, self.logs = np.append(hashes[order], np.uint64(0)), order, np.log10(counts + 1.0)
+        self.hashes, self.leaf, self.logs = np.append(hashes[order], np.uint64(2**64 - 1)), order, np.log10(counts + 1.0)
+        bits = len(order).bit_length() + 2
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(self.hashes[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.hashes[:-1], hashes)
+        # the first place of the hash's leading bits, and on from there; no hash is larger than the one at the end
+        at = self.starts[hashes >> self.shift].astype(np.int64)
+        below = np.flatnonzero(self.hashes[at] < hashes)
+        while len(below):
+            at[below] += 1
+            below = below[self.hashes[at[below]] < hashes[below]]
         known = (self.hashes[at] == hashes) & (at < len(self.leaf))
         leaf = (hashes & np.uint64(ENDINGS - 1)).astype(np.int64) + len(self.leaf)
         leaf[known] = self.leaf[at[known]]
@@ -157,10 +164,36 @@ def contexts(hashes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     return [one, (one * MIX) ^ two, two]
 
 
+def at_node(feature: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Hashes of features at nodes."""
+    x = (feature + node.astype(np.uint64) * BEGIN_HASH) * MIX
+    return x ^ (x >> np.uint64(32))
+
+
 def rows_of(feature: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
     """Rows of the weight table for feature number k at the nodes."""
-    x = (feature + node.astype(np.uint64) * BEGIN_HASH) * MIX
-    return ((x ^ (x >> np.uint64(32))) & np.uint64(REGIONS[k] - 1)).astype(np.int64) + sum(REGIONS[:k])
+    return (at_node(feature, node) & np.uint64(REGIONS[k] - 1)).astype(np.int64) + sum(REGIONS[:k])
+
+
+def groups(tree: Tree, leaves: np.ndarray, features: list[np.ndarray]):
+    """The tokens' steps down the tree in tiles: nodes and rows of groups of steps, how many each has, and the steps' branches, a group's together.
+
+    The two words before a token settle all its features, so steps that have these and the node in common meet the same scores:
+    these are worked out once. Groups come in order of their rows for the two words, the largest region, which is gone through once.
+    """
+    bits = np.uint64(REGIONS[1].bit_length() - 1)
+    for lo in range(0, len(leaves), TOKENS):
+        for on, node, taken in tree.steps(leaves[lo : lo + TOKENS]):
+            x = at_node(features[1][lo + on], node)
+            x = (x << (np.uint64(64) - bits)) | (x >> bits)  # the bits of the row lead
+            order = np.argsort(x)
+            x, taken = x[order], taken[order]
+            heads = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+            bounds, first = np.append(heads, len(x)), order[heads]
+            for at in range(0, len(heads), TILE):
+                some = first[at : at + TILE]
+                nodes, steps = node[some], slice(bounds[at], bounds[min(at + TILE, len(heads))])
+                yield nodes, [rows_of(f[lo + on[some]], nodes, k) for k, f in enumerate(features)], np.diff(bounds[at : at + TILE + 1]), taken[steps]
 
 
 def exponentials(weights: np.ndarray, bias: np.ndarray, nodes: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -173,11 +206,25 @@ def exponentials(weights: np.ndarray, bias: np.ndarray, nodes: np.ndarray, rows:
     return z, z @ np.ones(WIDTH, np.float32)
 
 
+def add_rows(sums: np.ndarray, rows: np.ndarray, p: np.ndarray, mark: np.ndarray) -> None:
+    """Adds p's rows to those of sums. Of the rows that name one place, the last is written as a whole, the others are added singly."""
+    mark[rows] = at = np.arange(len(rows), dtype=np.int32)
+    last = mark[rows] == at
+    some, others = np.flatnonzero(last), np.flatnonzero(~last)
+    to = rows[some]
+    new = np.take(sums, to, axis=0, mode="clip")
+    new += np.take(p, some, axis=0)
+    line = np.dtype((np.void, WIDTH * sums.itemsize))
+    sums.view(line).ravel()[to] = new.view(line).ravel()
+    if len(others):
+        np.add.at(sums.reshape(-1), (rows[others, None] * WIDTH + np.arange(WIDTH)).ravel(), np.take(p, others, axis=0).ravel())
+
+
 def _blocks(matrices: list[np.ndarray]):
-    """The matrices' rows in blocks, as a record batch (block, data); blocks of zeros are left out."""
+    """The matrices' rows in blocks, as a record batch (block, data); blocks of zeros are left out. Spark packs them as it deals them."""
     blocks = [np.concatenate([m[at : at + BLOCK] for m in matrices]) for at in range(0, ROWS, BLOCK)]
     some = [k for k, b in enumerate(blocks) if b.any()]
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([zlib.compress(blocks[k].astype(np.float32).tobytes(), 1) for k in some], pa.binary())], names=["block", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[k].tobytes() for k in some], pa.binary())], names=["block", "data"])
 
 
 def _summed(parts: DataFrame, matrices: int, tasks: int) -> list[np.ndarray]:
@@ -186,14 +233,14 @@ def _summed(parts: DataFrame, matrices: int, tasks: int) -> list[np.ndarray]:
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(matrices * BLOCK * WIDTH)
         for x in group.data:
-            total += np.frombuffer(zlib.decompress(x), np.float32)
-        return pd.DataFrame({"block": group.block[:1], "data": [zlib.compress(total.astype(np.float32).tobytes(), 1)]})
+            total += np.frombuffer(x, np.float32)
+        return pd.DataFrame({"block": group.block[:1], "data": [total.astype(np.float32).tobytes()]})
 
     if tasks > 16:
         parts = parts.withColumn("part", F.spark_partition_id() % math.isqrt(tasks)).groupBy("block", "part").applyInPandas(add, "block int, data binary")
     out = [np.zeros((ROWS, WIDTH), np.float32) for _ in range(matrices)]
     for r in parts.groupBy("block").applyInPandas(add, "block int, data binary").collect():
-        for m, data in enumerate(np.frombuffer(zlib.decompress(r.data), np.float32).reshape(matrices, BLOCK, WIDTH)):
+        for m, data in enumerate(np.frombuffer(r.data, np.float32).reshape(matrices, BLOCK, WIDTH)):
             out[m][r.block * BLOCK : (r.block + 1) * BLOCK] = data
     return out
 
@@ -254,35 +301,38 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     setup = sc.broadcast((Leaves(top.word.to_numpy(np.int64).view(np.uint64), top.n.to_numpy(float)), tree))
     # a message has the size of the weights, so one stands for three input partitions; but each core has one
     tasks = max(sc.defaultParallelism, train.rdd.getNumPartitions() // 3)
-    weights = np.zeros((ROWS, WIDTH), np.float32)
+    weights, seen = np.zeros((ROWS, WIDTH), np.float32), None
     for _ in range(rounds if tokens else 0):
         shared = sc.broadcast(weights)
 
-        def gradient(batches, shared=shared):
-            (known, tree), w = setup.value, shared.value
-            seen, given, branch = np.zeros(ROWS * WIDTH, np.float32), np.zeros(ROWS * WIDTH, np.float32), np.arange(WIDTH)
-            total, waiting = [np.zeros(ROWS * WIDTH), np.zeros(ROWS * WIDTH)], 0
-            for part in slices(batches, 0):
+        def gradient(batches, shared=shared, first=seen is None):
+            (known, tree), w = setup.value, shared.value.copy()  # numpy's own memory has large pages
+            sums = [np.zeros((ROWS, WIDTH), np.float32) for _ in range(1 + first)]
+            total, waiting, mark = [], 0, np.zeros(ROWS, np.int32)
+            for part in slices(batches, 0, 6 * TOKENS):
                 hashes, lengths = tokens_of(part.column(0).to_pylist())
                 leaves, features = known.find(hashes)[0], contexts(hashes, lengths)
-                for at in range(0, len(leaves), TILE):
-                    for on, node, taken in tree.steps(leaves[at : at + TILE]):
-                        rows = [rows_of(f[at : at + TILE][on], node, i) for i, f in enumerate(features)]
-                        p, s = exponentials(w, tree.bias, node, rows)
-                        p *= (1 / s)[:, None]
-                        for r in rows:
-                            r *= WIDTH
-                            np.add.at(given, (r[:, None] + branch).ravel(), p.ravel())
-                            np.add.at(seen, r + taken, np.float32(1))
-                    waiting += TILE
+                for node, rows, number, taken in groups(tree, leaves, features):
+                    p, s = exponentials(w, tree.bias, node, rows)
+                    p *= (number / s).astype(np.float32)[:, None]
+                    for r in rows:
+                        add_rows(sums[0], r, p, mark)
+                        if first:
+                            np.add.at(sums[1].reshape(-1), np.repeat(r * WIDTH, number) + taken, np.float32(1))
+                    waiting += len(taken)
                     if waiting > 1 << 23:  # below that float32 counts exactly
-                        for t, x in zip(total, (seen, given)):
+                        total = total or [np.zeros((ROWS, WIDTH)) for _ in sums]
+                        for t, x in zip(total, sums):
                             t += x
                             x[:] = 0
                         waiting = 0
-            yield _blocks([(t + x).reshape(ROWS, WIDTH) for t, x in zip(total, (seen, given))])
+            for t, x in zip(total, sums):
+                t += x
+                x[:] = t
+            yield _blocks(sums)
 
-        seen, given = _summed(train.select("text").coalesce(tasks).mapInArrow(gradient, "block int, data binary"), 2, tasks)
+        given, *counted = _summed(train.select("text").coalesce(tasks).mapInArrow(gradient, "block int, data binary"), 1 if seen is not None else 2, tasks)
+        seen = counted[0] if counted else seen  # what the documents show is the same in every round
         shared.destroy()
         # the gradient of the log likelihood, seen - given, divided by the logarithmic mean of the two
         weights = np.clip(weights + rate * np.log((seen + calm) / (given + calm)), -8, 8)
@@ -290,7 +340,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     within = np.append(np.zeros(len(top)), np.log10(rest))
 
     def score(batches):
-        (known, tree), w = setup.value, model.value
+        (known, tree), w = setup.value, model.value.copy()
         for part in slices(batches, 2):
             hashes, lengths = tokens_of(part.column(2).to_pylist())
             leaves, common = known.find(hashes)

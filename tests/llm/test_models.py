@@ -141,6 +141,34 @@ def test_lm_tree_is_a_code(leaves):
     assert np.allclose(np.exp(whole), mass / mass.sum(), rtol=1e-4)
 
 
+def test_lm_steps_of_one_context_are_worked_out_once(monkeypatch):
+    """Groups hold each step of each token once, at the rows that the token has on its own, and none comes twice in a batch."""
+    rng = np.random.default_rng(5)
+    tree = lm.Tree(rng.zipf(1.5, 300).astype(float))
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 4, 300)) for _ in range(3)]
+    hashes, counts = lm.tokens_of(texts)
+    leaves, features = (hashes % np.uint64(300)).astype(np.int64), lm.contexts(hashes, counts)
+    monkeypatch.setattr(lm, "TILE", 7)
+    want, got, times = Counter(), Counter(), Counter()
+    for on, node, taken in tree.steps(leaves):
+        want.update(zip(node.tolist(), *[lm.rows_of(f[on], node, k).tolist() for k, f in enumerate(features)], taken.tolist()))
+    for node, rows, number, taken in lm.groups(tree, leaves, features):
+        keys = list(zip(node.tolist(), *[r.tolist() for r in rows]))
+        times.update(keys)
+        got.update((*k, t) for k, t in zip([k for k, n in zip(keys, number) for _ in range(n)], taken.tolist(), strict=True))
+    assert got == want and set(times.values()) == {1} and 4 * len(times) < sum(want.values())
+
+
+def test_lm_adds_repeated_rows():
+    rng = np.random.default_rng(6)
+    rows, p = rng.integers(0, 40, 900), rng.integers(0, 9, (900, lm.WIDTH)).astype(np.float32)
+    sums, want, mark = np.ones((lm.ROWS, lm.WIDTH), np.float32), np.ones((lm.ROWS, lm.WIDTH)), np.zeros(lm.ROWS, np.int32)
+    for some in (slice(0, 900), slice(0, 1), slice(0, 0)):
+        lm.add_rows(sums, rows[some], p[some], mark)
+        np.add.at(want, rows[some], p[some])
+    assert np.array_equal(sums, want)
+
+
 def brute_scores(rows, frequent, rounds=3, rate=0.5, calm=3.0):
     """The language model word by word in Python: {id: score}."""
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
