@@ -369,6 +369,25 @@ def _apart(member: DataFrame, heads: DataFrame, comp: DataFrame) -> DataFrame:
     return known.join(known.where("off").select("key").distinct(), "key", "left_semi")
 
 
+def _split_groups(stars: DataFrame, tried: DataFrame, comp: DataFrame, bits: int) -> DataFrame:
+    """The stars of the groups of which an edge (b, a) has its ends in different components; tried has the stars' edges, each once.
+
+    A group's edges connect it, so the others are one component. Edges and groups are looked up in bitmaps first: of the stars only
+    those that pass are shuffled.
+    """
+    for c in ("a", "b"):
+        tried = tried.join(comp.select(F.col("v").alias(f"v_{c}"), F.col("component").alias(f"c_{c}")), F.col(c) == F.col(f"v_{c}"), "left")
+    split = table(tried.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b"), "split-edges")
+
+    def among(rows, found, on):
+        words = table(bitmap_filter(found.select(F.col("look").alias("key")), bits), "split-map")
+        return may_contain(rows, "look", words, "maybe", bits).where("maybe").join(found.drop("look"), on, "left_semi")
+
+    edge = F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))
+    keys = table(among(stars.withColumn("look", edge).withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")), split.select(F.col("a").alias("lo"), F.col("b").alias("hi"), edge.alias("look")), ["lo", "hi"]).select("key").distinct(), "split-keys")
+    return among(stars.withColumn("look", F.col("key")), keys.withColumn("look", F.col("key")), "key").select("key", "b", "a")
+
+
 def _cross(apart: DataFrame, one: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of members of one group and different components, one of them off; sizes and sketches decide inside the join which can hold.
 
@@ -401,6 +420,7 @@ def _linked(docs: DataFrame, num: int, den: int, n: int, bits: int) -> tuple[Dat
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = table(_verified(tried, docs, one, n, num, den, bits), "links")
     comp = components(links)
+    stars = table(_split_groups(stars, tried, comp, bits), "split-stars")
     member = stars.select("key", F.col("b").alias("m")).union(stars.select("key", F.col("a").alias("m"))).distinct()
     heads = stars.groupBy("key").agg(F.min("a").alias("head"))
     apart = table(_apart(member, heads, comp), "apart")

@@ -171,3 +171,12 @@ def test_long_documents_that_share_passages(spark, n, threshold):
     expected = brute_components(rows, n, *threshold)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected
     assert 1 < len({c for _, c in expected.values()}) < len(rows)
+
+
+def test_only_split_groups_are_looked_at_again(spark):
+    """Of the stars only groups with an edge between components are taken on, whole, whichever way round the edge is."""
+    stars = spark.createDataFrame([(1, 2, 1), (1, 3, 1), (2, 5, 4), (2, 4, 6), (3, 8, 7), (4, 9, 7), (4, 10, 7)], "key long, b long, a long")
+    tried = stars.selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
+    comp = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (7, 7), (9, 7)], "v long, component long")
+    got = sorted(map(tuple, ngram_join._split_groups(stars, tried, comp, 23).collect()))
+    assert got == [(2, 4, 6), (2, 5, 4), (3, 8, 7), (4, 9, 7), (4, 10, 7)]
