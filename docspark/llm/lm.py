@@ -37,7 +37,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 LETTERS = mix(LOWER.astype(np.uint64) + BEGIN_HASH)
 _POWERS = {}
@@ -52,7 +51,7 @@ def powers(base: int, n: int) -> np.ndarray:
     return _POWERS[base]
 
 
-def tokens_of(texts: list[str | None], piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def tokens_of(texts: list[str | None], piece: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """All texts' tokens, each text closed by the end token: word hashes and tokens per text.
 
     The low bits of a word's hash (modulo ENDINGS) come from its last three bytes; the others are a polynomial in its bytes (A-Z lower-cased)
@@ -60,7 +59,7 @@ def tokens_of(texts: list[str | None], piece: int = 1 << 20) -> tuple[np.ndarray
     """
     parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     buffer = np.frombuffer(b"\n" + b"\n".join(parts) + b"\n", np.uint8)
-    space = SPACE[buffer]
+    space = (buffer == 32) | (buffer - np.uint8(9) < 5)
     edges = np.diff(space.view(np.int8))
     starts, ends = np.flatnonzero(edges == -1) + 1, np.flatnonzero(edges == 1) + 1
     hashes, lo = np.zeros(len(starts), np.uint64), 0
@@ -69,12 +68,13 @@ def tokens_of(texts: list[str | None], piece: int = 1 << 20) -> tuple[np.ndarray
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + piece, "right")))
         a, z = int(starts[lo]), int(ends[hi - 1])
         sums = np.zeros(z - a + 1, np.uint64)
-        np.cumsum(LETTERS[buffer[a:z]] * powers(odd, z - a)[: z - a], out=sums[1:])
+        np.cumsum(np.take(LETTERS, buffer[a:z]) * powers(odd, z - a)[: z - a], out=sums[1:])
         hashes[lo:hi] = mix((sums[ends[lo:hi] - a] - sums[starts[lo:hi] - a]) * powers(inverse, z - a)[starts[lo:hi] - a])
         lo = hi
-    last = np.zeros(len(starts), np.uint64)
+    last, size = np.zeros(len(starts), np.uint32), np.minimum(ends - starts, 3).astype(np.uint8)
     for k in (1, 2, 3):
-        last = last * np.uint64(256) + np.where(ends - k >= starts, LOWER[buffer[ends - k]], 0).astype(np.uint64)
+        last = (last << np.uint32(8)) | (np.take(LOWER, np.take(buffer, ends - k)) * (size >= k))
+    last = last.astype(np.uint64)
     closing = np.cumsum([len(p) + 1 for p in parts])
     words = np.diff(np.searchsorted(starts, closing, "right"), prepend=0)
     at = np.ones(len(starts) + len(texts), bool)
@@ -151,28 +151,30 @@ class Leaves:
 
 def contexts(hashes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     """Hashes of each token's features, in the order of REGIONS; before a text's first word stands BEGIN_HASH."""
-    starts = np.repeat(np.cumsum(counts) - counts, counts)
-    at = np.arange(len(hashes))
-
-    def back(k):
-        out = np.full(len(hashes), BEGIN_HASH, np.uint64)
-        ok = at - k >= starts
-        out[ok] = hashes[at[ok] - k]
-        return out
-
-    one, two = back(1), back(2)
+    starts, begin = np.cumsum(counts) - counts, np.full(2, BEGIN_HASH)
+    one = np.append(begin[:1], hashes)[: len(hashes)]
+    two = np.append(begin, hashes)[: len(hashes)]
+    one[starts] = two[starts] = BEGIN_HASH
+    two[starts[counts > 1] + 1] = BEGIN_HASH
     return [one, (one * MIX) ^ two, two]
 
 
 def at_node(feature: np.ndarray, node: np.ndarray) -> np.ndarray:
     """Hashes of features at nodes."""
-    x = (feature + node.astype(np.uint64) * BEGIN_HASH) * MIX
-    return x ^ (x >> np.uint64(32))
+    x = node.astype(np.uint64)
+    x *= BEGIN_HASH
+    x += feature
+    x *= MIX
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def rows_of(feature: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
     """Rows of the weight table for feature number k at the nodes."""
-    return (at_node(feature, node) & np.uint64(REGIONS[k] - 1)).astype(np.int64) + sum(REGIONS[:k])
+    x = at_node(feature, node)
+    x &= np.uint64(REGIONS[k] - 1)
+    x += np.uint64(sum(REGIONS[:k]))
+    return x.view(np.int64)
 
 
 def groups(tree: Tree, leaves: np.ndarray, features: list[np.ndarray]):
@@ -181,19 +183,31 @@ def groups(tree: Tree, leaves: np.ndarray, features: list[np.ndarray]):
     The two words before a token settle all its features, so steps that have these and the node in common meet the same scores:
     these are worked out once. Groups come in order of their rows for the two words, the largest region, which is gone through once.
     """
-    bits = np.uint64(REGIONS[1].bit_length() - 1)
+    first, bits, third = (np.uint64(r.bit_length() - 1) for r in REGIONS)
+    rest, place = np.uint64(64) - bits, np.uint64(TOKENS - 1)
+    names = np.uint64(60) - first - third  # bits for a node, of which there are fewer than words
     for lo in range(0, len(leaves), TOKENS):
         for on, node, taken in tree.steps(leaves[lo : lo + TOKENS]):
-            x = at_node(features[1][lo + on], node)
-            x = (x << (np.uint64(64) - bits)) | (x >> bits)  # the bits of the row lead
-            order = np.argsort(x)
-            x, taken = x[order], taken[order]
+            x = at_node(features[1][lo : lo + TOKENS][on], node)
+            x = (x << rest) | (x >> bits)  # the bits of the row lead
+            # what else a step needs, in one number: its branch, its node and the other two rows
+            more = (taken.astype(np.uint64) << names) | node.astype(np.uint64)
+            for k, wide in ((0, first), (2, third)):
+                more <<= wide
+                more |= at_node(features[k][lo : lo + TOKENS][on], node) & np.uint64(REGIONS[k] - 1)
+            # the last bits give way to the step's place, so that numbers are sorted and no places; x itself tells groups apart
+            order = np.sort((x & ~place) | np.arange(len(x), dtype=np.uint64))
+            order = (order & place).view(np.int64)
+            x, more = x[order], more[order]
             heads = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-            bounds, first = np.append(heads, len(x)), order[heads]
+            bounds = np.append(heads, len(x))
+            taken = (more >> np.uint64(60)).view(np.int64)
             for at in range(0, len(heads), TILE):
-                some = first[at : at + TILE]
-                nodes, steps = node[some], slice(bounds[at], bounds[min(at + TILE, len(heads))])
-                yield nodes, [rows_of(f[lo + on[some]], nodes, k) for k, f in enumerate(features)], np.diff(bounds[at : at + TILE + 1]), taken[steps]
+                some = heads[at : at + TILE]
+                facts, steps = more[some], slice(bounds[at], bounds[min(at + TILE, len(heads))])
+                rows = [(facts >> third) & np.uint64(REGIONS[0] - 1), x[some] >> rest, facts & np.uint64(REGIONS[2] - 1)]
+                nodes = ((facts >> (first + third)) & ((np.uint64(1) << names) - np.uint64(1))).view(np.int64)
+                yield nodes, [r.view(np.int64) + sum(REGIONS[:k]) for k, r in enumerate(rows)], np.diff(bounds[at : at + TILE + 1]), taken[steps]
 
 
 def exponentials(weights: np.ndarray, bias: np.ndarray, nodes: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -348,8 +362,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for at in range(0, len(leaves), TILE):
                 for on, node, taken in tree.steps(leaves[at : at + TILE]):
                     p, s = exponentials(w, tree.bias, node, [rows_of(f[at : at + TILE][on], node, i) for i, f in enumerate(features)])
-                    gain[at + on] += np.log10(p[np.arange(len(p)), taken] / s)
-            gain -= within[leaves]
+                    gain[at + on] += np.log(np.take(p, np.arange(0, p.size, WIDTH) + taken) / s)
+            gain = gain / math.log(10) - within[leaves]
             starts = np.cumsum(lengths) - lengths
             rare = ~common
             logs = np.zeros(len(leaves))
