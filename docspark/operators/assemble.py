@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def document_info(pages: DataFrame, key: str = "doc_id", permissions: DataFrame | None = None) -> DataFrame:
@@ -140,25 +144,81 @@ def ocr_page_validate(words: DataFrame, width: float, height: float, page: list[
     return g.select(*page, "n_words", "n_chars", F.coalesce(over, F.col("first.reason")).alias("reason"))
 
 
-def ocr_exclude_existing(words: DataFrame, native: DataFrame, page: list[str], cell: float = 24.0, tol: float = 0.5) -> DataFrame:
-    """words (word_id, x, y, width, height) without those whose centre lies in a native box, grown by tol, or the other way round.
+def _spread(start: np.ndarray, stop: np.ndarray, most: int):
+    """Pairs (k, place) for the places from start[k] to stop[k], about most of them at a time."""
+    count = np.maximum(stop - start, 0)
+    total, at = np.cumsum(count), 0
+    while at < len(count):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        k, n = np.repeat(np.arange(at, to), count[at:to]), count[at:to]
+        yield k, start[k] + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+        at = to
 
-    Both sides go to grid cells that their grown boxes touch; the join is on page and cell, then exact.
-    """
 
-    def cells(df):
-        axis = lambda at, size: F.sequence(F.floor((F.col(at) - tol) / cell), F.floor((F.col(at) + F.col(size) + tol) / cell))
-        return df.withColumn("cx", F.explode(axis("x", "width"))).withColumn("cy", F.explode(axis("y", "height")))
+def _points_in_boxes(points: np.ndarray, boxes: np.ndarray, cell: float, most: int = 1 << 20):
+    """Pairs (point, box) where the point lies in the box, some at a time. points: page, x, y; boxes: page, left, top, right, bottom.
 
-    a = cells(words).alias("a")
-    b = cells(native.select(*page, "x", "y", "width", "height")).alias("b")
-    inside = lambda p, q: (
-        (F.col(f"{p}.x") + F.col(f"{p}.width") / 2).between(F.col(f"{q}.x") - tol, F.col(f"{q}.x") + F.col(f"{q}.width") + tol)
-        & (F.col(f"{p}.y") + F.col(f"{p}.height") / 2).between(F.col(f"{q}.y") - tol, F.col(f"{q}.y") + F.col(f"{q}.height") + tol)
-    )
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*page, "cx", "cy"]]
-    hit = a.join(b, on).where(inside("a", "b") | inside("b", "a")).select("a.word_id").distinct()
-    return words.join(hit, "word_id", "left_anti")
+    The points of a page lie in strips of the height cell, sorted by x there; a box meets those of its strips between its sides.
+    """
+    kept, boxed = np.flatnonzero(np.isfinite(points).all(axis=0)), np.flatnonzero(~np.isnan(boxes).any(axis=0))
+    strip = np.floor(points[2, kept] / cell)
+    kept = kept[order := np.lexsort((points[1, kept], strip, points[0, kept]))]
+    (page, x, y), strip, n = points[:, kept], strip[order], len(kept)
+    own, left, top, right, bottom = boxes[:, boxed]
+    strips, across = np.unique(strip), np.sort(x)
+    group = lambda page, rank: page.astype(np.int64) * (len(strips) + 1) + rank
+    groups, number = np.unique(group(page, np.searchsorted(strips, strip)), return_inverse=True)
+    spot = number * (n + 1) + np.searchsorted(across, x)
+    first = np.searchsorted(groups, group(own, np.searchsorted(strips, np.floor(top / cell))))
+    last = np.searchsorted(groups, group(own, np.searchsorted(strips, np.floor(bottom / cell), "right")))
+    low, high = np.searchsorted(across, left), np.searchsorted(across, right, "right")
+    for b, g in _spread(first, last, most):
+        for k, p in _spread(np.searchsorted(spot, g * (n + 1) + low[b]), np.searchsorted(spot, g * (n + 1) + high[b]), most):
+            hit = (y[p] >= top[b[k]]) & (y[p] <= bottom[b[k]])
+            yield kept[p[hit]], boxed[b[k[hit]]]
+
+
+def ocr_exclude_existing(words: DataFrame, native: DataFrame | None, page: list[str], cell: float = 24.0, tol: float = 0.5, step: int = 1 << 16) -> DataFrame:
+    """words (page, x, y, width, height and others) without those whose centre lies in a native box (page, x, y, width, height), grown by
+    tol, or the other way round.
+
+    words may also be pages (page, words, native: arrays of the others), native is None then, which are not shuffled. One page is one
+    array; a task looks at pages of about step words and boxes at a time.
+    """
+    if native is not None:
+        box, columns = F.struct("x", "y", "width", "height"), words.columns
+        w = words.groupBy(*page).agg(F.collect_list(F.struct(*[c for c in columns if c not in page])).alias("words"))
+        pages = w.join(native.groupBy(*page).agg(F.collect_list(box).alias("native")), page, "left")
+    else:
+        pages, columns = words, [*page, *words.schema["words"].dataType.elementType.names]
+    fields = pages.schema["words"].dataType.elementType
+    out = StructType([StructField(c, pages.schema[c].dataType) for c in page] + [StructField(f.name, f.dataType) for f in fields])
+
+    def run(batches):
+        for batch in batches:
+            size = sum(pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("words", "native"))
+            total, at = np.cumsum(size), 0
+            while at < len(batch):
+                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + step, "right")))
+                part, at = batch.slice(at, to - at), to
+                sides = []
+                for c in ("words", "native"):
+                    column = part.column(c)
+                    each, count = column.flatten(), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+                    x, y, width, height = (each.field(f).cast(pa.float64()).to_numpy(zero_copy_only=False) for f in ("x", "y", "width", "height"))
+                    own = np.repeat(np.arange(len(part), dtype=np.float64), count)
+                    sides.append((each, np.stack([own, x + width / 2, y + height / 2]), np.stack([own, x - tol, y - tol, x + width + tol, y + height + tol])))
+                (each, centres, grown), (_, theirs, boxes) = sides
+                keep = np.ones(centres.shape[1], bool)
+                for point, _ in _points_in_boxes(centres, boxes, cell):
+                    keep[point] = False
+                for _, mine in _points_in_boxes(theirs, grown, cell):
+                    keep[mine] = False
+                left = pa.array(np.flatnonzero(keep))
+                at_page = pa.array(centres[0, keep].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(c).take(at_page) for c in page] + [each.field(f.name).take(left) for f in fields], names=out.names)
+
+    return pages.select(*page, "words", "native").mapInArrow(run, out).select(*columns)
 
 
 def ocr_targets(plan: DataFrame) -> DataFrame:
